@@ -5,16 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import packing
+from orrery.llm import language, lines, packing, quality, sharding, urls
 from orrery.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, urls.document_labels(pages, table(spark, sf_dir, "labels")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the lines dropped, and the size and hash of the text that is left."""
+    docs = table(spark, sf_dir, "documents")
+    left = lines.drop_lines(docs.select("doc_id", "source", "text"), F.col("source"), "text")
+    return left.select("doc_id", F.col("orrery_dropped").cast("long").alias("n_dropped"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op3_language_id": op3_language_id,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_sharding": op6_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
