@@ -133,3 +133,11 @@ def sha256(data: bytes) -> str:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of phases that have ended; it does so when the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
