@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from orrery.plans import projections  # noqa: F401  (registers)
+from orrery.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "AGG02_depth_prior"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
