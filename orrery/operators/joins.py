@@ -99,3 +99,8 @@ def tiles_of(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) ->
     """One row for each tile of the half-open rectangle."""
     some = rows.filter((x1 > x0) & (y1 > y0))
     return some.withColumn("tile_x", F.explode(F.sequence(x0, x1 - 1))).withColumn("tile_y", F.explode(F.sequence(y0, y1 - 1)))
+
+
+def observation_join(observations: DataFrame, points: DataFrame, images: DataFrame) -> DataFrame:
+    """Observations with their point and the offset of their image."""
+    return observations.join(points, "track_id").join(images, "image_id")

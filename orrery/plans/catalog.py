@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import projections  # noqa: F401  (registers)
+from orrery.plans import filters, projections  # noqa: F401  (they register)
 from orrery.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "AGG02_depth_prior"
