@@ -104,3 +104,32 @@ def tiles_of(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) ->
 def observation_join(observations: DataFrame, points: DataFrame, images: DataFrame) -> DataFrame:
     """Observations with their point and the offset of their image."""
     return observations.join(points, "track_id").join(images, "image_id")
+
+
+def descend(pairs: DataFrame, seed: str, rounds: int) -> DataFrame:
+    """(a, b): from the seeds, a -> nearest b -> nearest a again and again; pairs that have come to rest."""
+    to = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    back = pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("next"))
+    from orrery.operators.state import materialize
+
+    step = materialize(to.join(back, "b").select("a", "b", "next"))
+    now = step.filter(seed).select("a")
+    for _ in range(rounds):
+        now = now.join(step, "a").select(F.col("next").alias("a")).distinct()
+    return now.join(step, "a").filter("a = next").select("a", "b").distinct()
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Nearest pairs from either side, once each, with their distance."""
+    one = pairs.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", "b")).alias("x")).select("a", "x.b", "x.d")
+    two = pairs.groupBy("b").agg(F.min_by(F.struct("a", "d"), F.struct("d", "a")).alias("x")).select("x.a", "b", "x.d")
+    return one.unionByName(two).dropDuplicates(["a", "b"])
+
+
+def points_in_boxes(boxes: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """Boxes (a, ax0..ay1) by the points (id, x, y) in them, by an equi-join on grid cells that the box touches."""
+    low, high = (lambda k: F.floor(F.col(k) / cell)), (lambda k: F.floor(F.col(k) / cell))
+    cells = boxes.withColumn("gx", F.explode(F.sequence(low("ax0"), high("ax1")))).withColumn("gy", F.explode(F.sequence(low("ay0"), high("ay1"))))
+    at = points.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
+    inside = (F.col("x") >= F.col("ax0")) & (F.col("x") < F.col("ax1")) & (F.col("y") >= F.col("ay0")) & (F.col("y") < F.col("ay1"))
+    return cells.join(at, ["gx", "gy"]).filter(inside).drop("gx", "gy")
