@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import filters, joining, projections  # noqa: F401  (they register)
+from orrery.plans import aggregates, filters, joining, projections  # noqa: F401  (they register)
 from orrery.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "AGG02_depth_prior"
