@@ -29,9 +29,9 @@ from orrery.llm.common import Words, materialize, sha256, sliding_min, tasks_for
 
 WINDOW = 50
 GRAM = 4
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 EXPANSION = 3.2
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 6 << 20
 CHUNK_BYTES = 1 << 20
 LEVEL = 3
 
@@ -160,8 +160,8 @@ def confirm(text: bytes, order, head, size, a, b, doc, first) -> None:
     model = order[head[group]]
     wrong = set(group[(b - a)[member] != (b - a)[model]].tolist())
     lengths = (b - a)[member]
-    for lo in range(0, len(member), 10_000):
-        m, r, n, g = member[lo : lo + 10_000], model[lo : lo + 10_000], lengths[lo : lo + 10_000], group[lo : lo + 10_000]
+    for lo in range(0, len(member), 3_000):
+        m, r, n, g = member[lo : lo + 3_000], model[lo : lo + 3_000], lengths[lo : lo + 3_000], group[lo : lo + 3_000]
         fine = (b - a)[r] == n
         m, r, n, g = m[fine], r[fine], n[fine], g[fine]
         if not len(m):
