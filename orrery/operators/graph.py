@@ -36,3 +36,208 @@ def components(edges: DataFrame) -> DataFrame:
     named = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
     loops = held.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     return named.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def indexed(rows: DataFrame) -> DataFrame:
+    """(id, i): ids by their rank."""
+    from orrery.operators.sets import global_rank
+
+    return materialize(global_rank(rows, "id").select("id", F.col("place").cast("long").alias("i")))
+
+
+def complete_pairs(rows: DataFrame) -> DataFrame:
+    n = rows.count()
+    return rows.sparkSession.range(n).select(F.col("id").alias("i")).filter("i > 0").select("i", F.explode(F.expr("sequence(0L, i - 1)")).alias("j"))
+
+
+def _indices(rows: DataFrame) -> tuple[DataFrame, int]:
+    n = rows.count()
+    return rows.sparkSession.range(n).select(F.col("id").alias("i")), n
+
+
+def window_pairs(rows: DataFrame, width: int, cyclic: bool) -> DataFrame:
+    """(i, j) at most width apart. Cyclic windows wrap around, and meet themselves where the width reaches the number of rows."""
+    i, n = _indices(rows)
+    k = i.select("i", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(width).cast("long"))).alias("w"))
+    if not cyclic:
+        return k.filter(F.col("i") + F.col("w") < n).select("i", (F.col("i") + F.col("w")).alias("j"))
+    j = (F.col("i") + F.col("w")) % n
+    return k.select(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")).distinct()
+
+
+def log_window_pairs(rows: DataFrame, powers: int) -> DataFrame:
+    i, n = _indices(rows)
+    steps = F.array(*[F.lit(s * 2**k).cast("long") for k in range(powers) for s in (1, -1)])
+    k = i.select("i", F.explode(steps).alias("s")).select("i", (F.col("i") + F.col("s")).alias("j")).filter((F.col("j") >= 0) & (F.col("j") < n))
+    return k.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+
+
+def star_pairs(rows: DataFrame, centre: int) -> DataFrame:
+    i, _ = _indices(rows)
+    return i.filter(F.col("i") != centre).select(F.lit(centre).alias("i"), F.col("i").alias("j"))
+
+
+def retrieval_pairs(similarities: DataFrame, anchors: int, k: int) -> DataFrame:
+    """Anchors by farthest points, complete among each other; every other row with its nearest anchor; each row with its k nearest."""
+    from orrery.operators.windows import farthest_points, top_per_key
+
+    held = materialize(similarities)
+    chosen = materialize(farthest_points(held.select("i", "j", (-F.col("s")).alias("d")), anchors).select("i"))
+    a = chosen.crossJoin(F.broadcast(chosen.toDF("j"))).filter("i < j")
+    to = held.join(F.broadcast(chosen.toDF("j")), "j").join(F.broadcast(chosen), "i", "left_anti").groupBy("i").agg(F.max_by("j", F.struct("s", -F.col("j"))).alias("j"))
+    near = top_per_key(held.filter("i <> j"), "i", [F.desc("s"), "j"], k).select("i", "j")
+    every = a.unionByName(to).unionByName(near)
+    return every.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("near"))
+
+
+def keep_largest(edges: DataFrame) -> DataFrame:
+    """(node, is_registered): whether a node is in the largest component; ties go to the component of the least node."""
+    found = materialize(components(edges))
+    top = found.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("top"))
+    return found.crossJoin(F.broadcast(top)).select("node", (F.col("component") == F.col("top")).alias("is_registered"))
+
+
+def rank_components(edges: DataFrame, least: int) -> DataFrame:
+    """(node, cluster_id): components by falling size from 0, -1 for those below the least size."""
+    found = materialize(components(edges))
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    ranked = sizes.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1)
+    return found.join(ranked.select("component", "cluster_id"), "component", "left").select("node", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+
+
+def feature_key(image, feature):
+    return F.shiftleft(image.cast("long"), 32).bitwiseOR(feature.cast("long"))
+
+
+def establish_tracks(matches: DataFrame, pixels: DataFrame, apart: float) -> DataFrame:
+    """(track_id, image, feature) of matches (i1, f1, i2, f2): components of features, without the tracks that hold two
+    features of one image further apart than the limit. pixels: image, feature, x, y."""
+    edges = matches.select(feature_key(F.col("i1"), F.col("f1")).alias("a"), feature_key(F.col("i2"), F.col("f2")).alias("b"))
+    found = components(edges).select(F.col("component").alias("track_id"), F.shiftright("node", 32).alias("image"), F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)).alias("feature"))
+    found = materialize(found.join(pixels, ["image", "feature"]))
+    # two points of a set are more than r apart only if its box has a diagonal above r, so most images are settled by their box
+    box = found.groupBy("track_id", "image").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    wide = box.filter((F.col("w") > apart) | (F.col("h") > apart)).select("track_id").distinct()
+    unsure = box.filter((F.col("n") > 1) & (F.col("w") <= apart) & (F.col("h") <= apart) & (F.sqrt(F.col("w") ** 2 + F.col("h") ** 2) > apart)).select("track_id", "image")
+    p = found.join(unsure, ["track_id", "image"], "left_semi")
+    q = p.select("track_id", "image", F.col("feature").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    far = p.join(q, ["track_id", "image"]).filter((F.col("feature") < F.col("other")) & (F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2) > apart)).select("track_id").distinct()
+    return found.join(wide.unionByName(far).distinct(), "track_id", "left_anti").select("track_id", "image", "feature")
+
+
+def merged_tracks(matches: DataFrame, least: int) -> DataFrame:
+    """(track, image, feature): components of features with at least so many of them, numbered from 0 by their least feature."""
+    edges = matches.select(feature_key(F.col("i1"), F.col("f1")).alias("a"), feature_key(F.col("i2"), F.col("f2")).alias("b"))
+    found = materialize(components(edges))
+    from orrery.operators.sets import global_rank
+
+    long = found.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("component")
+    numbered = global_rank(long, "component").select("component", F.col("place").cast("long").alias("track"))
+    return found.join(numbered, "component").select("track", F.shiftright("node", 32).alias("image"), F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)).alias("feature"))
+
+
+def maximum_spanning_tree(edges: DataFrame) -> DataFrame:
+    """(a, b, w) of a maximum spanning forest, by Boruvka rounds: each component takes its heaviest outgoing edge; ties go to the least (a, b)."""
+    held = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").filter("a <> b").groupBy("a", "b").agg(F.max("w").alias("w")))
+    nodes = held.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels, tree = materialize(nodes.select("node", F.col("node").alias("label"))), None
+    while True:
+        out = held.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").filter("la <> lb")
+        ends = out.select(F.explode(F.array("la", "lb")).alias("label"), "a", "b", "w")
+        best = ends.groupBy("label").agg(F.max_by(F.struct("a", "b", "w"), F.struct("w", -F.col("a"), -F.col("b"))).alias("e")).select("e.*").distinct()
+        best = materialize(best)
+        if best.isEmpty():
+            break
+        tree = best if tree is None else tree.unionByName(best)
+        loops = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        found = components(tree.select("a", "b").unionByName(loops))
+        labels = materialize(found.select("node", F.col("component").alias("label")))
+    return held.limit(0) if tree is None else tree.distinct()
+
+
+def breadth_first(edges: DataFrame, root: int, banned: DataFrame | None = None) -> DataFrame:
+    """(node, parent, level) from the root, level by level; the least parent of the level before is taken."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if banned is not None:
+        no = banned.unionByName(banned.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.join(no, ["a", "b"], "left_anti")
+    both = materialize(both)
+    spark = edges.sparkSession
+    seen = spark.createDataFrame([(root, None, 0)], "node long, parent long, level int")
+    front, level = seen, 0
+    while not front.isEmpty():
+        level += 1
+        front = front.select(F.col("node").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
+        front = materialize(front)
+        seen = seen.unionByName(front.select("node", "parent", "level"))
+    return seen
+
+
+def centred_tree(tree: DataFrame) -> DataFrame:
+    """The tree as (node, parent, level) from its centre: the middle of its longest path, found by two walks."""
+    held = materialize(tree.select("a", "b"))
+    start = held.agg(F.min("a")).first()[0]
+    if start is None:
+        return tree.sparkSession.createDataFrame([], "node long, parent long, level int")
+    far = breadth_first(held, start).orderBy(F.desc("level"), "node").first()["node"]
+    walk = breadth_first(held, far)
+    last = walk.orderBy(F.desc("level"), "node").first()
+    node = last["node"]
+    for _ in range(last["level"] // 2):
+        node = walk.filter(F.col("node") == node).first()["parent"]
+    return breadth_first(held, node)
+
+
+def sparsify(edges: DataFrame, expected: int, strength: float) -> DataFrame:
+    """Edges stay if one end has few edges, and else by a hash with the chance strength * mean degree / (ka * kb)."""
+    degree = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("k"))
+    mean = degree.agg(F.avg("k").alias("mean"))
+    both = edges.join(degree.toDF("a", "ka"), "a").join(degree.toDF("b", "kb"), "b").crossJoin(F.broadcast(mean))
+    draw = F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000)) / 1e6
+    return both.filter((F.col("ka") <= expected) | (F.col("kb") <= expected) | (draw < strength * F.col("mean") / (F.col("ka") * F.col("kb"))))
+
+
+def strong_clusters(edges: DataFrame, threshold: float, rounds: int = 10) -> DataFrame:
+    """(node, cluster): components of strong edges; then clusters with two edges of three quarters of that between them merge."""
+    held = materialize(edges)
+    nodes = held.select(F.explode(F.array("a", "b")).alias("node")).distinct().select(F.col("node").alias("a"), F.col("node").alias("b"))
+    links = held.filter(F.col("w") > threshold).select("a", "b").unionByName(nodes)
+    labels = materialize(components(links))
+    for _ in range(rounds):
+        two = held.filter(F.col("w") >= 0.75 * threshold).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").filter("la <> lb")
+        merge = materialize(two.groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.count("*").alias("n")).filter("n >= 2").select("a", "b"))
+        if merge.isEmpty():
+            break
+        up = components(merge).toDF("component", "top")
+        labels = materialize(labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+    return labels.select("node", F.col("component").alias("cluster"))
+
+
+def prune_weak(observations: DataFrame, least: int) -> DataFrame:
+    """(node, cluster): images clustered by shared points, with the limit from the upper median and deviation of all weights."""
+    from orrery.operators.aggregates import median_mad
+
+    w = materialize(covisibility(observations).filter(F.col("shared") >= least).select("a", "b", F.col("shared").cast("double").alias("w")))
+    row = median_mad(w, "w", 20.0).first()
+    return strong_clusters(w, row["threshold"] if row and row["threshold"] is not None else 20.0)
+
+
+def fixed_offsets(spark, n: int, most: int, step: int) -> DataFrame:
+    i = spark.range(n).select(F.col("id").alias("i"))
+    return i.select("i", F.explode(F.sequence(F.lit(step).cast("long"), F.lit(most).cast("long"), F.lit(step).cast("long"))).alias("s")).select("i", (F.col("i") + F.col("s")).alias("j")).filter(F.col("j") < n)
+
+
+def largest_region(pixels: DataFrame) -> DataFrame:
+    """(image, n): size of the largest 8-connected region of each image. pixels: image, x, y."""
+    key = lambda x, y: (F.col("image") * (1 << 40) + y * (1 << 20) + x)
+    px = pixels.withColumn("k", key(F.col("x"), F.col("y")))
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))])
+    near = px.select("image", "k", F.explode(steps).alias("s"), "x", "y").select(F.col("k").alias("a"), key(F.col("x") + F.col("s.dx"), F.col("y") + F.col("s.dy")).alias("b"))
+    edges = near.join(px.select(F.col("k").alias("b")), "b", "left_semi").unionByName(px.select(F.col("k").alias("a"), F.col("k").alias("b")))
+    n = components(edges).groupBy("component").agg(F.count("*").alias("n"))
+    return n.select(F.floor(F.col("component") / (1 << 40)).alias("image"), "n").groupBy("image").agg(F.max("n").alias("n"))
