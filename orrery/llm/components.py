@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is a partial aggregation by node and an equi-join back to the edges, which Spark may split for a node with
-many edges. Edges are written after each step; only a row count and a checksum reach the driver.
+many edges. Edges are written after each step; the driver learns only whether they are stars, and
+then every node points to the least of its component.
 """
 
 from __future__ import annotations
@@ -12,30 +13,32 @@ from pyspark.sql import functions as F
 from orrery.llm.common import materialize, settle
 
 
-def _print(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return r["n"], r["x"]
+def _stars(edges: DataFrame) -> bool:
+    """Has every node one parent at most, and is no parent a child?"""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    odd = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).filter("child > 1 OR child = 1 AND parent = 1")
+    return odd.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b), loops allowed: the least node that can be reached. Null ends are ignored."""
     held = materialize(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     loops = held.filter("a = b").select("a", "b")
-    now, before = held.filter("a <> b"), None
-    seen = _print(now)
-    while seen[0] and seen != before:
+    now = held.filter("a <> b")
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: every larger neighbour of u points to the least of u's neighbourhood
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "large")
+        large = materialize(both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        if _stars(large):
+            now = large
+            break
         # small star: u and its smaller neighbours point to the least of these
         small = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         pairs = large.join(small, F.col("a") == F.col("u"))
         now = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
         now = materialize(now, "small")
         settle(held.sparkSession)
-        before, seen = seen, _print(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).unionByName(loops.select(F.col("a").alias("node"), F.col("b").alias("component")))
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

@@ -173,14 +173,15 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     texts = materialize(texts.dropDuplicates(["doc_id"]), "texts")
     settle(spark)
 
-    def labelled(edges: DataFrame | None) -> DataFrame:
-        if edges is None:
-            return some.select("node", F.col("node").alias("label"))
-        found = components(edges.filter("linked").select("a", "b"))
-        return materialize(some.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "labels")
+    def labelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+        """Labels after new edges, whose ends are first replaced by their labels."""
+        ends = [labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab"]
+        found = components(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        found = found.select(F.col("node").alias("label"), "component")
+        return materialize(labels.join(found, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "labels")
 
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    tested, labels = None, labelled(None)
+    tested, labels = None, some.select("node", F.col("node").alias("label"))
     for star in range(STARS + 1):
         here = mates.join(labels, "node")
         crowd = here.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("s"))
@@ -209,7 +210,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
         fresh = materialize(verified(judged.select("a", "b"), texts, percent), f"verified{star}")
         settle(spark)
         tested = fresh if tested is None else tested.unionByName(fresh)
-        labels = labelled(tested)
+        labels = labelled(labels, fresh.filter("linked").select("a", "b"))
         if final:
             break
     heads = heads.join(labels, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("label"))
