@@ -139,28 +139,30 @@ def fit(docs: DataFrame) -> Model:
     return Model(languages, np.vstack(centroids).astype(np.float32), np.array(owner), idf, line)
 
 
-def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns keep, then lang_pred, score and rejected."""
+def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns keep, then the language, its score and whether it is rejected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
-            got = [model.predict(*grams(t)) if t else (UNDECIDED, 0.0, True) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            last = batch.num_columns - 1
+            got = [model.predict(*grams(t)) if t else (UNDECIDED, 0.0, True) for t in batch.column(last).to_pylist()]
             lang, score, rejected = zip(*got, strict=True) if got else ((), (), ())
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
+            cols = [batch.column(i) for i in range(last)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, *names])
 
     rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("orrery_text"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], "lang_pred string, score double, rejected boolean"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], "{} string, {} double, {} boolean".format(*names)])
     return rows.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, rejected."""
     rows = docs.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
-    return identify(rows, fit(docs), "doc_id", "held_out")
+    return identify(rows, fit(docs), ["doc_id", "held_out"])
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is identified, with their own columns."""
-    return identify(docs, fit(docs), *docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    found = identify(docs, fit(docs), docs.columns, ("orrery_lang", "orrery_score", "orrery_rejected"))
+    return found.filter(~F.col("orrery_rejected")).select(*docs.columns)
