@@ -35,7 +35,16 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: a cut in the lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/orrery-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.orrery_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.orrery_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def tasks_for(rows: int, per_task: int) -> int:

@@ -20,6 +20,7 @@ table gives an empty result; other columns are ignored. What is kept need not be
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, settle, sha256, sliding_min, tasks_for, window_hash
+from orrery.llm.common import discard, materialize, settle, sha256, shared_dir, sliding_min, tasks_for, window_hash
 
 LENGTH = 100
 GRAM = 28
@@ -35,7 +36,8 @@ BUCKET_BYTES = 3 << 20
 FLUSH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 
-CUTS = "bucket int, blob binary, hi long, lo long, doc_id long, start int"
+BLOBS = "bucket int, blob binary"
+CUTS = f"{BLOBS}, hi long, lo long, doc_id long, start int"
 FOUND = "hi long, lo long, at array<int>, n array<int>, first_doc array<long>, shift array<int>"
 
 
@@ -140,10 +142,12 @@ def cuts(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                     here = held.setdefault((x["key"] & 0x7FFFFFFFFFFFFFFF) % buckets, {})
                     seen = here.get(cut)
                     if seen is None:
-                        here[cut] = [doc, start]
+                        here[cut] = [doc, start, doc, start]
                         size += len(cut)
                     elif (doc, start) < (seen[0], seen[1]):
-                        seen[:] = doc, start
+                        seen[:2] = doc, start
+                    elif (doc, start) > (seen[2], seen[3]):
+                        seen[2:] = doc, start
                     digests.append(xxhash.xxh3_128_digest(cut))
                     doc_ids.append(doc)
                     starts.append(start)
@@ -161,6 +165,20 @@ def cuts(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     return rows.select("doc_id", "text", "runs").mapInArrow(run, CUTS)
 
 
+def materialize_parts(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blobs and the places of cuts, written in one pass into two folders."""
+    spark = made.sparkSession
+    path = f"{shared_dir(spark)}/orrery-cuts-{uuid.uuid4().hex}"
+    made.withColumn("kind", F.when(F.col("bucket").isNull(), "places").otherwise("blobs")).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    out = []
+    for kind, schema in (("blobs", BLOBS), ("places", "hi long, lo long, doc_id long, start int")):
+        # an empty result has no folder for a kind
+        part = spark.read.schema(f"{schema}, kind string").parquet(path).filter(F.col("kind") == kind).drop("kind")
+        part.orrery_path = f"{path}/kind={kind}"
+        out.append(part)
+    return out[0], out[1]
+
+
 def suffix_order(raw: np.ndarray) -> np.ndarray:
     """The full suffix order of raw by prefix doubling from 8 bytes; only what is still tied is sorted again."""
     n = len(raw)
@@ -270,18 +288,22 @@ def earliest(blobs: DataFrame, length: int) -> DataFrame:
         import xxhash
         import zstandard
 
-        held: dict[bytes, tuple[int, int]] = {}
+        held: dict[bytes, list[int]] = {}
         for batch in batches:
             for blob in batch.column(0):
                 raw = zstandard.ZstdDecompressor().decompress(blob.as_py())
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
-                places = np.frombuffer(raw, np.int64, 2 * n, 8).tolist()
-                at = 8 + 20 * n
-                for k, size in enumerate(np.frombuffer(raw, np.int32, n, 8 + 16 * n).tolist()):
-                    cut, place = raw[at : at + size], (places[2 * k], places[2 * k + 1])
+                places = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(n, 4).tolist()
+                at = 8 + 36 * n
+                for place, size in zip(places, np.frombuffer(raw, np.int32, n, 8 + 32 * n).tolist(), strict=True):
+                    cut = raw[at : at + size]
                     at += size
-                    if place < held.get(cut, (1 << 63, 0)):
+                    seen = held.get(cut)
+                    if seen is None:
                         held[cut] = place
+                    else:
+                        seen[:2] = min(seen[:2], place[:2])
+                        seen[2:] = max(seen[2:], place[2:])
         if not held:
             return
         strings, places = list(held), np.array(list(held.values()), np.int64)
@@ -290,6 +312,11 @@ def earliest(blobs: DataFrame, length: int) -> DataFrame:
         shift = first_start - place
         head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (first_doc[1:] != first_doc[:-1]) | (shift[1:] != shift[:-1]))))
         n = np.diff(np.concatenate((head, [len(owner)])))
+        last_doc, last_start = places[owner[head], 2], places[owner[head], 3]
+        use = (first_doc[head] < last_doc) | ((first_doc[head] == last_doc) & (shift[head] < last_start))
+        head, n = head[use], n[use]
+        if not len(head):
+            return
         own = owner[head]
         new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(strings[k]) for k in own[new].tolist()), np.int64).reshape(-1, 2)
@@ -309,16 +336,18 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     settle(spark)
     hit = string_runs(rows, length, gram).join(shared, "key", "left_semi")
     runs = materialize(hit.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs")), "runs")
+    discard(shared)
     settle(spark)
     total = runs.agg(F.coalesce(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda s, x: s + x["n"] + (length - 1))), F.lit(0)).alias("b")).first()["b"]
     tasks = max(tasks_for(total, BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = materialize(cuts(rows.join(runs, "doc_id"), 4 * tasks, length), "cuts")
+    blobs, places = materialize_parts(cuts(rows.join(runs, "doc_id"), 4 * tasks, length))
+    discard(runs)
     settle(spark)
-    blobs = made.filter("bucket IS NOT NULL").select("bucket", "blob").repartition(tasks, "bucket").select("blob")
-    found = materialize(earliest(blobs, length), "first")
+    found = materialize(earliest(blobs.repartition(tasks, "bucket").select("blob"), length), "first")
+    discard(blobs)
     settle(spark)
     earlier = F.filter(F.arrays_zip("at", "n", "first_doc", "shift"), lambda x: (x["first_doc"] < F.col("doc_id")) | ((x["first_doc"] == F.col("doc_id")) & (x["shift"] < F.col("start"))))
-    marked = made.filter("bucket IS NULL").select("hi", "lo", "doc_id", "start").join(found, ["hi", "lo"]).select("doc_id", "start", earlier.alias("runs")).filter(F.size("runs") > 0)
+    marked = places.join(found, ["hi", "lo"]).select("doc_id", "start", earlier.alias("runs")).filter(F.size("runs") > 0)
     each = F.transform("runs", lambda x: F.struct((F.col("start") + x["at"]).alias("a"), (F.col("start") + x["at"] + x["n"] + (length - 1)).alias("b")))
     return marked.select("doc_id", each.alias("spans")).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
