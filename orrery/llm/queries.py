@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, language, lines, near, packing, quality, repeats, sharding, substrings, urls
+from orrery.llm import decontaminate, language, lines, near, oracles, packing, quality, repeats, sharding, substrings, urls
 from orrery.llm.common import table
 
 
@@ -68,4 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRINGS,
+    "op5_quality_rules": oracles.QUALITY,
+    "op7_line_dedup": oracles.LINES,
+    "op9_near_dedup": oracles.NEAR,
+}
