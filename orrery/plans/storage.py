@@ -269,3 +269,108 @@ def crd01(spark, d):
 def cfg(spark, d):
     o = options.Options.from_environment({"VOK_SEG_THRESHOLD": "0.65"})
     return spark.createDataFrame([(o.segmentation.threshold, o.mapper.min_inliers, o.training.iterations)], "threshold double, min_inliers long, iterations long")
+
+
+@query("SRC14_sampled_cloud", f"WITH {t.POINTS} SELECT count(*) AS n FROM (SELECT * FROM points LIMIT 1500)")
+def src14(spark, d):
+    """At most so many points of a scene, chosen by a hash."""
+    from orrery.operators.windows import hash_sample
+
+    return hash_sample(t.points(spark, d), "point_id", 1500).agg(F.count("*").alias("n"))
+
+
+@query("SNK01_points_text", f"WITH {t.POINTS} SELECT point_id, printf('%.6f', z) AS z FROM points")
+def snk01(spark, d):
+    path = folder(spark)
+    tm.write_points(pts(spark, d), path)
+    w = F.split("value", " ")
+    return spark.read.text(path).select(F.get(w, F.lit(0)).cast("long").alias("point_id"), F.get(w, F.lit(3)).alias("z"))
+
+
+@query("SNK02_full_model", f"WITH {t.POINTS}, {CAMS} SELECT (SELECT count(*) FROM cams) AS n_cameras, (SELECT count(*) FROM supplier) AS n_images, (SELECT count(*) FROM points) AS n_points")
+def snk02(spark, d):
+    a, b, e = (folder(spark) for _ in range(3))
+    tm.write_cameras(cams(spark, d), a)
+    tm.write_images(imgs(spark, d), b)
+    tm.write_points(pts(spark, d), e)
+    n = lambda df, k: df.agg(F.count("*").alias(k))
+    return n(tm.cameras(spark, a), "n_cameras").crossJoin(n(tm.images(spark, b), "n_images")).crossJoin(n(tm.points(spark, e), "n_points"))
+
+
+@query("SNK04_rotations", "SELECT 'im' || s_suppkey AS name, cos(s_suppkey / 8.0) > 0 AS ahead FROM supplier")
+def snk04(spark, d):
+    k = F.col("s_suppkey")
+    path = folder(spark)
+    half = k / 8.0
+    tm.write_rotations(t.table(spark, d, "supplier").select(F.concat(F.lit("im"), k).alias("name"), F.cos(half).alias("qw"), F.lit(0.0).alias("qx"), F.sin(half).alias("qy"), F.lit(0.0).alias("qz")), path)
+    w = F.split("value", " ")
+    return spark.read.text(path).select(F.get(w, F.lit(0)).alias("name"), (F.get(w, F.lit(1)).cast("double") > 0).alias("ahead"))
+
+
+@query("SNK05_gaussian_ply", "SELECT count(*) AS n FROM part")
+def snk05(spark, d):
+    return src11(spark, d).agg(F.count("*").alias("n"))
+
+
+@query("SNK10_match_tables", "SELECT l_suppkey AS a, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey % 40 AS b, l_orderkey AS f1 FROM lineitem) GROUP BY 1")
+def snk10(spark, d):
+    path = folder(spark)
+    t.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 40).alias("b"), F.col("l_orderkey").alias("f1")).distinct().write.parquet(path)
+    return spark.read.parquet(path).groupBy("a").agg(F.count("*").alias("n"))
+
+
+@query("SNK11_pose_results", "SELECT 'q' || s_suppkey AS name, s_suppkey / 4.0::DOUBLE AS tx FROM supplier")
+def snk11(spark, d):
+    path = folder(spark)
+    k = F.col("s_suppkey")
+    t.table(spark, d, "supplier").select(F.concat_ws(" ", F.concat(F.lit("q"), k), F.lit("1.0 0.0 0.0 0.0"), k / 4.0, F.lit("0.0 1.0")).alias("value")).write.text(path)
+    w = F.split("value", " ")
+    return spark.read.text(path).select(F.get(w, F.lit(0)).alias("name"), F.get(w, F.lit(5)).cast("double").alias("tx"))
+
+
+@query("SNK12_versioned_edit", f"WITH {t.POINTS} SELECT 1::BIGINT AS version, CAST(sum(r) AS BIGINT) AS total FROM points UNION ALL SELECT 2, CAST(sum(255 - r) AS BIGINT) FROM points")
+def snk12(spark, d):
+    """An edit is written beside what it was made from, so it can be made again from the same."""
+    path = folder(spark)
+    t.points(spark, d).write.parquet(f"{path}/version=1")
+    for _ in range(2):
+        spark.read.parquet(f"{path}/version=1").withColumn("r", 255 - F.col("r")).write.mode("overwrite").parquet(f"{path}/version=2")
+    return spark.read.parquet(path).groupBy(F.col("version").cast("long").alias("version")).agg(F.sum("r").alias("total"))
+
+
+@query("SNK13_disparity_writers", "SELECT 12::BIGINT AS n, 12::BIGINT AS same")
+def snk13(spark, d):
+    import numpy as np
+
+    a = np.arange(1, 13, dtype="f4").reshape(3, 4)
+    back = binary.decode(spark.createDataFrame([(bytearray(binary.bytes_of_pfm(a)),)], "content binary"), binary.pfm_of, "x int, y int, value double")
+    return back.agg(F.count("*").alias("n"), F.count_if(F.col("value") == F.col("y") * 4 + F.col("x") + 1).alias("same"))
+
+
+@query("SNK14_exposures", "SELECT count(*) AS n FROM supplier")
+def snk14(spark, d):
+    body = scenes.to_json_map(t.table(spark, d, "supplier"), "s_name", "s_acctbal", "s_nationkey")
+    return body.select(F.size(F.from_json("body", "map<string,string>")).cast("long").alias("n"))
+
+
+@query("UDX02_03_registries", "SELECT 'sfm_data.json' AS kind UNION ALL SELECT 'transforms.json' UNION ALL SELECT 'reconstruction.json'")
+def udx02(spark, d):
+    return spark.createDataFrame([(k,) for k in scenes.KINDS], "kind string")
+
+
+@query("NN03_mask_gate", "WITH k AS (SELECT o_custkey AS image, o_orderkey AS mask, (o_orderkey % 100) / 100.0::DOUBLE AS dist, (o_orderkey % 67) / 67.0::DOUBLE AS area FROM orders WHERE o_orderkey % 2 = 0) SELECT image, arg_max(mask, (0.6 * (1 - dist) + 0.4 * area, -mask)) AS mask FROM k WHERE area > 0.02 AND area < 0.60 GROUP BY 1")
+def nn03(spark, d):
+    from orrery.operators.windows import best_mask
+
+    k = F.col("o_orderkey")
+    return best_mask(t.table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("image"), k.alias("mask"), ((k % 100) / 100.0).alias("dist"), ((k % 67) / 67.0).alias("area")))
+
+
+@query("NN06_planner_fallback", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'json' ELSE 'rules' END AS planner FROM events")
+def nn06(spark, d):
+    """A plan that a model wrote as JSON, or the rules' where it wrote none."""
+    from orrery.operators.edits import merge_llm_plan
+
+    answer = F.when(F.col("event_id") % 2 == 0, F.lit('```json\n{"planner": "json"}\n```')).otherwise(F.lit("I cannot do that"))
+    plan = merge_llm_plan(answer, F.struct(F.lit(None).cast("string").alias("planner")), "struct<planner:string>")
+    return t.table(spark, d, "events").select("event_id", F.coalesce(plan["planner"], F.lit("rules")).alias("planner"))

@@ -42,8 +42,8 @@ def test_compositing(spark):
 
 
 def test_compositing_drops_what_crosses_the_cutoff(spark):
-    rows = spark.createDataFrame([(0, k, float(k), 0.99, 1.0) for k in range(4)], "tile int, id int, depth double, alpha double, c double")
-    assert windows.composite(rows).first().n == 1  # 1 - 0.99**2 leaves just under 1e-4
+    rows = spark.createDataFrame([(0, k, float(k), 0.99, 1.0) for k in range(4)] + [(0, 9, 9.0, 0.1, 1.0)], "tile int, id int, depth double, alpha double, c double")
+    assert windows.composite(rows).first().n == 2  # two leave just 1e-4, the third would leave less
 
 
 def test_moving_average(spark):
