@@ -230,8 +230,8 @@ class RunIndex:
         self.sampled = self.order[self.head]  # where a run begins
         self.above = np.where(self.head > 0, self.order[self.head - 1], -1)  # where the run before it ends
 
-    def matching(self, most: int) -> np.ndarray:
-        """For every place the length, up to about most, that it matches its neighbour above in suffix order."""
+    def matching(self, most: int | None = None) -> np.ndarray:
+        """For every place the length, if most is given up to about that, that it matches its neighbour above in suffix order."""
         n = len(self.raw)
         at, other = self.sampled[self.above >= 0], self.above[self.above >= 0]
         length = np.zeros(len(at), np.int64)
@@ -250,7 +250,7 @@ class RunIndex:
             equal[odd] = np.log2(low.astype(np.float64)).astype(np.int64) // 8
             equal = np.minimum(equal, np.maximum(room, 0))
             length[alive] += equal
-            alive = alive[(equal == 8) & (length[alive] < most)]
+            alive = alive[(equal == 8) & (length[alive] < (n if most is None else most))]
         # streamed: a place that is no sample matches one byte less than the place before it
         reach = np.full(n, -1, np.int64)
         reach[at] = at + length
@@ -262,8 +262,9 @@ def first_places(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, len
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     base = np.cumsum(sizes + 1) - sizes - 1
     index = RunIndex(np.frombuffer(b"\0".join(strings), np.uint8))
-    # past the cap a sample's reach is too short, but never below what decides
-    long = index.matching(max(2 * length, int(sizes.max()) + 1)) >= length
+    # no cap: a match may run over the byte between two cuts, and what begins behind it is streamed from a sample before it.
+    # Cuts are distinct, so without NUL bytes of their own a match ends within the second cut
+    long = index.matching() >= length
     have = sizes - length + 1
     owner = np.repeat(np.arange(len(strings)), have)
     place = np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have)

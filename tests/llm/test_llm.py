@@ -126,6 +126,22 @@ def test_suffix_order_and_matching_statistics():
         assert len(index.head) <= len(t)
 
 
+def test_matches_run_over_the_byte_between_cuts():
+    r = random.Random(4)
+    make = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    suffix, prefix = make(150), make(150)
+    strings = [make(20) + suffix, prefix + make(20), make(20) + suffix, prefix + make(20)]
+    docs, starts = np.array([1, 1, 2, 2]), np.array([0, 300, 0, 300])
+    first = {}
+    for text, doc, start in zip(strings, docs.tolist(), starts.tolist()):
+        for k in range(len(text) - 99):
+            s = text[k : k + 100]
+            first[s] = min(first.get(s, (doc, start + k)), (doc, start + k))
+    got = list(zip(*(x.tolist() for x in repeats.first_places(strings, docs, starts, 100)), strict=True))
+    assert len(got) == sum(len(t) - 99 for t in strings)
+    assert all((doc, at) == first[strings[own][k : k + 100]] for own, k, doc, at in got)
+
+
 # --- 9 ---
 
 
