@@ -2,7 +2,7 @@
 
 Urls are first reduced to shapes (runs of digits become #, long runs of hexadecimal digits become @) and counted per
 host and shape with their labels, so what follows handles shapes and not pages. Level by level, a segment stays
-literal only if it is frequent below its node (MIN_SUPPORT rows, MIN_SHARE of the node) and if its labelled share of bad
+literal only if it is a whole number or hexadecimal run (an extension may follow), or if it is frequent below its node (MIN_SUPPORT rows, MIN_SHARE of the node) and if its labelled share of bad
 pages differs significantly (|z| >= Z) from its siblings'; variable segments and statistically similar branches merge
 into `*`. Templates end after MAX_DEPTH segments with `**`. A template is rejected if its bad share, smoothed
 towards its host's and the host's towards the overall share, reaches MAX_BAD on at least MIN_LABELS labels.
@@ -69,7 +69,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         differs = F.when((F.col("cl") > 0) & (others > 0), F.when(spread > 0, gap >= Z * spread).otherwise(F.lit(False))).otherwise(F.lit(False))
         alone = F.col("c") == F.col("t")
         frequent = (F.col("c") >= MIN_SUPPORT) & (F.col("c") >= MIN_SHARE * F.col("t"))
-        fixed = F.col("segment").rlike("^[#@]")
+        fixed = F.col("segment").rlike("^[#@]([.][a-z]+)?$")
         kept = child.join(node, ["host", "template"]).select("host", "template", "segment", F.when((frequent & (alone | differs)) | fixed, F.col("segment")).otherwise(F.lit("*")).alias("part"))
         state = materialize(
             rows.join(kept, ["host", "template", "segment"], "left").withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "part"))).drop("segment", "part"),

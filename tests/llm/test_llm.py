@@ -334,6 +334,15 @@ def test_urls(spark):
     assert got[100].template == "/ads/#"
 
 
+def test_slugs_that_begin_with_a_number_are_merged(spark):
+    slug = lambda k: f"{k}-{chr(97 + k % 26)}{chr(97 + k // 26)}-title"
+    rows = [(100 + k, f"http://shop.fr/ads/{slug(k)}") for k in range(60)] + [(200 + k, f"http://shop.fr/news/{slug(k)}") for k in range(60)] + [(300 + k, f"http://shop.fr/old/{k}.html") for k in range(30)]
+    labels = spark.createDataFrame([(100 + k, True) for k in range(60)] + [(200 + k, k % 10 == 0) for k in range(60)], "page_id long, bad boolean")
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert {got[k].verdict for k in range(100, 160)} == {"block"} and {got[k].verdict for k in range(200, 260)} == {"allow"}
+    assert (got[100].template, got[200].template, got[300].template.split("/")[-1]) == ("/ads/*", "/news/*", "#.html")
+
+
 # --- 6 ---
 
 
