@@ -2,9 +2,9 @@
 
 A window is as many consecutive words of a document (A-Z lower-cased) as a benchmark item has. Two windows are alike if
 their weighted Jaccard similarity on 5-word shingles is at least SIMILARITY; a shingle weighs ln(1 + items / items
-that have it). Windows that share no shingle with any item have similarity 0, so a lossless screen comes first: every
+that have it). Windows that share no shingle with any item have similarity 0, so a screen comes first: every
 shingle of every document is looked up in the shingles of the items, and each hit names the place at which the item
-would begin. The windows there get 64-bit SimHash fingerprints over their words. A multi-index of RADIUS + 1 blocks of
+would begin, moved into the text if the item would begin before it or end behind it. The windows there get 64-bit SimHash fingerprints over their words. A multi-index of RADIUS + 1 blocks of
 bits finds every item whose fingerprint is within RADIUS bits, since two such fingerprints agree in one whole block;
 these candidates are compared exactly.
 
@@ -78,9 +78,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     split = rows.select("doc_id", words(F.col("text")).alias("words"))
     hits = None
     for size in sizes or [SHINGLE]:
-        some = split.select("doc_id", F.posexplode(shingles(F.col("words"), size)).alias("at", "h")).join(marks.filter(F.col("size") == size), "h")
+        some = split.select("doc_id", F.size("words").alias("n_doc"), F.posexplode(shingles(F.col("words"), size)).alias("at", "h")).join(marks.filter(F.col("size") == size), "h")
         hits = some if hits is None else hits.unionByName(some)
-    begins = hits.select("doc_id", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("begin"), "n").distinct()
+    begins = hits.select("doc_id", F.greatest(F.least(F.col("at") - F.col("item_at"), F.col("n_doc") - F.col("n")), F.lit(0)).alias("begin"), "n").distinct()
     begins = begins.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("begin", "n")).alias("begins"))
     windows = rows.join(begins, F.col("doc_id") == F.col("id")).select("doc_id", words(F.col("text")).alias("words"), "begins")
     windows = windows.select("doc_id", F.explode(F.transform("begins", lambda x: F.struct(x["begin"].alias("begin"), F.slice("words", x["begin"] + 1, x["n"]).alias("window")))).alias("x")).select("doc_id", "x.*").distinct()

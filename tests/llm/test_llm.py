@@ -382,6 +382,18 @@ def test_decontamination(spark):
     assert kept.columns == df.columns and kept.count() == 40 + 3
 
 
+def test_decontamination_of_items_cut_off_by_the_text(spark):
+    r = random.Random(12)
+    items = [sentence(r, 50, 5000) for _ in range(2)]
+    own = sentence(r, 60, 5000)
+    rows = [(0, own + " " + " ".join(items[0].split()[:48])), (1, " ".join(items[1].split()[2:]) + " " + own), (2, " ".join(items[0].split()[:48])), (3, own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.word_at, x.n_words) for x in decontaminate.leaks(df, bench).collect()}
+    assert got == {(0, 0): (58, 50), (1, 1): (0, 50)}  # text 2 has under 50 words, so it holds no window of an item's size
+    assert sorted(x.doc_id for x in decontaminate.keep_clean(df, bench).collect()) == [2, 3]
+
+
 def test_near_fingerprints_share_a_block(spark):
     r = random.Random(3)
     rows = []
