@@ -9,8 +9,11 @@ what comes back are the few boilerplate hashes: lines per page / MAX_RATIO for e
 than BROADCAST_LINES they are broadcast as a table by host and texts don't move; beyond that pages are joined with
 their own dropped lines by id.
 
+With distinct, pages of a host with the same lines count once, so a group of copies doesn't turn its own text into
+boilerplate.
+
 Cases: a null text stays null and an empty one stays empty, both count as pages; null hosts are one host; repeated rows
-count as pages and each is returned; an empty table gives an empty result; columns keep their names and order.
+count as pages (with distinct once) and each is returned; an empty table gives an empty result; columns keep their names and order.
 """
 
 from __future__ import annotations
@@ -33,18 +36,24 @@ def has_word(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line, n_pages, n_host) of the lines that are dropped."""
+def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+    """(host, line, n_pages, n_host) of the lines that are dropped; if distinct, pages with the same lines count once."""
     rows = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text"))
     each = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), has_word), line_hash))
-    lines = rows.select("host", F.explode(each).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
+    if distinct:
+        rows = rows.select("host", each.alias("lines")).withColumn("content", F.xxhash64(F.array_sort("lines")))
+        lines = rows.select("host", "content", F.explode("lines").alias("line")).distinct()
+        rows = rows.select("host", "content").distinct()
+    else:
+        lines = rows.select("host", F.explode(each).alias("line"))
+    lines = lines.groupBy("host", "line").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
     totals = rows.groupBy("host").agg(F.count("*").alias("n_host"))
     return lines.join(totals, "host").filter(F.col("n_pages") > max_ratio * F.col("n_host"))
 
 
-def drop_lines(pages: DataFrame, host: Column, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_lines(pages: DataFrame, host: Column, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """pages with the column text cleaned, and orrery_dropped, the number of lines dropped, after its columns."""
-    found = materialize(boilerplate(pages, host, F.col(text), max_ratio, min_pages).select("host", "line"), "boilerplate")
+    found = materialize(boilerplate(pages, host, F.col(text), max_ratio, min_pages, distinct).select("host", "line"), "boilerplate")
     rows = pages.withColumn("orrery_host", F.coalesce(host.cast("string"), F.lit("")))
     lines = F.split(text, "\n")
     if found.count() <= BROADCAST_LINES:

@@ -295,6 +295,14 @@ def test_line_dedup_both_ways(spark, monkeypatch, few):
     assert all(r.orrery_dropped == (1 if k < 80 else 0) and ("more" in r.text) == (k >= 80) for k, r in rows.items())
 
 
+def test_line_dedup_stage_keeps_a_text_with_many_copies(spark):
+    import corpus_pipeline
+
+    rows = [(k, f"Own line {k}\nRead more", "h") for k in range(60)] + [(100 + k, "Copied text\nof two lines\nRead more", "h") for k in range(40)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()}
+    assert got == {k: f"Own line {k}" for k in range(60)} | {100 + k: "Copied text\nof two lines" for k in range(40)}
+
+
 # --- 3 ---
 
 
