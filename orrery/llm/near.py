@@ -2,8 +2,8 @@
 
 A document's set are its distinct 5-word shingles (A-Z lower-cased). Equal sets form one class, so copies cost no more
 than a hash. For each class REGISTERS least hashes are kept as HyperMinHash registers, the leading zeros and 10 bits of
-mantissa in 16 bits. BANDS bands of ROWS registers propose candidates: a pair at the threshold shares no band with a
-probability of (1 - 0.85**5)**25, under one in a million. A band's bucket is not expanded into pairs. In a star round
+mantissa in 16 bits. BANDS bands of ROWS registers, more below 0.85, propose candidates: a pair at the threshold shares
+no band with a probability of (1 - 0.85**5)**25, under one in a million. A band's bucket is not expanded into pairs. In a star round
 every class in it meets one pivot, which differs from band to band; pairs that sizes or the collision-corrected estimate
 rule out are dropped, and the best few of each class are verified on full sets. Classes that are linked by then share a
 component and need no further pair; what remains are pairs of different components in one bucket, and all of these are
@@ -18,6 +18,7 @@ document; an empty table gives an empty result; other columns are kept by keep_f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,11 @@ PARTNERS = 2_000
 SIGNATURES = "doc_id long, n_shingles long, hi long, lo long, registers binary"
 
 
+def band_count(percent: int) -> int:
+    """Bands with which a pair at the threshold is missed less than once in a million, BANDS at least."""
+    return max(BANDS, math.ceil(math.log(1e-6) / math.log(1 - (percent / 100) ** ROWS)))
+
+
 def multipliers(n: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
 
@@ -78,11 +84,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: float, m: float) -> float:
     return max(0.0, ((a == b).mean() - chance) / (1 - chance))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        times = multipliers(REGISTERS)
+        times = multipliers(n_bands * ROWS)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -95,15 +101,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
 
 
-def bands(classes: DataFrame) -> DataFrame:
+def bands(classes: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """(key, node, n) for every band of a class; key holds the band's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            keys = [xxhash.xxh3_64_intdigest(r[k * 2 * ROWS : (k + 1) * 2 * ROWS], seed=k) for r in batch.column(2).to_pylist() for k in range(BANDS)]
-            node, n = (np.repeat(batch.column(k).to_numpy(), BANDS) for k in (0, 1))
+            keys = [xxhash.xxh3_64_intdigest(r[k * 2 * ROWS : (k + 1) * 2 * ROWS], seed=k) for r in batch.column(2).to_pylist() for k in range(n_bands)]
+            node, n = (np.repeat(batch.column(k).to_numpy(), n_bands) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(node), pa.array(n)], names=["key", "node", "n"])
 
     return classes.select("node", "n", "registers").mapInArrow(run, "key long, node long, n long")
@@ -114,7 +120,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line = percent / 100
-        low = line - SURE * (line * (1 - line) / REGISTERS) ** 0.5
+        low = line - SURE * (line * (1 - line) / (band_count(percent) * ROWS)) ** 0.5
         for batch in batches:
             a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
             got = [estimate(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16), i, j) for p, q, i, j in zip(x, y, n, m, strict=True)]
@@ -159,12 +165,12 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and (doc_id, component_id) of the classes' representatives."""
     spark = docs.sparkSession
-    signed = materialize(signatures(docs), "signatures")
+    signed = materialize(signatures(docs, band_count(percent)), "signatures")
     full = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     heads = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
     own = full.join(heads.select(F.col("node").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
     classes = own.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "registers").dropDuplicates(["node"])
-    every = bands(classes)
+    every = bands(classes, band_count(percent))
     crowded = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     mates = materialize(every.join(crowded, "key", "left_semi"), "mates")
     settle(spark)

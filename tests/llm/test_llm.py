@@ -177,6 +177,19 @@ def test_near_duplicates(docs, corpus):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, x in got.items() if x[2]}
 
 
+def test_near_dedup_stage_links_from_four_fifths(spark):
+    import corpus_pipeline
+
+    assert near.band_count(85) == near.BANDS and (1 - 0.8**near.ROWS) ** near.band_count(80) < 1e-6
+    r = random.Random(8)
+    a, b = (sentence(r, 200, 100_000).split() for _ in range(2))
+    rows = [(1, " ".join(a)), (2, " ".join(x if k not in (50, 100, 150, 180) else "edit" for k, x in enumerate(a)))]  # 176 of 216 shingles
+    rows += [(3, " ".join(b)), (4, " ".join(x if k % 30 else "edit" for k, x in enumerate(b)))]  # under 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 3, 4]
+    assert near.keep_first(df).count() == 4
+
+
 def test_register_estimates():
     r = np.random.default_rng(1)
     times = near.multipliers(near.REGISTERS)
