@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SMALL = 100_000  # rows of a table of ids that is broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if path is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -144,6 +147,20 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text and variant, which differs between rows that share a doc_id and differ in text, and is 0 for all others."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    key = F.xxhash64("text")
+    shared = rows.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).filter("doc_id IS NOT NULL AND x <> y")
+    shared = materialize(shared.select(F.col("doc_id").alias("orrery_id")), "shared")
+    n = shared.count()
+    if n == 0:
+        discard(shared)
+        return rows.withColumn("variant", F.lit(0).cast("long"))
+    joined = rows.join(F.broadcast(shared) if n <= SMALL else shared, F.col("doc_id") == F.col("orrery_id"), "left")
+    return joined.select("doc_id", "text", F.when(F.col("orrery_id").isNotNull(), key).otherwise(F.lit(0)).cast("long").alias("variant"))
+
+
 def settle(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of phases that have ended; it does so when the driver collects garbage."""
     import gc

@@ -3,17 +3,26 @@
 A document's set are its distinct 5-word shingles (A-Z lower-cased). Equal sets form one class, so copies cost no more
 than a hash. For each class REGISTERS least hashes are kept as HyperMinHash registers, the leading zeros and 10 bits of
 mantissa in 16 bits. BANDS bands of ROWS registers, more below 0.85, propose candidates: a pair at the threshold shares
-no band with a probability of (1 - 0.85**5)**25, under one in a million. A band's bucket is not expanded into pairs. In a star round
-every class in it meets one pivot, which differs from band to band; pairs that sizes or the collision-corrected estimate
-rule out are dropped, and the best few of each class are verified on full sets. Classes that are linked by then share a
-component and need no further pair; what remains are pairs of different components in one bucket, and all of these are
-compared, so that no link that a bucket holds is lost.
+no band with a probability of (1 - 0.85**5)**25, under one in a million. A pair in a bucket is ruled out by the sizes of its sets
+or by the collision-corrected estimate (`floor`: under one in a million at the threshold, too), and is otherwise confirmed on full sets.
 
-Verification streams whole texts, grouped by pivot and salted, so a pivot with very many partners is split.
+A bucket is never expanded into pairs:
+
+1. A star: the class of a bucket that has most mates in all its buckets is its pivot, so a group of near copies has few
+   pivots, mostly the same in all buckets. Every class is compared with the best of its pivots by estimate.
+2. Buckets that still hold several components: the classes outside a bucket's largest component are its outliers.
+   Outliers of the same buckets are gathered into blocks of BLOCK classes at most; a class goes once to each block
+   that has an outlier in one of its buckets, and is compared there with all outliers of other components. A block
+   with many visitors is salted. What moves is a row for each class and block, not for each pair, and only links that
+   join components leave a block. Every pair of different components in a bucket has been compared then.
+
+The comparisons within blocks are still as many as outliers times mates, so a group of very many texts that lie mutually
+just below the threshold costs the square of its size in arithmetic (not in rows, or memory).
 
 Cases: null, empty and blank texts have an empty set and link with nothing; with fewer than five words the whole
 sequence is the only shingle; rows with a null doc_id are kept and link with nothing; rows that share a doc_id are one
-document; an empty table gives an empty result; other columns are kept by keep_first and ignored otherwise.
+document: each text is compared and all its links count, though a row without shingles stays alone; repeated rows give
+repeated results; an empty table gives an empty result; other columns are kept by keep_first and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Words, materialize, mix64, settle, window_hash
+from orrery.llm.common import Words, discard, materialize, mix64, settle, window_hash
 from orrery.llm.components import components
 
 SHINGLE = 5
@@ -35,17 +44,27 @@ ROWS = 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 PERCENT = 85
-SURE = 4.0  # standard errors below the threshold at which an estimate rules a pair out
-BEST = 2
-STARS = 3
-PARTNERS = 2_000
+MISS = 1e-6  # of pairs at the threshold: by the bands, and by the estimate
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 19
+VISITORS = 4_000
 
-SIGNATURES = "doc_id long, n_shingles long, hi long, lo long, registers binary"
+SIGNATURES = "doc_id long, text_key long, n_shingles long, hi long, lo long, registers binary"
 
 
 def band_count(percent: int) -> int:
     """Bands with which a pair at the threshold is missed less than once in a million, BANDS at least."""
-    return max(BANDS, math.ceil(math.log(1e-6) / math.log(1 - (percent / 100) ** ROWS)))
+    return max(BANDS, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS)))
+
+
+def floor(percent: int, n: int) -> float:
+    """The share of n registers below which a pair at the threshold falls less than once in a million."""
+    p, below = percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below >= MISS:
+            return k / n
+    return p
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -91,14 +110,19 @@ def signatures(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
         times = multipliers(n_bands * ROWS)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = shingles((text or "").encode("utf-8", "replace"))
                 hi, lo = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64).tolist()
-                out.append((doc, len(found), hi, lo, registers(found, times).tobytes() if len(found) else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["doc_id", "n_shingles", "hi", "lo", "registers"])
+                out.append((doc, key, len(found), hi, lo, registers(found, times).tobytes() if len(found) else None))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary()), strict=True)], names=["doc_id", "text_key", "n_shingles", "hi", "lo", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
+    return keyed(docs).mapInArrow(run, SIGNATURES)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """text_key tells texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
 def bands(classes: DataFrame, n_bands: int = BANDS) -> DataFrame:
@@ -115,16 +139,16 @@ def bands(classes: DataFrame, n_bands: int = BANDS) -> DataFrame:
     return classes.select("node", "n", "registers").mapInArrow(run, "key long, node long, n long")
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and estimates do not rule out, with the estimate."""
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that estimates do not rule out, with the estimate e."""
+    n_registers = band_count(percent) * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = percent / 100
-        low = line - SURE * (line * (1 - line) / (band_count(percent) * ROWS)) ** 0.5
+        low = floor(percent, n_registers)
         for batch in batches:
             a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
             got = [estimate(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16), i, j) for p, q, i, j in zip(x, y, n, m, strict=True)]
-            ok = [k for k, e in enumerate(got) if e >= low]
+            ok = [k for k, e in enumerate(got) if e >= low - 1e-3]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.int64()), pa.array([b[k] for k in ok], pa.int64()), pa.array([got[k] for k in ok], pa.float64())], names=["a", "b", "e"])
 
     left, right = (classes.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
@@ -132,104 +156,182 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, e double")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for pairs (a, b), by their full sets. Texts of a meet the set of b, in parts of PARTNERS pairs."""
+class Block:
+    """Some classes, and the shingles that they hold, each with its holders."""
+
+    def __init__(self) -> None:
+        self.nodes: list[int] = []
+        self.labels: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.registers: list[np.ndarray] = []
+
+    def add(self, node: int, label: int, text: str, registers: bytes) -> None:
+        self.nodes.append(node)
+        self.labels.append(label)
+        self.sets.append(shingles(text.encode("utf-8", "replace")))
+        self.registers.append(np.frombuffer(registers, np.uint16))
+
+    def close(self) -> None:
+        self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        held = np.concatenate(self.sets)
+        order = np.argsort(held, kind="stable")
+        self.held, self.holder = held[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+        self.registers = np.stack(self.registers)
+        self.sets = []
+
+    def plausible(self, n: int, registers: np.ndarray, percent: int, low: float) -> np.ndarray:
+        """Whom sizes and estimates leave for a set of n."""
+        m = self.sizes
+        near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        if near.any():
+            chance = 0.72 * 2.0**-MANTISSA * n * m / (n + m) ** 2
+            near &= ((self.registers == registers).mean(1) - chance) / (1 - chance) >= low
+        return near
+
+    def common(self, found: np.ndarray) -> np.ndarray:
+        """With each class, how many of found it holds."""
+        first, last = np.searchsorted(self.held, found, "left"), np.searchsorted(self.held, found, "right")
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.holder[at], minlength=len(self.nodes))
+
+
+def compared(members: DataFrame, visitors: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different labels, of visitors a with members b of the same block. members: block, node, label; visitors too."""
+    n_registers = band_count(percent) * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, None
+        low = floor(percent, n_registers) - 1e-3
+        here, block, parent = None, Block(), {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
         for batch in batches:
             out = []
-            for b, a, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = shingles((text or "").encode("utf-8", "replace"))
-                if a is None:
-                    pivot, own = b, found
+            for key, salt, member, node, label, n, registers, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != (key, salt):
+                    here, block, parent, is_open = (key, salt), Block(), {}, True
+                if member:
+                    block.add(node, label, text, registers)
+                    continue
+                if is_open:
+                    block.close()
+                    is_open = False
+                other = block.plausible(n, np.frombuffer(registers, np.uint16), percent, low)
+                if other.any():
+                    mine = root(label)
+                    other &= np.fromiter((root(x) != mine for x in block.labels), bool, len(other))
+                if not other.any():
                     continue
-                if pivot != b:
-                    raise ValueError("a pair came without its pivot")
-                at = np.minimum(np.searchsorted(own, found), len(own) - 1)
-                common = int((own[at] == found).sum()) if len(own) else 0
-                union = len(own) + len(found) - common
-                out.append((a, b, union > 0 and 100 * common >= percent * union))
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "linked"])
-
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
-    salted = pairs.join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    of_a = salted.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("b", "a", "text", "salt")
-    of_b = sizes.select(F.col("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
-    rows = of_a.unionByName(of_b.select("b", F.lit(None).cast("long").alias("a"), "text", "salt"))
-    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return rows.select("b", "a", "text").mapInArrow(run, "a long, b long, linked boolean")
+                common = block.common(shingles(text.encode("utf-8", "replace")))
+                for k in np.flatnonzero(other & (100 * common >= percent * (n + block.sizes - common))).tolist():
+                    if (x := root(block.labels[k])) != (y := root(label)):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((node, block.nodes[k]))
+            cols = list(zip(*out, strict=True)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    parts = visitors.groupBy("block").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
+    come = visitors.join(parts, "block").select("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("member"), "node", "label")
+    stay = members.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("member"), "node", "label")
+    rows = come.unionByName(stay).join(texts.select("node", "n", "registers", "text"), "node")
+    rows = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("member").desc())
+    return rows.select("block", "salt", "member", "node", "label", "n", "registers", "text").mapInArrow(run, "a long, b long")
+
+
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after edges, whose ends are first replaced by their labels."""
+    ends = [labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab"]
+    found = components(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    found = found.select(F.col("node").alias("label"), "component")
+    return materialize(labels.join(found, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"), "labels")
+
+
+def mixed(here: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several labels."""
+    crowd = here.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    return here.join(crowd, "key", "left_semi")
+
+
+def star(here: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links of classes with the best pivot of their buckets."""
+    pivots = here.groupBy("key").agg(F.max(F.struct("mates", "node", "label", "n")).alias("p"))
+    near = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+    pairs = here.join(pivots, "key").filter((F.col("label") != F.col("p.label")) & near).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+    best = estimated(pairs, texts, percent).groupBy("a").agg(F.max(F.struct("e", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    # before any link a class is its own label
+    visitors = best.select(F.col("b").alias("block"), F.col("a").alias("node"), F.col("a").alias("label"))
+    members = best.select(F.col("b").alias("block")).distinct().select("block", F.col("block").alias("node"), F.col("block").alias("label"))
+    return compared(members, visitors, texts, percent)
+
+
+def outliers(here: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of outliers (block, node, label), and the visitors (block, node, label) of each."""
+    sizes = here.groupBy("key", "label").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main")).select("key", F.col("main.label").alias("main"))
+    out = here.join(main, "key").filter("label <> main").select("key", "node", "label", "n")
+    crowd = out.groupBy("key").agg(F.count("*").alias("c"))
+    home = out.join(crowd, "key").groupBy("node").agg(F.max(F.struct("c", "key")).alias("x"), F.first("label").alias("label"), F.first("n").alias("n")).select("node", "label", "n", F.col("x.key").alias("home"))
+    blocks = home.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = home.join(blocks, "home").select(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"), "node", "label")
+    members = materialize(members, "outliers")
+    asked = out.select("key", "node").join(members.select("node", "block"), "node").select("key", "block").distinct()
+    return members, here.join(asked, "key").select("block", "node", "label").distinct()
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all rows, and (doc_id, component_id) of the classes' representatives."""
+    """Signatures of all rows, and the component_id of classes (hi, lo) that are linked with another."""
     spark = docs.sparkSession
-    signed = materialize(signatures(docs, band_count(percent)), "signatures")
+    n_bands = band_count(percent)
+    signed = materialize(signatures(docs, n_bands), "signatures")
     full = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    heads = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
-    own = full.join(heads.select(F.col("node").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
-    classes = own.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "registers").dropDuplicates(["node"])
-    every = bands(classes, band_count(percent))
-    crowded = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    mates = materialize(every.join(crowded, "key", "left_semi"), "mates")
+    heads = full.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.count("*").alias("copies"))
+    classes = materialize(heads.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "first.doc_id", "first.text_key", "n", "registers", "copies"), "classes")
+    every = bands(classes, n_bands)
+    crowded = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    mates = materialize(every.join(crowded, "key").select("key", "node", "c"), "mates")
     settle(spark)
-    some = materialize(classes.join(mates.select("node").distinct(), "node", "left_semi"), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    texts = materialize(texts.dropDuplicates(["doc_id"]), "texts")
+    some = classes.join(mates.groupBy("node").agg(F.sum("c").alias("mates")), "node")
+    texts = materialize(keyed(docs).join(some, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "n", "mates", "registers", "text"), "texts")
     settle(spark)
 
-    def labelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
-        """Labels after new edges, whose ends are first replaced by their labels."""
-        ends = [labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab"]
-        found = components(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        found = found.select(F.col("node").alias("label"), "component")
-        return materialize(labels.join(found, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "labels")
-
-    near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    tested, labels = None, some.select("node", F.col("node").alias("label"))
-    for star in range(STARS + 1):
-        here = mates.join(labels, "node")
-        crowd = here.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        mixed = crowd.filter("t * t > s")
-        left = mixed.agg(F.coalesce(F.sum((F.col("t") * F.col("t") - F.col("s")) / 2), F.lit(0)).alias("n")).first()["n"]
-        if not left:
-            break
-        here = here.join(mixed.select("key"), "key", "left_semi")
-        if star < STARS and (star == 0 or left > 4 * some.count()):
-            turn = F.struct(F.xxhash64("node", "key", F.lit(star)).alias("h"), "node", "label", "n")
-            pivots = here.groupBy("key").agg(F.min(turn).alias("p"))
-            pairs = here.join(pivots, "key").filter((F.col("label") != F.col("p.label")) & near(F.col("n"), F.col("p.n"))).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-            final = False
-        else:
-            other = here.select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
-            pairs = here.join(other, "key").filter((F.col("node") > F.col("b")) & (F.col("label") != F.col("other")) & near(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b")
-            final = True
-        pairs = pairs.distinct()
-        if tested is not None:
-            done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        judged = materialize(plausible(pairs, some, percent), f"pairs{star}")
-        if not final:
-            best = judged.groupBy("a").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("e", "b")))), 1, BEST).alias("x"))
-            judged = best.select("a", F.explode("x.b").alias("b"))
-        fresh = materialize(verified(judged.select("a", "b"), texts, percent), f"verified{star}")
-        settle(spark)
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        labels = labelled(labels, fresh.filter("linked").select("a", "b"))
-        if final:
-            break
-    heads = heads.join(labels, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("label"))
+    labels = texts.select("node", F.col("node").alias("label"), "mates", "n")
+    found = materialize(star(mates.join(labels, "node"), texts, percent), "links")
+    settle(spark)
+    labels = relabelled(labels, found)
+    here = materialize(mixed(mates.join(labels, "node")), "mixed")
+    discard(found, mates)
+    settle(spark)
+    members, visitors = outliers(here)
+    found = materialize(compared(members, visitors, texts, percent), "links")
+    discard(here, members, texts)
+    settle(spark)
+
+    # rows that share a doc_id are one document
+    shared = full.groupBy("doc_id").agg(F.min("hi").alias("x"), F.max("hi").alias("y")).filter("x <> y").select("doc_id")
+    several = full.join(shared, "doc_id", "left_semi").select("doc_id", "hi", "lo").distinct().join(classes.select("hi", "lo", "node"), ["hi", "lo"]).select("doc_id", "node")
+    several = materialize(several, "several")
+    same = several.join(several.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+    nodes = labels.select("node", "label").unionByName(several.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    last = relabelled(nodes, found.unionByName(same))
+    own = classes.select("node", "hi", "lo", "doc_id", "copies")
+    least = last.join(own, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    heads = own.join(last.join(least, "label"), "node", "left").filter("copies > 1 OR component_id < doc_id").select("hi", "lo", F.coalesce("component_id", "doc_id").alias("component_id"))
+    heads = materialize(heads, "components")
+    discard(labels, found, several, last, classes)
+    settle(spark)
     return signed, heads
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+    """Per row: doc_id, n_shingles, component_id, kept."""
     signed, heads = links(docs, percent)
-    # rows that share a doc_id are one document: their classes are one component
     joined = signed.select("doc_id", "n_shingles", "hi", "lo").join(heads, ["hi", "lo"], "left")
-    label = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
