@@ -42,20 +42,31 @@ def _number(text: Column, pattern: str, k: int, default: float) -> Column:
     return F.coalesce(_group(text, pattern, k).try_cast("double"), F.lit(default))
 
 
+def _bound(value: Column, then) -> Column:
+    """then(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def first_of(text: Column, names) -> Column:
+    """The first of the names, in their order, that stands in the text as a word: one search for all of them."""
+    order = F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)])
+    at = F.array_min(F.transform(F.regexp_extract_all(text, F.lit(rf"\b({'|'.join(names)})\b"), F.lit(1)), lambda x: F.try_element_at(order, x)))
+    return F.get(F.array(*map(F.lit, names)), at)
+
+
 def named(text: Column) -> Column:
     """The first colour of the table, in its order, that stands in the text."""
-    return F.coalesce(*[F.when(text.rlike(rf"\b{name}\b"), F.lit(name)) for name in fixed.NAMED_COLOURS])
+    return first_of(text, list(fixed.NAMED_COLOURS))
 
 
 def channels(name: Column, tables: tuple[dict, ...], default=None) -> list[Column]:
-    out = []
-    for k in range(3):
-        value = F.lit(None if default is None else default[k]).cast("int")
-        for table in reversed(tables):
-            for key, rgb in table.items():
-                value = F.when(name == key, F.lit(rgb[k])).otherwise(value)
-        out.append(value)
-    return out
+    """Red, green and blue of a name; the first table that has it counts."""
+    merged = {key: rgb for table in reversed(tables) for key, rgb in table.items()}
+    table = F.create_map(*[x for key, rgb in merged.items() for x in (F.lit(key), F.array(*map(F.lit, rgb)))])
+    found = F.try_element_at(table, name)
+    if default is not None:
+        found = F.coalesce(found, F.array(*map(F.lit, default)))
+    return [F.get(found, F.lit(k)) for k in range(3)]
 
 
 def _op(kind: str, schema: str, **values) -> Column:
@@ -72,7 +83,10 @@ def _list(*pairs) -> Column:
 
 def plan(prompt: Column) -> Column:
     """struct<colour, texture, geometry> of a prompt; null prompts have empty plans."""
-    text = F.trim(F.lower(F.coalesce(prompt, F.lit(""))))
+    return _bound(F.trim(F.lower(F.coalesce(prompt, F.lit("")))), _plan)
+
+
+def _plan(text: Column) -> Column:
     rgb = c.hex_channels(text)
     metal = F.coalesce(_group(text, METAL, 1), _group(text, METAL, 2))
     is_metal = text.rlike(r"\bmetallic\b")
@@ -89,7 +103,7 @@ def plan(prompt: Column) -> Column:
         (text.rlike(BRIGHT), _op("brightness", COLOUR, amount=F.least(_number(text, BRIGHT, 2, 1.3), F.lit(3.0)))),
         (text.rlike(DARK), _op("brightness", COLOUR, amount=F.greatest(_number(text, DARK, 2, 0.7), F.lit(0.1)))),
     )
-    texture = F.coalesce(*[F.when(text.rlike(rf"\b{name}\b"), F.lit(name)) for name in fixed.TEXTURE_PALETTES])
+    texture = first_of(text, list(fixed.TEXTURE_PALETTES))
     turn = _number(text, ROTATE, 1, 0.0) * F.when(_group(text, ROTATE, 2).isin("clockwise", "cw"), -1).otherwise(1)
     by_degrees, by_scale = text.rlike(ROTATE), text.rlike(SCALE)
     zero = F.lit(0.0)

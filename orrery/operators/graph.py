@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.state import materialize
+from orrery.operators.state import discard, materialize
 
 
 def covisibility(observations: DataFrame, more_than: int = 2, key: str = "image_id") -> DataFrame:
@@ -15,27 +15,38 @@ def covisibility(observations: DataFrame, more_than: int = 2, key: str = "image_
     return first.select("a", F.explode(F.expr("slice(s, k + 2, size(s))")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return r["n"], r["x"]
+def _stars(edges: DataFrame) -> bool:
+    """Has every node one parent at most, and is no parent a child?"""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    odd = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).filter("child > 1 OR child = 1 AND parent = 1")
+    return odd.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over edges (a, b); loops keep lonely nodes. Alternates large and small stars."""
-    held = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    now, before, seen = held.filter("a <> b"), None, None
-    seen = _mark(now)
-    while seen[0] and seen != before:
+    """(node, component): the least node reachable over edges (a, b); loops keep lonely nodes, null ends are ignored. Alternates
+    large and small stars until the edges are stars: each step is a partial aggregation and an equi-join, which Spark may split
+    for a node with many edges, and is written, its input deleted."""
+    held = materialize(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    loops = held.filter("a = b").select("a", "b")
+    now, spent = held.filter("a <> b"), None
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = materialize(both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # large star: every larger neighbour of u points to the least of u's neighbourhood
+        large = materialize(both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        if spent is not None:
+            discard(spent)
+        if _stars(large):
+            now = large
+            break
+        # small star: u and its smaller neighbours point to the least of these
         small = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         linked = large.join(small, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(linked.unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
-        before, seen = seen, _mark(now)
-    named = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
-    loops = held.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    return named.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
+        now = spent = materialize(linked.unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "small")
+        discard(large)
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).unionByName(loops.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return found.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def indexed(rows: DataFrame) -> DataFrame:
@@ -77,15 +88,20 @@ def star_pairs(rows: DataFrame, centre: int) -> DataFrame:
     return i.filter(F.col("i") != centre).select(F.lit(centre).alias("i"), F.col("i").alias("j"))
 
 
-def retrieval_pairs(similarities: DataFrame, anchors: int, k: int) -> DataFrame:
-    """Anchors by farthest points, complete among each other; every other row with its nearest anchor; each row with its k nearest."""
-    from orrery.operators.windows import farthest_points, top_per_key
-
-    held = materialize(similarities)
-    chosen = materialize(farthest_points(held.select("i", "j", (-F.col("s")).alias("d")), anchors).select("i"))
-    a = chosen.crossJoin(F.broadcast(chosen.toDF("j"))).filter("i < j")
-    to = held.join(F.broadcast(chosen.toDF("j")), "j").join(F.broadcast(chosen), "i", "left_anti").groupBy("i").agg(F.max_by("j", F.struct("s", -F.col("j"))).alias("j"))
-    near = top_per_key(held.filter("i <> j"), "i", [F.desc("s"), "j"], k).select("i", "j")
+def retrieval_pairs(rows: DataFrame, anchors: int, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Anchors by farthest points, complete among each other; every other row (id, v) with its nearest anchor; each query with its k
+    nearest rows, by default all rows."""
+    from orrery.operators.joins import search
+    from orrery.operators.windows import farthest_points
+
+    held = materialize(rows.select("id", "v"))
+    chosen = [r["i"] for r in farthest_points(held, anchors).collect()]
+    a = rows.sparkSession.createDataFrame([(i, j) for i in chosen for j in chosen if i < j], "i long, j long")
+    anchor_rows = [(r["id"], r["v"]) for r in held.filter(F.col("id").isin(chosen)).collect()]
+    dot = lambda v: F.round(F.aggregate(F.zip_with("v", F.array(*map(F.lit, v)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
+    best = F.array_max(F.array(*[F.struct(dot(v).alias("s"), F.lit(-i).cast("long").alias("j")) for i, v in anchor_rows])) if anchor_rows else None
+    to = held.filter(~F.col("id").isin(chosen)).select(F.col("id").alias("i"), (-best["j"]).alias("j")) if anchor_rows else a.limit(0)
+    near = search(held if queries is None else queries, held, k).select("i", "j")
     every = a.unionByName(to).unionByName(near)
     return every.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
 

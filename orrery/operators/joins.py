@@ -56,14 +56,24 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["gx", "gy", "gz"]).select("a", "b", d2.alias("d2")).filter(F.col("d2") <= radius * radius)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, skip_self: bool = False, rounds: int = 24) -> DataFrame:
-    """(a, b, d2, rank): the k nearest of right for each row of left, ties by id. The grid doubles for rows that have too few within reach, until each has k or all rows of right."""
+def fitting_radius(points: DataFrame, radius: float, want: int) -> float:
+    """The largest of radius times a power of two at which a point's own grid cell holds want points at most, as points see it on average."""
+    cells = points.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), *[F.floor(F.col(a) / (radius * 2.0**j)).alias(f"g{a}") for a in "xyz"]) for j in range(-8, 5)])).alias("c"))
+    held = cells.groupBy("c").agg(F.count("*").alias("n")).groupBy("c.j").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).collect()
+    fits = [r["j"] for r in held if r["mean"] <= want]
+    return radius * 2.0 ** max(fits, default=-8)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, skip_self: bool = False, rounds: int = 64) -> DataFrame:
+    """(a, b, d2, rank): the k nearest of right for each row of left, ties by id. The grid starts where cells hold few points, from
+    their density, and doubles for rows that have too few within reach, until each has k or all rows of right."""
     from orrery.operators.state import materialize
 
     total = right.count() - (1 if skip_self else 0)
     need = min(k, max(total, 0))
+    radius = fitting_radius(right, radius, 2 * k)
     done, rest = None, left
-    for turn in range(rounds):
+    for _ in range(rounds):
         pairs = near_pairs(rest, right, radius)
         if skip_self:
             pairs = pairs.filter("a <> b")
@@ -74,9 +84,9 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, skip_self:
         done = got if done is None else done.unionByName(got)
         rest = materialize(rest.join(full, rest["point_id"] == full["a"], "left_anti"))
         if need == 0 or rest.isEmpty():
-            break
+            return done
         radius *= 2
-    return done
+    raise ValueError(f"some rows have fewer than {need} neighbours within {radius}")
 
 
 def mutual(pairs: DataFrame) -> DataFrame:
@@ -126,10 +136,53 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return one.unionByName(two).dropDuplicates(["a", "b"])
 
 
-def points_in_boxes(boxes: DataFrame, points: DataFrame, cell: float) -> DataFrame:
-    """Boxes (a, ax0..ay1) by the points (id, x, y) in them, by an equi-join on grid cells that the box touches."""
+def search(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(i, j, s): for each query the k rows with the largest dot product (rounded, ties to the smaller id), without itself and, if
+    they have tags, without rows of its own. Both have id, v and perhaps tag. Queries go to the tasks in blocks of about block
+    vectors; a task hands on its own best k of each query, so what is shuffled is tasks x queries x k rows."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    tagged = "tag" in rows.columns
+    blocks = -(-queries.count() // block)
+    columns = ["id", "v", *["tag"] * tagged]
+
+    def best_of(asked: dict):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked["id"]]
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                if not len(ids):
+                    continue
+                products = np.round(asked["v"] @ np.stack(batch.column(1).to_numpy(zero_copy_only=False)).T, 6)
+                tags = batch.column(2).to_numpy(zero_copy_only=False) if tagged else None
+                for q, own in enumerate(asked["id"]):
+                    ok = (ids != own) if tags is None else (ids != own) & (tags != asked["tag"][q])
+                    at, s = np.concatenate((held[q][0], ids[ok])), np.concatenate((held[q][1], products[q][ok]))
+                    top = np.lexsort((at, -s))[:k]
+                    held[q] = at[top], s[top]
+            i = np.repeat(asked["id"], [len(x[0]) for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(np.concatenate([x[0] for x in held]), pa.int64()), pa.array(np.concatenate([x[1] for x in held]), pa.float64())], names=["i", "j", "s"])
+
+        return run
+
+    found = rows.sparkSession.createDataFrame([], "i long, j long, s double")
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select(*columns).toArrow()
+        if len(part):
+            asked = {"id": part["id"].to_numpy(), "v": np.stack(part["v"].to_numpy()), "tag": part["tag"].to_numpy() if tagged else None}
+            found = found.unionByName(rows.select(*columns).mapInArrow(best_of(asked), "i long, j long, s double"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "j")))
+    return ranked.filter(F.col("rank") <= k).drop("rank")
+
+
+def points_in_boxes(boxes: DataFrame, points: DataFrame, cell: float, keys: list[str] | None = None) -> DataFrame:
+    """Boxes (a, ax0..ay1) by the points (id, x, y) in them, by an equi-join on keys that both have and on grid cells that the box touches."""
+    keys = keys or []
     low, high = (lambda k: F.floor(F.col(k) / cell)), (lambda k: F.floor(F.col(k) / cell))
     cells = boxes.withColumn("gx", F.explode(F.sequence(low("ax0"), high("ax1")))).withColumn("gy", F.explode(F.sequence(low("ay0"), high("ay1"))))
     at = points.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
     inside = (F.col("x") >= F.col("ax0")) & (F.col("x") < F.col("ax1")) & (F.col("y") >= F.col("ay0")) & (F.col("y") < F.col("ay1"))
-    return cells.join(at, ["gx", "gy"]).filter(inside).drop("gx", "gy")
+    return cells.join(at, [*keys, "gx", "gy"]).filter(inside).drop("gx", "gy")

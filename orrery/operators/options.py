@@ -49,9 +49,9 @@ class Options:
 
     @classmethod
     def from_environment(cls, environment: Mapping[str, str] | None = None) -> Options:
-        """VOK_SEG_, VOK_MAP_ and VOK_TRAIN_ with a field's name set that field; what cannot be read keeps its default."""
+        """ORRERY_SEG_, ORRERY_MAP_ and ORRERY_TRAIN_ with a field's name set that field; what cannot be read keeps its default."""
         env, out = os.environ if environment is None else environment, cls()
-        for prefix, part in (("VOK_SEG_", out.segmentation), ("VOK_MAP_", out.mapper), ("VOK_TRAIN_", out.training)):
+        for prefix, part in (("ORRERY_SEG_", out.segmentation), ("ORRERY_MAP_", out.mapper), ("ORRERY_TRAIN_", out.training)):
             for f in fields(part):
                 text, old = env.get(prefix + f.name.upper()), getattr(part, f.name)
                 if text is not None:

@@ -122,26 +122,28 @@ def quota_selection(observations: DataFrame, quota: int, least: int, most: int)
     return observations.join(chosen, "track_id", "left_semi")
 
 
-def farthest_points(distances: DataFrame, n: int) -> DataFrame:
-    """(i, place): from the least id on, the row farthest from those taken before. distances (i, j, d) is read once for each."""
-    held = materialize(distances)
-    first = held.agg(F.min("i")).first()[0]
-    taken = [first]
-    while first is not None and len(taken) < n:
-        near = held.filter(F.col("j").isin(taken) & ~F.col("i").isin(taken)).groupBy("i").agg(F.min("d").alias("d"))
-        row = near.orderBy(F.desc("d"), "i").first()
-        if row is None:
+def farthest_points(rows: DataFrame, n: int) -> DataFrame:
+    """(i, place): from the least id on, the row (id, v) with the least similarity to the most similar of those taken before. Each
+    pick is one pass over the rows, which meet the vectors taken so far (n at most) as literals."""
+    held = materialize(rows.select("id", "v"))
+    pick = held.orderBy("id").first()
+    taken = []
+    while pick is not None:
+        taken.append((pick["id"], [float(x) for x in pick["v"]]))
+        if len(taken) == n:
             break
-        taken.append(row["i"])
-    return distances.sparkSession.createDataFrame([(i, k) for k, i in enumerate(taken) if i is not None], "i long, place int")
+        dots = [F.aggregate(F.zip_with("v", F.array(*map(F.lit, v)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for _, v in taken]
+        near = F.round(dots[0] if len(dots) == 1 else F.greatest(*dots), 6)
+        pick = held.filter(~F.col("id").isin([i for i, _ in taken])).withColumn("s", near).orderBy("s", "id").first()
+    return rows.sparkSession.createDataFrame([(i, k) for k, (i, _) in enumerate(taken)], "i long, place int")
 
 
-def greedy_cover(weights: DataFrame, share: float, rounds: int = 100) -> DataFrame:
-    """(crop, gain): crops by the weight that they add, until the share of what all together cover is reached."""
+def greedy_cover(weights: DataFrame, share: float) -> DataFrame:
+    """(crop, gain): crops by the weight that they add, until the share of what all together cover is reached; one round for each."""
     left = materialize(weights)
     total = left.groupBy("pixel").agg(F.max("w").alias("w")).agg(F.sum("w")).first()[0] or 0.0
     out, got = [], 0.0
-    while got < share * total and len(out) < rounds:
+    while got < share * total:
         best = left.groupBy("crop").agg(F.sum("w").alias("gain")).orderBy(F.desc("gain"), "crop").first()
         if best is None or best["gain"] <= 1e-12:
             break

@@ -48,7 +48,8 @@ def gra04(spark, d):
 
 @query("GRA05_retrieval_pairs")
 def gra05(spark, d):
-    return g.retrieval_pairs(similarities(spark, d), 8, 4)
+    rows = t.descriptors(spark, d).select(F.col("vec_id").alias("id"), "v")
+    return g.retrieval_pairs(rows, 8, 4, rows.filter("id % 100 = 0"))
 
 
 @query("GRA06_adjacency", f"WITH {t.EDGES}, e AS (SELECT a, b FROM edges WHERE n > 1 UNION ALL SELECT b, a FROM edges WHERE n > 1) SELECT a AS node, count(*) AS degree, CAST(sum(b) AS BIGINT) AS total FROM e GROUP BY 1")
@@ -283,7 +284,8 @@ def nn02(spark, d):
 
 @query("NN04_retrieval", f"WITH {t.DESCRIPTORS}, {SIM} SELECT i, arg_max(j, (s, -j)) AS best FROM sim WHERE i <> j GROUP BY 1")
 def nn04(spark, d):
-    return similarities(spark, d).filter("i <> j").groupBy("i").agg(F.max_by("j", F.struct("s", -F.col("j"))).alias("best"))
+    rows = t.descriptors(spark, d).select(F.col("vec_id").alias("id"), "v")
+    return joins.search(rows.filter("id % 100 = 0"), rows, 1).select("i", F.col("j").alias("best"))
 
 
 @query("NN05_info_nce", f"WITH {t.DESCRIPTORS}, {SIM}, k AS (SELECT i, ln(sum(exp(s / 20))) AS total, max(CASE WHEN i = j THEN s / 20 END) AS own FROM sim GROUP BY 1) SELECT {rd('avg(total - own)', 5)} AS loss FROM k")

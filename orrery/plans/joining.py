@@ -129,13 +129,13 @@ def join13(spark, d):
     return covisibility(t.observations(spark, d), 2)
 
 
-BOXES = "boxes AS (SELECT o_custkey % 40 AS image, o_orderkey AS id, o_orderkey % 31 / 10.0::DOUBLE AS x0, o_orderkey % 37 / 12.0::DOUBLE AS y0, o_orderkey % 31 / 10.0::DOUBLE + 1 + o_orderkey % 3 AS x1, o_orderkey % 37 / 12.0::DOUBLE + 1 + o_orderkey % 5 AS y1 FROM orders WHERE o_orderkey % 13 = 0)"
+BOXES = "boxes AS (SELECT o_custkey AS image, o_orderkey AS id, o_orderkey % 31 / 10.0::DOUBLE AS x0, o_orderkey % 37 / 12.0::DOUBLE AS y0, o_orderkey % 31 / 10.0::DOUBLE + 1 + o_orderkey % 3 AS x1, o_orderkey % 37 / 12.0::DOUBLE + 1 + o_orderkey % 5 AS y1 FROM orders)"
 
 
 def boxes(spark, d, side):
     k = F.col("o_orderkey")
     x, y = (k % 31) / 10.0, (k % 37) / 12.0
-    return t.table(spark, d, "orders").filter("o_orderkey % 13 = 0").select((F.col("o_custkey") % 40).alias("image"), k.alias(side), x.alias(f"{side}x0"), y.alias(f"{side}y0"), (x + 1 + k % 3).alias(f"{side}x1"), (y + 1 + k % 5).alias(f"{side}y1"))
+    return t.table(spark, d, "orders").select(F.col("o_custkey").alias("image"), k.alias(side), x.alias(f"{side}x0"), y.alias(f"{side}y0"), (x + 1 + k % 3).alias(f"{side}x1"), (y + 1 + k % 5).alias(f"{side}y1"))
 
 
 IOU = """ov AS (SELECT p.image, p.id AS a, q.id AS b, greatest(least(p.x1, q.x1) - greatest(p.x0, q.x0), 0) * greatest(least(p.y1, q.y1) - greatest(p.y0, q.y0), 0) AS i, (p.x1 - p.x0) * (p.y1 - p.y0) AS s, (q.x1 - q.x0) * (q.y1 - q.y0) AS t,
@@ -148,26 +148,28 @@ def join14(spark, d):
     return joins.box_pairs(boxes(spark, d, "a"), boxes(spark, d, "b"), "image").filter("a < b").select("image", "a", "b", rounded(F.col("iou")).alias("iou"), rounded(F.col("giou")).alias("giou"))
 
 
-@query("JOIN15_points_in_boxes", f"WITH {BOXES}, pts AS (SELECT p_partkey AS id, p_partkey % 29 / 9.0::DOUBLE AS x, p_partkey % 23 / 7.0::DOUBLE AS y FROM part) SELECT b.id AS box, count(*) AS n FROM boxes b JOIN pts p ON p.x >= b.x0 AND p.x < b.x1 AND p.y >= b.y0 AND p.y < b.y1 GROUP BY 1")
+@query("JOIN15_points_in_boxes", f"WITH {BOXES}, pts AS (SELECT p_partkey AS id, p_partkey % 997 AS sheet, p_partkey % 29 / 9.0::DOUBLE AS x, p_partkey % 23 / 7.0::DOUBLE AS y FROM part) SELECT b.id AS box, count(*) AS n FROM boxes b JOIN pts p ON b.image % 997 = p.sheet AND p.x >= b.x0 AND p.x < b.x1 AND p.y >= b.y0 AND p.y < b.y1 GROUP BY 1")
 def join15(spark, d):
+    """Points and boxes lie on 997 sheets."""
     k = F.col("p_partkey")
-    pts = t.table(spark, d, "part").select(k.alias("id"), ((k % 29) / 9.0).alias("x"), ((k % 23) / 7.0).alias("y"))
-    return joins.points_in_boxes(boxes(spark, d, "a"), pts, 1.0).groupBy(F.col("a").alias("box")).agg(F.count("*").alias("n"))
+    pts = t.table(spark, d, "part").select(k.alias("id"), (k % 997).alias("sheet"), ((k % 29) / 9.0).alias("x"), ((k % 23) / 7.0).alias("y"))
+    on_sheets = boxes(spark, d, "a").withColumn("sheet", F.col("image") % 997)
+    return joins.points_in_boxes(on_sheets, pts, 1.0, ["sheet"]).groupBy(F.col("a").alias("box")).agg(F.count("*").alias("n"))
 
 
-RECTS = f"{t.VIEWS}, rects AS (SELECT point_id AS id, image_id, depth, greatest(0, CAST(floor((u - 12) / 16) AS BIGINT)) AS x0, least(40, CAST(floor((u + 12) / 16) AS BIGINT) + 1) AS x1, greatest(0, CAST(floor((v - 12) / 16) AS BIGINT)) AS y0, least(40, CAST(floor((v + 12) / 16) AS BIGINT) + 1) AS y1 FROM views WHERE image_id = 7)"
+RECTS = f"{t.VIEWS}, rects AS (SELECT point_id * 100 + image_id AS id, image_id, depth, greatest(0, CAST(floor((u - 12) / 16) AS BIGINT)) AS x0, least(40, CAST(floor((u + 12) / 16) AS BIGINT) + 1) AS x1, greatest(0, CAST(floor((v - 12) / 16) AS BIGINT)) AS y0, least(40, CAST(floor((v + 12) / 16) AS BIGINT) + 1) AS y1 FROM views)"
 
 
 def rects(spark, d):
     at = lambda k, s: F.floor((F.col(k) + s) / 16)
     zero, forty = F.lit(0).cast("long"), F.lit(40).cast("long")
-    return t.views(spark, d).filter("image_id = 7").select(F.col("point_id").alias("id"), "image_id", "depth", F.greatest(zero, at("u", -12)).alias("x0"), F.least(forty, at("u", 12) + 1).alias("x1"), F.greatest(zero, at("v", -12)).alias("y0"), F.least(forty, at("v", 12) + 1).alias("y1"))
+    return t.views(spark, d).select((F.col("point_id") * 100 + F.col("image_id")).alias("id"), "image_id", "depth", F.greatest(zero, at("u", -12)).alias("x0"), F.least(forty, at("u", 12) + 1).alias("x1"), F.greatest(zero, at("v", -12)).alias("y0"), F.least(forty, at("v", 12) + 1).alias("y1"))
 
 
-@query("JOIN16_tile_overlap", f"WITH {RECTS} SELECT tile_x, tile_y, count(*) AS n FROM (SELECT id, unnest(range(x0, x1)) AS tile_x, y0, y1 FROM rects) a, LATERAL (SELECT unnest(range(a.y0, a.y1)) AS tile_y) GROUP BY 1, 2")
+@query("JOIN16_tile_overlap", f"WITH {RECTS} SELECT image_id, tile_x, tile_y, count(*) AS n FROM (SELECT id, image_id, unnest(range(x0, x1)) AS tile_x, y0, y1 FROM rects) a, LATERAL (SELECT unnest(range(a.y0, a.y1)) AS tile_y) GROUP BY 1, 2, 3")
 def join16(spark, d):
     r = joins.tiles_of(rects(spark, d), *[F.col(k) for k in ("x0", "y0", "x1", "y1")])
-    return r.groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"))
+    return r.groupBy("image_id", "tile_x", "tile_y").agg(F.count("*").alias("n"))
 
 
 @query("JOIN17_semi", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")

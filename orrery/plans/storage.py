@@ -267,7 +267,7 @@ def crd01(spark, d):
 
 @query("CFG01_02_03_options", "SELECT 0.65::DOUBLE AS threshold, 30::BIGINT AS min_inliers, 30000::BIGINT AS iterations")
 def cfg(spark, d):
-    o = options.Options.from_environment({"VOK_SEG_THRESHOLD": "0.65"})
+    o = options.Options.from_environment({"ORRERY_SEG_THRESHOLD": "0.65"})
     return spark.createDataFrame([(o.segmentation.threshold, o.mapper.min_inliers, o.training.iterations)], "threshold double, min_inliers long, iterations long")
 
 
@@ -358,12 +358,12 @@ def udx02(spark, d):
     return spark.createDataFrame([(k,) for k in scenes.KINDS], "kind string")
 
 
-@query("NN03_mask_gate", "WITH k AS (SELECT o_custkey AS image, o_orderkey AS mask, (o_orderkey % 100) / 100.0::DOUBLE AS dist, (o_orderkey % 67) / 67.0::DOUBLE AS area FROM orders WHERE o_orderkey % 2 = 0) SELECT image, arg_max(mask, (0.6 * (1 - dist) + 0.4 * area, -mask)) AS mask FROM k WHERE area > 0.02 AND area < 0.60 GROUP BY 1")
+@query("NN03_mask_gate", "WITH k AS (SELECT o_custkey AS image, o_orderkey AS mask, (o_orderkey % 100) / 100.0::DOUBLE AS dist, (o_orderkey % 67) / 67.0::DOUBLE AS area FROM orders) SELECT image, arg_max(mask, (0.6 * (1 - dist) + 0.4 * area, -mask)) AS mask FROM k WHERE area > 0.02 AND area < 0.60 GROUP BY 1")
 def nn03(spark, d):
     from orrery.operators.windows import best_mask
 
     k = F.col("o_orderkey")
-    return best_mask(t.table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("image"), k.alias("mask"), ((k % 100) / 100.0).alias("dist"), ((k % 67) / 67.0).alias("area")))
+    return best_mask(t.table(spark, d, "orders").select(F.col("o_custkey").alias("image"), k.alias("mask"), ((k % 100) / 100.0).alias("dist"), ((k % 67) / 67.0).alias("area")))
 
 
 @query("NN06_planner_fallback", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'json' ELSE 'rules' END AS planner FROM events")

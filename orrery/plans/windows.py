@@ -18,18 +18,24 @@ def win01(spark, d):
     return w.top_per_key(rows, "view", [F.desc("l_quantity"), "l_orderkey", "l_partkey", "l_discount", "l_extendedprice"], 20).select("view", "l_orderkey", "l_partkey")
 
 
-SIM = "sim AS (SELECT p.vec_id AS i, q.vec_id AS j, round(list_sum(list_transform(list_zip(p.v, q.v), lambda x: x[1] * x[2])), 6) AS s FROM descriptors p, descriptors q WHERE p.vec_id < 120 AND q.vec_id < 120)"
+# searches take the rows whose id is divisible by 100 as queries, against all rows
+SIM = "sim AS (SELECT p.vec_id AS i, q.vec_id AS j, round(list_sum(list_transform(list_zip(p.v, q.v), lambda x: x[1] * x[2])), 6) AS s FROM descriptors p, descriptors q WHERE p.vec_id % 100 = 0)"
+
+
+def asked(spark, d):
+    return t.descriptors(spark, d).filter("vec_id % 100 = 0")
 
 
 def similarities(spark, d):
-    v = t.descriptors(spark, d).filter("vec_id < 120")
+    """Of the queries with all rows; sums of these are made before they move."""
     dot = F.aggregate(F.zip_with("p", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return v.select(F.col("vec_id").alias("i"), F.col("v").alias("p")).crossJoin(joins.small(v.select(F.col("vec_id").alias("j"), F.col("v").alias("q")))).select("i", "j", F.round(dot, 6).alias("s"))
+    queries = asked(spark, d).select(F.col("vec_id").alias("i"), F.col("v").alias("p"))
+    return t.descriptors(spark, d).select(F.col("vec_id").alias("j"), F.col("v").alias("q")).crossJoin(joins.small(queries)).select("i", "j", F.round(dot, 6).alias("s"))
 
 
 @query("WIN02_nearest_per_row", f"WITH {t.DESCRIPTORS}, {SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS rn FROM sim WHERE i <> j) SELECT i, j FROM k WHERE rn <= 5")
 def win02(spark, d):
-    return w.top_per_key(similarities(spark, d).filter("i <> j"), "i", [F.desc("s"), "j"], 5).select("i", "j")
+    return joins.search(asked(spark, d).select(F.col("vec_id").alias("id"), "v"), t.descriptors(spark, d).select(F.col("vec_id").alias("id"), "v"), 5).select("i", "j")
 
 
 @query("WIN03_hold_out_of_sorted_names", "WITH k AS (SELECT s_name, row_number() OVER (ORDER BY s_name) - 1 AS i FROM supplier) SELECT s_name, i % 8 = 0 AS is_test FROM k")
@@ -49,11 +55,11 @@ def win05(spark, d):
     return w.prefix_sum(r, "id", "n").select("id", "start")
 
 
-TILES = f"{RECTS}, tiles AS (SELECT id, depth, tile_y * 40 + tile_x AS tile FROM (SELECT id, depth, unnest(range(x0, x1)) AS tile_x, y0, y1 FROM rects) a, LATERAL (SELECT unnest(range(a.y0, a.y1)) AS tile_y))"
+TILES = f"{RECTS}, tiles AS (SELECT id, depth, image_id * 1600 + tile_y * 40 + tile_x AS tile FROM (SELECT id, image_id, depth, unnest(range(x0, x1)) AS tile_x, y0, y1 FROM rects) a, LATERAL (SELECT unnest(range(a.y0, a.y1)) AS tile_y))"
 
 
 def tiles(spark, d):
-    return joins.tiles_of(rects(spark, d), *[F.col(k) for k in ("x0", "y0", "x1", "y1")]).select("id", "depth", (F.col("tile_y") * 40 + F.col("tile_x")).alias("tile"))
+    return joins.tiles_of(rects(spark, d), *[F.col(k) for k in ("x0", "y0", "x1", "y1")]).select("id", "depth", (F.col("image_id") * 1600 + F.col("tile_y") * 40 + F.col("tile_x")).alias("tile"))
 
 
 @query("WIN06_tile_ranges", f"WITH {TILES}, n AS (SELECT tile, count(*) AS n FROM tiles GROUP BY 1) SELECT tile, CAST(sum(n) OVER (ORDER BY tile) - n AS BIGINT) AS first, CAST(sum(n) OVER (ORDER BY tile) AS BIGINT) AS stop FROM n")
@@ -65,11 +71,11 @@ def win06(spark, d):
     "WIN07_compositing",
     f"""WITH {TILES}, a AS (SELECT tile, id, depth, least(0.99, 0.1 + (id % 8) / 10.0) AS alpha, (id % 5) / 4.0 AS c FROM tiles),
  k AS (SELECT *, coalesce(exp(sum(ln(1 - alpha)) OVER (PARTITION BY tile ORDER BY depth, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS before FROM a WHERE alpha >= 1 / 255.0),
- g AS (SELECT *, before * (1 - alpha) AS after FROM k) SELECT tile, {rd('sum(c * alpha * before)', 11)} AS colour, {rd('min(after)', 11)} AS rest, count(*) AS n FROM g WHERE after >= 1e-4 GROUP BY 1""",
+ g AS (SELECT *, before * (1 - alpha) AS after FROM k) SELECT tile, {rd('sum(c * alpha * before)', 9)} AS colour, {rd('min(after)', 9)} AS rest, count(*) AS n FROM g WHERE after >= 1e-4 GROUP BY 1""",
 )
 def win07(spark, d):
     rows = tiles(spark, d).withColumn("alpha", F.least(F.lit(0.99), 0.1 + (F.col("id") % 8) / 10.0)).withColumn("c", (F.col("id") % 5) / 4.0)
-    return w.composite(rows).select("tile", rounded(F.col("colour"), 11).alias("colour"), rounded(F.col("rest"), 11).alias("rest"), "n")
+    return w.composite(rows).select("tile", rounded(F.col("colour"), 9).alias("colour"), rounded(F.col("rest"), 9).alias("rest"), "n")
 
 
 @query("WIN08_moving_average", f"WITH RECURSIVE k AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), e(user_id, i, ema) AS (SELECT user_id, i, 0.4 * value FROM k WHERE i = 1 UNION ALL SELECT k.user_id, k.i, 0.4 * k.value + 0.6 * e.ema FROM e JOIN k ON k.user_id = e.user_id AND k.i = e.i + 1) SELECT user_id, {rd('arg_max(ema, i)', 5)} AS ema FROM e GROUP BY 1")
@@ -168,7 +174,7 @@ def srt07(spark, d):
 
 @query("SRT08_farthest_points")
 def srt08(spark, d):
-    return w.farthest_points(similarities(spark, d).select("i", "j", (-F.col("s")).alias("d")), 10)
+    return w.farthest_points(t.descriptors(spark, d).select(F.col("vec_id").alias("id"), "v"), 10)
 
 
 @query("SRT09_greedy_cover")
@@ -190,9 +196,8 @@ def srt11(spark, d):
 @query("SRT12_hard_negatives", f"WITH {t.DESCRIPTORS}, {SIM}, k AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS rn FROM sim JOIN descriptors p ON i = p.vec_id JOIN descriptors q ON j = q.vec_id WHERE p.label <> q.label) SELECT i, j FROM k WHERE rn <= 2")
 def srt12(spark, d):
     """The most similar rows with another label."""
-    label = t.descriptors(spark, d).select("vec_id", "label")
-    s = similarities(spark, d).join(label.toDF("i", "li"), "i").join(label.toDF("j", "lj"), "j").filter("li <> lj")
-    return w.top_per_key(s, "i", [F.desc("s"), "j"], 2).select("i", "j")
+    rows = t.descriptors(spark, d).select(F.col("vec_id").alias("id"), "v", F.col("label").alias("tag"))
+    return joins.search(rows.filter("id % 100 = 0"), rows, 2).select("i", "j")
 
 
 @query("SRT13_even_frames", "WITH k AS (SELECT l_suppkey AS seq, l_orderkey AS frame, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)), g AS (SELECT DISTINCT seq, CAST(round_even(j * ((n - 1) / 9.0), 0) AS BIGINT) AS i FROM k, (SELECT unnest(range(10)) AS j)) SELECT seq, frame FROM k JOIN g USING (seq, i)")

@@ -167,7 +167,7 @@ def test_project_detection_order():
 
 
 def test_options():
-    o = options.Options.from_environment({"VOK_SEG_THRESHOLD": "0.65", "VOK_TRAIN_ITERATIONS": "many", "VOK_MAP_SKIP_PRUNING": "no"})
+    o = options.Options.from_environment({"ORRERY_SEG_THRESHOLD": "0.65", "ORRERY_TRAIN_ITERATIONS": "many", "ORRERY_MAP_SKIP_PRUNING": "no"})
     assert (o.segmentation.threshold, o.training.iterations, o.mapper.skip_pruning) == (0.65, 30_000, False)
 
 
