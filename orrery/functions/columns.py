@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -217,16 +219,30 @@ def metallic(rgb, base, sheen) -> list[Column]:
     return out
 
 
-def texture_colour(key: Column, name: str) -> list[Column]:
-    """A palette colour drawn by a hash of the key, with the palette's weights."""
-    draw = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1e6
-    total, picks = 0.0, [None, None, None]
+def draw(key: Column, what: str = "") -> Column:
+    """A number from 0 up to 1 that a key always gets: 32 bits of its MD5, so that other engines draw the same."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(what), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def texture_colour(key: Column, name: str, base: tuple[int, int, int] = (128, 128, 128), noise: float = 0.0) -> list[Column]:
+    """A palette colour drawn for the key, with the palette's weights; an entry without a colour is the base's. noise: the standard
+    deviation, as a share of 255, of what is added to each channel before it is cut to a byte."""
     palette = fixed.TEXTURE_PALETTES[name]
-    for weight, colour in palette:
-        total += weight
-        for k in range(3):
-            picks[k] = F.when(draw < total, F.lit(colour[k])) if picks[k] is None else picks[k].when(draw < total, F.lit(colour[k]))
-    return [p.otherwise(F.lit(palette[-1][1][k])) for k, p in enumerate(picks)]
+    whole, total, edges = sum(w for w, _ in palette), 0.0, []
+    for weight, _ in palette:
+        total += weight / whole
+        edges.append(total)
+    place = F.size(F.filter(F.array(*map(F.lit, edges[:-1])), lambda e: e <= draw(key, name)))
+    chosen = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in (colour or base)]) for _, colour in palette]), place)
+    out = []
+    for k, channel in enumerate("rgb"):
+        value = F.get(chosen, F.lit(k))
+        if noise:
+            # two even draws make a normal one
+            even, turn = F.greatest(draw(key, f"{channel}1"), F.lit(1e-12)), draw(key, f"{channel}2")
+            value = value + noise * 255 * F.sqrt(-2 * F.ln(even)) * F.cos(2 * math.pi * turn)
+        out.append(F.floor(clamp(value, 0.0, 255.0)).cast("int"))
+    return out
 
 
 # --- splats ------------------------------------------------------------------------------------------------------

@@ -147,7 +147,7 @@ def apply(points: DataFrame, p) -> DataFrame:
         points = points.withColumns(dict(zip("rgb", rgb, strict=True)))
         rgb = [F.col(k) for k in "rgb"]
     for name in p["texture"]:
-        points = points.withColumns(dict(zip("rgb", c.texture_colour(F.col("point_id"), name), strict=True)))
+        points = points.withColumns(dict(zip("rgb", c.texture_colour(F.col("point_id"), name, noise=0.12), strict=True)))
     if not p["geometry"]:
         return points
     centre = points.agg(*[F.avg(k).alias(f"m{k}") for k in "xyz"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import columns as c
 from orrery.operators.state import discard, materialize
 
 
@@ -122,7 +123,9 @@ def rank_components(edges: DataFrame, least: int) -> DataFrame:
     """(node, cluster_id): components by falling size from 0, -1 for those below the least size."""
     found = materialize(components(edges))
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    ranked = sizes.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1)
+    from orrery.operators.sets import global_rank
+
+    ranked = global_rank(sizes.withColumn("fewer", -F.col("n")), "fewer", "component").withColumnRenamed("place", "cluster_id")
     return found.join(ranked.select("component", "cluster_id"), "component", "left").select("node", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 
@@ -194,6 +197,50 @@ def breadth_first(edges: DataFrame, root: int, banned: DataFrame | None = None)
     return seen
 
 
+def chained_poses(tree: DataFrame) -> DataFrame:
+    """(node, rot, shift, scale) from the root's frame, for rows (node, parent, level, rot, shift, scale) with the similarity of each node
+    in its parent's frame: x -> scale * rot x + shift, rot a row-major 3 x 3. Each level is one join with the level before."""
+    held = materialize(tree)
+    eye = F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])
+    front = held.filter("level = 0").select("node", eye.alias("rot"), F.array(*[F.lit(0.0)] * 3).alias("shift"), F.lit(1.0).alias("scale"))
+    out, level = front, 0
+    while True:
+        level += 1
+        step = held.filter(F.col("level") == level).select("node", "parent", F.col("rot").alias("r"), F.col("shift").alias("t"), F.col("scale").alias("s"))
+        at = lambda name, k: F.get(name, F.lit(k))
+        turned = F.array(*[sum((at("rot", 3 * i + m) * at("r", 3 * m + j) for m in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)])
+        moved = F.array(*[at("shift", i) + F.col("scale") * sum((at("rot", 3 * i + m) * at("t", m) for m in range(3)), F.lit(0.0)) for i in range(3)])
+        front = materialize(front.withColumnRenamed("node", "parent").join(step, "parent").select("node", turned.alias("rot"), moved.alias("shift"), (F.col("scale") * F.col("s")).alias("scale")), "poses")
+        if front.isEmpty():
+            return out
+        out = out.unionByName(front)
+
+
+def spectral_embedding(edges: DataFrame, k: int, rounds: int = 60) -> DataFrame:
+    """(node, x0 .. x of k - 1): the eigenvectors of the normalised Laplacian of edges (a, b, w) with the least eigenvalues, by orthogonal
+    iteration on half of identity plus normalised adjacency. A round is one join on the edges and a sum by node; what crosses the
+    driver are the k x k products of the vectors. x0 belongs to the eigenvalue 0 and is set, not iterated."""
+    import numpy as np
+
+    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
+    scaled = both.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b").select("a", "b", (F.col("w") / F.sqrt(F.col("da") * F.col("db"))).alias("w"))
+    scaled = materialize(scaled, "adjacency")
+    names = [f"x{j}" for j in range(k)]
+    now = materialize(degree.select("node", F.sqrt("degree").alias("x0"), *[(c.draw(F.col("node"), f"start {j} ") - 0.5).alias(f"x{j}") for j in range(1, k)]), "vectors")
+    for turn in range(rounds + 1):
+        products = now.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        gram = np.array([[products[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        mix = np.linalg.inv(np.linalg.cholesky(gram)).T  # Gram-Schmidt in order, so x0 stays the first
+        fresh = [sum((float(mix[i, j]) * F.col(names[i]) for i in range(j + 1)), F.lit(0.0)).alias(names[j]) for j in range(k)]
+        now = now.select("node", *fresh)
+        if turn == rounds:
+            return materialize(now, "vectors")
+        pulled = scaled.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(*[F.sum(F.col("w") * F.col(x)).alias(f"y{x}") for x in names])
+        spent = now
+        now = materialize(spent.join(pulled, "node").select("node", *[((F.col(x) + F.col(f"y{x}")) / 2).alias(x) for x in names]), "vectors")
+
+
 def centred_tree(tree: DataFrame) -> DataFrame:
     """The tree as (node, parent, level) from its centre: the middle of its longest path, found by two walks."""
     held = materialize(tree.select("a", "b"))
@@ -214,7 +261,7 @@ def sparsify(edges: DataFrame, expected: int, strength: float) -> DataFrame:
     degree = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("k"))
     mean = degree.agg(F.avg("k").alias("mean"))
     both = edges.join(degree.toDF("a", "ka"), "a").join(degree.toDF("b", "kb"), "b").crossJoin(F.broadcast(mean))
-    draw = F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000)) / 1e6
+    draw = c.draw(F.concat_ws(" ", "a", "b"))
     return both.filter((F.col("ka") <= expected) | (F.col("kb") <= expected) | (draw < strength * F.col("mean") / (F.col("ka") * F.col("kb"))))
 
 

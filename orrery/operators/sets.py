@@ -46,7 +46,7 @@ def resize(rows: DataFrame, n: int, order: str) -> DataFrame:
     total = rows.count()
     if not total:
         return rows
-    ranked = rows.withColumn("place", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = global_rank(rows, order)
     return repeat(ranked, -(-n // total)).filter(F.col("copy") * total + F.col("place") < n).drop("copy", "place")
 
 
@@ -56,14 +56,15 @@ def hold_out(rows: DataFrame, order: str, every: int) -> DataFrame:
     return ranked.withColumn("part", F.when(F.col("place") % every == 0, "test").otherwise("train")).drop("place")
 
 
-def global_rank(rows: DataFrame, order: str) -> DataFrame:
+def global_rank(rows: DataFrame, *order: str) -> DataFrame:
     """place: the 0-based rank of each row in order, ties in any order, without a one-task window."""
     from orrery.operators.state import materialize
 
-    spread = materialize(rows.repartitionByRange(order).withColumn("chunk", F.spark_partition_id()))
-    within = spread.withColumn("own", F.row_number().over(Window.partitionBy("chunk").orderBy(order)))
+    spread = materialize(rows.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()))
+    within = spread.withColumn("own", F.row_number().over(Window.partitionBy("chunk").orderBy(*order)))
+    # one row for each range partition
     sizes = spread.groupBy("chunk").agg(F.count("*").alias("n"))
-    before = sizes.alias("s").join(sizes.alias("o"), F.col("o.chunk") < F.col("s.chunk"), "left").groupBy("s.chunk").agg(F.coalesce(F.sum("o.n"), F.lit(0)).alias("before"))
+    before = sizes.select("chunk", F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return within.join(F.broadcast(before), "chunk").withColumn("place", F.col("before") + F.col("own") - 1).drop("chunk", "own", "before")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import columns as c
 from orrery.operators.joins import small
 from orrery.operators.sets import global_rank
 from orrery.operators.state import materialize
@@ -42,7 +43,8 @@ def prefix_sum(rows: DataFrame, order: str, value: str) -> DataFrame:
     spread = materialize(rows.repartitionByRange(order).withColumn("chunk", F.spark_partition_id()))
     own = F.coalesce(F.sum(value).over(Window.partitionBy("chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = spread.groupBy("chunk").agg(F.sum(value).alias("n"))
-    before = sums.alias("s").join(sums.alias("o"), F.col("o.chunk") < F.col("s.chunk"), "left").groupBy("s.chunk").agg(F.coalesce(F.sum("o.n"), F.lit(0)).alias("before"))
+    # one row for each range partition
+    before = sums.select("chunk", F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return spread.withColumn("start", own).join(F.broadcast(before), "chunk").withColumn("start", (F.col("start") + F.col("before")).cast("long")).drop("chunk", "before")
 
 
@@ -156,11 +158,11 @@ def greedy_cover(weights: DataFrame, share: float) -> DataFrame:
 
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows in the order of a hash: the same ones each time."""
-    return rows.orderBy(F.xxhash64(key), key).limit(n)
+    return rows.orderBy(c.draw(F.col(key)), key).limit(n)
 
 
 def batches(rows: DataFrame, key: str, size: int, features: int, epoch: int, seed: int = 777) -> DataFrame:
     """Rows in the epoch's order, in batches of one feature each."""
-    ranked = global_rank(rows.withColumn("h", F.xxhash64(F.lit(seed + epoch), key)), "h")
+    ranked = global_rank(rows.withColumn("h", c.draw(F.col(key), f"{seed + epoch} ")), "h", key)
     batch = F.floor(F.col("place") / size)
-    return ranked.withColumn("batch", batch).withColumn("feature", F.pmod(F.xxhash64("batch", F.lit(seed + epoch)), F.lit(features))).drop("h", "place")
+    return ranked.withColumn("batch", batch).withColumn("feature", F.floor(c.draw(F.col("batch"), f"{seed + epoch} batch ") * features)).drop("h", "place")

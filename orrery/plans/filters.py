@@ -9,7 +9,7 @@ from orrery.functions import columns as c
 from orrery.operators import filters as f
 from orrery.operators import joins, sets
 from orrery.plans import tables as t
-from orrery.plans.registry import query, rd, rounded
+from orrery.plans.registry import drawn, query, rd, rounded
 
 
 @query(
@@ -184,7 +184,7 @@ def flt18(spark, d):
     return f.upload(files).select("id", "name")
 
 
-@query("FLT19_quality_sample")
+@query("FLT19_quality_sample", f"WITH k AS (SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 100000) ORDER BY {drawn('o_custkey')}, o_custkey LIMIT 20) SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM k) GROUP BY 1")
 def flt19(spark, d):
     """A hash-ordered sample of sequences of good quality."""
     orders = t.table(spark, d, "orders")

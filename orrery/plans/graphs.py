@@ -11,7 +11,7 @@ from orrery.operators import splats as sp
 from orrery.plans import tables as t
 from orrery.plans.filters import GAUSS, gaussians
 from orrery.plans.projections import PAIR, pairs_of_pixels
-from orrery.plans.registry import query, rd, rounded
+from orrery.plans.registry import drawn, query, rd, rounded
 from orrery.plans.windows import SIM, similarities
 
 IDS = "ids AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)"
@@ -92,7 +92,10 @@ def gra10(spark, d):
     return g.establish_tracks(m, pixels, 10.0).groupBy("track_id").agg(F.count("*").alias("n"))
 
 
-@query("GRA11_incremental_tracks")
+REACH = "bth AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(node, root) AS (SELECT DISTINCT a, a FROM bth UNION SELECT b.b, r.root FROM reach r JOIN bth b ON b.a = r.node WHERE b.b > r.root), cc AS (SELECT node, min(root) AS component FROM reach GROUP BY 1)"
+
+
+@query("GRA11_incremental_tracks", f"WITH RECURSIVE links AS (SELECT DISTINCT (p_partkey % 10) * 4294967296 + p_partkey % 97 AS a, (p_partkey % 10 + 1) * 4294967296 + p_partkey % 89 AS b FROM part), {REACH}, long AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS track FROM cc GROUP BY 1 HAVING count(*) >= 3) SELECT track, node >> 32 AS image, node & 4294967295 AS feature FROM cc JOIN long USING (component)")
 def gra11(spark, d):
     rows = t.table(spark, d, "part")
     k = F.col("p_partkey")
@@ -100,7 +103,12 @@ def gra11(spark, d):
     return g.merged_tracks(m, 3)
 
 
-@query("GRA12_maximum_spanning_tree")
+@query(
+    "GRA12_maximum_spanning_tree",
+    f"""WITH RECURSIVE {t.EDGES}, grow(nodes, e, k) AS (SELECT [(SELECT min(a) FROM edges)], NULL::STRUCT(a BIGINT, b BIGINT, w DOUBLE), 0
+ UNION ALL SELECT list_append(nodes, CASE WHEN list_contains(nodes, e.a) THEN e.b ELSE e.a END), e, k + 1 FROM (SELECT nodes, k, arg_max({{'a': a, 'b': b, 'w': w}}::STRUCT(a BIGINT, b BIGINT, w DOUBLE), (w, -a, -b)) AS e FROM grow, edges WHERE list_contains(nodes, a) <> list_contains(nodes, b) GROUP BY nodes, k))
+ SELECT e.a AS a, e.b AS b, e.w AS w FROM grow WHERE k > 0""",
+)
 def gra12(spark, d):
     return g.maximum_spanning_tree(t.edges(spark, d).select("a", "b", "w"))
 
@@ -110,13 +118,32 @@ def gra13(spark, d):
     return g.centred_tree(g.maximum_spanning_tree(t.edges(spark, d).select("a", "b", "w")))
 
 
+@query(
+    "GRA14_pose_chain",
+    f"""WITH RECURSIVE {t.EDGES}, strong AS (SELECT a, b FROM edges WHERE n > 12), bth AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong),
+ walk(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT bth.b, level + 1 FROM walk JOIN bth ON bth.a = node WHERE level < 100), lv AS (SELECT node, min(level) AS level FROM walk GROUP BY 1),
+ tree AS (SELECT c.node, min(p.node) AS parent FROM lv c JOIN (SELECT lv.node, lv.level, bth.b FROM lv JOIN bth ON bth.a = lv.node) p ON p.b = c.node AND p.level = c.level - 1 GROUP BY 1),
+ pose(node, m, tx, ty, sc) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT tree.node, m + (tree.node - parent) / 50.0, tx + sc * (cos(m) * parent / 10.0 - sin(m) * tree.node / 10.0), ty + sc * (sin(m) * parent / 10.0 + cos(m) * tree.node / 10.0), sc * (1 + tree.node % 3 / 10.0) FROM pose JOIN tree ON pose.node = parent)
+ SELECT node, {rd('tx', 6)} AS tx, {rd('ty', 6)} AS ty, {rd('sc', 6)} AS scale FROM pose""",
+)
+def gra14(spark, d):
+    """Similarity transforms of neighbours, composed from the root along a tree: turns about z, shifts and scales."""
+    tree = g.breadth_first(t.edges(spark, d).filter("n > 12").select("a", "b"), 0)
+    turn, k = (F.col("node") - F.col("parent")) / 50.0, F.col("node")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rows = F.array(F.cos(turn), -F.sin(turn), zero, F.sin(turn), F.cos(turn), zero, zero, zero, one)
+    step = tree.select("node", "parent", "level", rows.alias("rot"), F.array(F.col("parent") / 10.0, k / 10.0, zero).alias("shift"), (1 + k % 3 / 10.0).alias("scale"))
+    out = g.chained_poses(step)
+    return out.select("node", *[rounded(F.get("shift", F.lit(i))).alias(x) for i, x in enumerate(("tx", "ty"))], rounded(F.col("scale")).alias("scale"))
+
+
 @query("GRA16_sparsify", f"WITH {t.EDGES}, deg AS (SELECT v, count(*) AS k FROM (SELECT a AS v FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1) SELECT a, b, p.k AS ka, q.k AS kb FROM edges JOIN deg p ON a = p.v JOIN deg q ON b = q.v WHERE p.k <= 95 OR q.k <= 95")
 def gra16(spark, d):
     """With every other edge's chance set to nothing, what stays is decided by degrees alone."""
     return g.sparsify(t.edges(spark, d), 95, 0.0).select("a", "b", "ka", "kb")
 
 
-@query("GRA16_sparsify_sampled")
+@query("GRA16_sparsify_sampled", f"WITH {t.EDGES}, deg AS (SELECT v, count(*) AS k FROM (SELECT a AS v FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1), mean AS (SELECT avg(k) AS m FROM deg) SELECT a, b FROM edges JOIN deg p ON a = p.v JOIN deg q ON b = q.v CROSS JOIN mean WHERE p.k <= 50 OR q.k <= 50 OR {drawn("a || ' ' || b")} < 30.0 * m / (p.k * q.k)")
 def gra16_sampled(spark, d):
     return g.sparsify(t.edges(spark, d), 50, 30.0).select("a", "b")
 
@@ -131,10 +158,15 @@ def gra18(spark, d):
     return g.prune_weak(t.observations(spark, d), 5)
 
 
-@query("GRA19_strong_tree")
+@query(
+    "GRA19_strong_tree",
+    f"""WITH RECURSIVE {t.EDGES}, strong AS (SELECT a, b FROM edges WHERE n > 12 AND NOT (a = 0 AND b IN (1, 2))), bth AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong),
+ walk(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT bth.b, level + 1 FROM walk JOIN bth ON bth.a = node WHERE level < 100), lv AS (SELECT node, min(level) AS level FROM walk GROUP BY 1)
+ SELECT c.node, coalesce(min(p.node), -1) AS parent, CAST(c.level AS INTEGER) AS level FROM lv c LEFT JOIN (SELECT lv.node, lv.level, bth.b FROM lv JOIN bth ON bth.a = lv.node) p ON p.b = c.node AND p.level = c.level - 1 GROUP BY 1, 3""",
+)
 def gra19(spark, d):
     banned = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
-    return g.breadth_first(t.edges(spark, d).filter("n > 12").select("a", "b"), 0, banned)
+    return g.breadth_first(t.edges(spark, d).filter("n > 12").select("a", "b"), 0, banned).withColumn("parent", F.coalesce("parent", F.lit(-1).cast("long")))
 
 
 @query("GRA20_fixed_offsets", "SELECT i, i + w AS j FROM (SELECT unnest(range(100)) AS i), (SELECT unnest([5, 10, 15, 20, 25, 30]) AS w) WHERE i + w < 100")
@@ -145,11 +177,26 @@ def gra20(spark, d):
 # --- clusters and iterations -------------------------------------------------------------------------------------
 
 
-@query("CLU01_dbscan")
+@query(
+    "CLU01_dbscan",
+    f"""WITH RECURSIVE {t.POINTS}, near AS (SELECT p.point_id AS a, q.point_id AS b FROM points p JOIN points q ON pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2) <= 2.25), core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= 3),
+ links AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)), {REACH}, border AS (SELECT a, min(component) AS near FROM near JOIN cc ON b = node GROUP BY 1)
+ SELECT point_id, coalesce(component, near, -1) AS cluster FROM points LEFT JOIN cc ON node = point_id LEFT JOIN border ON border.a = point_id""",
+)
 def clu01(spark, d):
     return spatial.dbscan(t.points(spark, d), 1.5, 3)
 
 
+@query("CLU04_spectral_split", f"WITH {t.EDGES} SELECT node, node >= 1000 AS side FROM (SELECT DISTINCT unnest([a, b, a + 1000, b + 1000]) AS node FROM edges)")
+def clu04(spark, d):
+    """Two copies of the graph, held together by one weak edge: the second eigenvector of the normalised Laplacian tells them apart."""
+    e = t.edges(spark, d).select("a", "b", "w")
+    both = e.unionByName(e.select((F.col("a") + 1000).alias("a"), (F.col("b") + 1000).alias("b"), "w")).unionByName(spark.createDataFrame([(1, 1001, 1e-3)], "a long, b long, w double"))
+    found = g.spectral_embedding(both, 2, 20)
+    high = found.agg(F.max_by("x1", "node").alias("top"))
+    return found.crossJoin(F.broadcast(high)).select("node", (F.col("x1") * F.col("top") > 0).alias("side"))
+
+
 @query("CLU02_kmeans")
 def clu02(spark, d):
     from pyspark.ml.clustering import KMeans
@@ -166,7 +213,13 @@ def clu03(spark, d):
     return g.largest_region(px)
 
 
-@query("ITR01_smooth")
+def _smoothed(before: str, after: str) -> str:
+    moved = ", ".join(f"sum(q.{k} / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)) AS {k}" for k in "xyz")
+    return f"""{after}_d AS (SELECT p.point_id AS a, q.point_id AS b, pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2) AS d2 FROM {before} p JOIN {before} q ON p.point_id <> q.point_id),
+ {after} AS (SELECT a AS point_id, {moved} FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS rank FROM {after}_d) n JOIN {before} q ON n.b = q.point_id WHERE rank <= 7 GROUP BY 1)"""
+
+
+@query("ITR01_smooth", f"WITH {t.POINTS}, {_smoothed('points', 'once')}, {_smoothed('once', 'twice')} SELECT point_id, {rd('x', 5)} AS x, {rd('y', 5)} AS y, {rd('z', 5)} AS z FROM twice")
 def itr01(spark, d):
     return spatial.smooth(t.points(spark, d), 2, 7, 4.0).select("point_id", *[rounded(F.col(k), 5).alias(k) for k in "xyz"])
 

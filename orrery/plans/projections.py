@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import columns as c
+from orrery.functions import fixed
 from orrery.plans import tables as t
-from orrery.plans.registry import query, rd, rounded
+from orrery.plans.registry import drawn, query, rd, rounded
 
 Q = "q AS (SELECT p_partkey AS id, (p_partkey % 7 + 1) / 8.0::DOUBLE AS w, (p_partkey % 5 - 2) / 4.0::DOUBLE AS x, (p_partkey % 11 - 5) / 6.0::DOUBLE AS y, (p_partkey % 3 - 1) / 2.0::DOUBLE AS z FROM part)"
 QN = "n AS (SELECT id, w / l AS w, x / l AS x, y / l AS y, z / l AS z FROM (SELECT *, sqrt(w*w + x*x + y*y + z*z) AS l FROM q))"
@@ -133,12 +134,24 @@ def prj11(spark, d):
     return p.crossJoin(F.broadcast(top)).select("point_id", *[c.byte(F.col(x) * (1 - 0.4 * n) + F.lit(float(s)) * 0.4 * n).alias(f"{x}2") for s, x in ((255, "r"), (210, "g"), (40, "b"))])
 
 
-@query("PRJ12_texture_palette")
+def _textured() -> str:
+    whole, total, case = sum(w for w, _ in fixed.TEXTURE_PALETTES["wood"]), 0.0, "CASE"
+    for weight, _ in fixed.TEXTURE_PALETTES["wood"][:-1]:
+        total += weight / whole
+        case += f" WHEN {drawn('point_id', 'wood')} < {total!r} THEN {fixed.TEXTURE_PALETTES['wood'].index((weight, _))}"
+    place = f"{case} ELSE {len(fixed.TEXTURE_PALETTES['wood']) - 1} END"
+    out = []
+    for k, ch in enumerate("rgb"):
+        colours = "[" + ", ".join(str(float(colour[k])) for _, colour in fixed.TEXTURE_PALETTES["wood"]) + "]"
+        out.append(f"CAST(floor(least(greatest({colours}[place + 1]::DOUBLE + 0.12::DOUBLE * 255 * sqrt(-2 * ln(greatest({drawn('point_id', ch + '1')}, 1e-12))) * cos(2 * pi() * {drawn('point_id', ch + '2')}), 0), 255)) AS INTEGER) AS {ch}")
+    return f"WITH {t.POINTS}, k AS (SELECT point_id, {place} AS place FROM points) SELECT point_id, {', '.join(out)} FROM k"
+
+
+@query("PRJ12_texture_palette", _textured())
 def prj12(spark, d):
-    """Shares of palette colours; drawn by hash, so only the weights can be compared."""
-    r, g, b = c.texture_colour(F.col("point_id"), "wood")
-    drawn = t.points(spark, d).select(r.alias("r"), g.alias("g"), b.alias("b"))
-    return drawn.groupBy("r", "g", "b").agg(F.count("*").alias("n"))
+    """Palette colours drawn with their weights, with normal noise."""
+    r, g, b = c.texture_colour(F.col("point_id"), "wood", noise=0.12)
+    return t.points(spark, d).select("point_id", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
 CENTRE = "centre AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM points)"

@@ -29,3 +29,8 @@ def rounded(x: Column, places: int = 6) -> Column:
 def rd(x: str, places: int = 6) -> str:
     """The same in SQL."""
     return f"(round(CAST({x} AS DOUBLE), {places}) + 0.0)"
+
+
+def drawn(key: str, what: str = "") -> str:
+    """The draw of functions.columns in SQL."""
+    return f"(CAST('0x' || substr(md5('{what}' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"

@@ -9,7 +9,8 @@ from orrery.operators import joins, sets
 from orrery.operators import windows as w
 from orrery.plans import tables as t
 from orrery.plans.joining import RECTS, rects
-from orrery.plans.registry import query, rd, rounded
+from orrery.plans.projections import prj31
+from orrery.plans.registry import ORACLES, drawn, query, rd, rounded
 
 
 @query("WIN01_top_per_view", "WITH k AS (SELECT l_suppkey AS view, l_orderkey, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_partkey, l_discount, l_extendedprice) AS rn FROM lineitem) SELECT view, l_orderkey, l_partkey FROM k WHERE rn <= 20")
@@ -69,12 +70,12 @@ def win06(spark, d):
 
 @query(
     "WIN07_compositing",
-    f"""WITH {TILES}, a AS (SELECT tile, id, depth, least(0.99, 0.1 + (id % 8) / 10.0) AS alpha, (id % 5) / 4.0 AS c FROM tiles),
+    f"""WITH {TILES}, a AS (SELECT tile, id, depth, least(0.99::DOUBLE, 0.1::DOUBLE + (id % 8) / 9.7::DOUBLE) AS alpha, (id % 5) / 3.9::DOUBLE AS c FROM tiles),
  k AS (SELECT *, coalesce(exp(sum(ln(1 - alpha)) OVER (PARTITION BY tile ORDER BY depth, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS before FROM a WHERE alpha >= 1 / 255.0),
  g AS (SELECT *, before * (1 - alpha) AS after FROM k) SELECT tile, {rd('sum(c * alpha * before)', 9)} AS colour, {rd('min(after)', 9)} AS rest, count(*) AS n FROM g WHERE after >= 1e-4 GROUP BY 1""",
 )
 def win07(spark, d):
-    rows = tiles(spark, d).withColumn("alpha", F.least(F.lit(0.99), 0.1 + (F.col("id") % 8) / 10.0)).withColumn("c", (F.col("id") % 5) / 4.0)
+    rows = tiles(spark, d).withColumn("alpha", F.least(F.lit(0.99), 0.1 + (F.col("id") % 8) / 9.7)).withColumn("c", (F.col("id") % 5) / 3.9)
     return w.composite(rows).select("tile", rounded(F.col("colour"), 9).alias("colour"), rounded(F.col("rest"), 9).alias("rest"), "n")
 
 
@@ -153,11 +154,9 @@ def srt04(spark, d):
     return tiles(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("tile").orderBy("depth", "id")).cast("long")).select("tile", "id", "place")
 
 
-@query("SRT05_morton_order")
+@query("SRT05_morton_order", f"WITH m AS ({ORACLES['PRJ31_morton']}) SELECT point_id, code, row_number() OVER (ORDER BY code, point_id) - 1 AS place FROM m")
 def srt05(spark, d):
-    from orrery.plans.projections import prj31
-
-    return sets.global_rank(prj31(spark, d), "code").select("point_id", "code")
+    return sets.global_rank(prj31(spark, d), "code", "point_id").select("point_id", "code", F.col("place").cast("long").alias("place"))
 
 
 @query("SRT06_top_detections", "WITH k AS (SELECT l_suppkey AS image, l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_quantity) AS rn FROM lineitem) SELECT image, l_orderkey, l_partkey FROM k WHERE rn <= 300")
@@ -183,12 +182,12 @@ def srt09(spark, d):
     return w.greedy_cover(rows, 0.9)
 
 
-@query("SRT10_hash_sample")
+@query("SRT10_hash_sample", f"SELECT o_orderkey FROM orders ORDER BY {drawn('o_orderkey')}, o_orderkey LIMIT 500")
 def srt10(spark, d):
     return w.hash_sample(t.table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 500)
 
 
-@query("SRT11_batched_sampler")
+@query("SRT11_batched_sampler", f"WITH k AS (SELECT (row_number() OVER (ORDER BY {drawn('o_orderkey', '780 ')}, o_orderkey) - 1) // 32 AS batch FROM orders) SELECT batch, CAST(floor({drawn('batch', '780 batch ')} * 5) AS BIGINT) AS feature, count(*) AS n FROM k GROUP BY 1, 2")
 def srt11(spark, d):
     return w.batches(t.table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 32, 5, 3).groupBy("batch", "feature").agg(F.count("*").alias("n"))
 
