@@ -345,3 +345,20 @@ def agg48(spark, d):
 def agg49(spark, d):
     rows = t.table(spark, d, "lineitem").select(F.col("l_partkey").alias("pixel"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity")).otherwise(F.lit(float("nan"))).alias("x"), F.col("l_tax").alias("w"))
     return a.triangulation_merge(rows).withColumn("x", rounded(F.col("x")))
+
+
+@query(
+    "MTH01_array_functions",
+    f"""WITH k AS (SELECT l_suppkey, l_quantity AS q, l_extendedprice AS p, CASE WHEN l_linenumber % 5 <> 0 THEN l_discount END AS holes FROM lineitem)
+ SELECT l_suppkey, {rd('quantile_cont(p, 0.9)', 4)} AS p90, {rd('quantile_cont(holes, 0.25)', 6)} AS nan_quarter, count(DISTINCT q) AS n_unique, arg_min(q, (p, q)) AS first_by_price,
+ CAST(sum((floor((least(greatest(q, 5), 45) - 5) / 10) = 0)::INT) AS BIGINT) AS bin0, CAST(sum((least(floor((least(greatest(q, 5), 45) - 5) / 10), 3) = 3)::INT) AS BIGINT) AS bin3, {rd('max(sqrt(q * q + p * p))', 4)} AS longest FROM k GROUP BY 1""",
+)
+def mth01(spark, d):
+    """Per supplier: percentile, percentile without holes, distinct values, the first in sorted order, bins of clipped values, the longest hypotenuse."""
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    at = F.least(F.floor((c.clamp(q, 5, 45) - 5) / 10), F.lit(3))
+    holes = F.when(F.col("l_linenumber") % 5 != 0, F.col("l_discount"))
+    return t.table(spark, d, "lineitem").groupBy("l_suppkey").agg(
+        rounded(F.percentile(p, F.lit(0.9)), 4).alias("p90"), rounded(F.percentile(holes, F.lit(0.25))).alias("nan_quarter"), F.count_distinct(q).alias("n_unique"), F.min_by(q, F.struct(p, q)).alias("first_by_price"),
+        F.count_if(at == 0).alias("bin0"), F.count_if(at == 3).alias("bin3"), rounded(F.max(F.hypot(q, p)), 4).alias("longest"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -69,15 +70,21 @@ def src03(spark, d):
 
 @query("SRC04_binary_model", f"WITH {CAMS} SELECT camera_id, width, fx FROM cams")
 def src04(spark, d):
-    body = cams(spark, d).select("camera_id", F.lit(1).alias("model"), "width", "height", "params").groupBy(F.lit(1).alias("all")).applyInPandas(lambda p: _packed(p), "content binary")
+    body = binary.encode(cams(spark, d).select("camera_id", F.lit(1).alias("model"), "width", "height", "params"), binary.bytes_of_cameras)
     rows = binary.decode(body, binary.cameras_of, "camera_id int, model int, width long, height long, params array<double>")
     return rows.select("camera_id", "width", F.get("params", F.lit(0)).alias("fx"))
 
 
-def _packed(p):
-    import pandas as pd
+@query("SRC04_binary_images", "SELECT CAST(s_suppkey AS INTEGER) AS image_id, CAST(s_nationkey AS INTEGER) AS camera_id, 'im' || s_suppkey || '.jpg' AS name, s_suppkey / 4.0::DOUBLE AS tx, CAST(s_suppkey % 4 + 1 AS BIGINT) AS n FROM supplier")
+def src04_images(spark, d):
+    rows = binary.decode(binary.encode(imgs(spark, d), binary.bytes_of_images), binary.images_of, "image_id int, qvec array<double>, tvec array<double>, camera_id int, name string, obs array<struct<x:double,y:double,point3d_id:bigint>>")
+    return rows.select("image_id", "camera_id", "name", F.get("tvec", F.lit(0)).alias("tx"), F.size("obs").cast("long").alias("n"))
 
-    return pd.DataFrame({"content": [binary.bytes_of_cameras(p.sort_values("camera_id").to_dict("records"))]})
+
+@query("SRC04_binary_points", f"WITH {t.POINTS} SELECT point_id, x, y, {rd('z')} AS z, CAST(r AS INTEGER) AS r, point_id % 8 / 8.0::DOUBLE AS error, 2::BIGINT AS n FROM points")
+def src04_points(spark, d):
+    rows = binary.decode(binary.encode(pts(spark, d), binary.bytes_of_points), binary.points_of, "point_id long, x double, y double, z double, r int, g int, b int, error double, track array<struct<image_id:int,point2d_idx:int>>")
+    return rows.select("point_id", "x", "y", rounded(F.col("z")).alias("z"), "r", "error", F.size("track").cast("long").alias("n"))
 
 
 @query("SRC05_06_detection", "SELECT 'transforms.json' AS first, 'sparse' AS second, 'sfm_data.json' AS third")
@@ -179,15 +186,50 @@ def src21(spark, d):
     return tm.points(spark, path).select("point_id", F.explode("track").alias("o")).groupBy(F.col("o.image_id").alias("image_id")).agg(F.count("*").alias("n"))
 
 
-@query("SRC22_disparity_and_flow")
-def src22(spark, d):
+_SHEETS = "sheets AS (SELECT l_suppkey AS id, y, x, (l_suppkey * 7 + y * 5 + x * 3) % 50 - 1 AS v FROM (SELECT DISTINCT l_suppkey FROM lineitem), (SELECT unnest(range(3)) AS y), (SELECT unnest(range(4)) AS x))"
+
+
+def _sheets(spark, d, kind: str):
+    """A file of each kind for each supplier of lines, of 3 x 4 values from -1 to 48."""
+    from collections.abc import Iterator
+    from io import BytesIO
+
     import numpy as np
+    import pyarrow as pa
 
-    a = np.arange(12, dtype="f4").reshape(3, 4) - 2
-    files = spark.createDataFrame([(bytearray(binary.bytes_of_pfm(a)),)], "content binary")
-    flow = spark.createDataFrame([(bytearray(binary.bytes_of_flo(np.stack([a, a * 2], -1))),)], "content binary")
-    p = binary.decode(files, binary.pfm_of, "x int, y int, value double")
-    return p.join(binary.decode(flow, binary.flo_of, "x int, y int, u double, v double"), ["x", "y"])
+    def body(key: int) -> bytes:
+        y, x = np.mgrid[:3, :4]
+        a = ((key * 7 + y * 5 + x * 3) % 50 - 1).astype("f4")
+        if kind == "npy":
+            np.save(held := BytesIO(), a)
+            return held.getvalue()
+        return {"pfm": lambda: binary.bytes_of_pfm(a), "flo": lambda: binary.bytes_of_flo(np.stack([a, a * 2], -1)), "png": lambda: binary.bytes_of_png(np.maximum(a, 0))}[kind]()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([body(k) for k in batch.column(0).to_pylist()], pa.binary())], names=["content"])
+
+    return t.table(spark, d, "lineitem").select("l_suppkey").distinct().mapInArrow(run, "content binary")
+
+
+@query("SRC22_disparity_and_flow", f"WITH {_SHEETS} SELECT x, y, count(*) AS n, CAST(sum((v <= 0)::INT) AS BIGINT) AS no_disparity, sum(CASE WHEN v > 0 THEN v END)::DOUBLE AS total, sum(3 * v)::DOUBLE AS flow FROM sheets GROUP BY 1, 2")
+def src22(spark, d):
+    """Disparities (what is not above 0 is infinite) and flow of all files, summed by pixel."""
+    far = F.col("value") == float("inf")
+    p = binary.decode(_sheets(spark, d, "pfm"), binary.pfm_of, "x int, y int, value double")
+    p = p.groupBy("x", "y").agg(F.count("*").alias("n"), F.count_if(far).alias("no_disparity"), F.sum(F.when(~far, F.col("value"))).alias("total"))
+    flow = binary.decode(_sheets(spark, d, "flo"), binary.flo_of, "x int, y int, u double, v double").groupBy("x", "y").agg(F.sum(F.col("u") + F.col("v")).alias("flow"))
+    return p.join(flow, ["x", "y"])
+
+
+@query("SRC22_png_and_npy", f"WITH {_SHEETS} SELECT x, y, CAST(sum((v <= 0)::INT) AS BIGINT) AS no_disparity, sum(CASE WHEN v > 0 THEN v END)::DOUBLE / 32 AS scaled, sum(v)::DOUBLE AS plain FROM sheets GROUP BY 1, 2")
+def src22_png(spark, d):
+    """16-bit images with a divisor of 32 and plain arrays."""
+    far = F.col("value") == float("inf")
+    p = binary.decode(_sheets(spark, d, "png"), partial(binary.png_of, divisor=32.0), "x int, y int, value double")
+    p = p.groupBy("x", "y").agg(F.count_if(far).alias("no_disparity"), F.sum(F.when(~far, F.col("value"))).alias("scaled"))
+    plain = binary.decode(_sheets(spark, d, "npy"), binary.npy_of, "x int, y int, value double").groupBy("x", "y").agg(F.sum("value").alias("plain"))
+    return p.join(plain, ["x", "y"])
 
 
 @query("SRC23_newest_iteration", "SELECT max(p_partkey) AS iteration FROM part")

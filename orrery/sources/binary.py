@@ -97,6 +97,17 @@ def decode(files: DataFrame, reader, schema: str) -> DataFrame:
     return files.select("content").mapInArrow(run, schema)
 
 
+def encode(rows: DataFrame, writer) -> DataFrame:
+    """(content): a file for each partition; writer makes one file's bytes of a list of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for batch in batches for row in batch.to_pylist()]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([writer(held)], pa.binary())], names=["content"])
+
+    return rows.mapInArrow(run, "content binary")
+
+
 def cameras_of(data: bytes) -> Iterator[dict]:
     (n,), at = struct.unpack_from("<Q", data), 8
     for _ in range(n):
@@ -145,6 +156,82 @@ def images_of(data: bytes) -> Iterator[dict]:
         yield {"image_id": image, "qvec": list(pose[:4]), "tvec": list(pose[4:]), "camera_id": camera, "name": name, "obs": [{"x": x, "y": y, "point3d_id": p} for x, y, p in zip(flat[::3], flat[1::3], flat[2::3], strict=True)]}
 
 
+def bytes_of_images(rows: list[dict]) -> bytes:
+    out = [struct.pack("<Q", len(rows))]
+    for r in rows:
+        out.append(struct.pack("<i7di", r["image_id"], *r["qvec"], *r["tvec"], r["camera_id"]) + r["name"].encode() + b"\0" + struct.pack("<Q", len(r["obs"])))
+        out += [struct.pack("<ddq", o["x"], o["y"], o["point3d_id"]) for o in r["obs"]]
+    return b"".join(out)
+
+
+def disparity_rows(a: np.ndarray) -> Iterator[dict]:
+    for y in range(a.shape[0]):
+        for x in range(a.shape[1]):
+            yield {"x": x, "y": y, "value": float(a[y, x])}
+
+
+def png_of(data: bytes, divisor: float) -> Iterator[dict]:
+    """Disparities of a grey PNG of 8 or 16 bits: values over the divisor; 0 becomes infinite."""
+    import zlib
+
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, body = 8, []
+    while at < len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        if kind == b"IHDR":
+            w, h, depth, colour, _, _, interlaced = struct.unpack_from(">IIBBBBB", data, at + 8)
+        elif kind == b"IDAT":
+            body.append(data[at + 8 : at + 8 + size])
+        at += 12 + size
+    if colour != 0 or depth not in (8, 16) or interlaced:
+        raise ValueError("only grey images of 8 or 16 bits, not interlaced, hold disparities")
+    step = depth // 8
+    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * step)
+    out, above = np.zeros((h, w * step), np.uint8), np.zeros(w * step, np.int64)
+    for y in range(h):
+        line, kind = lines[y, 1:].astype(np.int64), lines[y, 0]
+        if kind == 2:
+            line = (line + above) & 255
+        elif kind == 1:
+            line = (np.cumsum(line.reshape(-1, step), 0) & 255).reshape(-1)
+        elif kind in (3, 4):
+            for k in range(len(line)):
+                left, up, corner = (line[k - step], above[k], above[k - step]) if k >= step else (0, above[k], 0)
+                guess = left + up - corner
+                nearest = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+                line[k] = (line[k] + ((left + up) // 2 if kind == 3 else nearest)) & 255
+        out[y], above = line, line
+    a = out.view(">u2" if step == 2 else np.uint8).astype(np.float32) / divisor
+    yield from disparity_rows(np.where(a == 0, np.inf, a))
+
+
+def bytes_of_png(a: np.ndarray) -> bytes:
+    """A grey PNG of 16 bits."""
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = np.concatenate((np.zeros((a.shape[0], 1), np.uint8), a.astype(">u2").view(np.uint8).reshape(a.shape[0], -1)), 1)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 16, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def npy_of(data: bytes) -> Iterator[dict]:
+    """Disparities of an NPY array as they are."""
+    import io
+
+    yield from disparity_rows(np.load(io.BytesIO(data), allow_pickle=False))
+
+
+def hdf5_of(data: bytes) -> Iterator[dict]:
+    """Disparities of an HDF5 file's dataset `disparity`; what is no number becomes infinite. Needs h5py where it runs."""
+    import io
+
+    import h5py
+
+    a = np.asarray(h5py.File(io.BytesIO(data), "r")["disparity"], np.float32)
+    yield from disparity_rows(np.where(np.isnan(a), np.inf, a))
+
+
 def pfm_of(data: bytes) -> Iterator[dict]:
     """Pixels of a PFM image from its top left; what is not above 0 becomes infinite."""
     kind, size, scale, body = data.split(b"\n", 3)
