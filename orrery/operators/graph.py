@@ -241,6 +241,53 @@ def spectral_embedding(edges: DataFrame, k: int, rounds: int = 60) -> DataFrame:
         now = materialize(spent.join(pulled, "node").select("node", *[((F.col(x) + F.col(f"y{x}")) / 2).alias(x) for x in names]), "vectors")
 
 
+def ward_tree(similarities: DataFrame) -> DataFrame:
+    """(a, b, d): the tree of representatives by Ward's clustering of similarities (a, b, s), s from 0 to 1; pairs without one are
+    2 apart, others 1 - s. Each round merges all pairs of clusters that are nearest to each other, which gives the same tree as
+    one merge after the other, as merging brings no third cluster nearer. A merged cluster is represented by the one of its two
+    representatives with more similarity in all (the larger id in a tie), which takes the larger of both similarities to each node.
+    Distances are a table of all pairs, as many as the method needs, and are never in one task."""
+    one = similarities.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("s", F.lit(1.0)).alias("s")).filter("a <> b").groupBy("a", "b").agg(F.max("s").alias("s"))
+    both = materialize(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), "similar")
+    nodes = both.select("a").distinct()
+    far = nodes.join(nodes.toDF("b"), F.col("a") != F.col("b")).join(both, ["a", "b"], "left")
+    d = materialize(far.select("a", "b", F.when(F.col("s") > 0, 1 - F.col("s")).otherwise(2.0).alias("d")), "distances")
+    size = materialize(nodes.select(F.col("a").alias("c"), F.lit(1).cast("long").alias("n"), F.col("a").alias("rep")), "clusters")
+    rows = materialize(both.select(F.col("a").alias("rep"), F.col("b").alias("node"), "s").unionByName(nodes.select(F.col("a").alias("rep"), F.col("a").alias("node"), F.lit(1.0).alias("s"))), "rows")
+    tree = None
+
+    def merged(table: DataFrame, pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+        """The distances after the clusters of column a are merged, by Ward's update."""
+        new = table.join(pairs.toDF("a", "p", "dd"), "a", "left").withColumn("p", F.coalesce("p", "a"))
+        new = new.join(of_a.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(of_b.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
+        two = F.sqrt((F.sum((F.col("na") + F.col("nb")) * F.col("d") ** 2) - F.first("nb") * F.first("dd") ** 2) / (F.first("nb") + F.sum("na")))
+        return new.groupBy(F.col("p").alias("a"), "b").agg(F.when(F.count("*") == 2, two).otherwise(F.first("d")).alias("d"))
+
+    while True:
+        nearest = d.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b", "x.d")
+        back = nearest.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        merges = materialize(nearest.join(back, ["a", "b"]).filter("a < b"), "merges")
+        if merges.isEmpty():
+            return similarities.select("a", "b", F.col("s").alias("d")).limit(0) if tree is None else tree
+        # the cluster with the smaller id lives on
+        pairs = merges.select("a", F.col("a").alias("p"), "d").unionByName(merges.select(F.col("b").alias("a"), F.col("a").alias("p"), "d"))
+        inner = pairs.select("a", "p")
+        apart = d.join(inner, "a", "left").join(inner.toDF("b", "q"), "b", "left").filter("p IS NULL OR q IS NULL OR p <> q").select("a", "b", "d")
+        grown = materialize(size.join(inner.toDF("c", "p"), "c", "left").groupBy(F.coalesce("p", "c").alias("c")).agg(F.sum("n").alias("n")), "sizes")
+        half = merged(apart, pairs, size, size).select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
+        d = materialize(merged(half, pairs, size, grown), "distances")
+        # representatives
+        total = rows.groupBy("rep").agg(F.sum("s").alias("total"))
+        reps = size.select("c", "rep").join(total, "rep")
+        two = merges.join(reps.toDF("ra", "a", "ta"), "a").join(reps.toDF("rb", "b", "tb"), "b").select("a", "d", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"), "ra", "rb", "ta", "tb")
+        two = materialize(two.withColumn("best", F.when(F.col("ta") > F.col("tb"), F.col("ra")).when(F.col("tb") > F.col("ta"), F.col("rb")).otherwise(F.col("high"))), "two")
+        found = two.select(F.col("low").alias("a"), F.col("high").alias("b"), "d")
+        tree = found if tree is None else tree.unionByName(found)
+        now = two.select(F.col("low").alias("rep"), "best").unionByName(two.select(F.col("high").alias("rep"), "best"))
+        rows = materialize(rows.join(now, "rep", "left").groupBy(F.coalesce("best", "rep").alias("rep"), "node").agg(F.max("s").alias("s")), "rows")
+        size = materialize(grown.join(two.select(F.col("a").alias("c"), "best"), "c", "left").join(size.select("c", "rep"), "c").select("c", "n", F.coalesce("best", "rep").alias("rep")), "clusters")
+
+
 def centred_tree(tree: DataFrame) -> DataFrame:
     """The tree as (node, parent, level) from its centre: the middle of its longest path, found by two walks."""
     held = materialize(tree.select("a", "b"))

@@ -137,6 +137,14 @@ def gra14(spark, d):
     return out.select("node", *[rounded(F.get("shift", F.lit(i))).alias(x) for i, x in enumerate(("tx", "ty"))], rounded(F.col("scale")).alias("scale"))
 
 
+@query("GRA15_ward_tree")
+def gra15(spark, d):
+    """The kinematic tree of the strongest edges' graph."""
+    e = t.edges(spark, d)
+    most = e.agg(F.max("n").alias("most"))
+    return g.ward_tree(e.crossJoin(F.broadcast(most)).select("a", "b", (F.col("n") / F.col("most")).alias("s"))).select("a", "b", rounded(F.col("d")).alias("d"))
+
+
 @query("GRA16_sparsify", f"WITH {t.EDGES}, deg AS (SELECT v, count(*) AS k FROM (SELECT a AS v FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1) SELECT a, b, p.k AS ka, q.k AS kb FROM edges JOIN deg p ON a = p.v JOIN deg q ON b = q.v WHERE p.k <= 95 OR q.k <= 95")
 def gra16(spark, d):
     """With every other edge's chance set to nothing, what stays is decided by degrees alone."""

@@ -186,3 +186,30 @@ def test_stream_folds_like_batch(spark, tmp_path):
     every = [r for rows in batches for r in rows]
     want = {r.project: (r.status, r.progress, r.stage) for r in progress.latest(spark.createDataFrame(every, schema)).collect()}
     assert seen == want == {1: ("PENDING", 0.0, "a"), 2: ("FAILED", 5.0, "z")}
+
+
+def test_ward_tree_against_one_merge_after_the_other(spark):
+    import random
+
+    r = random.Random(6)
+    n = 14
+    s = {(i, j): r.random() for i in range(n) for j in range(i) if r.random() < 0.6}
+    sim = lambda i, j: 1.0 if i == j else s.get((max(i, j), min(i, j)), 0.0)
+    d = {frozenset((i, j)): 1 - sim(i, j) if sim(i, j) else 2.0 for i in range(n) for j in range(i)}
+    size, rep = dict.fromkeys(range(n), 1), {i: i for i in range(n)}
+    rows, want, fresh = {i: [sim(i, j) for j in range(n)] for i in range(n)}, set(), n
+    while len(size) > 1:
+        pair = min(d, key=d.get)
+        i, j = pair
+        for k in size:
+            if k not in pair:
+                a, b = d.pop(frozenset((i, k))), d.pop(frozenset((j, k)))
+                d[frozenset((fresh, k))] = (((size[k] + size[i]) * a**2 + (size[k] + size[j]) * b**2 - size[k] * d[pair] ** 2) / (size[i] + size[j] + size[k])) ** 0.5
+        p, q = rep.pop(i), rep.pop(j)
+        want.add((min(p, q), max(p, q), round(d.pop(pair), 6)))
+        best = p if sum(rows[p]) > sum(rows[q]) else q if sum(rows[q]) > sum(rows[p]) else max(p, q)
+        rows[best] = [max(x, y) for x, y in zip(rows[p], rows[q])]
+        size[fresh], rep[fresh] = size.pop(i) + size.pop(j), best
+        fresh += 1
+    found = graph.ward_tree(spark.createDataFrame([(i, j, x) for (i, j), x in s.items()], "a long, b long, s double")).collect()
+    assert {(x.a, x.b, round(x.d, 6)) for x in found} == want
