@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import Words, discard, materialize, mix64, settle, window_hash
-from orrery.llm.components import components
+from orrery.operators.graph import components
 
 SHINGLE = 5
 BANDS = 25
@@ -47,7 +47,7 @@ PERCENT = 85
 MISS = 1e-6  # of pairs at the threshold: by the bands, and by the estimate
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 19
-VISITORS = 4_000
+VISITORS = 1_500
 
 SIGNATURES = "doc_id long, text_key long, n_shingles long, hi long, lo long, registers binary"
 
@@ -268,18 +268,22 @@ def star(here: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return compared(members, visitors, texts, percent)
 
 
-def outliers(here: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks of outliers (block, node, label), and the visitors (block, node, label) of each."""
+def outliers(here: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of outliers (block, node, label), the visitors (block, node, label) of each, and the state that these are read from."""
     sizes = here.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main")).select("key", F.col("main.label").alias("main"))
     out = here.join(main, "key").filter("label <> main").select("key", "node", "label", "n")
+    out = materialize(out, "out")
     crowd = out.groupBy("key").agg(F.count("*").alias("c"))
-    home = out.join(crowd, "key").groupBy("node").agg(F.max(F.struct("c", "key")).alias("x"), F.first("label").alias("label"), F.first("n").alias("n")).select("node", "label", "n", F.col("x.key").alias("home"))
+    # outliers gather at the bucket with most of them, or at one that their buckets' outliers gather at
+    home = out.join(crowd, "key").groupBy("node").agg(F.max(F.struct("c", "key")).alias("x"))
+    joint = out.join(home, "node").groupBy("key").agg(F.max("x").alias("x"))
+    home = out.join(joint, "key").groupBy("node", "label", "n").agg(F.max("x").alias("x")).select("node", "label", "n", F.col("x.key").alias("home"))
     blocks = home.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = home.join(blocks, "home").select(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"), "node", "label")
     members = materialize(members, "outliers")
     asked = out.select("key", "node").join(members.select("node", "block"), "node").select("key", "block").distinct()
-    return members, here.join(asked, "key").select("block", "node", "label").distinct()
+    return members, here.join(asked, "key").select("block", "node", "label").distinct(), out
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -305,9 +309,9 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     here = materialize(mixed(mates.join(labels, "node")), "mixed")
     discard(found, mates)
     settle(spark)
-    members, visitors = outliers(here)
+    members, visitors, out = outliers(here)
     found = materialize(compared(members, visitors, texts, percent), "links")
-    discard(here, members, texts)
+    discard(here, members, out, texts)
     settle(spark)
 
     # rows that share a doc_id are one document
