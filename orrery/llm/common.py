@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.operators.state import discard, materialize, shared_dir  # noqa: F401
+
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SMALL = 100_000  # rows of a table of ids that is broadcast
 
@@ -20,36 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none (tests) is a local one set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else None
-    if path is None:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: a cut in the lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/orrery-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.orrery_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes the files of materialized frames that nothing reads any more."""
-    for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.orrery_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def tasks_for(rows: int, per_task: int) -> int:
     return max(1, math.ceil(rows / per_task))
 
