@@ -199,7 +199,7 @@ def srt12(spark, d):
     return joins.search(rows.filter("id % 100 = 0"), rows, 2).select("i", "j")
 
 
-@query("SRT13_even_frames", "WITH k AS (SELECT l_suppkey AS seq, l_orderkey AS frame, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)), g AS (SELECT DISTINCT seq, CAST(round_even(j * ((n - 1) / 9.0), 0) AS BIGINT) AS i FROM k, (SELECT unnest(range(10)) AS j)) SELECT seq, frame FROM k JOIN g USING (seq, i)")
+@query("SRT13_even_frames", "WITH f AS (SELECT DISTINCT l_suppkey AS seq, l_orderkey AS frame FROM lineitem), n AS (SELECT seq, count(*) AS n FROM f GROUP BY 1), g AS (SELECT DISTINCT seq, CAST(round_even(j * ((n - 1) / 9.0), 0) AS BIGINT) AS i FROM n, (SELECT unnest(range(10)) AS j)), k AS (SELECT seq, frame, row_number() OVER (PARTITION BY seq ORDER BY frame) - 1 AS i FROM f) SELECT seq, frame FROM k JOIN g USING (seq, i)")
 def srt13(spark, d):
     rows = t.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("seq"), F.col("l_orderkey").alias("frame")).distinct()
     return w.even_frames(rows, "seq", "frame", 10).select("seq", "frame")
