@@ -2,18 +2,26 @@
 
 A window is as many consecutive words of a document (A-Z lower-cased) as a benchmark item has. Two windows are alike if
 their weighted Jaccard similarity on 5-word shingles is at least SIMILARITY; a shingle weighs ln(1 + items / items
-that have it). Windows that share no shingle with any item have similarity 0, so a screen comes first: every
-shingle of every document is looked up in the shingles of the items, and each hit names the place at which the item
-would begin, moved into the text if the item would begin before it or end behind it. The windows there get 64-bit SimHash fingerprints over their words. A multi-index of RADIUS + 1 blocks of
-bits finds every item whose fingerprint is within RADIUS bits, since two such fingerprints agree in one whole block;
-these candidates are compared exactly.
+that have it).
+
+Places. A window that shares no shingle with any item has similarity 0, so every shingle of every document is looked up
+in the items' first, and each hit names the place at which the item would begin, moved into the text if that is before
+it or too near its end. A window whose begin lies outside the begins that its own hits name can be moved towards them
+without losing a hit; and since an alike window has at most a quarter as many other shingles as the item has, the
+begins of its hits follow each other within a quarter of the item's length. All places in such gaps are tried as well, so every
+alike window, or one at least as like beside it, gets a 64-bit SimHash fingerprint over its words.
+
+Candidates. Two fingerprints within RADIUS bits are within RADIUS // BLOCKS bits in one of BLOCKS blocks at least, so
+the items' index holds each block with all its variants within that distance, by item size, and a window looks up its
+blocks as they are. That finds every item of the window's size within RADIUS. These are compared exactly.
 
 The items are broadcast while they have at most BROADCAST_SHINGLES shingles and joined by a shuffle beyond that. Hits
 are aggregated per document and place before texts move, and texts move once, by doc_id.
 
 Cases: null, empty and short texts have no hit; items of fewer than five words count their whole sequence as their one
 shingle; null or blank items are never found; rows with a null doc_id are not judged and stay; repeated rows, items and
-ties give one pair each; empty tables give an empty result; other columns are kept by keep_clean and ignored otherwise.
+ties give one pair each; rows that share a doc_id are judged together; very long texts are cut into windows like others; empty tables give an
+empty result; other columns are kept by keep_clean and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -21,16 +29,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import materialize
+
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 12
-BLOCK_BITS = 5
+RADIUS = 14
+BLOCKS = 5
 BROADCAST_SHINGLES = 1_000_000
 
 
 def words(text: Column) -> Column:
+    """64-bit hashes of the words, A-Z lower-cased."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.filter(F.split(F.translate(text, upper, upper.lower()), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.transform(F.filter(F.split(F.translate(text, upper, upper.lower()), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def shingles(of: Column, size: int | Column) -> Column:
@@ -40,55 +51,81 @@ def shingles(of: Column, size: int | Column) -> Column:
 
 
 def fingerprint(column: str) -> Column:
-    """64-bit SimHash of an array of words: each bit is what most of the words' hashes have there."""
-    return F.expr(
-        f"aggregate(sequence(0, 63), 0L, (f, b) -> f | IF(2 * aggregate({column}, 0L, (s, w) -> s + (shiftrightunsigned(xxhash64(w), b) & 1L)) > size({column}), shiftleft(1L, b), 0L))"
-    )
+    """64-bit SimHash of an array of hashes: each bit is what most of them have there. Four bits are counted in one long."""
+    lanes = sum(1 << 16 * k for k in range(4))
+    sums = f"aggregate({column}, 0L, (s, w) -> s + (shiftrightunsigned(w, k) & {lanes}L))"
+    bits = " | ".join(f"IF(2 * (shiftrightunsigned(s, {16 * k}) & 65535L) > size({column}), shiftleft(1L, k + {16 * k}), 0L)" for k in range(4))
+    return F.expr(f"aggregate(transform(sequence(0, 15), k -> named_struct('k', k, 's', {sums})), 0L, (f, x) -> f | aggregate(array(x), 0L, (z, y) -> {bits.replace('(s,', '(y.s,').replace(', k +', ', y.k +')}))")
+
+
+def cuts() -> list[tuple[int, int]]:
+    return [(k * 64 // BLOCKS, (k + 1) * 64 // BLOCKS) for k in range(BLOCKS)]
+
+
+def blocks(column: str) -> Column:
+    """The blocks of a fingerprint, with their numbers."""
+    return F.array(*[F.expr(f"{k << 32}L | (shiftrightunsigned({column}, {a}) & {(1 << (b - a)) - 1}L)") for k, (a, b) in enumerate(cuts())])
+
+
+def _flip(own: Column):
+    return lambda mask: own.bitwiseXOR(mask.cast("long"))
 
 
-def blocks(column: str, radius: int = RADIUS) -> Column:
-    """RADIUS + 1 block keys: fingerprints within the radius agree in one at least."""
-    width = min(BLOCK_BITS, 64 // (radius + 1) + 1)
-    cut = [(k * 64 // (radius + 1), (k + 1) * 64 // (radius + 1)) for k in range(radius + 1)]
-    assert all(b - a <= width for a, b in cut)
-    return F.array(*[F.expr(f"{k << 32}L | (shiftrightunsigned({column}, {a}) & {(1 << (b - a)) - 1}L)") for k, (a, b) in enumerate(cut)])
+def placed(of: Column, size: int) -> Column:
+    """Shingles with their size and place."""
+    return F.transform(shingles(of, size), lambda h, at: F.struct(F.lit(size).alias("size"), at.alias("at"), h.alias("h")))
+
+
+def around(column: str) -> Column:
+    """The blocks and all that differ from them in RADIUS // BLOCKS bits at most."""
+    found = []
+    for block, (a, b) in zip(range(BLOCKS), cuts(), strict=True):
+        masks = {0}
+        for _ in range(RADIUS // BLOCKS):
+            masks |= {m | 1 << k for m in masks for k in range(b - a)}
+        own = blocks(column)[block]
+        found.append(F.transform(F.array(*map(F.lit, sorted(masks))), _flip(own)))
+    return F.concat(*found)
 
 
 def prepared(benchmark: DataFrame) -> DataFrame:
-    """Items with their words, shingle size, shingles and weights."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0)
-    items = items.withColumn("size", F.least(F.lit(SHINGLE), F.size("item_words"))).dropDuplicates(["item_id", "item_words"])
-    items = items.withColumn("places", shingles(F.col("item_words"), F.col("size")))
-    each = items.select(F.explode(F.array_distinct("places")).alias("h"), "item_id").distinct().groupBy("h").agg(F.count("*").alias("df"))
-    total = items.select(F.count("*").alias("items"))
-    weights = each.crossJoin(total).select("h", F.log1p(F.col("items") / F.col("df")).alias("w"), F.log1p("items").alias("unseen"))
-    own = items.select("item_id", "item_words", F.explode(F.array_distinct("places")).alias("h")).join(weights, "h")
-    own = own.groupBy("item_id", "item_words").agg(F.collect_list(F.struct("h", "w")).alias("item_shingles"), F.max("unseen").alias("unseen"))
-    return items.join(own, ["item_id", "item_words"])
+    """Distinct items with their words, shingle size, shingles, weights and fingerprints."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0).dropDuplicates(["item_id", "item_words"])
+    items = items.withColumn("size", F.least(F.lit(SHINGLE), F.size("item_words"))).withColumn("places", shingles(F.col("item_words"), F.col("size")))
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    total = items.count()
+    weights = items.select(F.explode(F.array_distinct("places")).alias("h"), "item_id").distinct().groupBy("h").agg(F.log1p(F.lit(total) / F.count("*")).alias("w"))
+    own = items.select("item", F.explode(F.array_distinct("places")).alias("h")).join(weights, "h").groupBy("item").agg(F.collect_list(F.struct("h", "w")).alias("item_shingles"))
+    return materialize(items.join(own, "item").withColumns({"unseen": F.lit(total).cast("double"), "fp": fingerprint("item_words")}).withColumn("unseen", F.log1p("unseen")), "known")
+
+
+def begins_of(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, begins): places and sizes of the windows to look at in each document; rows: doc_id, words."""
+    marks = items.select(F.size("item_words").alias("n"), "size", F.posexplode("places").alias("item_at", "h")).distinct()
+    if marks.count() <= BROADCAST_SHINGLES:
+        marks = F.broadcast(marks)
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [SHINGLE]
+    each = F.flatten(F.array(*[placed(F.col("words"), k) for k in sizes]))
+    hits = rows.select("doc_id", F.size("words").alias("n_doc"), F.explode(each).alias("x")).select("doc_id", "n_doc", "x.*").join(marks, ["h", "size"])
+    begins = hits.select("doc_id", "n", F.greatest(F.least(F.col("at") - F.col("item_at"), F.col("n_doc") - F.col("n")), F.lit(0)).alias("begin"))
+    begins = begins.groupBy("doc_id", "n").agg(F.array_sort(F.collect_set("begin")).alias("b"))
+    after = lambda i: F.coalesce(F.get("b", i + 1), F.lit(-1))
+    filled = F.flatten(F.transform("b", lambda x, i: F.sequence(x, F.when((after(i) > x) & (4 * (after(i) - x) <= F.col("n")), after(i) - 1).otherwise(x))))
+    return begins.select(F.col("doc_id").alias("id"), F.transform(filled, lambda x: F.struct(x.alias("begin"), F.col("n").alias("n"))).alias("x")).groupBy("id").agg(F.flatten(F.collect_list("x")).alias("begins"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (doc_id, item_id) with the best window's place, its distance in bits and its similarity."""
     items = prepared(benchmark)
-    marks = items.select(F.size("item_words").alias("n"), "size", F.posexplode("places").alias("item_at", "h")).distinct()
-    if marks.count() <= BROADCAST_SHINGLES:
-        marks = F.broadcast(marks)
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    split = rows.select("doc_id", words(F.col("text")).alias("words"))
-    hits = None
-    for size in sizes or [SHINGLE]:
-        some = split.select("doc_id", F.size("words").alias("n_doc"), F.posexplode(shingles(F.col("words"), size)).alias("at", "h")).join(marks.filter(F.col("size") == size), "h")
-        hits = some if hits is None else hits.unionByName(some)
-    begins = hits.select("doc_id", F.greatest(F.least(F.col("at") - F.col("item_at"), F.col("n_doc") - F.col("n")), F.lit(0)).alias("begin"), "n").distinct()
-    begins = begins.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("begin", "n")).alias("begins"))
-    windows = rows.join(begins, F.col("doc_id") == F.col("id")).select("doc_id", words(F.col("text")).alias("words"), "begins")
-    windows = windows.select("doc_id", F.explode(F.transform("begins", lambda x: F.struct(x["begin"].alias("begin"), F.slice("words", x["begin"] + 1, x["n"]).alias("window")))).alias("x")).select("doc_id", "x.*").distinct()
-    seen = windows.withColumn("seen", fingerprint("window")).withColumn("block", F.explode(blocks("seen")))
-    known = items.select("item_id", "item_words", "size", "item_shingles", "unseen", fingerprint("item_words").alias("fp")).withColumn("block", F.explode(blocks("fp")))
+    found = begins_of(rows.select("doc_id", words(F.col("text")).alias("words")), items)
+    windows = rows.join(found, F.col("doc_id") == F.col("id")).select("doc_id", words(F.col("text")).alias("words"), "begins")
+    windows = windows.select("doc_id", F.explode(F.transform("begins", lambda x: F.struct(x["begin"].alias("begin"), x["n"].alias("n"), F.slice("words", x["begin"] + 1, x["n"]).alias("window")))).alias("x"))
+    windows = windows.select("doc_id", "x.*").filter(F.size("window") == F.col("n")).distinct().withColumn("seen", fingerprint("window"))
+    index = items.select("item", F.size("item_words").alias("n"), "fp", F.explode(around("fp")).alias("block"))
     bits = F.bit_count(F.col("seen").bitwiseXOR(F.col("fp")))
-    close = seen.join(known, "block").filter((bits <= RADIUS) & (F.size("window") == F.size("item_words"))).withColumn("distance", bits)
-    close = close.drop("block").dropDuplicates(["doc_id", "begin", "window", "item_id", "item_words"])
+    close = windows.withColumn("block", F.explode(blocks("seen"))).join(index, ["n", "block"]).withColumn("distance", bits).filter(F.col("distance") <= RADIUS)
+    close = close.select("doc_id", "begin", "window", "distance", "item").distinct().join(items.select("item", "item_id", "size", "item_shingles", "unseen"), "item")
     close = close.withColumn("own", F.array_distinct(shingles(F.col("window"), F.col("size"))))
     add = lambda s, x: s + x["w"]
     both = F.aggregate(F.filter("item_shingles", lambda x: F.array_contains("own", x["h"])), F.lit(0.0), add)
