@@ -14,8 +14,8 @@ the places of cuts, which Spark can split, gives each document its removed bytes
 distinct cuts of a bucket, so copies of a passage never gather.
 
 Cases: null texts are empty; empty and short texts lose nothing; rows with a null doc_id are kept as they are and
-remove nothing; rows that share a doc_id and a text get the same spans and don't remove each other; an empty
-table gives an empty result; other columns are ignored. What is kept need not be whole UTF-8 characters.
+remove nothing; rows that share a doc_id and a text get the same spans and don't remove each other; in rows that share
+a doc_id and differ in text a string is earlier if it starts at a smaller place; an empty table gives an empty result; other columns are ignored. What is kept need not be whole UTF-8 characters.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import discard, materialize, settle, sha256, shared_dir, sliding_min, tasks_for, window_hash
+from orrery.llm.common import discard, materialize, settle, sha256, shared_dir, sliding_min, tasks_for, told_apart, window_hash
 
 LENGTH = 100
 GRAM = 28
@@ -37,7 +37,8 @@ FLUSH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 
 BLOBS = "bucket int, blob binary"
-CUTS = f"{BLOBS}, hi long, lo long, doc_id long, start int"
+PLACES = "hi long, lo long, doc_id long, variant long, start int"
+CUTS = f"{BLOBS}, {PLACES}"
 FOUND = "hi long, lo long, at array<int>, n array<int>, first_doc array<long>, shift array<int>"
 
 
@@ -87,11 +88,11 @@ def minimiser_counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def string_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, doc_id, start, n): runs of n consecutive strings with one minimiser."""
+    """(key, doc_id, variant, start, n): runs of n consecutive strings with one minimiser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, variants = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             texts = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             for k, stop in chunks(texts):
                 _, starts, _, least, whole = minimisers(texts[k:stop], length, gram)
@@ -102,14 +103,14 @@ def string_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1))))
                 n = np.diff(np.concatenate((head, [len(at)])))
                 own = np.searchsorted(starts, at[head], "right") - 1
-                cols = [key[head].view(np.int64), ids[k:stop][own], (at[head] - starts[own]).astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc_id", "start", "n"])
+                cols = [key[head].view(np.int64), ids[k:stop][own], variants[k:stop][own], (at[head] - starts[own]).astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc_id", "variant", "start", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, start int, n int")
+    return docs.select("doc_id", "text", "variant").mapInArrow(run, "key long, doc_id long, variant long, start int, n int")
 
 
 def cuts(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """CUTS of rows (doc_id, text, runs): blobs of distinct cuts for the buckets, and every place of a cut."""
+    """CUTS of rows (doc_id, variant, text, runs): blobs of distinct cuts for the buckets, and every place of a cut."""
 
     def blob(held: dict[bytes, list[int]]) -> bytes:
         import zstandard
@@ -123,19 +124,19 @@ def cuts(rows: DataFrame, buckets: int, length: int) -> DataFrame:
 
         held: dict[int, dict[bytes, list[int]]] = {}
         size = 0
-        names = ["bucket", "blob", "hi", "lo", "doc_id", "start"]
+        names = ["bucket", "blob", "hi", "lo", "doc_id", "variant", "start"]
 
         def flush() -> pa.RecordBatch:
             none = [None] * len(held)
             out = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.int32()), pa.array([blob(x) for x in held.values()], pa.binary()), *[pa.array(none, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]], names=names
+                [pa.array(list(held), pa.int32()), pa.array([blob(x) for x in held.values()], pa.binary()), *[pa.array(none, t) for t in (*[pa.int64()] * 4, pa.int32())]], names=names
             )
             held.clear()
             return out
 
         for batch in batches:
-            digests, doc_ids, starts = [], [], []
-            for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            digests, doc_ids, variants, starts = [], [], [], []
+            for doc, variant, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text.encode("utf-8", "replace")
                 for x in runs:
                     start, cut = x["start"], text[x["start"] : x["start"] + x["n"] + length - 1]
@@ -150,6 +151,7 @@ def cuts(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                         seen[2:] = doc, start
                     digests.append(xxhash.xxh3_128_digest(cut))
                     doc_ids.append(doc)
+                    variants.append(variant)
                     starts.append(start)
                 if size >= FLUSH_BYTES:
                     yield flush()
@@ -157,12 +159,12 @@ def cuts(rows: DataFrame, buckets: int, length: int) -> DataFrame:
             pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             none = [None] * len(starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int32())], names=names
+                [pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(doc_ids, pa.int64()), pa.array(variants, pa.int64()), pa.array(starts, pa.int32())], names=names
             )
         if held:
             yield flush()
 
-    return rows.select("doc_id", "text", "runs").mapInArrow(run, CUTS)
+    return rows.select("doc_id", "variant", "text", "runs").mapInArrow(run, CUTS)
 
 
 def materialize_parts(made: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +173,7 @@ def materialize_parts(made: DataFrame) -> tuple[DataFrame, DataFrame]:
     path = f"{shared_dir(spark)}/orrery-cuts-{uuid.uuid4().hex}"
     made.withColumn("kind", F.when(F.col("bucket").isNull(), "places").otherwise("blobs")).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     out = []
-    for kind, schema in (("blobs", BLOBS), ("places", "hi long, lo long, doc_id long, start int")):
+    for kind, schema in (("blobs", BLOBS), ("places", PLACES)):
         # an empty result has no folder for a kind
         part = spark.read.schema(f"{schema}, kind string").parquet(path).filter(F.col("kind") == kind).drop("kind")
         part.orrery_path = f"{path}/kind={kind}"
@@ -226,7 +228,6 @@ class RunIndex:
         self.order = suffix_order(raw)
         before = np.where(self.order > 0, raw[self.order - 1].astype(np.int16), -1)
         self.head = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
-        self.letters = before[self.head]
         self.sampled = self.order[self.head]  # where a run begins
         self.above = np.where(self.head > 0, self.order[self.head - 1], -1)  # where the run before it ends
 
@@ -330,27 +331,27 @@ def earliest(blobs: DataFrame, length: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): byte ranges [a, b) of each document that start earlier too; documents without any are left out."""
+    """(doc_id, variant, spans) of rows (doc_id, text, variant): byte ranges [a, b) of each text that start earlier too; texts without any are left out."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    rows = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     shared = materialize(minimiser_counts(rows, length, gram).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"), "keys")
     settle(spark)
     hit = string_runs(rows, length, gram).join(shared, "key", "left_semi")
-    runs = materialize(hit.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs")), "runs")
+    runs = materialize(hit.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs")), "runs")
     discard(shared)
     settle(spark)
     total = runs.agg(F.coalesce(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda s, x: s + x["n"] + (length - 1))), F.lit(0)).alias("b")).first()["b"]
     tasks = max(tasks_for(total, BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blobs, places = materialize_parts(cuts(rows.join(runs, "doc_id"), 4 * tasks, length))
+    blobs, places = materialize_parts(cuts(rows.join(runs, ["doc_id", "variant"]), 4 * tasks, length))
     discard(runs)
     settle(spark)
     found = materialize(earliest(blobs.repartition(tasks, "bucket").select("blob"), length), "first")
     discard(blobs)
     settle(spark)
     earlier = F.filter(F.arrays_zip("at", "n", "first_doc", "shift"), lambda x: (x["first_doc"] < F.col("doc_id")) | ((x["first_doc"] == F.col("doc_id")) & (x["shift"] < F.col("start"))))
-    marked = places.join(found, ["hi", "lo"]).select("doc_id", "start", earlier.alias("runs")).filter(F.size("runs") > 0)
+    marked = places.join(found, ["hi", "lo"]).select("doc_id", "variant", "start", earlier.alias("runs")).filter(F.size("runs") > 0)
     each = F.transform("runs", lambda x: F.struct((F.col("start") + x["at"]).alias("a"), (F.col("start") + x["at"] + x["n"] + (length - 1)).alias("b")))
-    return marked.select("doc_id", each.alias("spans")).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return marked.select("doc_id", "variant", each.alias("spans")).groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -377,8 +378,8 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = spans(docs, length, gram).select(F.col("doc_id").alias("orrery_id"), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = told_apart(docs)
+    found = spans(rows, length, gram)
     empty = F.array().cast("array<struct<a:int,b:int>>")
-    joined = rows.join(found, F.col("doc_id") == F.col("orrery_id"), "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans"))
+    joined = rows.join(found, ["doc_id", "variant"], "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans"))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
