@@ -12,8 +12,8 @@ yields (string, doc_id, place) and an equi-join, which Spark can split for a fre
 the windows that start in a smaller doc_id. Texts are shuffled once, by doc_id, to meet their removed words.
 
 Cases: null, empty and short texts have no window and lose nothing; rows with a null doc_id are kept as they are and
-remove nothing; rows that share a doc_id don't remove each other's words and get the same spans; an empty table gives
-an empty result; other columns are ignored.
+remove nothing; rows that share a doc_id don't remove each other's words, each text loses its own; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Words, materialize, sha256, sliding_min, tasks_for, window_hash
+from orrery.llm.common import Words, materialize, sha256, sliding_min, tasks_for, told_apart, window_hash
 
 WINDOW = 50
 GRAM = 4
@@ -36,7 +36,7 @@ CHUNK_BYTES = 1 << 20
 LEVEL = 3
 
 FOUND = "hi long, lo long, at array<int>, n array<int>, first array<long>"
-PLACES = "hi long, lo long, doc_id long, start int"
+PLACES = "hi long, lo long, doc_id long, variant long, start int"
 
 
 def super_kmers(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[bytes, Words, np.ndarray, np.ndarray, np.ndarray] | None:
@@ -220,29 +220,30 @@ def places(docs: DataFrame, window: int, gram: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            ids, doc_ids, starts = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, doc_ids, variants, starts = [], [], [], []
+            for doc, text, variant in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for start, string, _ in strings_of(text.encode("utf-8", "replace"), window, gram):
                     ids.append(xxhash.xxh3_128_digest(string))
                     doc_ids.append(doc)
+                    variants.append(variant)
                     starts.append(start)
             pairs = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int32())], names=["hi", "lo", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(doc_ids, pa.int64()), pa.array(variants, pa.int64()), pa.array(starts, pa.int32())], names=["hi", "lo", "doc_id", "variant", "start"])
 
-    return docs.mapInArrow(run, PLACES)
+    return docs.select("doc_id", "text", "variant").mapInArrow(run, PLACES)
 
 
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): the runs of words [a, b) of each document that a smaller doc_id has too; documents without any are left out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    """(doc_id, variant, spans) of rows (doc_id, text, variant): the runs of words [a, b) of each text that a smaller doc_id has too; texts without any are left out."""
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     tasks = max(tasks_for(int(total * EXPANSION), BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blobs = packed(rows, 4 * tasks, window, gram).repartition(tasks, "bucket").select("blob")
+    blobs = packed(rows.select("doc_id", "text"), 4 * tasks, window, gram).repartition(tasks, "bucket").select("blob")
     found = materialize(counted(blobs, window), "windows")
     runs = F.filter(F.arrays_zip("at", "n", "first"), lambda x: x["first"] < F.col("doc_id"))
-    hit = places(rows, window, gram).join(found, ["hi", "lo"]).select("doc_id", "start", runs.alias("runs")).filter(F.size("runs") > 0)
+    hit = places(rows, window, gram).join(found, ["hi", "lo"]).select("doc_id", "variant", "start", runs.alias("runs")).filter(F.size("runs") > 0)
     each = F.transform("runs", lambda x: F.struct((F.col("start") + x["at"]).alias("a"), (F.col("start") + x["at"] + x["n"] + (window - 1)).alias("b")))
-    return hit.select("doc_id", each.alias("spans")).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return hit.select("doc_id", "variant", each.alias("spans")).groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -271,8 +272,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    found = spans(docs, window, gram).select(F.col("doc_id").alias("orrery_id"), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(found, F.col("doc_id") == F.col("orrery_id"), "left")
+    rows = told_apart(docs)
+    joined = rows.join(spans(rows, window, gram), ["doc_id", "variant"], "left")
     empty = F.array().cast("array<struct<a:int,b:int>>")
     return joined.select("doc_id", "text", F.coalesce("spans", empty).alias("spans")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
