@@ -3,7 +3,8 @@
 Every document is tokenised on the executors and cut only where it is longer than a sequence. Each task then packs
 its pieces best-fit decreasing and emits the bins that are nearly full; the roomiest of the rest travel up a tree,
 where eight tasks at a time meet and whole bins are the items of another best-fit round. What a node hands on is
-bounded (CARRY bins), so no task ever holds an unbounded part of the corpus; every other bin is emitted as it is.
+bounded (CARRY bins, so a node gets as many units as a first task has pieces) and no task ever holds an unbounded part
+of the corpus; every other bin is emitted as it is. That many roomy bins are left only where hardly any text is short.
 
 Cases: a null text counts as empty (one end token); a null doc_id is kept as null; repeated rows are packed once
 each; an empty table gives an empty result; other columns are ignored.
@@ -29,7 +30,7 @@ from orrery.llm.common import materialize, tasks_for
 SEQUENCE = 4096
 END_ID = 1
 NEARLY_FULL = 8
-CARRY = 64
+CARRY = 2_500
 FAN_IN = 8
 PIECES_PER_TASK = 20_000
 CHUNK = 200_000
@@ -55,6 +56,7 @@ class Coder:
     A word of letters between ASCII marks is put together from its marks and its lower-cased letters. Letters that are
     not known yet are coded in one call, in which every run of letters ends with a token for a word's end. Whatever
     might be split or lower-cased in another way (digits, apostrophes, special tokens, other marks) is coded alone.
+    With a tokenizer that doesn't code a probe by words in this way, every text is coded whole.
     """
 
     def __init__(self, path: str):
@@ -68,6 +70,9 @@ class Coder:
         self.cache: dict[str, bytes] = {"": b""}
         self.letters: dict[str, bytes] = {"": b""}
         self.marks: dict[str, bytes] = {"": b""}
+        probe = "Ab c\tSome WORDS, (more) words; don't \u00c9t\u00e9 x1 2024-05 \u65e5\u672c <|end|> some\n\n Words"
+        self.by_word = True
+        self.by_word = self.encode(probe) == self.alone(probe) and self.encode(" " + probe.lower()) == self.alone(" " + probe.lower())
 
     @staticmethod
     def kept(path: str) -> Coder:
@@ -122,9 +127,13 @@ class Coder:
         self.learn([w for w in distinct if w not in self.cache])
         return split
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.alone(t) for t in texts]
+        return [b"".join(map(self.cache.__getitem__, words)) for words in self.words(texts)]
+
     def encode(self, text: str) -> bytes:
-        (words,) = self.words([text])
-        return b"".join(map(self.cache.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 def tokenise(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -138,9 +147,8 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQ
             texts = [x or "" for x in batch.column(1).to_pylist()]
             ids = batch.column(0).to_pylist()
             for at in range(0, len(texts), 256):
-                split = coder.words(texts[at : at + 256])
-                for doc, words in zip(ids[at : at + 256], split, strict=True):
-                    code = b"".join(map(coder.cache.__getitem__, words)) + end
+                for doc, code in zip(ids[at : at + 256], coder.encode_all(texts[at : at + 256]), strict=True):
+                    code += end
                     for k in range(0, len(code), size):
                         part = code[k : k + size]
                         rows.append((doc, k // size, k // 4, len(part) // 4, zlib.crc32(part)))
@@ -210,7 +218,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     spark = docs.sparkSession
     tasks = tasks_for(docs.count(), PIECES_PER_TASK)
     pieces = tokenise(docs, vocabulary, sequence)
-    level, rows = 0, pieces.repartition(tasks, F.xxhash64("doc_id", "piece"))
+    level, rows = 0, pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32"))
     done = []
     while True:
         last = tasks == 1
