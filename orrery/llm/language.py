@@ -4,7 +4,8 @@ Letters, lower-cased, with every run of other characters as one blank, are cut i
 into DIMS places. A text's vector is its logged counts times the inverse document frequency, of unit length. Each
 language has several centroids (spherical k-means over a bounded sample of labelled rows); a text goes to the
 language of the centroid with the largest cosine, and is rejected where that cosine lies further below the
-centroid's usual cosine, for texts of that many n-grams, than a fitted margin allows.
+centroid's usual cosine, for texts of that many n-grams, than a fitted margin allows: SLACK times what all but QUANTILE
+of the labelled sample reach. Every language with a label is learned, however many there are.
 
 The sample holds about SAMPLE rows of each language, taken by a hash of doc_id, so it does not depend on the
 order or the number of files. Prediction reads whole texts and nothing but the text.
@@ -24,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import discard, materialize
+
 DIMS = 1 << 14
 CENTROIDS = 4
 SAMPLE = 600
-LANGUAGES = 200
 ROUNDS = 12
-MARGIN = 0.2
+MEMBERS = 0.03
+QUANTILE = 0.001
+SLACK = 0.8
 UNDECIDED = "und"
 
 
@@ -70,37 +74,61 @@ class Model:
     owner: np.ndarray  # language of each centroid
     idf: np.ndarray
     usual: np.ndarray  # (3,) polynomial in log n-grams: the cosine that labelled texts of that size have
+    margin: float = 0.0  # share of the usual cosine below which a text is rejected
 
-    def predict(self, at: np.ndarray, counts: np.ndarray) -> tuple[str, float, bool]:
-        if not len(at) or not len(self.owner):
-            return UNDECIDED, 0.0, True
+    def nearest(self, at: np.ndarray, counts: np.ndarray) -> tuple[int, float]:
         v = np.log1p(counts) * self.idf[at]
         cosines = self.centroids[:, at] @ (v / np.linalg.norm(v)).astype(np.float32)
         best = int(cosines.argmax())
-        score = float(min(1.0, max(0.0, cosines[best])))
-        usual = float(np.polyval(self.usual, np.log(counts.sum())))
-        return self.languages[self.owner[best]], score, score < usual * MARGIN
+        return best, float(min(1.0, max(0.0, cosines[best])))
+
+    def expected(self, counts: np.ndarray) -> float:
+        return float(np.polyval(self.usual, np.log(counts.sum())))
+
+    def predict(self, at: np.ndarray, counts: np.ndarray) -> tuple[str, float, bool]:
+        if not len(at) or not len(self.owner):
+            return UNDECIDED, 0.0, True
+        best, score = self.nearest(at, counts)
+        return self.languages[self.owner[best]], score, score < self.expected(counts) * self.margin
 
 
 def spherical(x: np.ndarray, k: int) -> np.ndarray:
-    """k-means by cosine; the first centres are spread by taking the row least like those taken before."""
-    centres = x[:1]
-    while len(centres) < min(k, len(x)):
-        centres = np.vstack([centres, x[(x @ centres.T).max(1).argmin()]])
+    """k-means by cosine. The first centres come from halving the largest cluster along its widest direction, at its middle where a half
+    would be tiny; centres that end with under MEMBERS of the rows, as a few mislabelled ones make them, are dropped."""
+    near = np.zeros(len(x), int)
+    for j in range(1, min(k, len(x))):
+        most = np.flatnonzero(near == np.bincount(near).argmax())
+        apart = x[most] - x[most].mean(0)
+        along = apart[np.linalg.norm(apart, axis=1).argmax()]
+        for _ in range(ROUNDS):
+            along = apart.T @ (apart @ along)
+            along /= max(np.linalg.norm(along), 1e-9)
+        place = apart @ along
+        high = place > 0
+        if min(high.sum(), (~high).sum()) < MEMBERS * len(x):
+            high = place > np.median(place)
+        near[most[high]] = j
     for _ in range(ROUNDS):
-        near = (x @ centres.T).argmax(1)
-        sums = np.vstack([x[near == j].sum(0) if (near == j).any() else centres[j] for j in range(len(centres))])
+        sums = np.vstack([x[near == j].sum(0) for j in np.unique(near)])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return centres
+        near = (x @ centres.T).argmax(1)
+    held = np.bincount(near, minlength=len(centres))
+    return centres[held >= min(MEMBERS * len(x), held.max())]
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from text and lang of labelled rows that are not held out, about SAMPLE of each language."""
+    """Learns from text and lang of labelled rows that are not held out, about SAMPLE of each language.
+
+    The sample stays on the executors: document frequencies are summed there, a group makes the centroids of one
+    language, and the usual cosine and the margin are aggregates. The driver gets DIMS counts and the centroids.
+    """
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    none = Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.ones(DIMS), np.zeros(1))
     if not counts:
-        return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.ones(DIMS), np.zeros(1))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, SAMPLE / n))])
+        return none
+    languages = sorted(counts)
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, SAMPLE / counts[lang]))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.filter(place < share[F.col("lang")])
 
@@ -108,35 +136,48 @@ def fit(docs: DataFrame) -> Model:
         grams = Grams()
         for batch in batches:
             got = [grams(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["doc_id", "lang", "at", "n"]
-            )
-
-    found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(run, "doc_id long, lang string, at array<int>, n array<int>").toArrow()
-    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
-    vectors = [(np.array(a), np.array(n), lang) for a, n, lang in zip(found["at"].to_pylist(), found["n"].to_pylist(), found["lang"].to_pylist(), strict=True) if a]
+            cols = [pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["doc_id", "lang", "at", "n"])
+
+    found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(run, "doc_id long, lang string, at array<int>, n array<int>")
+    found = materialize(found.filter(F.size("at") > 0), "grams")
+    total = found.count()
+    if not total:
+        return none
     seen = np.zeros(DIMS)
-    for at, _, _ in vectors:
-        seen[at] += 1
-    idf = np.log((1 + len(vectors)) / (1 + seen)) + 1
-    languages, centroids, owner, sizes, usual = sorted(counts), [], [], [], []
-    for k, lang in enumerate(languages):
-        mine = [(at, n) for at, n, x in vectors if x == lang]
-        if not mine:
-            continue
-        x = np.zeros((len(mine), DIMS), np.float32)
-        for row, (at, n) in zip(x, mine, strict=True):
-            row[at] = np.log1p(n) * idf[at]
+    for r in found.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect():
+        seen[r["at"]] = r["n"]
+    idf = np.log((1 + total) / (1 + seen)) + 1
+
+    def learn(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc_id")
+        x = np.zeros((len(group), DIMS), np.float32)
+        for row, at, n in zip(x, group["at"], group["n"], strict=True):
+            at = at.values.to_numpy()
+            row[at] = np.log1p(n.values.to_numpy()) * idf[at]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        c = spherical(x, CENTROIDS)
-        centroids.append(c)
-        owner += [k] * len(c)
-        usual += (x @ c.T).max(1).tolist()
-        sizes += [np.log(n.sum()) for _, n in mine]
-    if not owner:
-        return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.ones(DIMS), np.zeros(1))
-    line = np.polyfit(sizes, usual, 2) if len(set(sizes)) > 10 else np.array([0.0])
-    return Model(languages, np.vstack(centroids).astype(np.float32), np.array(owner), idf, line)
+        centres = spherical(x, CENTROIDS).astype(np.float32)
+        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(centres), pa.string()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
+
+    made = sorted((r["lang"], bytes(r["centre"])) for r in found.groupBy("lang").applyInArrow(learn, "lang string, centre binary").collect())
+    model = Model(languages, np.stack([np.frombuffer(c, np.float32) for _, c in made]), np.array([languages.index(x) for x, _ in made]), idf, np.zeros(1))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n = ([np.asarray(x.values) for x in batch.column(k)] for k in (0, 1))
+            size = [float(np.log(x.sum())) for x in n]
+            cosine = [model.nearest(p, x)[1] for p, x in zip(at, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(size, pa.float64()), pa.array(cosine, pa.float64())], names=["x", "y"])
+
+    sizes = found.select("at", "n").mapInArrow(measure, "x double, y double")
+    sums = sizes.agg(*[F.sum(F.pow("x", F.lit(k))).alias(f"x{k}") for k in range(5)], *[F.sum(F.pow("x", F.lit(k)) * F.col("y")).alias(f"y{k}") for k in range(3)], F.count_distinct("x").alias("sizes")).first()
+    if sums["sizes"] > 10:
+        model.usual = np.linalg.lstsq([[sums[f"x{j + k}"] for k in (2, 1, 0)] for j in range(3)], [sums[f"y{j}"] for j in range(3)], rcond=None)[0]
+        x = F.col("x")
+        usual = float(model.usual[0]) * x * x + float(model.usual[1]) * x + float(model.usual[2])
+        model.margin = SLACK * sizes.agg(F.percentile_approx(F.col("y") / usual, QUANTILE, 10_000).alias("q")).first()["q"]
+    discard(found)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
