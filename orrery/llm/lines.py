@@ -13,7 +13,8 @@ With distinct, pages of a host with the same lines count once, so a group of cop
 boilerplate.
 
 Cases: a null text stays null and an empty one stays empty, both count as pages; null hosts are one host; repeated rows
-count as pages (with distinct once) and each is returned; an empty table gives an empty result; columns keep their names and order.
+count as pages (with distinct once) and each is returned; an empty table gives an empty result; columns keep their names and
+order, and names that begin with orrery_ are reserved.
 """
 
 from __future__ import annotations
@@ -57,17 +58,18 @@ def drop_lines(pages: DataFrame, host: Column, text: str, max_ratio: float = MAX
     rows = pages.withColumn("orrery_host", F.coalesce(host.cast("string"), F.lit("")))
     lines = F.split(text, "\n")
     if found.count() <= BROADCAST_LINES:
-        by_host = F.broadcast(found.groupBy(F.col("host").alias("orrery_host")).agg(F.map_from_entries(F.collect_list(F.struct("line", F.lit(True)))).alias("orrery_lines")))
+        by_host = F.broadcast(found.groupBy(F.col("host").alias("orrery_host")).agg(F.collect_list("line").alias("orrery_often")))
         joined = rows.join(by_host, "orrery_host", "left")
-        gone = lambda x: has_word(x) & F.coalesce(F.try_element_at(F.col("orrery_lines"), line_hash(x)), F.lit(False))
+        # a set intersection, so a host with very many such lines costs a page no more than their number
+        joined = joined.withColumn("orrery_lines", F.array_intersect(F.transform(F.filter(lines, has_word), line_hash), F.col("orrery_often")))
     else:
         # every distinct (host, text hash) learns its own dropped lines; the rows then meet them by that key
         key = rows.withColumn("orrery_key", F.xxhash64(F.col(text)))
         own = key.select("orrery_host", "orrery_key", F.explode(F.array_distinct(F.transform(F.filter(lines, has_word), line_hash))).alias("line")).distinct()
-        mine = own.join(found.withColumnRenamed("host", "orrery_host"), ["orrery_host", "line"]).groupBy("orrery_host", "orrery_key").agg(F.map_from_entries(F.collect_list(F.struct("line", F.lit(True)))).alias("orrery_lines"))
+        mine = own.join(found.withColumnRenamed("host", "orrery_host"), ["orrery_host", "line"]).groupBy("orrery_host", "orrery_key").agg(F.collect_list("line").alias("orrery_lines"))
         joined = key.join(mine, ["orrery_host", "orrery_key"], "left")
-        gone = lambda x: has_word(x) & F.coalesce(F.try_element_at(F.col("orrery_lines"), line_hash(x)), F.lit(False))
-    left = F.when(F.col("orrery_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
+    gone = lambda x: has_word(x) & F.array_contains("orrery_lines", line_hash(x))
+    left = F.when(F.coalesce(F.size("orrery_lines"), F.lit(0)) <= 0, lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
     return joined.select(
         *[F.array_join(left, "\n").alias(c) if c == text else F.col(c) for c in pages.columns],
         F.coalesce(F.size(lines) - F.size(left), F.lit(0)).alias("orrery_dropped"),
