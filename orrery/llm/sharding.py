@@ -7,7 +7,7 @@ prefixes of the greatest depth points each document to its shard.
 Only (key, bytes) are aggregated, once, to prefixes of a depth at which an average bucket holds a small part of a
 shard; all shallower buckets are sums of these. A prefix still over the limit is looked at again, 8 bits deeper, until
 it fits or all its bytes have one key. Rows of one key over the limit (a very long document, or one id repeated many
-times) cannot be told apart by any bit: they are cut by a running sum of bytes within that key, and a single document
+times) cannot be told apart by any bit: they are cut by a running sum of bytes, from range partitions and their sums, and a single document
 above the limit has a shard of its own, marked as oversized.
 
 Cases: null texts have 0 bytes; null ids share one key; repeated rows are placed each; an empty table gives an
@@ -57,29 +57,49 @@ def directory(keys: DataFrame, limit: int) -> DataFrame:
     return out
 
 
-def shards(docs: DataFrame, limit: int = SHARD_BYTES, text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_bytes, depth, bits, part, shard (a name), shard_bytes, oversized."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+def running_bytes(rows: DataFrame) -> DataFrame:
+    """rows with before: the bytes of the rows of the same (depth, bits) that come first, by size and id."""
+    order = ["depth", "bits", "n_bytes", "doc_id", "salt"]
+    salted = rows.withColumn("salt", F.monotonically_increasing_id())
+    spread = materialize(salted.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()), "ordered")
+    own = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("chunk", "depth", "bits").orderBy(*order[2:]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a chunk holds a part of one bucket at its ends only, so buckets have few chunks each but for the largest
+    sums = spread.groupBy("depth", "bits", "chunk").agg(F.sum("n_bytes").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("depth", "bits").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("depth", "bits", "chunk", before.alias("earlier"))
+    return spread.withColumn("before", own).join(sums, ["depth", "bits", "chunk"]).withColumn("before", F.col("before") + F.col("earlier")).drop("salt", "chunk", "earlier")
+
+
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def placed(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (doc_id, key, n_bytes, ...) with depth, bits, part, shard, shard_bytes and oversized."""
     found = directory(rows.select("key", F.col("n_bytes").alias("bytes")), limit)
-    placed = None
+    all_rows = None
     for (fine,) in sorted(found.select("fine_depth").distinct().collect()):
         here = found.filter(F.col("fine_depth") == fine).drop("fine_depth").withColumnRenamed("bytes", "shard_bytes")
         some = rows.withColumn("fine", prefix(F.col("key"), fine)).join(here, "fine").drop("fine")
-        placed = some if placed is None else placed.unionByName(some)
-    if placed is None:
-        placed = rows.limit(0).withColumns({"depth": F.lit(0), "bits": F.lit(0).cast("long"), "shard_bytes": F.lit(0).cast("long")})
-    fits = placed.filter(F.col("shard_bytes") <= limit).withColumn("part", F.lit(0).cast("long"))
-    within = Window.partitionBy("depth", "bits").orderBy("n_bytes", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    over = placed.filter(F.col("shard_bytes") > limit).withColumn("part", F.greatest(F.ceil(F.sum("n_bytes").over(within) / F.lit(limit / 2)), F.lit(1)).cast("long"))
+        all_rows = some if all_rows is None else all_rows.unionByName(some)
+    if all_rows is None:
+        all_rows = rows.limit(0).withColumns({"depth": F.lit(0), "bits": F.lit(0).cast("long"), "shard_bytes": F.lit(0).cast("long")})
+    fits = all_rows.filter(F.col("shard_bytes") <= limit).withColumn("part", F.lit(0).cast("long"))
+    over = running_bytes(all_rows.filter(F.col("shard_bytes") > limit))
+    # parts of half the limit, smaller rows first: with the row that begins before it no part is over the limit unless it is one row
+    over = over.withColumn("part", F.greatest(F.ceil((F.col("before") + F.col("n_bytes")) / F.lit(limit / 2)), F.lit(1)).cast("long")).drop("before")
     sums = over.groupBy("depth", "bits", "part").agg(F.sum("n_bytes").alias("part_bytes"))
     over = over.drop("shard_bytes").join(sums, ["depth", "bits", "part"]).withColumnRenamed("part_bytes", "shard_bytes")
     name = F.concat_ws("-", F.lpad(F.col("depth").cast("string"), 2, "0"), F.lpad(F.hex("bits"), 16, "0"), F.col("part").cast("string"))
-    columns = ["doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), "bits", "part", name.alias("shard"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized")]
-    return fits.unionByName(over).select(*columns)
+    return fits.unionByName(over).withColumns({"depth": F.col("depth").cast("int"), "shard": name, "oversized": F.col("shard_bytes") > limit})
+
+
+def shards(docs: DataFrame, limit: int = SHARD_BYTES, text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_bytes, depth, bits, part, shard (a name), shard_bytes, oversized."""
+    return placed(keyed(docs.select("doc_id", text), text).drop("row"), limit).select("doc_id", "n_bytes", "depth", "bits", "part", "shard", "shard_bytes", "oversized")
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Writes the documents, one folder for each shard, with all their columns. Rows of one id share a shard."""
-    placed = shards(docs, limit).groupBy(F.col("doc_id").alias("orrery_id")).agg(F.min("shard").alias("orrery_shard"))
-    rows = docs.join(placed, docs["doc_id"].eqNullSafe(placed["orrery_id"])).drop("orrery_id")
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, text: str = "text") -> None:
+    """Writes the rows, one folder for each shard, with all their columns."""
+    rows = placed(keyed(docs, text), limit).select("row.*", F.col("shard").alias("orrery_shard"))
     rows.repartition("orrery_shard").write.partitionBy("orrery_shard").parquet(path)
