@@ -1,10 +1,12 @@
 """Operator 1: URL filters by a tree of path templates. DataFrame functions only.
 
 Urls are first reduced to shapes (runs of digits become #, long runs of hexadecimal digits become @) and counted per
-host and shape with their labels, so what follows handles shapes and not pages. Level by level, a segment stays
-literal only if it is a whole number or hexadecimal run (an extension may follow), or if it is frequent below its node (MIN_SUPPORT rows, MIN_SHARE of the node) and if its labelled share of bad
-pages differs significantly (|z| >= Z) from its siblings'; variable segments and statistically similar branches merge
-into `*`. Templates end after MAX_DEPTH segments with `**`. A template is rejected if its bad share, smoothed
+host and shape with their labels, so what follows handles shapes and not pages. Level by level, a segment that is a
+whole number or hexadecimal run (an extension may follow), or the only one of a frequent node, stays as it is. Of the others, those that are not
+frequent below their node (MIN_SUPPORT rows, MIN_SHARE of the node) or have no label are variable and share the branch `*`.
+The branches of a node, MIN_SHARE of it each and so a bounded list, are then gone through by their share of bad pages: as long as the next
+one does not differ significantly (|z| < Z) from the branches gathered so far it joins them. Merged branches are `*` if they hold the variable
+ones, else `{a|b}`. Templates end after MAX_DEPTH segments with `**`. A template is rejected if its bad share, smoothed
 towards its host's and the host's towards the overall share, reaches MAX_BAD on at least MIN_LABELS labels.
 Rules for a host (with its subdomains) and a path prefix come before templates; the longest rule wins.
 
@@ -13,7 +15,7 @@ a hot host. The state is written once per level, so no level is computed twice.
 
 Cases: a null url or one without :// has empty host and path and the template "" (allowed unless its labels
 say otherwise); labels repeated for one page count once, as bad if any says so; repeated pages count each; null ids are
-kept; without any label every page is allowed; an empty table gives an empty result; other columns are ignored.
+kept; a segment that is literally `*` is one of the variable ones; branches of equal share are taken by name; without any label every page is allowed; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,6 +57,29 @@ def shape(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{12,}", "@"), "[0-9]+", "#")
 
 
+def merged(branches: DataFrame) -> DataFrame:
+    """(host, template, branch, part) of rows (host, template, branch, cl, cb): neighbours in bad share that don't differ become one part."""
+    group = "array<struct<cl:bigint,cb:bigint,names:array<string>>>"
+    each = F.struct((F.col("cb") / F.greatest(F.col("cl"), F.lit(1))).alias("share"), "branch", "cl", "cb")
+    lists = branches.groupBy("host", "template").agg(F.array_sort(F.collect_list(each)).alias("branches"))
+
+    def similar(a: Column, b: Column) -> Column:
+        share = (a["cb"] + b["cb"]) / (a["cl"] + b["cl"])
+        spread = F.sqrt(share * (1 - share) * (1 / a["cl"] + 1 / b["cl"]))
+        return (a["cl"] > 0) & (b["cl"] > 0) & ((spread == 0) | (F.abs(a["cb"] / a["cl"] - b["cb"] / b["cl"]) < Z * spread))
+
+    def step(groups: Column, x: Column) -> Column:
+        last, fresh = F.get(groups, F.size(groups) - 1), F.array(x["branch"])
+        joined = F.struct((last["cl"] + x["cl"]).alias("cl"), (last["cb"] + x["cb"]).alias("cb"), F.concat(last["names"], fresh).alias("names"))
+        alone = F.concat(groups, F.array(F.struct(x["cl"].alias("cl"), x["cb"].alias("cb"), fresh.alias("names"))))
+        return F.when(F.coalesce(similar(last, x), F.lit(False)), F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(joined)).cast(group)).otherwise(alone.cast(group))
+
+    found = lists.select("host", "template", F.explode(F.aggregate("branches", F.array().cast(group), step)).alias("g"))
+    names = F.col("g.names")
+    part = F.when(F.array_contains(names, "*"), F.lit("*")).when(F.size(names) == 1, names[0]).otherwise(F.concat(F.lit("{"), F.array_join(F.array_sort(names), "|"), F.lit("}")))
+    return found.select("host", "template", part.alias("part"), F.explode(names).alias("branch"))
+
+
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, template, labelled, bad) of rows (host, shape, n, labelled, bad)."""
     state = materialize(shapes.withColumn("segments", F.filter(F.split("shape", "/"), lambda s: s != "")).withColumn("template", F.lit("")), "shapes")
@@ -62,15 +87,14 @@ def templates(shapes: DataFrame) -> DataFrame:
     for d in range(1, depth + 1):
         rows = state.withColumn("segment", F.get("segments", F.lit(d - 1)))
         child = rows.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("c"), F.sum("labelled").alias("cl"), F.sum("bad").alias("cb"))
-        node = child.groupBy("host", "template").agg(F.sum("c").alias("t"), F.sum("cl").alias("tl"), F.sum("cb").alias("tb"))
-        others, all_bad = F.col("tl") - F.col("cl"), F.col("tb") / F.col("tl")
-        spread = F.sqrt(all_bad * (1 - all_bad) * (1 / F.col("cl") + 1 / others))
-        gap = F.abs(F.col("cb") / F.col("cl") - (F.col("tb") - F.col("cb")) / others)
-        differs = F.when((F.col("cl") > 0) & (others > 0), F.when(spread > 0, gap >= Z * spread).otherwise(F.lit(False))).otherwise(F.lit(False))
-        alone = F.col("c") == F.col("t")
-        frequent = (F.col("c") >= MIN_SUPPORT) & (F.col("c") >= MIN_SHARE * F.col("t"))
-        fixed = F.col("segment").rlike("^[#@]([.][a-z]+)?$")
-        kept = child.join(node, ["host", "template"]).select("host", "template", "segment", F.when((frequent & (alone | differs)) | fixed, F.col("segment")).otherwise(F.lit("*")).alias("part"))
+        node = child.groupBy("host", "template").agg(F.sum("c").alias("t"))
+        child = child.join(node, ["host", "template"])
+        fixed = F.col("segment").rlike("^[#@]([.][a-z]+)?$") | ((F.col("c") == F.col("t")) & (F.col("c") >= MIN_SUPPORT))
+        frequent = (F.col("c") >= MIN_SUPPORT) & (F.col("c") >= MIN_SHARE * F.col("t")) & (F.col("cl") > 0)
+        child = child.withColumn("fixed", fixed).withColumn("branch", F.when(fixed | frequent, F.col("segment")).otherwise(F.lit("*")))
+        branches = child.filter("NOT fixed").groupBy("host", "template", "branch").agg(F.sum("cl").alias("cl"), F.sum("cb").alias("cb"))
+        parts = merged(branches).withColumn("fixed", F.lit(False))
+        kept = child.join(parts, ["host", "template", "branch", "fixed"], "left").select("host", "template", "segment", F.coalesce("part", "segment").alias("part"))
         state = materialize(
             rows.join(kept, ["host", "template", "segment"], "left").withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "part"))).drop("segment", "part"),
             f"level{d}",
