@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm import components, decontaminate, language, lines, near, packing, quality, repeats, sharding, substrings, urls
+from orrery.llm import decontaminate, language, lines, near, packing, quality, repeats, sharding, substrings, urls
+from orrery.operators import graph
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("line", T.LongType()), T.StructField("key", T.StringType()), T.StructField("label", T.StringType()), T.StructField("rejected", T.BooleanType())])
@@ -213,7 +214,7 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(parent)}
 
 
@@ -257,6 +258,23 @@ def test_words_are_coded_as_whole_texts_are():
         assert list(struct.unpack(f"<{len(code) // 4}I", code)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_code_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.default_vocabulary()) as f:
+        kept = json.load(f)
+    kept["normalizer"] = None  # case is kept now
+    path = str(tmp_path / "cased.json")
+    with open(path, "w") as f:
+        json.dump(kept, f)
+    coder, tokenizer = packing.Coder(path), Tokenizer.from_file(path)
+    text = "Some Words AND others"
+    assert not coder.by_word and packing.Coder(packing.default_vocabulary()).by_word
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_fills_bins():
     r = random.Random(4)
     sizes = [r.randrange(1, 100) for _ in range(2000)]
@@ -332,6 +350,18 @@ def test_language(spark):
     assert all(0 <= x.score <= 1 for x in got)
 
 
+def test_texts_of_an_unlearned_language_are_rejected(spark):
+    """Languages as random syllables: hardly any text of a learned one is rejected, and nearly all of another one."""
+    r = random.Random(31)
+    letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu", "zz": "cjqvwxy"}
+    words = {k: ["".join(r.choice(v) for _ in range(r.randrange(2, 7))) for _ in range(80)] for k, v in letters.items()}
+    text = lambda lang: " ".join(r.choice(words[lang]) for _ in range(r.randrange(20, 120)))
+    rows = [(k, text(lang), lang) for k, lang in enumerate(r.choice(["aa", "bb", "cc"]) for _ in range(600))]
+    rows += [(1000 + k, text("zz"), None) for k in range(100)]
+    got = {x.doc_id: x.rejected for x in language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[k] for k in range(600)) <= 6 and sum(got[1000 + k] for k in range(100)) >= 95
+
+
 def test_prediction_uses_nothing_but_the_text(docs):
     other = docs.withColumns({"source": F.lit("x"), "n_chars": F.lit(0)})
     key = lambda df: sorted((r.doc_id, r.lang_pred, r.score) for r in language.predict(df).collect())
@@ -364,6 +394,77 @@ def test_slugs_that_begin_with_a_number_are_merged(spark):
     assert (got[100].template, got[200].template, got[300].template.split("/")[-1]) == ("/ads/*", "/news/*", "#.html")
 
 
+def template_tree(pages, labels):
+    """Templates of shapes, node by node."""
+    shapes = defaultdict(lambda: [0, 0, 0])
+    for page, shape in pages:
+        held = shapes[shape]
+        held[0] += 1
+        if page in labels:
+            held[1] += 1
+            held[2] += labels[page]
+
+    def grow(held, prefix, depth, found):
+        ended = [x for x in held if len(x[0]) == depth]
+        for x in ended:
+            found[x[0]] = prefix
+        held = [x for x in held if len(x[0]) > depth]
+        if depth == urls.MAX_DEPTH:
+            for x in held:
+                found[x[0]] = prefix + "/**"
+            return
+        total, by = sum(x[1][0] for x in held), defaultdict(list)
+        for x in held:
+            by[x[0][depth]].append(x)
+        parts, branches = {}, defaultdict(lambda: [0, 0, []])
+        for seg, xs in by.items():
+            c, cl, cb = (sum(x[1][i] for x in xs) for i in range(3))
+            if re.fullmatch("[#@]([.][a-z]+)?", seg) or c == total >= urls.MIN_SUPPORT:
+                parts[seg] = seg
+            else:
+                b = branches[seg if c >= max(urls.MIN_SUPPORT, urls.MIN_SHARE * total) and cl else "*"]
+                b[0], b[1] = b[0] + cl, b[1] + cb
+                b[2].append(seg)
+        groups = []
+        for _, name, (cl, cb, segs) in sorted((b[1] / max(b[0], 1), n, b) for n, b in branches.items()):
+            if groups and groups[-1][0] and cl:
+                g = groups[-1]
+                p = (g[1] + cb) / (g[0] + cl)
+                spread = (p * (1 - p) * (1 / g[0] + 1 / cl)) ** 0.5
+                if spread == 0 or abs(g[1] / g[0] - cb / cl) < urls.Z * spread:
+                    groups[-1] = (g[0] + cl, g[1] + cb, g[2] + [name], g[3] + segs)
+                    continue
+            groups.append((cl, cb, [name], segs))
+        for _, _, names, segs in groups:
+            part = "*" if "*" in names else names[0] if len(names) == 1 else "{" + "|".join(sorted(names)) + "}"
+            parts |= dict.fromkeys(segs, part)
+        below = defaultdict(list)
+        for seg, xs in by.items():
+            below[parts[seg]] += xs
+        for part, xs in below.items():
+            grow(xs, f"{prefix}/{part}", depth + 1, found)
+
+    found = {}
+    grow([(tuple(s for s in k.split("/") if s), v) for k, v in shapes.items()], "", 0, found)
+    return found
+
+
+def test_templates_against_a_tree_built_node_by_node(spark):
+    r = random.Random(17)
+    rows, labels = [], {}
+    for page in range(3000):
+        top = r.choice(["ads", "promo", "news", "blog", "wiki", f"u{chr(97 + page % 26)}{chr(97 + page // 26 % 26)}"])
+        path = "/" + "/".join([top, *[r.choice(["a", "b", f"slug-{chr(97 + r.randrange(26))}", str(page), "x.html"]) for _ in range(r.randrange(8))]])
+        rows.append((page, f"http://h.fr{path}"))
+        if r.random() < 0.5:
+            labels[page] = r.random() < {"ads": 0.9, "promo": 0.88, "news": 0.1, "wiki": 0.5}.get(top, 0.12)
+    made = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, bad boolean")).collect()
+    shape = {x.page_id: re.sub("[0-9]+", "#", x.path) for x in made}
+    want = template_tree(sorted(shape.items()), labels)
+    assert all(x.template == want[tuple(s for s in shape[x.page_id].split("/") if s)] for x in made)
+    assert any("{ads|promo}" in x.template for x in made) and any(x.template.startswith("/*") for x in made)
+
+
 # --- 6 ---
 
 
@@ -383,6 +484,42 @@ def test_sharding(spark):
     assert not any(p != q and p[0] <= q[0] and q[1] >> (q[0] - p[0]) == p[1] for p in depths for q in depths)
 
 
+def split_buckets(rows, limit):
+    """Bucket by bucket: those over the limit split on their next bit until they fit or hold one key."""
+    done, open_buckets = {}, {(0, 0): rows}
+    while open_buckets:
+        bucket, held = open_buckets.popitem()
+        if sum(n for _, n in held) <= limit or len({k for k, _ in held}) == 1:
+            done[bucket] = held
+            continue
+        depth, bits = bucket
+        for bit in (0, 1):
+            if some := [x for x in held if x[0] >> (63 - depth) & 1 == bit]:
+                open_buckets[depth + 1, bits * 2 + bit] = some
+    return {k: (b, sum(n for _, n in held)) for b, held in done.items() for k, _ in held}
+
+
+def test_shards_are_buckets_split_one_by_one(spark):
+    r = random.Random(2)
+    rows = [(k, "x" * r.randrange(0, 300)) for k in range(700)] + [(5, "y" * 200)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {x.doc_id: x.key & (1 << 64) - 1 for x in df.select("doc_id", F.xxhash64("doc_id").alias("key")).collect()}
+    want = split_buckets([(keys[d], len(t)) for d, t in rows], 3000)
+    got = sharding.shards(df, 3000).collect()
+    assert all(((x.depth, x.bits), x.shard_bytes) == want[keys[x.doc_id]] for x in got if x.part == 0)
+    assert {x.doc_id for x in got if x.part} == {5} and all((x.depth, x.bits) == want[keys[5]][0] for x in got if x.doc_id == 5)
+
+
+def test_written_shards_keep_the_limit(spark, tmp_path):
+    rows = [(1, "y" * 300)] * 40 + [(None, "n" * 100)] * 60 + [(k, "x" * 50) for k in range(200)]
+    df = spark.createDataFrame([(*x, "s", "t") for x in rows], "doc_id long, text string, shard string, key string")
+    sharding.write_shards(df, str(tmp_path / "out"), 4000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    sizes = back.groupBy("orrery_shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert max(x.n for x in sizes) <= 4000 and back.count() == len(rows) and set(df.columns) < set(back.columns)
+    assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
+
+
 # --- 4 ---
 
 
@@ -424,10 +561,62 @@ def test_near_fingerprints_share_a_block(spark):
         for bit in r.sample(range(63), decontaminate.RADIUS):
             b ^= 1 << bit
         rows.append((a, b))
-    df = spark.createDataFrame(rows, "a long, b long").select(F.arrays_overlap(decontaminate.blocks("a"), decontaminate.blocks("b")).alias("meet"))
+    df = spark.createDataFrame(rows, "a long, b long").select(F.arrays_overlap(decontaminate.blocks("a"), decontaminate.around("b")).alias("meet"))
     assert all(x.meet for x in df.collect())
 
 
+def test_fingerprints_are_majorities(spark):
+    r = random.Random(4)
+    rows = [([r.getrandbits(63) - r.getrandbits(63) for _ in range(n)],) for n in (1, 2, 7, 300)]
+    got = [x.f & (1 << 64) - 1 for x in spark.createDataFrame(rows, "h array<long>").select(decontaminate.fingerprint("h").alias("f")).collect()]
+    assert got == [sum(1 << b for b in range(64) if 2 * sum((x & (1 << 64) - 1) >> b & 1 for x in h) > len(h)) for (h,) in rows]
+
+
+def alike_anywhere(rows, items, similarity):
+    """Pairs of which some window is alike, by trying all windows of all sizes."""
+    def runs(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    split = [t.lower().split() for t in items]
+    size = [min(5, len(w)) for w in split]
+    sets = [runs(w, k) for w, k in zip(split, size)]
+    df = defaultdict(int)
+    for s in sets:
+        for x in s:
+            df[x] += 1
+    weight = lambda x: np.log1p(len(items) / df[x]) if x in df else np.log1p(len(items))
+    found = set()
+    for doc, text in rows:
+        w = text.lower().split()
+        for item, (own, k, words) in enumerate(zip(sets, size, split)):
+            for at in range(len(w) - len(words) + 1):
+                here = runs(w[at : at + len(words)], k)
+                if here & own and sum(map(weight, here & own)) >= similarity * sum(map(weight, here | own)):
+                    found.add((doc, item))
+                    break
+    return found
+
+
+def test_decontamination_against_all_windows(spark):
+    """Substitutions, insertions and deletions, at a text's ends too: no pair that any window has is lost."""
+    r = random.Random(21)
+    items = [sentence(r, r.choice([12, 30, 30, 55, 90]), 400) for _ in range(25)]
+    rows = []
+    for doc in range(220):
+        words = r.choice(items).split()
+        for _ in range(r.randrange(4)):
+            at, kind = r.randrange(len(words)), r.randrange(4)
+            words[at : at + (kind != 1) * r.choice([1, 1, 3])] = [f"x{r.randrange(99)}" for _ in range((kind != 2) * r.choice([1, 1, 2, 4]))]
+        if r.random() < 0.3:
+            words = words[r.randrange(3) : len(words) - r.randrange(3)]
+        rows.append((doc, " ".join([sentence(r, r.randrange(40), 400), *words, sentence(r, r.randrange(40), 400)])))
+    want = alike_anywhere(rows, items, decontaminate.SIMILARITY)
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(df, bench).collect()}
+    print(len(want), "pairs, recall", len(got & want) / len(want))
+    assert len(want) > 50 and got == want
+
+
 # --- odd tables ---
 
 
@@ -448,6 +637,64 @@ def test_repeated_and_null_rows(spark, corpus):
     assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in substrings.remove(df).collect() if r.doc_id is not None)
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text is judged on its own; in op9 the links of all of them count."""
+    r = random.Random(23)
+    a, b, c = (sentence(r, 120, 5000) for _ in range(3))
+    rows = [(1, a), (5, c + " " + a), (5, b), (7, "x " + a), (8, "y " + b), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(a.split())
+    words = sorted((x.doc_id, x.n_words, x.n_removed) for x in substrings.remove(df).collect())
+    assert words == sorted([(1, n, 0), (5, 2 * n, n), (5, n, 0), (7, n + 1, n), (8, n + 1, n), (9, n, n)])
+    spans = sorted((x.doc_id, x.n_bytes, x.n_bytes - x.n_removed) for x in repeats.remove(df).collect())
+    assert [x[:2] for x in spans] == sorted((d, len(t)) for d, t in rows)
+    kept = {(x[0], x[1]): x[2] for x in spans}
+    assert kept[5, len(b)] == len(b) and kept[5, len(c + a) + 1] <= len(c) + 2 and kept[9, len(b)] == 0 and kept[7, len(a) + 2] == 1  # the blank before a stands in 5 too
+    near_a, near_b = (" ".join(x.split()[:-1]) for x in (a, b))
+    df = spark.createDataFrame([(5, a), (5, b), (7, near_a), (8, near_b), (9, c)], "doc_id long, text string")
+    assert {(x.doc_id, x.component_id) for x in near.near_duplicates(df).collect()} == {(5, 5), (7, 5), (8, 5), (9, 9)}
+
+
+def test_near_duplicates_lose_no_link_of_a_large_group(spark):
+    """10,000 texts, groups of near copies around the threshold among them: the same components as by comparing all pairs."""
+    r = random.Random(29)
+    texts = [sentence(r, r.randrange(20, 60), 20_000) for _ in range(9_000)]
+    for _ in range(5):
+        base = sentence(r, 100, 20_000).split()
+        for _ in range(200):
+            w = list(base)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets, holders = [], defaultdict(list)
+    for k, t in enumerate(texts):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+        for x in sets[-1]:
+            holders[x].append(k)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    n_links = 0
+    for k, s in enumerate(sets):
+        common = defaultdict(int)
+        for x in s:
+            for o in holders[x]:
+                if o < k:
+                    common[o] += 1
+        for o, n in common.items():
+            if 100 * n >= 85 * (len(s) + len(sets[o]) - n):
+                n_links += 1
+                parent[max(find(k), find(o))] = min(find(k), find(o))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in near.near_duplicates(df).collect()}
+    assert n_links > 5_000 and got == {k: find(k) for k in range(len(texts))}
+
+
 def test_pipeline_keeps_columns(spark, tmp_path, docs):
     import corpus_pipeline
 
@@ -458,3 +705,24 @@ def test_pipeline_keeps_columns(spark, tmp_path, docs):
         now = stage(spark, now, str(tmp_path))
         assert now.columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == now.count() > 0
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, empty):
+    """An empty table; nulls, repeated rows, ties and columns with names that the operators use."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(0, "nothing like it here at all")], "item_id long, text string")
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    r = random.Random(37)
+    plain = [(k, sentence(r, 60, 3000), "en", None, None, None) for k in range(40)]
+    rows = plain + plain[:5] + [(90, plain[3][1], "en", "s", 1, "x"), (None, plain[7][1], None, None, None, None), (None, None, None, None, None, None), (91, None, "en", None, 0, None), (92, "", None, None, 0, None), (93, "12 34", None, None, 5, None)]
+    rows += [(94, sentence(r, 30_000, 3000), "en", "s", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string").withColumns({c: F.lit(1) for c in ("label", "block", "n", "member", "begins", "line", "spans", "host")})
+    df.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "some" / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    ids = {x.doc_id for x in got}
+    assert ids == {*range(40), 94, None} and sum(x.doc_id is None for x in got) == 1
+    assert max(x.length for x in got) <= packing.SEQUENCE and sum(x.doc_id == 94 for x in got) > 5
