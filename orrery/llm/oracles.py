@@ -39,3 +39,34 @@ NEAR = f"""WITH RECURSIVE {WORDS}, lo AS (SELECT doc_id, [translate(x, 'ABCDEFGH
  ends AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), reach(node, root) AS (SELECT a, a FROM ends UNION SELECT e.b, r.root FROM reach r JOIN ends e ON e.a = r.node),
  comp AS (SELECT node, min(root) AS c FROM reach GROUP BY 1)
  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON node = d.doc_id"""
+
+
+def _clusters(rounds: int = 3) -> str:
+    """k-means written out round by round, every vector against every centroid."""
+    ctes = [
+        "kept AS (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT 16))",
+    ]
+    for k in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(kept.v, q.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+        ctes.append(f"n{k} AS (SELECT rn, min([{distance}, q.c]) AS best FROM kept, c{k} q GROUP BY rn), a{k} AS (SELECT rn, vec_id, v, CAST(best[2] AS INTEGER) AS c, CAST(best[1] AS BIGINT) AS d FROM kept JOIN n{k} USING (rn))")
+        if k < rounds:
+            ctes.append(
+                f"s{k} AS (SELECT c, p, sum(v[p]) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, 65)) AS p) GROUP BY c, p), m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS v FROM s{k} GROUP BY c),"
+                f" c{k + 1} AS (SELECT q.c, coalesce(m{k}.v, q.v) AS v FROM c{k} q LEFT JOIN m{k} ON m{k}.c = q.c)"
+            )
+    return (
+        "WITH " + ", ".join(ctes) + f" SELECT vec_id, a.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,"
+        f" sha256(array_to_string(q.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} q ON q.c = a.c"
+    )
+
+
+CLUSTERS = _clusters()
+
+MIDDLES = """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS x FROM documents),
+ d AS (SELECT doc_id, t, length(t) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM h),
+ c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+ p AS (SELECT *, substring(t, 1, a) AS head, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS tail FROM c)
+ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, language, lines, near, oracles, packing, quality, repeats, sharding, substrings, urls
+from orrery.llm import clusters, decontaminate, language, lines, middles, near, oracles, packing, quality, repeats, sharding, substrings, urls
 from orrery.llm.common import table
 
 
@@ -55,6 +55,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and hashes of the outputs, and of the texts restored from them."""
+    rows = middles.divided(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(middles.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_substring_dedup": op2_substring_dedup,
@@ -66,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_annulus_clusters": op11_annulus_clusters,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,4 +85,6 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": oracles.QUALITY,
     "op7_line_dedup": oracles.LINES,
     "op9_near_dedup": oracles.NEAR,
+    "op11_annulus_clusters": oracles.CLUSTERS,
+    "op12_fill_in_middle": oracles.MIDDLES,
 }
