@@ -43,6 +43,8 @@ def compare(spark, con, name, query, sql, d) -> str:
     got = query(spark, d)
     names = got.columns
     pdf = got.toPandas()
+    # integers with nulls come as floats
+    pdf = pdf.astype({c: "Int64" for c, kind in got.dtypes if kind in ("int", "bigint") and pdf[c].dtype.kind == "f"})
     if not sql:
         return f"rows only, {len(pdf)}"
     want = con.execute(sql).df()
