@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import clusters, decontaminate, language, lines, middles, near, oracles, packing, quality, repeats, sharding, substrings, urls
+from orrery.llm import classifier, clusters, decontaminate, language, lines, middles, near, oracles, packing, quality, repeats, sharding, substrings, urls
 from orrery.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(middles.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_substring_dedup": op2_substring_dedup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_annulus_clusters": op11_annulus_clusters,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
