@@ -5,10 +5,10 @@ A first pass counts the places of minimisers over the corpus; those that stand i
 repeated string. Runs of consecutive strings around the others are cut out and sent, each distinct one once from a
 task, to the bucket of the minimiser, where equal strings meet.
 
-A bucket keeps its distinct cuts with their earliest place and indexes them: a full suffix order by prefix doubling,
-its Burrows-Wheeler transform as runs, and the two suffixes that meet at each run's head as samples. Only there are
-lengths of matches compared byte by byte; every other matching statistic follows when the text is streamed, as one
-less than its left neighbour's. Neighbours in suffix order that match LENGTH bytes or more are one string, and get the
+A bucket keeps its distinct cuts, apart by a byte that UTF-8 does not have, with their earliest place and indexes them: a suffix order by prefix doubling,
+of which its Burrows-Wheeler transform as runs and the two suffixes that meet at each run's head, the samples, are kept. Only there are
+lengths of matches compared byte by byte; when the text is streamed, every other matching statistic is one
+less than its left neighbour's, and its neighbour in suffix order one place on. Neighbours that match LENGTH bytes or more are one string, and get the
 earliest place of it. Cuts with something to remove leave the bucket as runs keyed by a 128-bit hash; an equi-join with
 the places of cuts, which Spark can split, gives each document its removed bytes. What a task holds is bounded by the
 distinct cuts of a bucket, so copies of a passage never gather.
@@ -221,18 +221,25 @@ def tied(head: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """A run-compressed Burrows-Wheeler transform with the suffixes at its run heads as samples."""
+    """A run-compressed Burrows-Wheeler transform with the ends of its runs as samples.
+
+    The suffix order is only a step of the building: what stays is, by place in the text, the suffix at each run's head and the one above it,
+    which ends the run before. Both what a suffix matches and which one stands above it are streamed from there: within a run the suffix that begins
+    a byte later has the neighbour that begins a byte later.
+    """
 
     def __init__(self, raw: np.ndarray):
         self.raw = raw
-        self.order = suffix_order(raw)
-        before = np.where(self.order > 0, raw[self.order - 1].astype(np.int16), -1)
-        self.head = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
-        self.sampled = self.order[self.head]  # where a run begins
-        self.above = np.where(self.head > 0, self.order[self.head - 1], -1)  # where the run before it ends
-
-    def matching(self, most: int | None = None) -> np.ndarray:
-        """For every place the length, if most is given up to about that, that it matches its neighbour above in suffix order."""
+        order = suffix_order(raw)
+        before = np.where(order > 0, raw[order - 1].astype(np.int16), -1)
+        head = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+        self.symbols, self.lengths = before[head], np.diff(np.append(head, len(raw)))
+        sampled, above = order[head], np.where(head > 0, order[head - 1], -1)
+        by_place = np.argsort(sampled)
+        self.sampled, self.above = sampled[by_place], above[by_place]
+
+    def matching(self) -> np.ndarray:
+        """For every place the length that it matches its neighbour above in suffix order."""
         n = len(self.raw)
         at, other = self.sampled[self.above >= 0], self.above[self.above >= 0]
         length = np.zeros(len(at), np.int64)
@@ -251,38 +258,41 @@ class RunIndex:
             equal[odd] = np.log2(low.astype(np.float64)).astype(np.int64) // 8
             equal = np.minimum(equal, np.maximum(room, 0))
             length[alive] += equal
-            alive = alive[(equal == 8) & (length[alive] < (n if most is None else most))]
+            alive = alive[(equal == 8) & (length[alive] < n)]
         # streamed: a place that is no sample matches one byte less than the place before it
         reach = np.full(n, -1, np.int64)
         reach[at] = at + length
         return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
 
+    def neighbour(self) -> np.ndarray:
+        """For every place the one above it in suffix order, -1 for the first."""
+        ahead = np.repeat(np.where(self.above >= 0, self.above - self.sampled, -len(self.raw)), np.diff(np.append(self.sampled, len(self.raw))))
+        return np.maximum(np.arange(len(self.raw)) + ahead, -1)
+
+
+#: Stands between cuts: no byte of UTF-8, so no match of whole strings runs over it.
+APART = b"\xff"
+
 
 def first_places(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int):
     """For every string of length bytes in the cuts, in order: its cut, its place there, and the earliest document and start of it."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     base = np.cumsum(sizes + 1) - sizes - 1
-    index = RunIndex(np.frombuffer(b"\0".join(strings), np.uint8))
-    # no cap: a match may run over the byte between two cuts, and what begins behind it is streamed from a sample before it.
-    # Cuts are distinct, so without NUL bytes of their own a match ends within the second cut
-    long = index.matching() >= length
+    index = RunIndex(np.frombuffer(APART.join(strings), np.uint8))
+    # equal strings are neighbours in suffix order: each links to the one above it, and all find the first of their stretch by doubling
+    top = np.where(index.matching() >= length, index.neighbour(), np.arange(len(index.raw)))
+    while (up := top[top]).tobytes() != top.tobytes():
+        top = up
     have = sizes - length + 1
     owner = np.repeat(np.arange(len(strings)), have)
     place = np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have)
-    valid = np.zeros(len(index.raw), bool)
-    valid[base[owner] + place] = True
-    in_order = index.order[valid[index.order]]
-    head = np.flatnonzero(np.concatenate(([True], ~long[in_order[1:]])))
-    size = np.diff(np.concatenate((head, [len(in_order)])))
-    own = np.searchsorted(base, in_order, "right") - 1
-    doc, start = docs[own], starts[own] + in_order - base[own]
-    group = np.repeat(np.arange(len(head)), size)
-    first_doc = np.minimum.reduceat(doc, head)
-    first_start = np.minimum.reduceat(np.where(doc == first_doc[group], start, np.iinfo(np.int64).max), head)
-    at = np.zeros(len(index.raw), np.int64)
-    at[in_order] = group
-    mine = at[base[owner] + place]
-    return owner, place, first_doc[mine], first_start[mine]
+    mine = top[base[owner] + place]
+    far = np.iinfo(np.int64).max
+    first_doc, first_start = (np.full(len(index.raw), far) for _ in range(2))
+    np.minimum.at(first_doc, mine, docs[owner])
+    first_doc = first_doc[mine]
+    np.minimum.at(first_start, mine, np.where(docs[owner] == first_doc, starts[owner] + place, far))
+    return owner, place, first_doc, first_start[mine]
 
 
 def earliest(blobs: DataFrame, length: int) -> DataFrame:
