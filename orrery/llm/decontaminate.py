@@ -2,7 +2,7 @@
 
 A window is as many consecutive words of a document (A-Z lower-cased) as a benchmark item has. Two windows are alike if
 their weighted Jaccard similarity on 5-word shingles is at least SIMILARITY; a shingle weighs ln(1 + items / items
-that have it).
+that have it), in a window too, and ln(1 + items) if none has.
 
 Places. A window that shares no shingle with any item has similarity 0, so every shingle of every document is looked up
 in the items' first, and each hit names the place at which the item would begin, moved into the text if that is before
@@ -26,6 +26,8 @@ empty result; other columns are kept by keep_clean and ignored otherwise.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ SIMILARITY = 0.8
 RADIUS = 14
 BLOCKS = 5
 BROADCAST_SHINGLES = 1_000_000
+#: Sums of weights in another order may differ by this much.
+ROUNDING = 1e-12
 
 
 def words(text: Column) -> Column:
@@ -88,15 +92,17 @@ def around(column: str) -> Column:
     return F.concat(*found)
 
 
-def prepared(benchmark: DataFrame) -> DataFrame:
-    """Distinct items with their words, shingle size, shingles, weights and fingerprints."""
+def prepared(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Distinct items with their words, shingle size, shingles, total weight and fingerprints; the shingles of items (item, h) with
+    their weights w; and the weight of a shingle that no item has."""
     items = benchmark.select("item_id", words(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0).dropDuplicates(["item_id", "item_words"])
     items = items.withColumn("size", F.least(F.lit(SHINGLE), F.size("item_words"))).withColumn("places", shingles(F.col("item_words"), F.col("size")))
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
     total = items.count()
     weights = items.select(F.explode(F.array_distinct("places")).alias("h"), "item_id").distinct().groupBy("h").agg(F.log1p(F.lit(total) / F.count("*")).alias("w"))
-    own = items.select("item", F.explode(F.array_distinct("places")).alias("h")).join(weights, "h").groupBy("item").agg(F.collect_list(F.struct("h", "w")).alias("item_shingles"))
-    return materialize(items.join(own, "item").withColumns({"unseen": F.lit(total).cast("double"), "fp": fingerprint("item_words")}).withColumn("unseen", F.log1p("unseen")), "known")
+    own = materialize(items.select("item", F.explode(F.array_distinct("places")).alias("h")).join(weights, "h"), "item-shingles")
+    known = items.join(own.groupBy("item").agg(F.sum("w").alias("item_weight")), "item").withColumn("fp", fingerprint("item_words"))
+    return materialize(known, "known"), own, math.log1p(total)
 
 
 def begins_of(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -116,21 +122,25 @@ def begins_of(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (doc_id, item_id) with the best window's place, its distance in bits and its similarity."""
-    items = prepared(benchmark)
+    items, item_shingles, unseen = prepared(benchmark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     found = begins_of(rows.select("doc_id", words(F.col("text")).alias("words")), items)
     windows = rows.join(found, F.col("doc_id") == F.col("id")).select("doc_id", words(F.col("text")).alias("words"), "begins")
     windows = windows.select("doc_id", F.explode(F.transform("begins", lambda x: F.struct(x["begin"].alias("begin"), x["n"].alias("n"), F.slice("words", x["begin"] + 1, x["n"]).alias("window")))).alias("x"))
-    windows = windows.select("doc_id", "x.*").filter(F.size("window") == F.col("n")).distinct().withColumn("seen", fingerprint("window"))
+    windows = windows.select("doc_id", "x.*").filter(F.size("window") == F.col("n")).withColumn("seen", fingerprint("window"))
     index = items.select("item", F.size("item_words").alias("n"), "fp", F.explode(around("fp")).alias("block"))
     bits = F.bit_count(F.col("seen").bitwiseXOR(F.col("fp")))
     close = windows.withColumn("block", F.explode(blocks("seen"))).join(index, ["n", "block"]).withColumn("distance", bits).filter(F.col("distance") <= RADIUS)
-    close = close.select("doc_id", "begin", "window", "distance", "item").distinct().join(items.select("item", "item_id", "size", "item_shingles", "unseen"), "item")
-    close = close.withColumn("own", F.array_distinct(shingles(F.col("window"), F.col("size"))))
-    add = lambda s, x: s + x["w"]
-    both = F.aggregate(F.filter("item_shingles", lambda x: F.array_contains("own", x["h"])), F.lit(0.0), add)
-    either = F.aggregate("item_shingles", F.lit(0.0), add) + F.col("unseen") * F.size(F.filter("own", lambda h: ~F.exists("item_shingles", lambda x: x["h"] == h)))
-    judged = close.select("doc_id", "item_id", F.col("begin").alias("word_at"), F.size("window").alias("n_words"), "distance", (both / either).alias("similarity")).filter(F.col("similarity") >= similarity)
+    close = close.select("doc_id", "begin", "n", "window", "distance", "item").distinct().join(items.select("item", "item_id", "size", "item_weight"), "item")
+    # of each window's shingles the weight among all items, and whether the item has it
+    pair = ["doc_id", "item_id", "item", "begin", "n", "distance", "seen", "item_weight"]
+    each = close.withColumn("seen", F.xxhash64("window")).select(*pair, F.explode(F.array_distinct(shingles(F.col("window"), F.col("size")))).alias("h"))
+    few = item_shingles.count() <= BROADCAST_SHINGLES
+    weights, mine = item_shingles.select("h", "w").distinct(), item_shingles.select("item", "h", F.col("w").alias("mine"))
+    each = each.join(F.broadcast(weights) if few else weights, "h", "left").join(F.broadcast(mine) if few else mine, ["item", "h"], "left")
+    sums = each.groupBy(*pair).agg(F.sum(F.coalesce("w", F.lit(unseen))).alias("window_weight"), F.coalesce(F.sum("mine"), F.lit(0.0)).alias("both"))
+    alike = F.col("both") / (F.col("item_weight") + F.col("window_weight") - F.col("both"))
+    judged = sums.select("doc_id", "item_id", F.col("begin").alias("word_at"), F.col("n").alias("n_words"), "distance", alike.alias("similarity")).filter(F.col("similarity") >= similarity - ROUNDING)
     best = judged.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("word_at", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("word_at"))).alias("x"))
     return best.select("doc_id", "item_id", "x.*")
 
