@@ -118,13 +118,48 @@ def test_suffix_order_and_matching_statistics():
     for _ in range(100):
         t = bytes(r.choice(b"\0ab") for _ in range(r.randrange(1, 90)))
         index = repeats.RunIndex(np.frombuffer(t, np.uint8))
-        order = index.order.tolist()
+        order = repeats.suffix_order(np.frombuffer(t, np.uint8)).tolist()
         assert order == sorted(range(len(t)), key=lambda i: t[i:])
-        m = index.matching(1000)
+        m, above = index.matching(), index.neighbour()
+        assert above[order[0]] == -1
         for j in range(1, len(t)):
             a, b = t[order[j] :], t[order[j - 1] :]
+            assert above[order[j]] == order[j - 1]
             assert m[order[j]] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        assert len(index.head) <= len(t)
+        assert np.repeat(index.symbols, index.lengths).tolist() == [t[k - 1] if k else -1 for k in order]
+
+
+def test_a_repetitive_text_has_few_runs():
+    r = random.Random(9)
+    base = bytes(r.choice(b"acgt") for _ in range(500))
+    t = b"".join(base[:k] + b"x" + base[k + 1 :] for k in range(0, 500, 25))
+    index = repeats.RunIndex(np.frombuffer(t, np.uint8))
+    assert len(t) == 10_000 and len(index.symbols) == len(index.sampled) < 1_500
+
+
+@pytest.mark.parametrize("letters", [b"ab\0", b"abc", b"\0"])
+def test_first_places_by_brute_force(letters):
+    """Few letters, NUL among them, so that strings lie at the ends of cuts and next to each other in any order."""
+    r = random.Random(7)
+    for _ in range(300):
+        strings = list({bytes(r.choice(letters) for _ in range(r.randrange(4, 14))) for _ in range(r.randrange(1, 6))})
+        docs, starts = np.array([r.randrange(4) for _ in strings]), np.array([r.randrange(50) for _ in strings])
+        first = {}
+        for text, doc, start in zip(strings, docs.tolist(), starts.tolist()):
+            for k in range(len(text) - 3):
+                first[text[k : k + 4]] = min(first.get(text[k : k + 4], (doc, start + k)), (doc, start + k))
+        got = list(zip(*(x.tolist() for x in repeats.first_places(strings, docs, starts, 4)), strict=True))
+        assert [x[:2] for x in got] == [(own, k) for own, text in enumerate(strings) for k in range(len(text) - 3)]
+        assert all((doc, at) == first[strings[own][k : k + 4]] for own, k, doc, at in got)
+
+
+@pytest.mark.parametrize("letters", ["ab\0", "a\0é"])
+def test_repeats_of_texts_with_nul(spark, letters):
+    r = random.Random(15)
+    rows = [(k, "".join(r.choice(letters) for _ in range(r.randrange(60)))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove(df, 10, 4).collect()}
+    assert got == removed_bytes(rows, 10)
 
 
 def test_matches_run_over_the_byte_between_cuts():
@@ -617,6 +652,39 @@ def test_decontamination_against_all_windows(spark):
     assert len(want) > 50 and got == want
 
 
+def test_decontamination_weighs_what_items_share(spark):
+    """Items hold common passages, so a window's other shingles often belong to other items and weigh little."""
+    r = random.Random(33)
+    common = [sentence(r, n, 400).split() for n in (6, 8, 12, 20)]
+    items = []
+    for _ in range(30):
+        words = [w for _ in range(r.randrange(1, 4)) for w in (r.choice(common) if r.random() < 0.7 else []) + sentence(r, r.randrange(4, 20), 400).split()]
+        items.append(" ".join(words))
+    rows = []
+    for doc in range(200):
+        words = r.choice(items).split()
+        for _ in range(r.randrange(3)):
+            at = r.randrange(len(words))
+            put = r.choice(common)[: r.randrange(1, 9)] if r.random() < 0.6 else [f"x{r.randrange(99)}"]
+            words[at : at + len(put)] = put
+        rows.append((doc, " ".join([sentence(r, r.randrange(30), 400), *words, sentence(r, r.randrange(30), 400)])))
+    want = alike_anywhere(rows, items, decontaminate.SIMILARITY)
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(df, bench).collect()}
+    print(len(want), "pairs, recall", len(got & want) / len(want))
+    assert len(want) > 50 and got == want
+
+
+def test_decontamination_similarity_by_hand(spark):
+    """Of ten shingles of a window nine are the item's; the tenth belongs to another item, so it weighs ln(1 + 2 / 1) and not ln(1 + 2)."""
+    a, b = [f"a{k}" for k in range(14)], [f"b{k}" for k in range(6)]
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[:5] + b))], "item_id long, text string")
+    doc = spark.createDataFrame([(7, " ".join(["x"] + a[:13] + ["y"])), (7, " ".join(["x"] + a[:13] + ["y"]))], "doc_id long, text string")
+    got = {x.item_id: x.similarity for x in decontaminate.leaks(doc, bench, 0.5).collect()}
+    shared, rare = np.log1p(1), np.log1p(2)
+    assert set(got) == {1} and abs(got[1] - (shared + 8 * rare) / (shared + 10 * rare)) < 1e-9
+
+
 # --- odd tables ---
 
 
