@@ -5,17 +5,17 @@ host and shape with their labels, so what follows handles shapes and not pages.
 whole number or hexadecimal run (an extension may follow), or the only one of a frequent node, stays as it is. Of the others, those that are not
 frequent below their node (MIN_SUPPORT rows, MIN_SHARE of the node) or have no label are variable and share the branch `*`.
 The branches of a node, MIN_SHARE of it each and so a bounded list, are then gone through by their share of bad pages: as long as the next
-one does not differ significantly (|z| < Z) from the branches gathered so far it joins them. Merged branches are `*` if they hold the variable
-ones, else `{a|b}`. Templates end after MAX_DEPTH segments with `**`. A template is rejected if its bad share, smoothed
+one does not differ significantly (|z| < Z) from the branches gathered so far it joins them; a `*` without a label stays by itself. Merged branches are `*` if they hold the variable
+ones, else `{a|b}`. Levels go on, however deep, while some node has MIN_SUPPORT rows; below that no branch is frequent, so the rest of a path is known at once. A template is rejected if its bad share, smoothed
 towards its host's and the host's towards the overall share, reaches MAX_BAD on at least MIN_LABELS labels.
 Rules for a host (with its subdomains) and a path prefix come before templates; the longest rule wins.
 
 Counts are partial aggregations and all joins are equi-joins on (host, path so far, segment), which Spark may split for
-a hot host. The state is written once per level, so no level is computed twice.
+a hot host. The state is written once per level, so no level is computed twice, and only what goes on below frequent nodes is in the next.
 
 Cases: a null url or one without :// has empty host and path and the template "" (allowed unless its labels
 say otherwise); labels repeated for one page count once, as bad if any says so; repeated pages count each; null ids are
-kept; a segment that is literally `*` is one of the variable ones; branches of equal share are taken by name; without any label every page is allowed; an empty table gives an empty result; other columns are ignored.
+kept; a segment that is literally `*` is one of the variable ones; branches of equal share are taken by name; a number too long for an id names no document; without any label every page is allowed; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize
+from orrery.llm.common import discard, materialize
 
-MAX_DEPTH = 6
+#: Segments that stay as they are: a number or hexadecimal run, perhaps with an extension.
+LITERAL = "^[#@]([.][a-z]+)?$"
 MIN_SUPPORT = 20
 MIN_SHARE = 0.01
 Z = 2.58
@@ -60,7 +61,8 @@ def shape(path: Column) -> Column:
 def merged(branches: DataFrame) -> DataFrame:
     """(host, template, branch, part) of rows (host, template, branch, cl, cb): neighbours in bad share that don't differ become one part."""
     group = "array<struct<cl:bigint,cb:bigint,names:array<string>>>"
-    each = F.struct((F.col("cb") / F.greatest(F.col("cl"), F.lit(1))).alias("share"), "branch", "cl", "cb")
+    # those without labels come last and join nothing
+    each = F.struct((F.col("cl") == 0).alias("unknown"), (F.col("cb") / F.greatest(F.col("cl"), F.lit(1))).alias("share"), "branch", "cl", "cb")
     lists = branches.groupBy("host", "template").agg(F.array_sort(F.collect_list(each)).alias("branches"))
 
     def similar(a: Column, b: Column) -> Column:
@@ -82,24 +84,33 @@ def merged(branches: DataFrame) -> DataFrame:
 
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, template, labelled, bad) of rows (host, shape, n, labelled, bad)."""
-    state = materialize(shapes.withColumn("segments", F.filter(F.split("shape", "/"), lambda s: s != "")).withColumn("template", F.lit("")), "shapes")
-    depth = min(MAX_DEPTH, state.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for d in range(1, depth + 1):
-        rows = state.withColumn("segment", F.get("segments", F.lit(d - 1)))
-        child = rows.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("c"), F.sum("labelled").alias("cl"), F.sum("bad").alias("cb"))
-        node = child.groupBy("host", "template").agg(F.sum("c").alias("t"))
-        child = child.join(node, ["host", "template"])
-        fixed = F.col("segment").rlike("^[#@]([.][a-z]+)?$") | ((F.col("c") == F.col("t")) & (F.col("c") >= MIN_SUPPORT))
+    rows = shapes.withColumn("segments", F.filter(F.split("shape", "/"), lambda s: s != ""))
+    rows = rows.withColumns({"template": F.lit(""), "rest": F.col("segments")})
+    out, done, states = ["host", "shape", "template", "labelled", "bad"], None, []
+    while True:
+        node = rows.filter(F.size("rest") > 0).groupBy("host", "template").agg(F.sum("n").alias("t")).filter(F.col("t") >= MIN_SUPPORT)
+        state = materialize(rows.join(node, ["host", "template"], "left"), "level")
+        states.append(state)
+        # below a node of few rows no branch is frequent
+        ends = F.transform("rest", lambda s: F.concat(F.lit("/"), F.when(s.rlike(LITERAL), s).otherwise("*")))
+        small = state.filter((F.size("rest") == 0) | F.col("t").isNull()).withColumn("template", F.concat("template", F.array_join(ends, ""))).select(*out)
+        done = small if done is None else done.unionByName(small)
+        rows = state.filter((F.size("rest") > 0) & F.col("t").isNotNull())
+        if rows.isEmpty():
+            break
+        rows = rows.withColumn("segment", F.get("rest", F.lit(0)))
+        child = rows.groupBy("host", "template", "segment", "t").agg(F.sum("n").alias("c"), F.sum("labelled").alias("cl"), F.sum("bad").alias("cb"))
+        fixed = F.col("segment").rlike(LITERAL) | ((F.col("c") == F.col("t")) & (F.col("c") >= MIN_SUPPORT))
         frequent = (F.col("c") >= MIN_SUPPORT) & (F.col("c") >= MIN_SHARE * F.col("t")) & (F.col("cl") > 0)
         child = child.withColumn("fixed", fixed).withColumn("branch", F.when(fixed | frequent, F.col("segment")).otherwise(F.lit("*")))
         branches = child.filter("NOT fixed").groupBy("host", "template", "branch").agg(F.sum("cl").alias("cl"), F.sum("cb").alias("cb"))
         parts = merged(branches).withColumn("fixed", F.lit(False))
         kept = child.join(parts, ["host", "template", "branch", "fixed"], "left").select("host", "template", "segment", F.coalesce("part", "segment").alias("part"))
-        state = materialize(
-            rows.join(kept, ["host", "template", "segment"], "left").withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "part"))).drop("segment", "part"),
-            f"level{d}",
-        )
-    return state.select("host", "shape", F.when(F.size("segments") > MAX_DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"), "labelled", "bad")
+        rows = rows.join(kept, ["host", "template", "segment"]).withColumns({"template": F.concat("template", F.lit("/"), "part"), "rest": F.slice("rest", 2, F.size("rest"))})
+        rows = rows.drop("segment", "part", "t")
+    done = materialize(done, "templates")
+    discard(*states)
+    return done
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -123,7 +134,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 
 def document_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels of pages by the document that the first number in the path names: bad if toxic or of low quality."""
-    number = F.expr("try_cast(regexp_extract(orrery_path, '/([0-9]{1,18})', 1) AS BIGINT)")
+    number = F.expr("try_cast(regexp_extract(orrery_path, '/([0-9]+)', 1) AS BIGINT)")
     named = pages.select("page_id", host_and_path(F.col("url"))[1].alias("orrery_path")).select("page_id", number.alias("doc_id"))
     bad = labels.groupBy("doc_id").agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad")).filter("bad IS NOT NULL")
     return named.join(bad, "doc_id").select("page_id", (F.col("bad") == 1).alias("bad"))
