@@ -444,10 +444,6 @@ def template_tree(pages, labels):
         for x in ended:
             found[x[0]] = prefix
         held = [x for x in held if len(x[0]) > depth]
-        if depth == urls.MAX_DEPTH:
-            for x in held:
-                found[x[0]] = prefix + "/**"
-            return
         total, by = sum(x[1][0] for x in held), defaultdict(list)
         for x in held:
             by[x[0][depth]].append(x)
@@ -461,8 +457,9 @@ def template_tree(pages, labels):
                 b[0], b[1] = b[0] + cl, b[1] + cb
                 b[2].append(seg)
         groups = []
-        for _, name, (cl, cb, segs) in sorted((b[1] / max(b[0], 1), n, b) for n, b in branches.items()):
-            if groups and groups[-1][0] and cl:
+        known = [(b[1] / b[0], n, b) for n, b in branches.items() if b[0]]
+        for _, name, (cl, cb, segs) in sorted(known):
+            if groups:
                 g = groups[-1]
                 p = (g[1] + cb) / (g[0] + cl)
                 spread = (p * (1 - p) * (1 / g[0] + 1 / cl)) ** 0.5
@@ -470,6 +467,7 @@ def template_tree(pages, labels):
                     groups[-1] = (g[0] + cl, g[1] + cb, g[2] + [name], g[3] + segs)
                     continue
             groups.append((cl, cb, [name], segs))
+        groups += [(0, 0, [name], segs) for name, (cl, _, segs) in branches.items() if not cl]
         for _, _, names, segs in groups:
             part = "*" if "*" in names else names[0] if len(names) == 1 else "{" + "|".join(sorted(names)) + "}"
             parts |= dict.fromkeys(segs, part)
@@ -489,15 +487,33 @@ def test_templates_against_a_tree_built_node_by_node(spark):
     rows, labels = [], {}
     for page in range(3000):
         top = r.choice(["ads", "promo", "news", "blog", "wiki", f"u{chr(97 + page % 26)}{chr(97 + page // 26 % 26)}"])
-        path = "/" + "/".join([top, *[r.choice(["a", "b", f"slug-{chr(97 + r.randrange(26))}", str(page), "x.html"]) for _ in range(r.randrange(8))]])
+        path = "/" + "/".join([top, *[r.choice(["a", "b", f"slug-{chr(97 + r.randrange(26))}", str(page), "x.html"]) for _ in range(r.randrange(8))], *["deep"] * (page % 40 == 0) * r.randrange(30)])
         rows.append((page, f"http://h.fr{path}"))
-        if r.random() < 0.5:
+        if r.random() < 0.5 and not top.startswith("u"):
             labels[page] = r.random() < {"ads": 0.9, "promo": 0.88, "news": 0.1, "wiki": 0.5}.get(top, 0.12)
     made = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, bad boolean")).collect()
     shape = {x.page_id: re.sub("[0-9]+", "#", x.path) for x in made}
     want = template_tree(sorted(shape.items()), labels)
     assert all(x.template == want[tuple(s for s in shape[x.page_id].split("/") if s)] for x in made)
     assert any("{ads|promo}" in x.template for x in made) and any(x.template.startswith("/*") for x in made)
+    verdict = defaultdict(list)
+    for x in made:
+        verdict[x.path.split("/")[1]].append(x.verdict)
+    assert np.mean([v == "block" for k in ("ads", "promo") for v in verdict[k]]) > 0.6 and "block" not in verdict["news"] + verdict["blog"]
+
+
+def test_branches_without_labels_part_no_others(spark):
+    """Clean branches 1a, aa and bb, and variable segments without a label that sort between them."""
+    rows = [(k, f"http://h.fr/{('1a', 'aa', 'bb')[k % 3]}/x") for k in range(150)] + [(1000 + k, f"http://h.fr/v{chr(97 + k % 26)}{chr(97 + k // 26)}/x") for k in range(60)]
+    made = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, False) for k in range(150)], "page_id long, bad boolean")).collect()
+    assert {x.template for x in made if x.page_id < 1000} == {"/{#a|aa|bb}/x"}
+    assert {x.template for x in made if x.page_id >= 1000} == {"/*/x"}
+
+
+def test_long_numbers_name_no_document(spark):
+    pages = spark.createDataFrame([(1, "http://h/123456789012345678901/7"), (2, "http://h/a/0012"), (3, "http://h/x12/12"), (4, "http://h/9223372036854775807")], "page_id long, url string")
+    labels = spark.createDataFrame([(123456789012345678, 0, 1), (7, 0, 1), (12, 0, 0), (9223372036854775807, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, urls.document_labels(pages, labels).collect())) == [(2, True), (3, True), (4, False)]
 
 
 # --- 6 ---
