@@ -264,10 +264,10 @@ class RunIndex:
         reach[at] = at + length
         return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
 
-    def neighbour(self) -> np.ndarray:
-        """For every place the one above it in suffix order, -1 for the first."""
-        ahead = np.repeat(np.where(self.above >= 0, self.above - self.sampled, -len(self.raw)), np.diff(np.append(self.sampled, len(self.raw))))
-        return np.maximum(np.arange(len(self.raw)) + ahead, -1)
+    def neighbour(self, places: np.ndarray) -> np.ndarray:
+        """For each place the one above it in suffix order, -1 for the first."""
+        run = np.searchsorted(self.sampled, places, "right") - 1
+        return np.where(self.above[run] < 0, -1, self.above[run] + places - self.sampled[run])
 
 
 #: Stands between cuts: no byte of UTF-8, so no match of whole strings runs over it.
@@ -279,20 +279,27 @@ def first_places(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, len
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     base = np.cumsum(sizes + 1) - sizes - 1
     index = RunIndex(np.frombuffer(APART.join(strings), np.uint8))
-    # equal strings are neighbours in suffix order: each links to the one above it, and all find the first of their stretch by doubling
-    top = np.where(index.matching() >= length, index.neighbour(), np.arange(len(index.raw)))
-    while (up := top[top]).tobytes() != top.tobytes():
-        top = up
     have = sizes - length + 1
     owner = np.repeat(np.arange(len(strings)), have)
     place = np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have)
-    mine = top[base[owner] + place]
-    far = np.iinfo(np.int64).max
-    first_doc, first_start = (np.full(len(index.raw), far) for _ in range(2))
-    np.minimum.at(first_doc, mine, docs[owner])
-    first_doc = first_doc[mine]
-    np.minimum.at(first_start, mine, np.where(docs[owner] == first_doc, starts[owner] + place, far))
-    return owner, place, first_doc, first_start[mine]
+    mine = base[owner] + place
+    # document and start in one number, so that the least is the earliest
+    known, rank = np.unique(docs, return_inverse=True)
+    first = np.full(len(index.raw), np.iinfo(np.int64).max)
+    first[mine] = (rank[owner] << 32) + starts[owner] + place
+    # equal strings are neighbours in suffix order: each links to the one above it, and all find the first of their stretch by doubling
+    same = np.flatnonzero(index.matching() >= length)
+    top = np.arange(len(index.raw))
+    top[same] = index.neighbour(same)
+    open_ = same
+    while len(open_):
+        up = top[top[open_]]
+        moved = up != top[open_]
+        top[open_] = up
+        open_ = open_[moved]
+    np.minimum.at(first, top[same], first[same])
+    found = first[top[mine]]
+    return owner, place, known[found >> 32], found & 0xFFFFFFFF
 
 
 def earliest(blobs: DataFrame, length: int) -> DataFrame:
