@@ -10,14 +10,18 @@ A bucket is never expanded into pairs:
 
 1. A star: the class of a bucket that has most mates in all its buckets is its pivot, so a group of near copies has few
    pivots, mostly the same in all buckets. Every class is compared with the best of its pivots by estimate.
-2. Buckets that still hold several components: the classes outside a bucket's largest component are its outliers.
+2. The classes of buckets that still hold several components are dealt anew, by their rare shingles: with the shingles in
+   order of how many of these classes have them, two sets as similar as the threshold share one of the first
+   n - ceil(threshold * n) + 1 of each. A shingle that one class alone has fills a place there and makes no bucket, so pages of one
+   template that differ in words of their own meet nowhere, however many they are.
+3. New buckets that hold several components: the classes outside a bucket's largest component are its outliers.
    Outliers of the same buckets are gathered into blocks of BLOCK classes at most; a class goes once to each block
    that has an outlier in one of its buckets, and is compared there with all outliers of other components. A block
    with many visitors is salted. What moves is a row for each class and block, not for each pair, and only links that
-   join components leave a block. Every pair of different components in a bucket has been compared then.
+   join components leave a block. Every pair of different components that could be linked has been compared then.
 
-The comparisons within blocks are still as many as outliers times mates, so a group of very many texts that lie mutually
-just below the threshold costs the square of its size in arithmetic (not in rows, or memory).
+Rows grow with the square of a group only where very many texts below the threshold share their rarest shingles with many
+others, each with different ones; then a class visits as many blocks as its buckets' outliers fill.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; with fewer than five words the whole
 sequence is the only shingle; rows with a null doc_id are kept and link with nothing; rows that share a doc_id are one
@@ -256,6 +260,28 @@ def mixed(here: DataFrame) -> DataFrame:
     return here.join(crowd, "key", "left_semi")
 
 
+def rare(here: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(key, node, label, n): the classes of here by the rare shingles of which linked ones share one. A shingle's rows are counted before
+    they meet and its joins can be split; a class's shingles meet in one row, which is no longer than its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
+            node = np.repeat(batch.column(0).to_numpy(), np.fromiter(map(len, found), np.int64, len(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["node", "key"])
+
+    nodes = here.select("node", "label", "n").distinct()
+    every = materialize(texts.select("node", "text").join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, key long"), "shingles")
+    shared = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    known = every.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("known")).join(nodes, "node")
+    # those of this class alone are its rarest
+    places = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100 - 1e-9) + 1 - (F.col("n") - F.size("known"))
+    keys = known.filter(places > 0).select(F.explode(F.slice("known", F.lit(1), places.cast("int"))).alias("x"), "node", "label", "n")
+    out = materialize(mixed(keys.select("x.key", "node", "label", "n")), "rare")
+    discard(every)
+    return out
+
+
 def star(here: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links of classes with the best pivot of their buckets."""
     pivots = here.groupBy("key").agg(F.max(F.struct("mates", "node", "label", "n")).alias("p"))
@@ -309,6 +335,9 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     here = materialize(mixed(mates.join(labels, "node")), "mixed")
     discard(found, mates)
     settle(spark)
+    crowds, here = here, rare(here, texts, percent)
+    discard(crowds)
+    settle(spark)
     members, visitors, out = outliers(here)
     found = materialize(compared(members, visitors, texts, percent), "links")
     discard(here, members, out, texts)
