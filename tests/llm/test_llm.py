@@ -120,7 +120,7 @@ def test_suffix_order_and_matching_statistics():
         index = repeats.RunIndex(np.frombuffer(t, np.uint8))
         order = repeats.suffix_order(np.frombuffer(t, np.uint8)).tolist()
         assert order == sorted(range(len(t)), key=lambda i: t[i:])
-        m, above = index.matching(), index.neighbour()
+        m, above = index.matching(), index.neighbour(np.arange(len(t)))
         assert above[order[0]] == -1
         for j in range(1, len(t)):
             a, b = t[order[j] :], t[order[j - 1] :]
@@ -779,6 +779,68 @@ def test_near_duplicates_lose_no_link_of_a_large_group(spark):
     assert n_links > 5_000 and got == {k: find(k) for k in range(len(texts))}
 
 
+def templated(r, n):
+    """Pages of 60 words that differ in two words of their own at five places each: far from any link, but in common bands."""
+    base = sentence(r, 60, 20_000).split()
+    out = []
+    for k in range(n):
+        w = list(base)
+        for j, at in enumerate((6, 17, 28, 39, 50)):
+            w[at : at + 2] = [f"p{k}q{j}", f"r{k}s{j}"]
+        out.append(" ".join(w))
+    return out
+
+
+def test_pages_of_one_template_meet_nowhere(spark, monkeypatch):
+    """Rows that move for 500, 1,000 and 2,000 pages grow no faster than the pages; a few near copies among them are still linked."""
+    made = []
+    plain = near.outliers
+
+    def counted(here):
+        members, visitors, out = plain(here)
+        made.append((here.count(), visitors.count()))
+        return members, visitors, out
+
+    monkeypatch.setattr(near, "outliers", counted)
+    for n in (500, 1000, 2000):
+        texts = templated(random.Random(n), n)
+        texts += [t + " more" for t in texts[:5]]
+        got = {x.doc_id: x.component_id for x in near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert got == {k: k - n if k >= n else k for k in range(n + 5)}
+    print(made)
+    assert made[2][1] <= max(50, 2.5 * made[1][1]) and made[2][0] <= max(500, 2.5 * made[1][0])
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_small_blocks_with_many_visitors(spark, monkeypatch, percent):
+    """Groups around the threshold whose pages share their rarest shingles, with blocks and salts of a few classes."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "VISITORS", 10)
+    r = random.Random(41)
+    texts = []
+    for _ in range(4):
+        base = sentence(r, 70, 20_000).split()
+        for _ in range(80):
+            w = list(base)
+            for at in r.sample(range(70), r.randrange(1, 4)):
+                w[at] = f"v{at}x{r.randrange(3)}"  # one of three other words
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    blocks = []
+    plain = near.outliers
+
+    def counted(here):
+        members, visitors, out = plain(here)
+        blocks.append((members.count(), members.select("block").distinct().count(), visitors.groupBy("block").count().agg(F.max("count")).first()[0]))
+        return members, visitors, out
+
+    monkeypatch.setattr(near, "outliers", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert got == components_of(rows, percent)
+    assert blocks[0][0] > near.BLOCK and blocks[0][2] > near.VISITORS, blocks
+
+
 def test_pipeline_keeps_columns(spark, tmp_path, docs):
     import corpus_pipeline
 
