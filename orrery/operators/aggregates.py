@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import columns as c
-from orrery.operators.joins import nearest
+from orrery.operators.joins import nearest, small
 
 
 def scalar(df: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def best_boxes(boxes: DataFrame, frames: DataFrame, least: float) -> DataFrame:
     rank = F.struct("score", -F.col("box"))
     top = boxes.groupBy("label").agg(F.max_by("box", rank).alias("top"))
     own = boxes.filter(F.col("score") > least).groupBy("label", "frame").agg(F.max_by("box", rank).alias("own"))
-    return top.crossJoin(scalar(frames)).join(own, ["label", "frame"], "left").select("label", "frame", F.coalesce("own", "top").alias("box"))
+    return frames.crossJoin(small(top)).join(own, ["label", "frame"], "left").select("label", "frame", F.coalesce("own", "top").alias("box"))
 
 
 def majority(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.functions import columns as c
 
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(df: DataFrame) -> Column:
+    """Estimated bytes of a row: fixed sizes by type, strings and arrays as long as they are."""
+
+    def of(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(x), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+                return F.aggregate(F.coalesce(x, F.array().cast(kind)), F.lit(16).cast("long"), lambda s, y: s + of(y, kind.elementType).cast("long"))
+            return F.coalesce(F.size(x), F.lit(0)) * 8 + 16
+        if isinstance(kind, T.StructType):
+            return sum((of(x[f.name], f.dataType) for f in kind.fields), F.lit(8))
+        if isinstance(kind, T.MapType):
+            return of(F.map_keys(x), T.ArrayType(kind.keyType)) + of(F.map_values(x), T.ArrayType(kind.valueType))
+        return F.lit(8)
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+
+
+def small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has few rows and few bytes, else as it is."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width(df)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["b"] <= size else df
 
 
 def projection_join(points: DataFrame, images: DataFrame) -> DataFrame:
