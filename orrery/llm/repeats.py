@@ -188,7 +188,7 @@ def suffix_order(raw: np.ndarray) -> np.ndarray:
     padded = np.concatenate((raw, np.zeros(8, np.uint8))).astype(np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     # a suffix of under 8 bytes ties with one that goes on with zero bytes; it is shorter and found out by what follows
     head = np.concatenate(([True], ranked[1:] != ranked[:-1]))
@@ -201,11 +201,11 @@ def suffix_order(raw: np.ndarray) -> np.ndarray:
         follows = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
         short = at + h >= n
         follows[short] = -(at[short] + 1)  # the later a suffix starts, the shorter and so the smaller it is
-        both = np.lexsort((follows, rank[at]))
-        at, follows = at[both], follows[both]
+        pair = (rank[at] << 32) + (follows + (n + 1))  # both are below 2**31
+        both = np.argsort(pair)
+        at, pair = at[both], pair[both]
         order[slots] = at
-        old = rank[at]
-        new = np.concatenate(([True], (old[1:] != old[:-1]) | (follows[1:] != follows[:-1])))
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))
         rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
         first = np.flatnonzero(new)
         size = np.diff(np.concatenate((first, [len(slots)])))
