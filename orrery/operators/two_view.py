@@ -127,6 +127,7 @@ def relative_poses(matches: DataFrame, limit: float, seed: int = 1) -> DataFrame
     row-major, and a point X of the first camera is rot X + t, up to the length of t, in the second one."""
     limit = limit * limit
     rows = matches.select(F.col("pair").cast("long").alias("pair"), *[F.col(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")])
+    rows = materialize(rows, "matches")  # read several times
     place = F.pmod(F.xxhash64("x1", "y1", "x2", "y2", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     sizes = rows.groupBy("pair").agg(F.count("*").alias("n")).filter(F.col("n") >= SAMPLE)
     drawn = rows.join(small(sizes), "pair").filter((F.col("n") <= POOL) | (place < POOL / F.col("n")))
