@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.operators import triangulation, two_view
+from orrery.functions import columns as c
+from orrery.operators import rotations, triangulation, two_view
 from orrery.plans import tables as t
 from orrery.plans.registry import query, rd, rounded
 
@@ -80,3 +81,36 @@ def sol11_points(spark, d):
 def sol11_eigen(spark, d):
     """From exact pixels the planted points come back."""
     return triangulation.triangulate(sightings(spark, d, False), 3, homogeneous=True).select("track_id", "n", *[rounded(F.col(k), 3).alias(k) for k in "xyz"])
+
+
+def _planted(k: str):
+    """A node's planted rotation: about z by k / 10, then about x by k / 7."""
+    x = F.col(k)
+    cz, sz, cx, sx, zero, one = F.cos(x / 10), F.sin(x / 10), F.cos(x / 7), F.sin(x / 7), F.lit(0.0), F.lit(1.0)
+    about_x, about_z = [[one, zero, zero], [zero, cx, -sx], [zero, sx, cx]], [[cz, -sz, zero], [sz, cz, zero], [zero, zero, one]]
+    return rotations.product(about_x, about_z)
+
+
+def relative_rotations(spark, d):
+    """Edges with the planted rotations' quotient; every fifth has a wrong one."""
+    e = t.edges(spark, d).select("a", "b", F.col("w").cast("double").alias("w")).withColumns({"pa": _planted("a"), "pb": _planted("b")})
+    e = e.select("a", "b", "w", rotations.product(rotations.matrix("pb"), [[F.get("pa", F.lit(3 * j + i)) for j in range(3)] for i in range(3)]).alias("rot"))
+    e = e.withColumn("turn", F.array(*sum(rotations.turned_by([0.3 + F.col("a") % 7 / 5, F.lit(-0.4), 0.2 + F.col("b") % 5 / 4]), [])))
+    bad = (F.col("a") * 31 + F.col("b") * 17) % 5 == 0
+    return e.withColumn("rot", F.when(bad, rotations.product(rotations.matrix("turn"), rotations.matrix("rot"))).otherwise(F.col("rot"))).drop("turn", "pa", "pb")
+
+
+@query(
+    "SOL04_rotation_averaging",
+    f"WITH {t.EDGES}, e AS (SELECT a AS node, (a * 31 + b * 17) % 5 = 0 AS bad FROM edges UNION ALL SELECT b, (a * 31 + b * 17) % 5 = 0 FROM edges) SELECT node, count(*) AS n, CAST(count_if(bad) AS BIGINT) AS n_bad, 0.0::DOUBLE AS tenths_off FROM e GROUP BY 1",
+)
+def sol04_average(spark, d):
+    """Per node its edges, those more than ten degrees off, and its distance from the planted rotation in whole tenths of a degree. SQL knows which edges were planted wrong."""
+    edges = relative_rotations(spark, d)
+    found = rotations.average(edges, 0)
+    judged = rotations.residuals(edges, found).select(F.explode(F.array("a", "b")).alias("node"), "angle")
+    counts = judged.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("angle") > 0.1745).alias("n_bad"))
+    m = rotations.matrix("m")
+    off = found.withColumn("planted", _planted("node")).select("node", rotations.product(rotations.matrix("rot"), [[F.get("planted", F.lit(3 * j + i)) for j in range(3)] for i in range(3)]).alias("m"))
+    degrees = F.degrees(F.acos(c.clamp((m[0][0] + m[1][1] + m[2][2] - 1) / 2, -1.0, 1.0)))
+    return counts.join(off, "node").select("node", "n", "n_bad", F.floor(degrees * 10).cast("double").alias("tenths_off"))
