@@ -5,10 +5,10 @@ into DIMS places. A text's vector is its logged counts times the inverse documen
 language has several centroids (spherical k-means over a bounded sample of labelled rows); a text goes to the
 language of the centroid with the largest cosine, and is rejected where that cosine lies further below the
 centroid's usual cosine, for texts of that many n-grams, than a fitted margin allows: SLACK times what all but QUANTILE
-of the labelled sample reach. Every language with a label is learned, however many there are.
+of the sample's texts reach that are nearest to their own language. Junk and mislabelled texts are fewer than that, so they don't set it. Every language with a label is learned, however many there are.
 
-The sample holds about SAMPLE rows of each language, taken by a hash of doc_id, so it does not depend on the
-order or the number of files. Prediction reads whole texts and nothing but the text.
+The sample holds about SAMPLE rows of each language, taken by a hash of doc_id and text, so it does not depend on the
+order or the number of files; rows that are alike in both count once. Prediction reads whole texts and nothing but the text.
 
 Cases: a null text, an empty text and a text without a letter are `und` with score 0 and are rejected; a null lang or
 doc_id is never learned from; with no labelled row at all every text is `und`; repeated rows give repeated results;
@@ -32,8 +32,8 @@ CENTROIDS = 4
 SAMPLE = 600
 ROUNDS = 12
 MEMBERS = 0.03
-QUANTILE = 0.001
-SLACK = 0.8
+QUANTILE = 0.005
+SLACK = 0.7
 UNDECIDED = "und"
 
 
@@ -123,14 +123,14 @@ def fit(docs: DataFrame) -> Model:
     language, and the usual cosine and the margin are aggregates. The driver gets DIMS counts and the centroids.
     """
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02).alias("n")).collect()}
     none = Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.ones(DIMS), np.zeros(1))
     if not counts:
         return none
     languages = sorted(counts)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, SAMPLE / counts[lang]))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(place < share[F.col("lang")])
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.filter(place < share[F.col("lang")]).dropDuplicates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -166,17 +166,18 @@ def fit(docs: DataFrame) -> Model:
         for batch in batches:
             at, n = ([np.asarray(x.values) for x in batch.column(k)] for k in (0, 1))
             size = [float(np.log(x.sum())) for x in n]
-            cosine = [model.nearest(p, x)[1] for p, x in zip(at, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(size, pa.float64()), pa.array(cosine, pa.float64())], names=["x", "y"])
+            near = [model.nearest(p, x) for p, x in zip(at, n, strict=True)]
+            own = [model.languages[model.owner[best]] == lang for (best, _), lang in zip(near, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(size, pa.float64()), pa.array([y for _, y in near], pa.float64()), pa.array(own, pa.bool_())], names=["x", "y", "own"])
 
-    sizes = found.select("at", "n").mapInArrow(measure, "x double, y double")
+    sizes = materialize(found.select("at", "n", "lang").mapInArrow(measure, "x double, y double, own boolean").filter("own"), "cosines")
     sums = sizes.agg(*[F.sum(F.pow("x", F.lit(k))).alias(f"x{k}") for k in range(5)], *[F.sum(F.pow("x", F.lit(k)) * F.col("y")).alias(f"y{k}") for k in range(3)], F.count_distinct("x").alias("sizes")).first()
     if sums["sizes"] > 10:
         model.usual = np.linalg.lstsq([[sums[f"x{j + k}"] for k in (2, 1, 0)] for j in range(3)], [sums[f"y{j}"] for j in range(3)], rcond=None)[0]
         x = F.col("x")
         usual = float(model.usual[0]) * x * x + float(model.usual[1]) * x + float(model.usual[2])
         model.margin = SLACK * sizes.agg(F.percentile_approx(F.col("y") / usual, QUANTILE, 10_000).alias("q")).first()["q"]
-    discard(found)
+    discard(found, sizes)
     return model
 
 
