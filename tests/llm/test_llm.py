@@ -253,6 +253,29 @@ def test_components(spark):
     assert got == {x: find(x) for x in list(parent)}
 
 
+def test_languages_that_share_letters_are_rejected(spark):
+    """Words of three languages in one alphabet, with shared endings; a twentieth is one word repeated. Trained without one, its texts go; learned ones stay."""
+    r = random.Random(51)
+    stems = {"xa": ["ver", "ung", "sch", "keit", "ein", "der", "und"], "xb": ["tion", "ment", "eau", "que", "les", "des", "oir"], "xc": ["ing", "the", "ness", "ough", "and", "wha", "ly"]}
+    common = ["er", "en", "an", "on"]
+
+    def text(lang, n):
+        return " ".join("".join(r.choice(stems[lang] + common) for _ in range(r.randrange(1, 4))) for _ in range(n))
+
+    rows = [(k, (text(lang, 1) + " ") * 40 if r.random() < 0.05 else text(lang, r.randrange(15, 80)), lang) for k, lang in enumerate(r.choice(sorted(stems)) for _ in range(1500))]
+    rows += rows[:1] * 3000  # one row again and again does not crowd others out of the sample
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    junk = {k for k, t, _ in rows if len(set(t.split())) == 1}
+    for out in sorted(stems):
+        model = language.fit(df.filter(F.col("lang") != out))
+        got = {x.doc_id: x for x in language.identify(df.dropDuplicates(["doc_id"]).filter(F.size(F.split("text", " ")) > 14), model, ["doc_id", "lang"]).collect()}
+        kept = [not x.rejected for k, x in got.items() if x.lang != out and k not in junk]
+        gone = [x.rejected for k, x in got.items() if x.lang == out and k not in junk]
+        print(out, np.mean(kept), np.mean(gone), model.margin)
+        assert np.mean(kept) > 0.995 and np.mean(gone) > 0.9
+        assert all(x.lang_pred == x.lang for k, x in got.items() if x.lang != out and k not in junk)
+
+
 # --- 10 ---
 
 
