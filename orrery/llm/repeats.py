@@ -32,7 +32,7 @@ from orrery.llm.common import discard, materialize, settle, sha256, shared_dir,
 
 LENGTH = 100
 GRAM = 28
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 2 << 20
 FLUSH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 
