@@ -337,9 +337,12 @@ def prune_weak(observations: DataFrame, least: int) -> DataFrame:
     return strong_clusters(w, row["threshold"] if row and row["threshold"] is not None else 20.0)
 
 
-def fixed_offsets(spark, n: int, most: int, step: int) -> DataFrame:
-    i = spark.range(n).select(F.col("id").alias("i"))
-    return i.select("i", F.explode(F.sequence(F.lit(step).cast("long"), F.lit(most).cast("long"), F.lit(step).cast("long"))).alias("s")).select("i", (F.col("i") + F.col("s")).alias("j")).filter(F.col("j") < n)
+def fixed_offsets(frames: DataFrame, n: int, most: int, step: int) -> DataFrame:
+    """(sequence, i, j) of the first n frames (sequence, frame) of each sequence by rank: pairs whose ranks differ by a multiple of step, most at most."""
+    ranked = frames.withColumn("i", F.row_number().over(Window.partitionBy("sequence").orderBy("frame")).cast("long") - 1).filter(F.col("i") < n)
+    held = ranked.groupBy("sequence").agg(F.count("*").alias("held"))
+    pairs = ranked.join(held, "sequence").select("sequence", "i", "held", F.explode(F.sequence(F.lit(step).cast("long"), F.lit(most).cast("long"), F.lit(step).cast("long"))).alias("s"))
+    return pairs.select("sequence", "i", (F.col("i") + F.col("s")).alias("j"), "held").filter(F.col("j") < F.col("held")).drop("held")
 
 
 def largest_region(pixels: DataFrame) -> DataFrame:

@@ -111,11 +111,18 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, skip_self:
     raise ValueError(f"some rows have fewer than {need} neighbours within {radius}")
 
 
-def mutual(pairs: DataFrame) -> DataFrame:
-    """(a, b) that are each other's nearest, of scored pairs (a, b, d); ties go to the smaller id."""
-    to = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    back = pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
-    return to.join(back, ["a", "b"])
+def nearest_vectors(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, d): the nearest vector of right for each of left, by squared distance, ties to the smaller id. Both have id and v; an id names one vector on either side."""
+    return search(left, right, 1, "distance").select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("s").alias("d"))
+
+
+def turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
+
+
+def mutual(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b) that are each other's nearest."""
+    return nearest_vectors(left, right).select("a", "b").join(turned(nearest_vectors(right, left)).select("a", "b"), ["a", "b"])
 
 
 def box_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -138,66 +145,130 @@ def observation_join(observations: DataFrame, points: DataFrame, images: DataFra
     return observations.join(points, "track_id").join(images, "image_id")
 
 
-def descend(pairs: DataFrame, seed: str, rounds: int) -> DataFrame:
-    """(a, b): from the seeds, a -> nearest b -> nearest a again and again; pairs that have come to rest."""
-    to = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    back = pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("next"))
-    from orrery.operators.state import materialize
-
-    step = materialize(to.join(back, "b").select("a", "b", "next"))
-    now = step.filter(seed).select("a")
-    for _ in range(rounds):
-        now = now.join(step, "a").select(F.col("next").alias("a")).distinct()
-    return now.join(step, "a").filter("a = next").select("a", "b").distinct()
+def descend(left: DataFrame, right: DataFrame, seeds: Column, rounds: int) -> DataFrame:
+    """(a, b): from the seeds, a -> nearest b -> nearest a again and again; pairs that have come to rest. Only vectors that are reached are searched for, each once."""
+    from orrery.operators.state import discard, materialize
+
+    def named(vectors: DataFrame, ids: DataFrame, known: DataFrame | None) -> DataFrame:
+        new = vectors.join(ids.withColumnRenamed(ids.columns[0], "id").distinct(), "id", "left_semi")
+        return new if known is None else new.join(known.select(F.col("a").alias("id")), "id", "left_anti")
+
+    to = back = None
+    front, spent = materialize(left.filter(seeds).select(F.col("id").alias("a")), "front"), []
+    for _ in range(rounds + 1):
+        new = materialize(nearest_vectors(named(left, front, to), right), "to")
+        to = new if to is None else to.unionByName(new)
+        over = front.join(to, "a").select("b").distinct()
+        new = materialize(nearest_vectors(named(right, over, back), left), "back")
+        back = new if back is None else back.unionByName(new)
+        rest = front.join(to.select("a", "b"), "a").join(back.select(F.col("a").alias("b"), F.col("b").alias("next")), "b")
+        now = materialize(rest.select("a", "b", "next").distinct(), "front")
+        spent.append(front)
+        if now.filter("a <> next").isEmpty() or len(spent) > rounds:
+            break
+        front = materialize(now.select(F.col("next").alias("a")).distinct(), "front")
+    discard(*spent)
+    return now.filter("a = next").select("a", "b").distinct()
+
+
+def both_ways(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Nearest pairs from either side, once each, with their distance."""
+    return nearest_vectors(left, right).unionByName(turned(nearest_vectors(right, left))).dropDuplicates(["a", "b"])
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    """Nearest pairs from either side, once each, with their distance."""
-    one = pairs.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", "b")).alias("x")).select("a", "x.b", "x.d")
-    two = pairs.groupBy("b").agg(F.min_by(F.struct("a", "d"), F.struct("d", "a")).alias("x")).select("x.a", "b", "x.d")
-    return one.unionByName(two).dropDuplicates(["a", "b"])
+QUERY_BLOCK = 2048
+ROW_BLOCK = 1 << 16
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(i, j, s): for each query the k rows with the largest dot product (rounded, ties to the smaller id), without itself and, if
-    they have tags, without rows of its own. Both have id, v and perhaps tag. Queries go to the tasks in blocks of about block
-    vectors; a task hands on its own best k of each query, so what is shuffled is tasks x queries x k rows."""
+def search(queries: DataFrame, rows: DataFrame, k: int, by: str = "product", block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+    """(i, j, s, rank): for each query the k rows with the largest dot product, or by "distance" the least squared distance (rounded, ties to
+    the smaller id), without itself and, if they have tags, without rows of its own. Both have id, v and perhaps tag. Blocks of queries meet blocks of rows in a grid:
+    either side goes once to each block of the other, a task holds one block of queries and the best k of each, and its rows pass by in batches."""
     from collections.abc import Iterator
 
     import numpy as np
     import pyarrow as pa
 
-    tagged = "tag" in rows.columns
-    blocks = -(-queries.count() // block)
+    tagged, sign = "tag" in rows.columns, 1.0 if by == "product" else -1.0
     columns = ["id", "v", *["tag"] * tagged]
-
-    def best_of(asked: dict):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked["id"]]
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                if not len(ids):
-                    continue
-                products = np.round(asked["v"] @ np.stack(batch.column(1).to_numpy(zero_copy_only=False)).T, 6)
-                tags = batch.column(2).to_numpy(zero_copy_only=False) if tagged else None
-                for q, own in enumerate(asked["id"]):
-                    ok = (ids != own) if tags is None else (ids != own) & (tags != asked["tag"][q])
-                    at, s = np.concatenate((held[q][0], ids[ok])), np.concatenate((held[q][1], products[q][ok]))
-                    top = np.lexsort((at, -s))[:k]
-                    held[q] = at[top], s[top]
-            i = np.repeat(asked["id"], [len(x[0]) for x in held])
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(np.concatenate([x[0] for x in held]), pa.int64()), pa.array(np.concatenate([x[1] for x in held]), pa.float64())], names=["i", "j", "s"])
-
-        return run
-
-    found = rows.sparkSession.createDataFrame([], "i long, j long, s double")
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select(*columns).toArrow()
-        if len(part):
-            asked = {"id": part["id"].to_numpy(), "v": np.stack(part["v"].to_numpy()), "tag": part["tag"].to_numpy() if tagged else None}
-            found = found.unionByName(rows.select(*columns).mapInArrow(best_of(asked), "i long, j long, s double"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "j")))
-    return ranked.filter(F.col("rank") <= k).drop("rank")
+    n_q, n_r = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (rows, row_block)))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    dealt = lambda n, name: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)
+    asked = queries.select(F.col("id").cast("long").alias("id"), *columns[1:]).select(dealt(n_q, "q"), every(n_r, "r"), F.lit(0).alias("side"), *columns)
+    held = rows.select(F.col("id").cast("long").alias("id"), *columns[1:]).select(every(n_q, "q"), dealt(n_r, "r"), F.lit(1).alias("side"), *columns)
+    both = asked.unionByName(held).repartition("q", "r").sortWithinPartitions("q", "r", "side", "id")
+
+    class Cell:
+        def __init__(self, key):
+            self.key, self.ids, self.vectors, self.tags, self.best = key, [], [], [], None
+
+        def close(self):
+            self.ids, self.vectors, self.tags = np.concatenate(self.ids), np.concatenate(self.vectors), np.concatenate(self.tags)
+            self.squares = (self.vectors * self.vectors).sum(1)
+            self.best = np.full((len(self.ids), 0), -np.inf), np.zeros((len(self.ids), 0), np.int64)
+
+        def meet(self, ids, vectors, tags):
+            for at in range(0, len(ids), 4096):
+                there, x = ids[at : at + 4096], vectors[at : at + 4096]
+                score = self.vectors @ x.T
+                if by != "product":
+                    score = 2 * score - self.squares[:, None] - (x * x).sum(1)[None]
+                score = np.round(score, 6)
+                score[self.ids[:, None] == there[None]] = -np.inf
+                if tagged:
+                    score[self.tags[:, None] == tags[None, at : at + 4096]] = -np.inf
+                # what is held has smaller ids, and of equal scores the first counts
+                score = np.concatenate((self.best[0], score), 1)
+                names = np.concatenate((self.best[1], np.broadcast_to(there, (len(self.ids), len(there)))), 1)
+                m = min(k, score.shape[1])
+                if m == 1:
+                    top = score.argmax(1)[:, None]
+                else:
+                    least = -np.partition(-score, m - 1, 1)[:, m - 1]
+                    top = np.empty((len(score), m), np.int64)
+                    for i in range(len(score)):
+                        near = np.flatnonzero(score[i] >= least[i])
+                        top[i] = near[np.argsort(-score[i, near], kind="stable")[:m]]
+                self.best = np.take_along_axis(score, top, 1), np.take_along_axis(names, top, 1)
+
+        def told(self):
+            if self.best is None:
+                self.close()
+            score, names = self.best
+            ok = np.isfinite(score)
+            i = np.repeat(self.ids, ok.sum(1))
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(names[ok], pa.int64()), pa.array(sign * score[ok] + 0.0, pa.float64())], names=["i", "j", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            q, r, side, ids = (batch.column(i).to_numpy() for i in range(4))
+            vectors = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+            tags = batch.column(5).to_numpy(zero_copy_only=False) if tagged else ids
+            edges = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (side[1:] != side[:-1])))).tolist()
+            for a, b in zip(edges, [*edges[1:], n], strict=True):
+                if cell is None or cell.key != (q[a], r[a]):
+                    if cell is not None and len(cell.ids):
+                        yield cell.told()
+                    cell = Cell((q[a], r[a]))
+                if side[a] == 0:
+                    cell.ids.append(ids[a:b])
+                    cell.vectors.append(vectors[a:b])
+                    cell.tags.append(tags[a:b])
+                elif len(cell.ids):
+                    if cell.best is None:
+                        cell.close()
+                    cell.meet(ids[a:b], vectors[a:b], tags[a:b])
+        if cell is not None and len(cell.ids):
+            yield cell.told()
+
+    found = both.mapInArrow(run, "i long, j long, s double")
+    order = F.desc("s") if by == "product" else F.col("s")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(order, "j")))
+    return ranked.filter(F.col("rank") <= k)
 
 
 def points_in_boxes(boxes: DataFrame, points: DataFrame, cell: float, keys: list[str] | None = None) -> DataFrame:

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+PREFIXES = ("ORRERY_SEG_", "ORRERY_MAP_", "ORRERY_TRAIN_")
+
 
 @dataclass
 class Segmentation:
@@ -51,7 +57,7 @@ class Options:
     def from_environment(cls, environment: Mapping[str, str] | None = None) -> Options:
         """ORRERY_SEG_, ORRERY_MAP_ and ORRERY_TRAIN_ with a field's name set that field; what cannot be read keeps its default."""
         env, out = os.environ if environment is None else environment, cls()
-        for prefix, part in (("ORRERY_SEG_", out.segmentation), ("ORRERY_MAP_", out.mapper), ("ORRERY_TRAIN_", out.training)):
+        for prefix, part in zip(PREFIXES, (out.segmentation, out.mapper, out.training), strict=True):
             for f in fields(part):
                 text, old = env.get(prefix + f.name.upper()), getattr(part, f.name)
                 if text is not None:
@@ -60,3 +66,26 @@ class Options:
                     except ValueError:
                         continue
         return out
+
+
+def resolved(settings: DataFrame, defaults: Options | None = None) -> DataFrame:
+    """One row per job with all options, of settings (job, name, text): what is not set, or cannot be read, keeps its default; of several texts the largest counts."""
+    base, columns = defaults or Options(), []
+    for prefix, part in zip(PREFIXES, (base.segmentation, base.mapper, base.training), strict=True):
+        for f in fields(part):
+            old = getattr(part, f.name)
+            text = F.trim(F.max(F.when(F.col("name") == prefix + f.name.upper(), F.col("text"))))
+            if isinstance(old, bool):
+                value = F.when(text.isNotNull(), F.lower(text).isin("1", "true", "yes"))
+            else:
+                value = text.try_cast("long" if isinstance(old, int) else "double")
+            columns.append(F.coalesce(value, F.lit(old)).alias(f.name))
+    return settings.groupBy("job").agg(*columns)
+
+
+def chosen(name: Column, registry: Mapping[str, Callable[[Column], Column]], value: Column) -> Column:
+    """The value under the registered function of that name; an unknown name is an error."""
+    out = F.raise_error(F.concat(F.lit("not registered: "), F.coalesce(name, F.lit("null")))).cast("double")
+    for key, f in registry.items():
+        out = F.when(name == key, f(value).cast("double")).otherwise(out)
+    return out

@@ -177,9 +177,10 @@ def gra19(spark, d):
     return g.breadth_first(t.edges(spark, d).filter("n > 12").select("a", "b"), 0, banned).withColumn("parent", F.coalesce("parent", F.lit(-1).cast("long")))
 
 
-@query("GRA20_fixed_offsets", "SELECT i, i + w AS j FROM (SELECT unnest(range(100)) AS i), (SELECT unnest([5, 10, 15, 20, 25, 30]) AS w) WHERE i + w < 100")
+@query("GRA20_fixed_offsets", "WITH k AS (SELECT c_nationkey AS sequence, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer) SELECT p.sequence, p.i, q.i AS j FROM k p JOIN k q ON p.sequence = q.sequence AND q.i < 100 AND q.i - p.i IN (5, 10, 15, 20, 25, 30)")
 def gra20(spark, d):
-    return g.fixed_offsets(spark, 100, 30, 5)
+    frames = t.table(spark, d, "customer").select(F.col("c_nationkey").alias("sequence"), F.col("c_custkey").alias("frame"))
+    return g.fixed_offsets(frames, 100, 30, 5)
 
 
 # --- clusters and iterations -------------------------------------------------------------------------------------

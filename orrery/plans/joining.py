@@ -73,12 +73,10 @@ def join06(spark, d):
 DD = "dd AS (SELECT p.vec_id AS a, q.vec_id AS b, round(list_sum(list_transform(list_zip(p.v, q.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 6) AS d FROM descriptors p, descriptors q WHERE p.label < 5 AND q.label >= 5)"
 
 
-def pair_distances(spark, d):
-    v = t.descriptors(spark, d)
-    p = v.filter("label < 5").select(F.col("vec_id").alias("a"), F.col("v").alias("p"))
-    q = v.filter("label >= 5").select(F.col("vec_id").alias("b"), F.col("v").alias("q"))
-    dist = F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return p.join(joins.small(q, 10_000), F.lit(True)).select("a", "b", F.round(dist, 6).alias("d"))
+def two_sides(spark, d):
+    """Descriptors of labels below 5, and the others."""
+    v = t.descriptors(spark, d).select(F.col("vec_id").alias("id"), "v", "label")
+    return v.filter("label < 5").drop("label"), v.filter("label >= 5").drop("label")
 
 
 MUTUAL = "m1 AS (SELECT a, arg_min(b, (d, b)) AS b FROM dd GROUP BY a), m2 AS (SELECT b, arg_min(a, (d, a)) AS a FROM dd GROUP BY b)"
@@ -86,7 +84,7 @@ MUTUAL = "m1 AS (SELECT a, arg_min(b, (d, b)) AS b FROM dd GROUP BY a), m2 AS (S
 
 @query("JOIN07_mutual_nearest", f"WITH {t.DESCRIPTORS}, {DD}, {MUTUAL} SELECT a, b FROM m1 JOIN m2 USING (a, b)")
 def join07(spark, d):
-    return joins.mutual(pair_distances(spark, d))
+    return joins.mutual(*two_sides(spark, d))
 
 
 @query(
@@ -94,12 +92,12 @@ def join07(spark, d):
     f"WITH RECURSIVE {t.DESCRIPTORS}, {DD}, {MUTUAL}, go(start, a, k) AS (SELECT a, a, 0 FROM m1 WHERE a % 2 = 0 UNION ALL SELECT start, m2.a, k + 1 FROM go JOIN m1 ON go.a = m1.a JOIN m2 ON m1.b = m2.b WHERE k < 6), f AS (SELECT start, arg_max(a, k) AS a FROM go GROUP BY start) SELECT DISTINCT f.a, m1.b FROM f JOIN m1 ON f.a = m1.a JOIN m2 ON m2.b = m1.b AND m2.a = f.a",
 )
 def join08(spark, d):
-    return joins.descend(pair_distances(spark, d), "a % 2 = 0", 6)
+    return joins.descend(*two_sides(spark, d), F.col("id") % 2 == 0, 6)
 
 
 @query("JOIN09_symmetric_union", f"WITH {t.DESCRIPTORS}, {DD}, {MUTUAL}, u AS (SELECT a, b FROM m1 UNION SELECT a, b FROM m2) SELECT a, b, {rd('least(10 - d, 9.5)')} AS conf FROM u JOIN dd USING (a, b)")
 def join09(spark, d):
-    return joins.both_ways(pair_distances(spark, d)).select("a", "b", rounded(F.least(10 - F.col("d"), F.lit(9.5))).alias("conf"))
+    return joins.both_ways(*two_sides(spark, d)).select("a", "b", rounded(F.least(10 - F.col("d"), F.lit(9.5))).alias("conf"))
 
 
 @query("JOIN10_names_outer_and_inner", "SELECT p_partkey AS id, p_size, n_name, n_name IS NULL AS created FROM part LEFT JOIN nation ON p_size = n_nationkey")

@@ -22,12 +22,6 @@ def folder(spark) -> str:
     return f"{shared_dir(spark)}/orrery-files-{uuid.uuid4().hex}"
 
 
-def _text(spark, lines: list[str]) -> str:
-    path = folder(spark)
-    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
-    return path
-
-
 CAMS = "cams AS (SELECT CAST(n_nationkey AS INTEGER) AS camera_id, 'PINHOLE' AS model, CAST(640 + n_nationkey AS BIGINT) AS width, 480::BIGINT AS height, CAST(n_nationkey + 0.5 AS DOUBLE) AS fx FROM nation)"
 
 
@@ -87,39 +81,75 @@ def src04_points(spark, d):
     return rows.select("point_id", "x", "y", rounded(F.col("z")).alias("z"), "r", "error", F.size("track").cast("long").alias("n"))
 
 
-@query("SRC05_06_detection", "SELECT 'transforms.json' AS first, 'sparse' AS second, 'sfm_data.json' AS third")
-def src05(spark, d):
-    found = (scenes.detect(["sfm_data.json", "transforms.json"]), scenes.detect(["sparse", "reconstruction.json"]), scenes.detect(["sfm_data.json"]))
-    return spark.createDataFrame([found], "first string, second string, third string")
+#: A project is a nation, its frames are suppliers; each project is one line of JSON.
+FRAMES = "fr AS (SELECT n_nationkey AS k, s_suppkey AS i, s_name AS name, s_acctbal AS bal FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 
 
-_FRAMES = '{"fl_x": 500, "fl_y": 510, "cx": 320, "cy": 240, "w": 640, "h": 480, "camera_angle_x": 0.8, "ply_file_path": "a.ply", "frames": [{"file_path": "b.png", "fl_x": 0, "transform_matrix": [[1,0,0,2]]}, {"file_path": "a.png", "fl_x": 700, "transform_matrix": [[1,0,0,3]]}]}'
+def frames(spark, d):
+    n = t.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
+    s = t.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("i"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("bal"))
+    return s.join(n, "k")
 
 
-@query("SRC07_transforms_json", "SELECT * FROM (VALUES ('a.png', 700.0::DOUBLE, 510.0::DOUBLE, 3.0::DOUBLE), ('b.png', 500.0, 510.0, 2.0)) v(file_path, fl_x, fl_y, tx)")
-def src07(spark, d):
-    return scenes.transforms(spark, _text(spark, [_FRAMES])).select("file_path", "fl_x", "fl_y", F.col("matrix")[0][3].alias("tx"))
+def _lines(spark, bodies) -> str:
+    path = folder(spark)
+    bodies.select(F.to_json("body").alias("value")).write.text(path)
+    return path
 
 
-_SHOTS = '[{"cameras": {"c1": {"projection_type": "perspective", "width": 640, "height": 480, "focal": 0.9}, "c2": {"projection_type": "fisheye", "width": 10, "height": 10, "focal": 1}}, "shots": {"a.jpg": {"rotation": [0,0,1], "translation": [1,2,3], "camera": "c1"}, "b.jpg": {"rotation": [0,0,0], "translation": [0,0,0], "camera": "c2"}}}]'
+@query(
+    "SRC05_06_detection",
+    f"WITH {FRAMES}, h AS (SELECT k, list(CASE i % 5 WHEN 0 THEN 'sfm_data.json' WHEN 1 THEN 'transforms.json' WHEN 2 THEN 'sparse' WHEN 3 THEN 'reconstruction.json' ELSE 'readme' END) AS f, list(CASE WHEN i % 3 = 0 THEN 'cameras.bin' WHEN i % 3 = 1 THEN 'cameras.txt' ELSE 'points.ply' END) AS m FROM fr GROUP BY 1) SELECT k, CASE WHEN list_contains(f, 'transforms.json') THEN 'transforms.json' WHEN list_contains(f, 'sparse') THEN 'sparse' WHEN list_contains(f, 'reconstruction.json') THEN 'reconstruction.json' WHEN list_contains(f, 'sfm_data.json') THEN 'sfm_data.json' END AS kind, CASE WHEN list_contains(m, 'cameras.bin') THEN 'cameras.bin' WHEN list_contains(m, 'cameras.txt') THEN 'cameras.txt' END AS model FROM h",
+)
+def src05(spark, d):
+    i = F.col("i")
+    files = F.when(i % 5 == 0, "sfm_data.json").when(i % 5 == 1, "transforms.json").when(i % 5 == 2, "sparse").when(i % 5 == 3, "reconstruction.json").otherwise("readme")
+    model = F.when(i % 3 == 0, "cameras.bin").when(i % 3 == 1, "cameras.txt").otherwise("points.ply")
+    held = frames(spark, d).groupBy("k").agg(F.collect_set(files).alias("f"), F.collect_set(model).alias("m"))
+    return held.select("k", scenes.detected(F.col("f")).alias("kind"), scenes.detected(F.col("m"), scenes.MODELS).alias("model"))
 
 
-@query("SRC08_reconstruction_json", "SELECT 'a.jpg' AS name, 576.0::DOUBLE AS focal, 3.0::DOUBLE AS tz")
-def src08(spark, d):
-    return scenes.shots(spark, _text(spark, [_SHOTS])).select("name", "focal", F.col("translation")[2].alias("tz"))
+def _transforms(spark, d) -> str:
+    k, i, lit = F.col("k"), F.col("i"), F.lit
+    frame = F.struct(F.col("name").alias("file_path"), F.when(i % 3 == 1, 0.0).when(i % 3 == 2, 600.0 + i % 50).alias("fl_x"), F.array(F.array(lit(1.0), lit(0.0), lit(0.0), F.col("bal"))).alias("transform_matrix"))
+    each = frames(spark, d).groupBy("k").agg(F.collect_list(frame).alias("frames"))
+    whole = [(500.0 + k).alias("fl_x"), lit(510.0).alias("fl_y"), lit(320.0).alias("cx"), lit(240.0).alias("cy"), lit(640.0).alias("w"), lit(480.0).alias("h"), (0.5 + k / 100).alias("camera_angle_x")]
+    return _lines(spark, each.select(F.struct(*whole, "frames").alias("body")))
 
 
-_SFM = '{"views": [{"key": 0, "value": {"ptr_wrapper": {"data": {"filename": "a.jpg", "id_intrinsic": 5, "id_pose": 9}}}}], "intrinsics": [{"key": 5, "value": {"ptr_wrapper": {"data": {"focal_length": 700.5, "width": 640, "height": 480}}}}], "extrinsics": [{"key": 9, "value": {"rotation": [[1,0,0]], "center": [1, 2, 4]}}]}'
+@query("SRC07_transforms_json", f"WITH {FRAMES} SELECT name AS file_path, CASE WHEN i % 3 = 2 THEN 600 + i % 50 ELSE 500 + k END::DOUBLE AS fl_x, 510.0::DOUBLE AS fl_y, CAST(bal AS DOUBLE) AS tx FROM fr")
+def src07(spark, d):
+    return scenes.transforms(spark, _transforms(spark, d), lines=True).select("file_path", "fl_x", "fl_y", F.col("matrix")[0][3].alias("tx"))
 
 
-@query("SRC09_sfm_data_json", "SELECT 'a.jpg' AS filename, 700.5::DOUBLE AS focal, 4.0::DOUBLE AS cz")
+@query("SRC08_reconstruction_json", f"WITH {FRAMES} SELECT name, {rd('0.9 * (640 + k)')} AS focal, CAST(bal AS DOUBLE) AS tz FROM fr WHERE k % 4 <> 0")
+def src08(spark, d):
+    """Every fourth project has cameras of a kind that is left out; each has a second reconstruction, which is ignored."""
+    k, three = F.col("k"), lambda *x: F.array(*[F.lit(v) if isinstance(v, float) else v for v in x])
+    name = F.concat(F.lit("c"), k.cast("string"))
+    shot = F.struct("name", F.struct(three(0.0, 0.0, 1.0).alias("rotation"), three(1.0, 2.0, F.col("bal")).alias("translation"), name.alias("camera")))
+    each = frames(spark, d).groupBy("k").agg(F.map_from_entries(F.collect_list(shot)).alias("shots"))
+    camera = F.struct(F.when(k % 4 == 0, "fisheye").otherwise("perspective").alias("projection_type"), (640.0 + k).alias("width"), F.lit(480.0).alias("height"), F.lit(0.9).alias("focal"))
+    one = F.struct(F.create_map(name, camera).alias("cameras"), "shots")
+    other = F.struct(F.create_map(name, camera).alias("cameras"), F.map_filter("shots", lambda n, s: n == "").alias("shots"))
+    return scenes.shots(spark, _lines(spark, each.select(F.array(one, other).alias("body"))), lines=True).select("name", rounded(F.col("focal")).alias("focal"), F.col("translation")[2].alias("tz"))
+
+
+@query("SRC09_sfm_data_json", f"WITH {FRAMES} SELECT name AS filename, 700.5 + i % 3 + k AS focal, CAST(bal AS DOUBLE) AS cz FROM fr")
 def src09(spark, d):
-    return scenes.sfm_data(spark, _text(spark, [_SFM])).select("filename", "focal", F.col("center")[2].alias("cz"))
+    """Projects use the same keys, three intrinsics each."""
+    k, i = F.col("k"), F.col("i")
+    data = lambda x: F.struct(F.struct(x.alias("data")).alias("ptr_wrapper"))
+    view = F.struct(i.alias("key"), data(F.struct(F.col("name").alias("filename"), (i % 3).alias("id_intrinsic"), i.alias("id_pose"))).alias("value"))
+    pose = F.struct(i.alias("key"), F.struct(F.array(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).alias("rotation"), F.array(F.lit(1.0), F.lit(2.0), F.col("bal")).alias("center")).alias("value"))
+    each = frames(spark, d).groupBy("k").agg(F.collect_list(view).alias("views"), F.collect_list(pose).alias("extrinsics"))
+    lens = F.array(*[F.struct(F.lit(j).cast("long").alias("key"), data(F.struct((700.5 + j + k).alias("focal_length"), F.lit(640).alias("width"), F.lit(480).alias("height"))).alias("value")) for j in range(3)])
+    return scenes.sfm_data(spark, _lines(spark, each.select(F.struct("views", lens.alias("intrinsics"), "extrinsics").alias("body"))), lines=True).select("filename", "focal", F.col("center")[2].alias("cz"))
 
 
-@query("SRC10_blender_json", f"SELECT file_path, {rd('0.5 * 640 / tan(0.4)', 4)} AS focal FROM (VALUES ('a.png'), ('b.png')) v(file_path)")
+@query("SRC10_blender_json", f"WITH {FRAMES} SELECT name AS file_path, {rd('0.5 * 640 / tan(0.5 * (0.5 + k / 100.0::DOUBLE))', 4)} AS focal FROM fr")
 def src10(spark, d):
-    return scenes.blender(spark, _text(spark, [_FRAMES]), 640.0).select("file_path", rounded(F.col("focal"), 4).alias("focal"))
+    return scenes.blender(spark, _transforms(spark, d), 640.0, lines=True).select("file_path", rounded(F.col("focal"), 4).alias("focal"))
 
 
 def _ply(spark, d) -> str:
@@ -307,10 +337,17 @@ def crd01(spark, d):
     return pr.newest(rows, "id", "version")
 
 
-@query("CFG01_02_03_options", "SELECT 0.65::DOUBLE AS threshold, 30::BIGINT AS min_inliers, 30000::BIGINT AS iterations")
+@query(
+    "CFG01_02_03_options",
+    f"WITH {FRAMES}, k AS (SELECT k AS job, max(CASE WHEN i % 4 = 0 THEN CASE WHEN i % 8 = 0 THEN 'unclear' ELSE (i % 90 / 100.0::DOUBLE)::VARCHAR END END) AS a, max(CASE WHEN i % 4 = 1 THEN (i % 60)::VARCHAR END) AS b, max(CASE WHEN i % 4 = 2 THEN CASE WHEN i % 3 = 0 THEN 'yes' ELSE 'no' END END) AS c FROM fr GROUP BY 1) SELECT job, coalesce(TRY_CAST(a AS DOUBLE), 0.5) AS threshold, coalesce(TRY_CAST(b AS BIGINT), 30) AS min_inliers, coalesce(c = 'yes', true) AS skip_pruning, 30000::BIGINT AS iterations FROM k",
+)
 def cfg(spark, d):
-    o = options.Options.from_environment({"ORRERY_SEG_THRESHOLD": "0.65"})
-    return spark.createDataFrame([(o.segmentation.threshold, o.mapper.min_inliers, o.training.iterations)], "threshold double, min_inliers long, iterations long")
+    """Settings of jobs, some of which can't be read."""
+    i = F.col("i")
+    name = F.when(i % 4 == 0, "ORRERY_SEG_THRESHOLD").when(i % 4 == 1, "ORRERY_MAP_MIN_INLIERS").when(i % 4 == 2, "ORRERY_MAP_SKIP_PRUNING").otherwise("OTHER")
+    text = F.when(i % 4 == 0, F.when(i % 8 == 0, "unclear").otherwise((i % 90 / 100.0).cast("string"))).when(i % 4 == 1, (i % 60).cast("string")).otherwise(F.when(i % 3 == 0, "yes").otherwise("no"))
+    settings = frames(spark, d).select(F.col("k").alias("job"), name.alias("name"), text.alias("text"))
+    return options.resolved(settings).select("job", "threshold", F.col("min_inliers").cast("long").alias("min_inliers"), "skip_pruning", F.col("iterations").cast("long").alias("iterations"))
 
 
 @query("SRC14_sampled_cloud", f"WITH {t.POINTS} SELECT count(*) AS n FROM (SELECT * FROM points LIMIT 1500)")
@@ -380,13 +417,15 @@ def snk12(spark, d):
     return spark.read.parquet(path).groupBy(F.col("version").cast("long").alias("version")).agg(F.sum("r").alias("total"))
 
 
-@query("SNK13_disparity_writers", "SELECT 12::BIGINT AS n, 12::BIGINT AS same")
+@query("SNK13_disparity_writers", "SELECT l_suppkey AS image, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS total, CAST(max(l_quantity) AS DOUBLE) AS most FROM (SELECT l_suppkey, l_linenumber - 1 AS y, l_orderkey % 5 AS x, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1")
 def snk13(spark, d):
-    import numpy as np
-
-    a = np.arange(1, 13, dtype="f4").reshape(3, 4)
-    back = binary.decode(spark.createDataFrame([(bytearray(binary.bytes_of_pfm(a)),)], "content binary"), binary.pfm_of, "x int, y int, value double")
-    return back.agg(F.count("*").alias("n"), F.count_if(F.col("value") == F.col("y") * 4 + F.col("x") + 1).alias("same"))
+    """Each image's pixels become a file and are read again; what has no value is not above 0 and comes back as infinite."""
+    rows = t.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image"), (F.col("l_linenumber") - 1).cast("int").alias("y"), (F.col("l_orderkey") % 5).cast("int").alias("x")).agg(F.max("l_quantity").cast("double").alias("value"))
+    files = binary.images_to_pfm(rows, "image")
+    path = folder(spark)
+    files.write.parquet(path)
+    back = binary.decode_named(spark.read.parquet(path), binary.pfm_of, "image long", "x int, y int, value double")
+    return back.filter(F.col("value") < float("inf")).groupBy("image").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
 
 
 @query("SNK14_exposures", "SELECT count(*) AS n FROM supplier")
@@ -395,9 +434,17 @@ def snk14(spark, d):
     return body.select(F.size(F.from_json("body", "map<string,string>")).cast("long").alias("n"))
 
 
-@query("UDX02_03_registries", "SELECT 'sfm_data.json' AS kind UNION ALL SELECT 'transforms.json' UNION ALL SELECT 'reconstruction.json'")
+@query(
+    "UDX02_03_registries",
+    f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'log' WHEN 2 THEN 'sigmoid' ELSE 'squared' END AS name, {rd('CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN sign(value) * ln(1 + abs(value)) WHEN 2 THEN 1 / (1 + exp(-value)) ELSE value * value END', 5)} AS loss FROM events",
+)
 def udx02(spark, d):
-    return spark.createDataFrame([(k,) for k in scenes.KINDS], "kind string")
+    """A criterion chosen by name for each row."""
+    registry = {"linear": lambda x: x, "log": c.signed_log1p, "sigmoid": c.sigmoid, "squared": lambda x: x * x}
+    k = F.col("event_id") % 4
+    name = F.when(k == 0, "linear").when(k == 1, "log").when(k == 2, "sigmoid").otherwise("squared")
+    rows = t.table(spark, d, "events").select("event_id", name.alias("name"), "value")
+    return rows.select("event_id", "name", rounded(options.chosen(F.col("name"), registry, F.col("value")), 5).alias("loss"))
 
 
 @query("NN03_mask_gate", "WITH k AS (SELECT o_custkey AS image, o_orderkey AS mask, (o_orderkey % 100) / 100.0::DOUBLE AS dist, (o_orderkey % 67) / 67.0::DOUBLE AS area FROM orders) SELECT image, arg_max(mask, (0.6 * (1 - dist) + 0.4 * area, -mask)) AS mask FROM k WHERE area > 0.02 AND area < 0.60 GROUP BY 1")

@@ -108,6 +108,38 @@ def encode(rows: DataFrame, writer) -> DataFrame:
     return rows.mapInArrow(run, "content binary")
 
 
+def decode_named(files: DataFrame, reader, key: str, schema: str) -> DataFrame:
+    """decode for files (key, content), with the key in front of every row; key is the name and type of one column."""
+    name, kind = key.split()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if rows := [{name: own} | row for row in reader(data)]:
+                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(f"{key}, {schema}"))
+    return files.select(F.col(name).cast(kind).alias(name), "content").mapInArrow(run, f"{key}, {schema}")
+
+
+def images_to_pfm(pixels: DataFrame, key: str) -> DataFrame:
+    """(key, content): a PFM file of each image's pixels (key, x, y, value); pixels without a value are 0. A row holds one image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = []
+            for held in batch.column(1).to_pylist():
+                a = np.zeros((max(p["y"] for p in held) + 1, max(p["x"] for p in held) + 1), "f4")
+                a[[p["y"] for p in held], [p["x"] for p in held]] = [p["value"] for p in held]
+                files.append(bytes_of_pfm(a))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=[key, "content"])
+
+    return pixels.groupBy(key).agg(F.collect_list(F.struct("x", "y", "value")).alias("held")).mapInArrow(run, f"`{key}` {dict(pixels.dtypes)[key]}, content binary")
+
+
 def cameras_of(data: bytes) -> Iterator[dict]:
     (n,), at = struct.unpack_from("<Q", data), 8
     for _ in range(n):

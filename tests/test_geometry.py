@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from orrery.operators import rotations, triangulation, two_view
+from orrery.operators import bundle, rotations, triangulation, two_view
+from orrery.operators.state import materialize
 
 
 def turn(v):
@@ -164,3 +165,74 @@ def test_conjugate_gradients_solve_the_laplacian(spark):
         rotations.ENOUGH = kept
     x = np.array([got[k] for k in range(n)])
     assert np.abs((x - x.mean(0)) - (want - want.mean(0))).max() < 1e-8
+
+
+# --- bundles ---
+
+
+def scene(r, n_cameras=5, n_points=30):
+    poses = [(turn(r.normal(size=3) * 0.2), np.array([*r.normal(size=2), 8.0])) for _ in range(n_cameras)]
+    points = r.normal(size=(n_points, 3)) * 1.5
+    seen = [(i, k) for i in range(n_cameras) for k in range(n_points) if (i + k) % 4]
+    at = np.array([poses[i][0] @ points[k] + poses[i][1] for i, k in seen])
+    return poses, points, seen, at[:, :2] / at[:, 2:]
+
+
+def frames_of(spark, poses, points, seen, xy):
+    obs = spark.createDataFrame([(i, k, float(x), float(y)) for (i, k), (x, y) in zip(seen, xy)], "camera long, track long, x double, y double").repartition(3)
+    cams = spark.createDataFrame([(i, rot.reshape(-1).tolist(), t.tolist()) for i, (rot, t) in enumerate(poses)], "camera long, rot array<double>, t array<double>")
+    return obs, cams, spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "track long, p array<double>")
+
+
+def test_blocks_are_derivatives():
+    r = np.random.default_rng(5)
+    rot, t, p, xy = turn([0.3, -0.2, 0.5]), np.array([0.2, 0.1, 6.0]), r.normal(size=3), np.array([0.01, 0.02])
+    cost = lambda d: float(bundle.blocks_of((turn(d[:3]) @ rot)[None], (t + d[3:6])[None], (p + d[6:])[None], xy[None], 10.0)[5][0])
+    w, u, v, gc, gp, _ = bundle.blocks_of(rot[None], t[None], p[None], xy[None], 10.0)
+    # turning acts before the shift, as in moved
+    eps, want = 1e-6, np.concatenate([gc[0], gp[0]])
+    got = [(cost(eps * e) - cost(-eps * e)) / (2 * eps) for e in np.eye(9)]
+    assert np.allclose(got, want, atol=1e-7)
+    assert bundle.blocks_of(rot[None], (t - [0, 0, 20])[None], p[None], xy[None], 0.5)[5][0] == 0.5
+
+
+def test_a_bundle_step_equals_a_dense_solver(spark, monkeypatch):
+    monkeypatch.setattr(bundle, "ENOUGH", 1e-22)
+    monkeypatch.setattr(bundle, "CG_STEPS", 40)
+    r = np.random.default_rng(7)
+    poses, points, seen, xy = scene(r, 3, 12)
+    poses = [(turn(r.normal(size=3) * 0.02) @ rot, t + r.normal(size=3) * 0.05) for rot, t in poses]
+    points = points + r.normal(size=points.shape) * 0.05
+    obs, cams, pts = frames_of(spark, poses, points, seen, xy)
+    i, k = np.array([x for x, _ in seen]), np.array([x for _, x in seen])
+    w, u, v, gc, gp, _ = bundle.blocks_of(np.array([poses[x][0] for x in i]), np.array([poses[x][1] for x in i]), points[k], xy, 0.05)
+    n, m = len(poses), len(points)
+    h, g = np.zeros((6 * n + 3 * m,) * 2), np.zeros(6 * n + 3 * m)
+    for j in range(len(seen)):
+        a, b = slice(6 * i[j], 6 * i[j] + 6), slice(6 * n + 3 * k[j], 6 * n + 3 * k[j] + 3)
+        h[a, a] += u[j]
+        h[b, b] += v[j]
+        h[a, b] += w[j]
+        h[b, a] += w[j].T
+        g[a] += gc[j]
+        g[b] += gp[j]
+    h += np.diag(np.diag(h)) * 0.01 + 1e-12 * np.eye(len(h))
+    want = np.linalg.solve(h, -g)
+    lin = materialize(bundle.linearised(obs, cams, pts, 0.05))
+    cameras, tracks = bundle.steps(lin, 0.01)
+    x = np.array([c.x for c in cameras.orderBy("camera").collect()])
+    d = np.array([c.d for c in tracks.orderBy("track").collect()])
+    assert np.abs(x.reshape(-1) - want[: 6 * n]).max() < 1e-7 and np.abs(d.reshape(-1) - want[6 * n :]).max() < 1e-7
+
+
+def test_bundle_adjustment_lowers_the_cost(spark):
+    r = np.random.default_rng(11)
+    poses, points, seen, xy = scene(r)
+    wrong = r.random(len(seen)) < 0.03
+    xy = xy + wrong[:, None] * 0.3
+    near = [(turn(r.normal(size=3) * 0.03) @ rot, t + r.normal(size=3) * 0.1) for rot, t in poses]
+    obs, cams, pts = frames_of(spark, near, points + r.normal(size=points.shape) * 0.1, seen, xy)
+    cameras, tracks, costs = bundle.adjust(obs, cams, pts, rounds=4, huber=0.02)
+    assert len(costs) == 5 and all(b < a for a, b in zip(costs, costs[1:])) and costs[-1] < 0.2 * costs[0]
+    rows = {x.camera: x for x in cameras.collect()}
+    assert all(np.allclose(np.array(x.rot).reshape(3, 3) @ np.array(x.rot).reshape(3, 3).T, np.eye(3)) for x in rows.values()) and tracks.count() == len(points)
