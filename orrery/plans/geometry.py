@@ -126,6 +126,6 @@ def sol08_bundle(spark, d):
     eye = F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])
     cameras = t.cameras(spark, d).select(F.col("image_id").alias("camera"), eye.alias("rot"), F.array(*[F.col(k) + off("image_id", m) for k, m in zip(("tx", "ty", "tz"), (2, 4, 6), strict=True)]).alias("t"))
     seen = v.select(F.col("image_id").alias("camera"), F.col("point_id").alias("track"), F.col("px").alias("x"), F.col("py").alias("y"))
-    cameras, points, costs = bundle.adjust(seen, cameras, points, rounds=5, huber=1.0)
+    cameras, points, costs = bundle.adjust(seen, cameras, points, rounds=3, huber=1.0)
     found = seen.agg(F.count("*").alias("n"), F.count_distinct("camera").alias("cameras"), F.count_distinct("track").alias("points"))
     return found.withColumn("thousandths", F.floor(F.sqrt(2 * F.lit(costs[-1]) / F.col("n")) * 1000).cast("double"))
