@@ -5,6 +5,8 @@ its pieces best-fit decreasing and emits the bins that are nearly full; the room
 where eight tasks at a time meet and whole bins are the items of another best-fit round. What a node hands on is
 bounded (CARRY bins, so a node gets as many units as a first task has pieces) and no task ever holds an unbounded part
 of the corpus; every other bin is emitted as it is. That many roomy bins are left only where hardly any text is short.
+What these limits may cost is bounded: of two bins that are at most half full best fit makes one, and the roomiest bin of
+a node goes on, so all sequences but one are more than half full whatever the limits, and there are at most twice as many as the tokens need.
 
 Cases: a null text counts as empty (one end token); a null doc_id is kept as null; repeated rows are packed once
 each; an empty table gives an empty result; other columns are ignored.

@@ -305,6 +305,25 @@ def test_packing(docs, corpus):
     assert len(by) <= 1.02 * -(-sum(r.length for r in rows) // 256) + 1
 
 
+@pytest.mark.parametrize("long", [True, False])
+def test_packing_beyond_its_limits(spark, monkeypatch, long):
+    """Tasks of few pieces, chunks and hand-over of a few bins, over many levels, with texts that leave roomy bins and with any: nothing is lost, and all sequences but one are more than half full."""
+    for name, n in (("CARRY", 3), ("CHUNK", 40), ("PIECES_PER_TASK", 50), ("FAN_IN", 2)):
+        monkeypatch.setattr(packing, name, n)
+    r = random.Random(19)
+    texts = [sentence(r, r.randrange(38, 70) if long else r.randrange(1, 120), 400) for _ in range(700)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sequence=256).collect()
+    assert {r.doc_id for r in rows} == set(range(700)) and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    by = defaultdict(list)
+    for x in rows:
+        by[x.sequence_id].append((x.offset, x.length))
+    assert all(sum(n for _, n in p) <= 256 and [o for o, _ in sorted(p)] == [0, *np.cumsum([n for _, n in sorted(p)])[:-1]] for p in by.values())
+    full = sorted(sum(n for _, n in p) for p in by.values())
+    need = -(-sum(full) // 256)
+    print(len(full), need)
+    assert full[1] > 128 and len(full) <= 2 * need
+
+
 def test_words_are_coded_as_whole_texts_are():
     from tokenizers import Tokenizer
 
