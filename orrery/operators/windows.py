@@ -69,9 +69,12 @@ def composite(rows: DataFrame, faintest: float = 1 / 255.0, cutoff: float = 1e-4
 
 
 def ema(rows: DataFrame, key: str, order: list[str], value: str, weight: float) -> DataFrame:
-    """(key, ema): the average from 0 that gives each new value the weight. It folds the ordered values of one key; its inputs are short meters, so a key's values fit in a row."""
-    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))).alias("vs"))
-    return held.select(key, F.aggregate("vs", F.lit(0.0), lambda e, x: weight * x["v"] + (1 - weight) * e).alias("ema"))
+    """(key, ema): the average from 0 that gives each new value the weight, after a key's last value. Each step is affine, so a value counts weight * (1 - weight) ** (values after it):
+    a sum that Spark adds up in parts, with places from range partitions, whatever share of the rows a key has."""
+    placed = global_rank(rows.select(key, *order, F.col(value).alias("v")), key, *order)
+    last = placed.groupBy(key).agg(F.max("place").alias("last"))
+    behind = (F.col("last") - F.col("place")).cast("double")
+    return placed.join(last, key).groupBy(key).agg(F.sum(weight * F.pow(F.lit(1.0 - weight), behind) * F.col("v")).alias("ema"))
 
 
 def smoothed(rows: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
