@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import columns as c
-from orrery.operators import bundle, rotations, triangulation, two_view
+from orrery.operators import bundle, focals, rotations, triangulation, two_view
 from orrery.plans import tables as t
 from orrery.plans.registry import query, rd, rounded
 
@@ -129,3 +129,37 @@ def sol08_bundle(spark, d):
     cameras, points, costs = bundle.adjust(seen, cameras, points, rounds=3, huber=1.0)
     found = seen.agg(F.count("*").alias("n"), F.count_distinct("camera").alias("cameras"), F.count_distinct("track").alias("points"))
     return found.withColumn("thousandths", F.floor(F.sqrt(2 * F.lit(costs[-1]) / F.col("n")) * 1000).cast("double"))
+
+
+def _transposed(name: str):
+    return [[F.get(name, F.lit(3 * j + i)) for j in range(3)] for i in range(3)]
+
+
+def fundamental_matrices(spark, d):
+    """Of the edges, for planted rotations, centres and focal lengths; every tenth is wrong."""
+    centre = lambda k: [F.col(k) % 7 - 3.0, F.col(k) % 5 - 2.0, F.col(k) % 11 / 2.0]
+    focal = lambda k: 500.0 + F.col(k) * 37 % 300
+    e = t.edges(spark, d).select("a", "b").withColumns({"pa": _planted("a"), "pb": _planted("b")})
+    between = [x - y for x, y in zip(centre("a"), centre("b"), strict=True)]
+    e = e.select("a", "b", rotations.product(rotations.matrix("pb"), _transposed("pa")).alias("rot"), F.array(*c.matvec(rotations.matrix("pb"), between)).alias("t")).filter(F.exists("t", lambda x: F.abs(x) > 1e-9))
+    x, y, z, zero = *[F.get("t", F.lit(k)) for k in range(3)], F.lit(0.0)
+    e = e.select("a", "b", rotations.product([[zero, -z, y], [z, zero, -x], [-y, x, zero]], rotations.matrix("rot")).alias("e"))
+    inverse = lambda k: [1 / focal(k), 1 / focal(k), F.lit(1.0)]
+    right = F.array(*[inverse("b")[i] * F.get("e", F.lit(3 * i + j)) * inverse("a")[j] for i in range(3) for j in range(3)])
+    wrong = F.array(*[F.get("f", F.lit(3 * j + i)) * s for i, row in enumerate(((1.0, 1.3, 0.7), (1.0, 1.0, 1.0), (0.8, 1.1, 1.0))) for j, s in enumerate(row)])
+    return e.select("a", "b", right.alias("f")).withColumn("f", F.when((F.col("a") * 31 + F.col("b") * 17) % 10 == 0, wrong).otherwise(F.col("f")))
+
+
+@query(
+    "SOL01_focal_calibration",
+    f"WITH {t.EDGES}, e AS (SELECT a, b, (a * 31 + b * 17) % 10 = 0 AS bad FROM edges WHERE a % 7 <> b % 7 OR a % 5 <> b % 5 OR a % 11 <> b % 11), k AS (SELECT a AS camera, bad FROM e UNION ALL SELECT b, bad FROM e) SELECT camera, count(*) AS n, CAST(count_if(bad) AS BIGINT) AS n_bad, 0.0::DOUBLE AS thousandths_off, true AS accepted FROM k GROUP BY 1",
+)
+def sol01_focals(spark, d):
+    """Per camera its pairs, those whose residual is too large (FLT11), its focal length's distance from the planted one in whole thousandths, and whether it is near enough to the prior (FLT10). SQL knows what was planted."""
+    pairs = fundamental_matrices(spark, d)
+    k = F.col("camera")
+    cameras = pairs.select(F.explode(F.array("a", "b")).alias("camera")).distinct().select("camera", ((500.0 + k * 37 % 300) * F.when(k % 3 == 0, 1.2).when(k % 3 == 1, 0.85).otherwise(1.0)).alias("focal"))
+    found = focals.calibrate(pairs, cameras)
+    judged = focals.pulls(pairs, found).groupBy("camera").agg(F.count("*").alias("n"), F.count_if(F.col("error") > 1e-5).alias("n_bad"))
+    off = F.floor(F.abs(F.col("focal") / (500.0 + k * 37 % 300) - 1) * 1000).cast("double")
+    return judged.join(found, "camera").select("camera", "n", "n_bad", off.alias("thousandths_off"), (F.col("focal") / F.col("prior")).between(0.1, 10.0).alias("accepted"))
