@@ -62,7 +62,8 @@ def calibrate(edges: DataFrame, cameras: DataFrame, rounds: int = ROUNDS) -> Dat
     for k in range(rounds):
         cauchy = max(CAUCHY, WIDE * FALL**k)
         sums = pulls(edges, now, cauchy).groupBy("camera").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.avg("error").alias("e"))
-        move = F.coalesce(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), -STEP * F.col("g") / (F.col("h") + 1e-12))), F.lit(0.0))
+        want = F.coalesce(-STEP * F.col("g") / (F.col("h") + 1e-12), F.lit(0.0))
+        move = F.greatest(F.lit(-MOST), F.least(F.lit(MOST), want))
         last, now = now, materialize(now.join(sums, "camera", "left").select("camera", (F.col("focal") * F.exp(move)).alias("focal"), "prior", F.col("e").alias("error"), F.abs(move).alias("move")), "focals")
         discard(last)
         if cauchy == CAUCHY and (now.agg(F.max("move").alias("m")).first()["m"] or 0.0) < SETTLED:
