@@ -52,6 +52,7 @@ MISS = 1e-6  # of pairs at the threshold: by the bands, and by the estimate
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 19
 VISITORS = 1_500
+RARE_TEXTS = 256  # whose shingles a task holds at once
 
 SIGNATURES = "doc_id long, text_key long, n_shingles long, hi long, lo long, registers binary"
 
@@ -266,9 +267,11 @@ def rare(here: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-            node = np.repeat(batch.column(0).to_numpy(), np.fromiter(map(len, found), np.int64, len(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["node", "key"])
+            for at in range(0, batch.num_rows, RARE_TEXTS):
+                part = batch.slice(at, RARE_TEXTS)
+                found = [shingles(t.encode("utf-8", "replace")) for t in part.column(1).to_pylist()]
+                node = np.repeat(part.column(0).to_numpy(), np.fromiter(map(len, found), np.int64, len(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["node", "key"])
 
     nodes = here.select("node", "label", "n").distinct()
     every = materialize(texts.select("node", "text").join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, key long"), "shingles")
