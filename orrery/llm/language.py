@@ -151,12 +151,16 @@ def fit(docs: DataFrame) -> Model:
 
     def learn(group: pa.Table) -> pa.Table:
         group = group.sort_by("doc_id")
-        x = np.zeros((len(group), DIMS), np.float32)
+        # only the places that the language's sample has
+        used = np.unique(group["at"].combine_chunks().flatten().to_numpy())
+        x = np.zeros((len(group), len(used)), np.float32)
         for row, at, n in zip(x, group["at"], group["n"], strict=True):
             at = at.values.to_numpy()
-            row[at] = np.log1p(n.values.to_numpy()) * idf[at]
+            row[np.searchsorted(used, at)] = np.log1p(n.values.to_numpy()) * idf[at]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centres = spherical(x, CENTROIDS).astype(np.float32)
+        found = spherical(x, CENTROIDS)
+        centres = np.zeros((len(found), DIMS), np.float32)
+        centres[:, used] = found
         return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(centres), pa.string()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
 
     made = sorted((r["lang"], bytes(r["centre"])) for r in found.groupBy("lang").applyInArrow(learn, "lang string, centre binary").collect())
