@@ -272,3 +272,13 @@ def test_dbscan_of_copies(spark, monkeypatch):
     # copies count as neighbours of each other: 200 make a core, two don't
     assert got == {**{k: k % 2 for k in range(400)}, 1000: 0, 1001: -1, 1002: -1, 1003: -1}
     assert max(pairs) < 20
+
+
+def def test_scale_of_exactly_the_limit(spark):
+    """In SQL exp(ln(0.05)) is above 0.05, and exp(ln(0.3)) is not above 0.3."""
+    from orrery.operators import splats
+
+    rows = spark.createDataFrame([(1, np.log(0.05).item(), 1.0), (2, np.nextafter(np.log(0.05), -9).item(), 1.0)], "id long, s0 double, grad double").withColumns({"s1": F.lit(-9.0), "s2": F.lit(-9.0)})
+    assert sorted((r.id, r.kind) for r in splats.densify(rows, 0.5, 0.05, 2).collect()) == [(1, "split"), (1, "split"), (2, "clone"), (2, "keep")]
+    assert [r.x for r in rows.select(splats.above(0.3).alias("x"), F.lit(1)).limit(1).collect()] == [False]
+    assert rows.limit(1).withColumn("s0", F.lit(float(np.log(0.3)))).select(splats.above(0.3).alias("x")).first().x is False
