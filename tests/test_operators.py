@@ -282,3 +282,11 @@ def def test_scale_of_exactly_the_limit(spark):
     assert sorted((r.id, r.kind) for r in splats.densify(rows, 0.5, 0.05, 2).collect()) == [(1, "split"), (1, "split"), (2, "clone"), (2, "keep")]
     assert [r.x for r in rows.select(splats.above(0.3).alias("x"), F.lit(1)).limit(1).collect()] == [False]
     assert rows.limit(1).withColumn("s0", F.lit(float(np.log(0.3)))).select(splats.above(0.3).alias("x")).first().x is False
+
+
+def test_files_hold_few_rows(spark):
+    cams = spark.range(12_000).repartition(1).select(F.col("id").cast("int").alias("camera_id"), F.lit(1).alias("model"), F.lit(4).cast("long").alias("width"), F.lit(3).cast("long").alias("height"), F.array(*[F.lit(1.0)] * 4).alias("params"))
+    files = binary.encode(cams, binary.bytes_of_cameras)
+    assert files.count() >= 12_000 // binary.FILE_ROWS
+    got = binary.decode(files, binary.cameras_of, "camera_id int, model int, width long, height long, params array<double>")
+    assert got.select("camera_id").distinct().count() == got.count() == 12_000
