@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def kernel(size: int = 11, sigma: float = 1.5) -> np.ndarray:
@@ -41,16 +45,23 @@ def ssim(pixels: DataFrame) -> DataFrame:
 
 
 def match_detections(pairs: DataFrame, least: float) -> DataFrame:
-    """(image, det, gt): detections by falling score each take the free box that they overlap most, if enough."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for _, rows in pdf.sort_values(["score", "det"], ascending=[False, True]).groupby("det", sort=False):
-            free = rows[(rows.iou >= least) & ~rows["gt"].isin(taken)]
-            if len(free):
-                best = free.sort_values(["iou", "gt"], ascending=[False, True]).iloc[0]
-                taken.add(int(best["gt"]))
-                out.append((int(best.image), int(best.det), int(best["gt"])))
-        return pd.DataFrame(out, columns=["image", "det", "gt"]).astype("int64")
-
-    return pairs.groupBy("image").applyInPandas(one, "image long, det long, gt long")
+    """(image, det, gt): detections by falling score each take the free box that they overlap most, if enough. Images lie sorted in
+    partitions and pass by in batches; a task holds the boxes that are taken in one image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done, taken = None, None, set()
+        for batch in batches:
+            out = []
+            for image, det, gt in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if image != now:
+                    now, done, taken = image, None, set()
+                if det != done and gt not in taken:
+                    done = det
+                    taken.add(gt)
+                    out.append((image, det, gt))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["image", "det", "gt"])
+
+    key = [F.col(k).cast("long").alias(k) for k in ("image", "det", "gt")]
+    near = pairs.filter((F.col("iou") >= least) & ~F.isnan("iou")).select(*key, "score", "iou")
+    order = ["image", F.isnan("score"), F.desc("score"), "det", F.desc("iou"), "gt"]
+    return near.repartition("image").sortWithinPartitions(*order).select("image", "det", "gt").mapInArrow(run, "image long, det long, gt long")

@@ -290,3 +290,21 @@ def test_files_hold_few_rows(spark):
     assert files.count() >= 12_000 // binary.FILE_ROWS
     got = binary.decode(files, binary.cameras_of, "camera_id int, model int, width long, height long, params array<double>")
     assert got.select("camera_id").distinct().count() == got.count() == 12_000
+
+
+def test_detections_pass_by(spark):
+    r = random.Random(5)
+    rows = [(i, d, g, (d * 7 % 5) / 5.0, r.randrange(10) / 10.0) for i in range(6) for d in range(12) for g in range(100, 109)] + [(0, 50, 100, float("nan"), 0.9), (0, 51, 101, 0.9, float("nan"))]
+    df = spark.createDataFrame(rows, "image long, det long, gt long, score double, iou double").repartition(5)
+    want = []
+    for i in range(6):
+        taken = set()
+        for d in sorted({x[1] for x in rows if x[0] == i}, key=lambda d: min((x[3] != x[3], -x[3], d) for x in rows if x[0] == i and x[1] == d)):
+            free = sorted((-x[4], x[2]) for x in rows if x[0] == i and x[1] == d and x[4] >= 0.3 and x[2] not in taken)
+            if free:
+                taken.add(free[0][1])
+                want.append((i, d, free[0][1]))
+    got = images.match_detections(df, 0.3)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # no call of Python for each image
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
