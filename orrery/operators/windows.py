@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,30 +104,32 @@ def best_mask(masks: DataFrame) -> DataFrame:
 
 def quota_selection(observations: DataFrame, quota: int, least: int, most: int) -> DataFrame:
     """Tracks by falling length until each image has more than its quota or most tracks are chosen. The choice depends on all
-    before it, so it runs in one task; tracks shorter than least never get there, and a track is one row."""
-    import pandas as pd
-
+    before it, so the sorted tracks pass through one task, which holds a batch of them and a count for each image that was chosen;
+    tracks shorter than least never get there, and a track is one row."""
     tracks = observations.groupBy("track_id").agg(F.collect_set("image_id").alias("images")).filter(F.size("images") >= least)
+    tracks = materialize(tracks.withColumn("n", F.size("images")), "tracks")
+    n_images = tracks.select(F.explode("images").alias("image")).agg(F.count_distinct("image")).first()[0]
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(n=pdf["images"].map(len)).sort_values(["n", "track_id"], ascending=False)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, int] = {}
-        images = {i for x in pdf["images"] for i in x}
-        out, open_images = [], set(images)
-        for track, own in zip(pdf["track_id"], pdf["images"], strict=True):
-            if not open_images or len(out) > most:
-                break
-            if all(have.get(i, 0) > quota for i in own):
-                continue
-            out.append(track)
-            for i in own:
-                have[i] = have.get(i, 0) + 1
-                if have[i] > quota:
-                    open_images.discard(i)
-        return pd.DataFrame({"track_id": out}).astype("int64")
-
-    chosen = tracks.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(choose, "track_id long")
-    return observations.join(chosen, "track_id", "left_semi")
+        chosen, still_open = 0, n_images
+        for batch in batches:
+            out = []
+            for track, own in zip(batch.column(0), batch.column(1), strict=True):
+                if not still_open or chosen > most:
+                    break
+                own = own.as_py()
+                if all(have.get(i, 0) > quota for i in own):
+                    continue
+                out.append(track.as_py())
+                chosen += 1
+                for i in own:
+                    have[i] = have.get(i, 0) + 1
+                    still_open -= have[i] == quota + 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["track_id"])
+
+    ordered = tracks.repartition(1).sortWithinPartitions(F.desc("n"), F.desc("track_id")).select("track_id", "images")
+    return observations.join(ordered.mapInArrow(choose, "track_id long"), "track_id", "left_semi")
 
 
 def farthest_points(rows: DataFrame, n: int) -> DataFrame:

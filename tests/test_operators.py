@@ -308,3 +308,20 @@ def test_detections_pass_by(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     # no call of Python for each image
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quota_passes_by(spark):
+    r = random.Random(6)
+    seen = sorted({(t, r.randrange(40)) for t in range(300) for _ in range(3 + t % 9)})
+    by = {t: {i for u, i in seen if u == t} for t in range(300)}
+    order = sorted((t for t in by if len(by[t]) >= 3), key=lambda t: (-len(by[t]), -t))
+    have, want, every = {}, [], {i for t in order for i in by[t]}
+    for t in order:
+        if all(have.get(i, 0) > 4 for i in every) or len(want) > 30:
+            break
+        if not all(have.get(i, 0) > 4 for i in by[t]):
+            want.append(t)
+            have |= {i: have.get(i, 0) + 1 for i in by[t]}
+    got = windows.quota_selection(spark.createDataFrame(seen, "track_id long, image_id long").repartition(4), 4, 3, 30)
+    assert sorted({x.track_id for x in got.collect()}) == sorted(want)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
