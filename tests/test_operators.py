@@ -325,3 +325,7 @@ def test_quota_passes_by(spark):
     got = windows.quota_selection(spark.createDataFrame(seen, "track_id long, image_id long").repartition(4), 4, 3, 30)
     assert sorted({x.track_id for x in got.collect()}) == sorted(want)
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_a_search_are_bounded():
+    assert joins.QUERY_BLOCK * joins.MEET * 8 <= 16 << 20
