@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import columns as c
@@ -30,6 +30,9 @@ WIDER = (16, 9, 4, 2, 1, 1, 1)
 CANDIDATES = 3
 ROUNDS = 2
 SAMPLE = 8
+#: Fits at the end, and how far their inliers go: squared, three of a normal distribution's deviations, seen from its median square.
+FINISH = 3
+DEVIATIONS = (3 * 1.4826) ** 2
 
 PLACES = [(i, j) for i in range(9) for j in range(i, 9)]
 
@@ -104,9 +107,10 @@ def scored(matches: DataFrame, candidates: DataFrame, limit: float) -> DataFrame
     return sums.groupBy("pair").agg(F.min_by(F.struct("e", "cost", "n_inliers", "n"), F.struct("cost", "k")).alias("x")).select("pair", "x.*")
 
 
-def improved(matches: DataFrame, best: DataFrame, limit: float) -> DataFrame:
-    """(pair, k, e): the matrix of all inliers of each pair's best one as candidate 1, and the best one itself as 0."""
-    near = matches.join(small(best.select("pair", "e")), "pair").filter(error() < limit)
+def improved(matches: DataFrame, best: DataFrame, limit: float | Column) -> DataFrame:
+    """(pair, k, e): the matrix of all inliers of each pair's best one as candidate 1, and the best one itself as 0. limit: the same for all pairs, or of best's columns."""
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+    near = matches.join(small(best.select("pair", "e", limit.alias("limit"))), "pair").filter(error() < F.col("limit"))
     a, b = (F.col("x1"), F.col("y1"), F.lit(1.0)), (F.col("x2"), F.col("y2"), F.lit(1.0))
     row = [b[k // 3] * a[k % 3] for k in range(9)]
     sums = near.groupBy("pair").agg(F.array(*[F.sum(row[i] * row[j]) for i, j in PLACES]).alias("sums"))
@@ -122,6 +126,14 @@ def improved(matches: DataFrame, best: DataFrame, limit: float) -> DataFrame:
     return sums.mapInArrow(run, "pair long, k int, e array<double>").unionByName(best.select("pair", F.lit(0).alias("k"), "e"))
 
 
+def typical(matches: DataFrame, candidates: DataFrame, limit: float) -> DataFrame:
+    """(pair, e, typical): of each pair's candidates with about as many inliers as any the one whose inliers' median error is least, and that error."""
+    each = matches.join(small(candidates), "pair").withColumn("error", error()).filter(F.col("error") < limit)
+    sums = each.groupBy("pair", "k", "e").agg(F.percentile_approx("error", 0.5).alias("typical"), F.count("*").alias("n"))
+    sums = sums.withColumn("few", F.col("n") < 0.9 * F.max("n").over(Window.partitionBy("pair")))
+    return sums.groupBy("pair").agg(F.min_by(F.struct("e", "typical"), F.struct("few", "typical", "k")).alias("x")).select("pair", "x.*")
+
+
 def relative_poses(matches: DataFrame, limit: float, seed: int = 1) -> DataFrame:
     """(pair, n, n_inliers, e, rot, t) of each pair with SAMPLE matches or more: limit is a distance in camera coordinates, e and rot are
     row-major, and a point X of the first camera is rot X + t, up to the length of t, in the second one."""
@@ -147,6 +159,14 @@ def relative_poses(matches: DataFrame, limit: float, seed: int = 1) -> DataFrame
         new = materialize(improved(rows, best, limit), "candidates")
         last, best = best, materialize(scored(rows, new, limit), "best")
         discard(last, new)
+    # wrong matches within the limit pull at the matrix, so the last fits take inliers only up to some of their own deviations
+    close = materialize(typical(rows, best.select("pair", F.lit(0).alias("k"), "e"), limit), "close")
+    for _ in range(FINISH):
+        new = materialize(improved(rows, close, F.least(F.lit(limit), DEVIATIONS * F.col("typical") + F.lit(1e-30))), "candidates")
+        last, close = close, materialize(typical(rows, new, limit), "close")
+        discard(last, new)
+    last, best = best, materialize(scored(rows, close.select("pair", F.lit(0).alias("k"), "e"), limit), "best")
+    discard(last, close)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

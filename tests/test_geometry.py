@@ -56,6 +56,20 @@ def test_relative_poses(spark, planted):
     assert again == {k: x.n_inliers for k, x in got.items()}
 
 
+def test_relative_poses_are_exact_without_noise(spark):
+    """Wrong matches that happen to lie within the limit don't pull at the matrix."""
+    r = np.random.default_rng(9)
+    rot, t = turn([0.1, -0.2, 0.05]), np.array([0.6, 0.0, 0.8])
+    x = r.normal(size=(4000, 3)) * 2 + [0, 0, 8]
+    y = x @ rot.T + t
+    a, b = (p[:, :2] / p[:, 2:] for p in (x, y))
+    b[:1600] = r.uniform(-0.6, 0.6, (1600, 2))
+    df = spark.createDataFrame([(0, *map(float, p), *map(float, q)) for p, q in zip(a, b)], "pair long, x1 double, y1 double, x2 double, y2 double")
+    (x,) = two_view.relative_poses(df, 1e-2).collect()
+    assert np.abs(np.array(x.rot).reshape(3, 3) - rot).max() < 1e-9
+    assert np.abs(np.array(x.t) - t).max() < 1e-9
+
+
 def test_candidates_of_a_pool(planted):
     rows, _ = planted
     x = np.array([r[1:] for r in rows if r[0] == 0])
