@@ -152,7 +152,7 @@ def join15(spark, d):
     k = F.col("p_partkey")
     pts = t.table(spark, d, "part").select(k.alias("id"), (k % 997).alias("sheet"), ((k % 29) / 9.0).alias("x"), ((k % 23) / 7.0).alias("y"))
     on_sheets = boxes(spark, d, "a").withColumn("sheet", F.col("image") % 997)
-    return joins.points_in_boxes(on_sheets, pts, 1.0, ["sheet"]).groupBy(F.col("a").alias("box")).agg(F.count("*").alias("n"))
+    return joins.counts_in_boxes(on_sheets, pts, 1.0, ["sheet"]).select(F.col("a").alias("box"), "n")
 
 
 RECTS = f"{t.VIEWS}, rects AS (SELECT point_id * 100 + image_id AS id, image_id, depth, greatest(0, CAST(floor((u - 12) / 16) AS BIGINT)) AS x0, least(40, CAST(floor((u + 12) / 16) AS BIGINT) + 1) AS x1, greatest(0, CAST(floor((v - 12) / 16) AS BIGINT)) AS y0, least(40, CAST(floor((v + 12) / 16) AS BIGINT) + 1) AS y1 FROM views)"

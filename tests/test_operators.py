@@ -274,7 +274,7 @@ def test_dbscan_of_copies(spark, monkeypatch):
     assert max(pairs) < 20
 
 
-def def test_scale_of_exactly_the_limit(spark):
+def test_scale_of_exactly_the_limit(spark):
     """In SQL exp(ln(0.05)) is above 0.05, and exp(ln(0.3)) is not above 0.3."""
     from orrery.operators import splats
 
@@ -329,3 +329,14 @@ def test_quota_passes_by(spark):
 
 def test_blocks_of_a_search_are_bounded():
     assert joins.QUERY_BLOCK * joins.MEET * 8 <= 16 << 20
+
+
+def test_counts_in_boxes_of_copies(spark, monkeypatch):
+    points = spark.range(600).select("id", (F.col("id") % 2).alias("sheet"), (F.col("id") % 3 / 1.0).alias("x"), F.lit(0.5).alias("y"))
+    boxes = spark.range(100).select(F.col("id").alias("a"), (F.col("id") % 4).alias("sheet"), F.lit(0.0).alias("ax0"), F.lit(0.0).alias("ay0"), F.lit(2.0).alias("ax1"), F.lit(1.0).alias("ay1"))
+    rows, inner = [], joins.points_in_boxes
+    monkeypatch.setattr(joins, "points_in_boxes", lambda *x: rows.append(inner(*x).count()) or inner(*x))
+    got = {r.a: r.n for r in joins.counts_in_boxes(boxes, points, 1.0, ["sheet"]).collect()}
+    assert got == {k: 200 for k in range(100) if k % 4 < 2}
+    # two sheets, one kind of box, two places in it: not 50 * 200 pairs
+    assert rows == [4]
