@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import columns as c
 from orrery.operators import bundle, focals, rotations, triangulation, two_view
+from orrery.operators.state import materialize
 from orrery.plans import tables as t
 from orrery.plans.registry import query, rd, rounded
 
@@ -156,7 +157,7 @@ def fundamental_matrices(spark, d):
 )
 def sol01_focals(spark, d):
     """Per camera its pairs, those whose residual is too large (FLT11), its focal length's distance from the planted one in whole thousandths, and whether it is near enough to the prior (FLT10). SQL knows what was planted."""
-    pairs = fundamental_matrices(spark, d)
+    pairs = materialize(fundamental_matrices(spark, d), "pairs")  # read several times
     k = F.col("camera")
     cameras = pairs.select(F.explode(F.array("a", "b")).alias("camera")).distinct().select("camera", ((500.0 + k * 37 % 300) * F.when(k % 3 == 0, 1.2).when(k % 3 == 1, 0.85).otherwise(1.0)).alias("focal"))
     found = focals.calibrate(pairs, cameras)

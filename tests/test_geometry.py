@@ -278,3 +278,19 @@ def test_focal_calibration(spark):
     got = {x.camera: x for x in focals.calibrate(spark.createDataFrame(rows, "a long, b long, f array<double>"), spark.createDataFrame(cams, "camera long, focal double")).collect()}
     assert max(abs(got[k].focal / planted[k] - 1) for k in range(n)) < 0.01
     assert got[99].focal == got[99].prior == 640.0 and got[99].error is None
+
+
+def test_pairs_of_focal_lengths_are_made_once(spark, monkeypatch):
+    from conftest import DATA
+
+    from orrery.plans import geometry
+
+    class Seen(Exception):
+        pass
+
+    def look(pairs, cameras):
+        raise Seen(pairs.inputFiles()[0])
+
+    monkeypatch.setattr(geometry.focals, "calibrate", look)
+    with pytest.raises(Seen, match="orrery-pairs"):
+        geometry.sol01_focals(spark, DATA)
