@@ -6,6 +6,9 @@ The points' 3 x 3 blocks are inverted in their rows and eliminated; the reduced
 product with a vector is a join of the observations with the cameras, a sum by track, a join with the tracks and a sum by camera. So a
 camera or a track with any share of the observations is a partial aggregation, and the driver sees sums only. A step counts
 if the robust cost falls; else its damping grows.
+
+With FEW cameras the observations move once, into a row per track, and are linearised anew in each pass instead of being written: a task
+sums the reduced system of the cameras it sees, in blocks by pair of cameras, and these sums are all that is shuffled. The system is solved on the driver.
 """
 
 from __future__ import annotations
@@ -28,6 +31,12 @@ CG_STEPS = 20
 DAMPING = 1e-4
 UPPER6 = [(i, j) for i in range(6) for j in range(i, 6)]
 UPPER3 = [(i, j) for i in range(3) for j in range(i, 3)]
+#: Up to so many cameras their reduced system is formed. A track's row then has no more observations than that, unless a camera sees it twice.
+FEW = 200
+#: So many observations are linearised at once.
+AT_ONCE = 1 << 15
+HELD = "track long, p array<double>, seen array<struct<camera:int,x:double,y:double>>"
+SUMS = "kind int, a int, b int, s array<double>"
 LINEAR = "camera long, track long, w array<double>, u array<double>, gc array<double>, v array<double>, gp array<double>, cost double"
 
 
@@ -146,8 +155,161 @@ def moved(cameras: DataFrame, points: DataFrame, by: tuple[DataFrame, DataFrame]
     return materialize(new, "cameras"), materialize(pts, "points")
 
 
+def packed(observations: DataFrame, points: DataFrame, cameras: list[int]) -> DataFrame:
+    """HELD: a track's point and its observations by the cameras' places in the list. Observations and points move once."""
+    places = F.create_map(*[x for k, camera in enumerate(cameras) for x in (F.lit(camera).cast("long"), F.lit(k))])
+    rows = observations.select(F.col("track").cast("long").alias("track"), F.try_element_at(places, F.col("camera").cast("long")).alias("camera"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("camera IS NOT NULL")
+    seen = rows.repartition("track").groupBy("track").agg(F.collect_list(F.struct("camera", "x", "y")).alias("seen"))
+    return seen.join(points.select(F.col("track").cast("long").alias("track"), "p").hint("merge"), "track").select("track", "p", "seen")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], n_cameras: int):
+    """Of a batch of HELD rows some at a time: track of each observation, where tracks start, cameras, pixels and points."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        p, seen = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, 3), batch.column(2)
+        size, flat = seen.value_lengths().to_numpy(zero_copy_only=False), seen.flatten()
+        camera, xy = flat.field(0).to_numpy(zero_copy_only=False), np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in (1, 2)], 1)
+        stop = np.cumsum(size)
+        lo = 0
+        while lo < len(size):
+            begin = stop[lo] - size[lo]
+            hi = max(lo + 1, min(int(np.searchsorted(stop, begin + AT_ONCE, "right")), lo + AT_ONCE * 2 // n_cameras))
+            some = slice(begin, stop[hi - 1])
+            yield batch, slice(lo, hi), np.repeat(np.arange(hi - lo), size[lo:hi]), stop[lo:hi] - size[lo:hi] - begin, camera[some], xy[some], p[lo:hi]
+            lo = hi
+
+
+def _inverses(v: np.ndarray, damping: float) -> np.ndarray:
+    m = v.copy()
+    d = np.arange(3)
+    m[:, d, d] = m[:, d, d] * (1 + damping) + 1e-12
+    return np.linalg.inv(m)
+
+
+def reduced(held: DataFrame, rots: np.ndarray, ts: np.ndarray, damping: float, huber: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The cameras' system with the points eliminated, its right side, and the cost: sums by pair of cameras, made in the tasks."""
+    n_c = len(ts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, own, right, total = np.zeros((6 * n_c, 6 * n_c)), np.zeros((n_c, 6, 6)), np.zeros((n_c, 6)), 0.0
+        there = np.zeros(n_c, bool)
+        for _, _, track, starts, camera, xy, p in _chunks(batches, n_c):
+            w, u, v, gc, gp, cost = blocks_of(rots[camera], ts[camera], p[track], xy, huber)
+            inv, gp = _inverses(np.add.reduceat(v, starts), damping), np.add.reduceat(gp, starts)
+            order = np.argsort(camera, kind="stable")
+            first = np.flatnonzero(np.diff(camera[order], prepend=-1))
+            names = camera[order][first]
+            there[names] = True
+            own[names] += np.add.reduceat(u[order], first)
+            z = np.einsum("nij,nj->ni", inv, gp)
+            right[names] += np.add.reduceat((np.einsum("nij,nj->ni", w, z[track]) - gc)[order], first)
+            total += cost.sum()
+            # a table of the cameras' six rows by the tracks' three columns
+            wide = np.zeros((len(p), n_c, 6, 3))
+            at = track * n_c + camera
+            if len(np.unique(at)) == len(at):
+                wide[track, camera] = w
+            else:
+                np.add.at(wide, (track, camera), w)
+            wide = wide.reshape(len(p), 6 * n_c, 3)
+            turned = wide @ inv
+            pairs += turned.transpose(1, 0, 2).reshape(6 * n_c, -1) @ wide.transpose(1, 0, 2).reshape(6 * n_c, -1).T
+        names = np.flatnonzero(there)
+        a, b = (names[k] for k in np.triu_indices(len(names)))
+        blocks = pairs.reshape(n_c, 6, n_c, 6).transpose(0, 2, 1, 3)[a, b].reshape(-1, 36)
+        sides = np.zeros((len(names), 36))
+        sides[:, :6] = right[names]
+        costs = np.zeros((1, 36))
+        costs[0, 0] = total
+        s = np.concatenate([blocks, own[names].reshape(-1, 36), sides, costs])
+        kind = np.repeat(np.arange(4, dtype=np.int32), [len(a), len(names), len(names), 1])
+        one = [np.concatenate([x, names, names, [0]]).astype(np.int32) for x in (a, b)]
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(s.reshape(-1)), 36).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, one), lists], names=["kind", "a", "b", "s"])
+
+    system, right, total = np.zeros((n_c, 6, n_c, 6)), np.zeros((n_c, 6)), 0.0
+    for row in held.mapInArrow(run, SUMS).groupBy("kind", "a", "b").agg(_sums("s", 36)).collect():
+        s = np.array(row["s"])
+        if row["kind"] == 0:
+            system[row["a"], :, row["b"]] -= s.reshape(6, 6)
+            if row["a"] != row["b"]:
+                system[row["b"], :, row["a"]] -= s.reshape(6, 6).T
+        elif row["kind"] == 1:
+            system[row["a"], :, row["a"]] += s.reshape(6, 6) * (1 + damping * np.eye(6)) + 1e-12 * np.eye(6)
+        elif row["kind"] == 2:
+            right[row["a"]] = s[:6]
+        else:
+            total = float(s[0])
+    return system.reshape(6 * n_c, 6 * n_c), right.reshape(-1), total
+
+
+def pulled(held: DataFrame, rots: np.ndarray, ts: np.ndarray, x: np.ndarray, damping: float, huber: float) -> DataFrame:
+    """HELD with the points' steps that follow from the cameras' ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows, track, starts, camera, xy, p in _chunks(batches, len(ts)):
+            w, _, v, _, gp, _ = blocks_of(rots[camera], ts[camera], p[track], xy, huber)
+            side = np.add.reduceat(gp + np.einsum("nij,ni->nj", w, x[camera]), starts)
+            new = p - np.einsum("nij,nj->ni", _inverses(np.add.reduceat(v, starts), damping), side)
+            some = batch.slice(rows.start, rows.stop - rows.start)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(new.reshape(-1)), 3).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), lists, some.column(2)], names=["track", "p", "seen"])
+
+    return held.mapInArrow(run, HELD)
+
+
+def turns(x: np.ndarray) -> np.ndarray:
+    """Rotations (n, 3, 3) of rotation vectors, as turned_by."""
+    angle = np.linalg.norm(x, axis=1)[:, None, None]
+    k = np.zeros((len(x), 3, 3))
+    k[:, 2, 1], k[:, 0, 2], k[:, 1, 0] = x.T
+    k -= k.transpose(0, 2, 1)
+    safe = np.maximum(angle, 1e-12)
+    return np.eye(3) + np.sin(angle) / safe * k + (1 - np.cos(angle)) / safe**2 * (k @ k)
+
+
+def adjust_few(held: DataFrame, rots: np.ndarray, ts: np.ndarray, rounds: int, huber: float, damping: float) -> tuple[DataFrame, np.ndarray, np.ndarray, list[float]]:
+    """The steps of adjust on HELD rows, whose files it deletes when it has better ones."""
+    system, right, total = reduced(held, rots, ts, damping, huber)
+    costs = [total]
+    for turn in range(rounds if np.isfinite(total) else 0):
+        x = np.linalg.lstsq(system, right)[0].reshape(-1, 6)
+        new_rots, new_ts = turns(x[:, :3]) @ rots, ts + x[:, 3:]
+        new = materialize(pulled(held, rots, ts, x, damping, huber), "tracks")
+        next_system, next_right, now = reduced(new, new_rots, new_ts, damping / 10, huber)
+        if better := now < costs[-1]:
+            discard(held)
+            held, rots, ts, system, right = new, new_rots, new_ts, next_system, next_right
+            costs.append(now)
+            damping /= 10
+        else:
+            discard(new)
+            damping *= 10
+            if turn + 1 < rounds:
+                system, right, _ = reduced(held, rots, ts, damping, huber)
+        if better and costs[-2] - costs[-1] < 1e-6 * costs[-2]:
+            break
+    return held, rots, ts, costs
+
+
+def _adjust_packed(observations: DataFrame, few: list, points: DataFrame, rounds: int, huber: float, damping: float) -> tuple[DataFrame, DataFrame, list[float]]:
+    ids = [row["camera"] for row in few]
+    rots, ts = np.array([row["rot"] for row in few]).reshape(-1, 3, 3), np.array([row["t"] for row in few])
+    held = materialize(packed(observations, points, ids), "tracks")
+    held, rots, ts, costs = adjust_few(held, rots, ts, rounds, huber, damping)
+    rows = [(i, rot.reshape(-1).tolist(), t.tolist()) for i, rot, t in zip(ids, rots, ts, strict=True)]
+    cameras = observations.sparkSession.createDataFrame(rows, "camera long, rot array<double>, t array<double>")
+    new = held.select("track", F.col("p").alias("new")).hint("merge")
+    return cameras, points.join(new, "track", "left").select("track", F.coalesce("new", "p").alias("p")), costs
+
+
 def adjust(observations: DataFrame, cameras: DataFrame, points: DataFrame, rounds: int = 5, huber: float = 0.1, damping: float = DAMPING) -> tuple[DataFrame, DataFrame, list[float]]:
     """Cameras, points and the costs: the first one, and one for each step that lowered it."""
+    few = cameras.select(F.col("camera").cast("long").alias("camera"), "rot", "t").filter("camera IS NOT NULL").orderBy("camera").limit(FEW + 1).collect()
+    if 0 < len(few) <= FEW:
+        return _adjust_packed(observations, few, points, rounds, huber, damping)
     observations = materialize(observations.select(F.col("camera").cast("long").alias("camera"), F.col("track").cast("long").alias("track"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "observations")
     look = partial(linearised, observations, huber=huber)
     lin = materialize(look(cameras, points), "linear")

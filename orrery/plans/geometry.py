@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.functions import columns as c
@@ -120,15 +121,15 @@ def sol04_average(spark, d):
 @query("SOL08_bundle_adjustment", f"WITH {t.VIEWS}, k AS (SELECT point_id FROM views GROUP BY 1 HAVING count(*) >= 3) SELECT count(*) AS n, count(DISTINCT image_id) AS cameras, count(DISTINCT point_id) AS points, 0.0::DOUBLE AS thousandths FROM views JOIN k USING (point_id)")
 def sol08_bundle(spark, d):
     """Exact views of tracks seen thrice, and cameras and points moved away: the root of the mean squared residual falls below a thousandth."""
-    v = t.views(spark, d).select("point_id", "image_id", "x", "y", "z", ((F.col("u") - 320) / 100).alias("px"), ((F.col("v") - 320) / 100).alias("py"))
-    v = v.join(v.groupBy("point_id").agg(F.count("*").alias("n")).filter("n >= 3"), "point_id")
+    v = t.views(spark, d).select(F.col("image_id").alias("camera"), F.col("point_id").alias("track"), ((F.col("u") - 320) / 100).alias("x"), ((F.col("v") - 320) / 100).alias("y"))
+    seen = materialize(v.withColumn("n", F.count("*").over(Window.partitionBy("track"))).filter("n >= 3").drop("n"), "views")
     off = lambda k, m: ((F.col(k) * m) % 11 - 5) / 250.0
-    points = v.groupBy(F.col("point_id").alias("track")).agg(*[F.first(k).alias(k) for k in "xyz"]).select("track", F.array(*[F.col(k) + off("track", m) for k, m in zip("xyz", (3, 5, 7), strict=True)]).alias("p"))
+    points = t.points(spark, d).groupBy(F.col("point_id").alias("track")).agg(*[F.first(k).alias(k) for k in "xyz"]).select("track", F.array(*[F.col(k) + off("track", m) for k, m in zip("xyz", (3, 5, 7), strict=True)]).alias("p"))
     eye = F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])
     cameras = t.cameras(spark, d).select(F.col("image_id").alias("camera"), eye.alias("rot"), F.array(*[F.col(k) + off("image_id", m) for k, m in zip(("tx", "ty", "tz"), (2, 4, 6), strict=True)]).alias("t"))
-    seen = v.select(F.col("image_id").alias("camera"), F.col("point_id").alias("track"), F.col("px").alias("x"), F.col("py").alias("y"))
     cameras, points, costs = bundle.adjust(seen, cameras, points, rounds=3, huber=1.0)
-    found = seen.agg(F.count("*").alias("n"), F.count_distinct("camera").alias("cameras"), F.count_distinct("track").alias("points"))
+    # one after the other: distinct counts of both at once would move every row twice
+    found = seen.groupBy("camera").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("cameras")).crossJoin(seen.groupBy("track").count().agg(F.count("*").alias("points")))
     return found.withColumn("thousandths", F.floor(F.sqrt(2 * F.lit(costs[-1]) / F.col("n")) * 1000).cast("double"))
 
 

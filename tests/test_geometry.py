@@ -254,6 +254,39 @@ def test_bundle_adjustment_lowers_the_cost(spark):
     assert all(np.allclose(np.array(x.rot).reshape(3, 3) @ np.array(x.rot).reshape(3, 3).T, np.eye(3)) for x in rows.values()) and tracks.count() == len(points)
 
 
+def test_bundles_of_few_cameras_move_observations_once(spark, monkeypatch):
+    """Few cameras: a step is that of a dense solver, also with a view seen twice and one of an unknown camera, and nothing but tracks is written."""
+    r = np.random.default_rng(17)
+    poses, points, seen, xy = scene(r, 4, 20)
+    seen, xy = [*seen, seen[3]], np.concatenate([xy, xy[3:4] + 0.01])
+    poses = [(turn(r.normal(size=3) * 0.02) @ rot, t + r.normal(size=3) * 0.05) for rot, t in poses]
+    points = points + r.normal(size=points.shape) * 0.05
+    obs, cams, pts = frames_of(spark, poses, points, [*seen, (99, 1)], np.concatenate([xy, xy[:1]]))
+    i, k = np.array(seen).T
+    w, u, v, gc, gp, cost = bundle.blocks_of(np.array([poses[x][0] for x in i]), np.array([poses[x][1] for x in i]), points[k], xy, 0.5)
+    n, m = len(poses), len(points)
+    h, g = np.zeros((6 * n + 3 * m,) * 2), np.zeros(6 * n + 3 * m)
+    for j in range(len(seen)):
+        a, b = np.arange(6) + 6 * i[j], np.arange(3) + 6 * n + 3 * k[j]
+        h[np.ix_(a, a)] += u[j]
+        h[np.ix_(b, b)] += v[j]
+        h[np.ix_(a, b)] += w[j]
+        h[np.ix_(b, a)] += w[j].T
+        g[a] += gc[j]
+        g[b] += gp[j]
+    h += np.diag(np.diag(h)) * 0.01 + 1e-12 * np.eye(len(h))
+    want = np.linalg.solve(h, -g)
+    written, keep = [], bundle.materialize
+    monkeypatch.setattr(bundle, "materialize", lambda df, what="state": written.append(what) or keep(df, what))
+    cameras, tracks, costs = bundle.adjust(obs, cams, pts, rounds=1, huber=0.5, damping=0.01)
+    assert set(written) == {"tracks"} and np.isclose(costs[0], cost.sum()) and costs[1] < costs[0]
+    x = want[: 6 * n].reshape(n, 6)
+    for row in cameras.collect():
+        rot, t = poses[row.camera]
+        assert np.allclose(np.array(row.rot).reshape(3, 3), turn(x[row.camera, :3]) @ rot, atol=1e-7) and np.allclose(row.t, t + x[row.camera, 3:], atol=1e-7)
+    assert np.allclose([row.p for row in tracks.orderBy("track").collect()], points + want[6 * n :].reshape(m, 3), atol=1e-7)
+
+
 # --- focal lengths ---
 
 
