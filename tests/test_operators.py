@@ -340,3 +340,29 @@ def test_counts_in_boxes_of_copies(spark, monkeypatch):
     assert got == {k: 200 for k in range(100) if k % 4 < 2}
     # two sheets, one kind of box, two places in it: not 50 * 200 pairs
     assert rows == [4]
+
+
+def test_info_nce_sums_blocks_of_rows(spark, monkeypatch):
+    """Against numpy, over many blocks, with ids that repeat, without a vector, with a null and with fewer components: a null counts as nothing."""
+    import numpy as np
+    from orrery.operators import joins, splats
+
+    monkeypatch.setattr(splats, "LOSS_ROWS", 16)
+    monkeypatch.setattr(joins, "QUERY_BLOCK", 4)
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(90, 3)), 3)
+    x[7, 1], x[8, 2], x[20, 1], x[30, 2] = 0, 0, 0, 0
+    vectors = x.tolist()
+    vectors[7][1], vectors[20][1] = None, None
+    vectors[8], vectors[30] = vectors[8][:2], vectors[30][:2]
+    ids = [k if k != 41 else 40 for k in range(90)]
+    df = spark.createDataFrame([*zip(ids, vectors), (50, None), (None, [1.0, 2.0, 3.0])], "id long, v array<double>").repartition(5)
+    x, ids = np.concatenate([x, [[1, 2, 3]]]), np.array([*ids, -1])
+    each = []
+    for i in range(0, 90, 10):
+        of = ids == i
+        s = np.round(x[of] @ x.T, 6) / 2
+        each.append(np.log(np.exp(s).sum()) - s[:, of].max())
+    got = splats.info_nce(df.filter("id % 10 = 0"), df, 2.0).first()["loss"]
+    assert abs(got - np.mean(each)) < 1e-9
+    assert splats.info_nce(df.limit(0), df, 2.0).first()["loss"] is None
