@@ -9,10 +9,19 @@ from orrery.functions import columns as c
 from orrery.operators.state import discard, materialize
 
 
+#: So many pairs are made in one task.
+TASK_PAIRS = 1 << 22
+
+
 def covisibility(observations: DataFrame, more_than: int = 2, key: str = "image_id") -> DataFrame:
-    """(a, b, shared): images with the number of tracks that both see. A track lists its images once, sorted, and pairs come from that list."""
-    seen = observations.groupBy("track_id").agg(F.array_sort(F.collect_set(key)).alias("s")).filter(F.size("s") > more_than)
-    first = seen.select("s", F.posexplode("s").alias("k", "a"))
+    """(a, b, shared): images with the number of tracks that both see. A track lists its images once, sorted, and pairs come from that list.
+    Lists are written and dealt by their first images, by the number of their pairs: Spark sizes tasks by the bytes of the lists, not by what comes of them."""
+    lists = observations.groupBy("track_id").agg(F.array_sort(F.collect_set(key)).alias("s")).filter(F.size("s") > more_than)
+    seen = materialize(lists.select("s", F.get("s", F.lit(0)).alias("first"), F.xxhash64("track_id").alias("place")), "lists")
+    n = F.size("s").cast("long")
+    pairs = seen.agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).alias("n")).first()["n"]
+    dealt = seen.repartitionByRange(int(pairs // TASK_PAIRS) + 1, "first", "place")
+    first = dealt.select("s", F.posexplode("s").alias("k", "a"))
     return first.select("a", F.explode(F.expr("slice(s, k + 2, size(s))")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 

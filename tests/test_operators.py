@@ -366,3 +366,18 @@ def test_info_nce_sums_blocks_of_rows(spark, monkeypatch):
     got = splats.info_nce(df.filter("id % 10 = 0"), df, 2.0).first()["loss"]
     assert abs(got - np.mean(each)) < 1e-9
     assert splats.info_nce(df.limit(0), df, 2.0).first()["loss"] is None
+
+
+def test_covisible_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    monkeypatch.setattr(graph, "TASK_PAIRS", 500)
+    tracks = {k: sorted({(k * 7 + j * (k % 3 + 1)) % 90 for j in range(40)}) for k in range(6)} | {9: [1, 2]}
+    obs = spark.createDataFrame([(k, i) for k, images in tracks.items() for i in [*images, images[0]]], "track_id long, image_id long")
+    found = graph.covisibility(obs, 2)
+    want = Counter(pair for images in tracks.values() if len(images) > 2 for pair in combinations(images, 2))
+    assert {(r.a, r.b): r.shared for r in found.collect()} == want
+    n = sum(want.values()) // 500 + 1
+    assert n > 5 and f", {n}\n" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert graph.covisibility(obs.limit(0), 2).isEmpty()
