@@ -32,6 +32,16 @@ def _stars(edges: DataFrame) -> bool:
     return odd.isEmpty()
 
 
+def _dealt(n: int):
+    """Deals rows by keys to as many tasks as n edges need; few are left to Spark."""
+    parts = n // TASK_EDGES
+    return lambda df, *keys: df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
+#: So many edges are in one task.
+TASK_EDGES = 1 << 17
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over edges (a, b); loops keep lonely nodes, null ends are ignored. Alternates
     large and small stars until the edges are stars: each step is a partial aggregation and an equi-join, which Spark may split
@@ -39,11 +49,13 @@ def components(edges: DataFrame) -> DataFrame:
     held = materialize(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     loops = held.filter("a = b").select("a", "b")
     now, spent = held.filter("a <> b"), None
+    # many edges are dealt by their number, as Spark's number of partitions need not grow with them; no step has more of them
+    dealt = _dealt(held.count())
     while not _stars(now):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = dealt(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a")
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: every larger neighbour of u points to the least of u's neighbourhood
-        large = materialize(both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = materialize(dealt(both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")), "a", "b").distinct(), "large")
         if spent is not None:
             discard(spent)
         if _stars(large):
@@ -357,9 +369,10 @@ def fixed_offsets(frames: DataFrame, n: int, most: int, step: int) -> DataFrame:
 def largest_region(pixels: DataFrame) -> DataFrame:
     """(image, n): size of the largest 8-connected region of each image. pixels: image, x, y."""
     key = lambda x, y: (F.col("image") * (1 << 40) + y * (1 << 20) + x)
-    px = pixels.withColumn("k", key(F.col("x"), F.col("y")))
+    px = materialize(pixels.withColumn("k", key(F.col("x"), F.col("y"))), "pixels")
+    dealt = _dealt(4 * px.count())
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))])
     near = px.select("image", "k", F.explode(steps).alias("s"), "x", "y").select(F.col("k").alias("a"), key(F.col("x") + F.col("s.dx"), F.col("y") + F.col("s.dy")).alias("b"))
-    edges = near.join(px.select(F.col("k").alias("b")), "b", "left_semi").unionByName(px.select(F.col("k").alias("a"), F.col("k").alias("b")))
+    edges = dealt(near, "b").join(dealt(px.select(F.col("k").alias("b")), "b"), "b", "left_semi").unionByName(px.select(F.col("k").alias("a"), F.col("k").alias("b")))
     n = components(edges).groupBy("component").agg(F.count("*").alias("n"))
     return n.select(F.floor(F.col("component") / (1 << 40)).alias("image"), "n").groupBy("image").agg(F.max("n").alias("n"))

@@ -381,3 +381,15 @@ def test_covisible_pairs_are_dealt_by_their_number(spark, monkeypatch):
     n = sum(want.values()) // 500 + 1
     assert n > 5 and f", {n}\n" in found._jdf.queryExecution().optimizedPlan().toString()
     assert graph.covisibility(obs.limit(0), 2).isEmpty()
+
+
+def test_many_edges_are_dealt_by_their_number(spark, monkeypatch):
+    """Regions and components are the same when Spark's own number of partitions is not used, and then no task has more rows than meant."""
+    px = spark.createDataFrame([(i, x, y) for i in range(3) for x in range(12) for y in range(12) if (x * 5 + y * 3 + i) % 4 < 2], "image long, x long, y long")
+    want = {(r.image, r.n) for r in graph.largest_region(px).collect()}
+    written, keep = {}, graph.materialize
+    monkeypatch.setattr(graph, "TASK_EDGES", 16)
+    monkeypatch.setattr(graph, "materialize", lambda df, what="state": written.setdefault(what, df) and keep(df, what))
+    assert {(r.image, r.n) for r in graph.largest_region(px).collect()} == want
+    n = 4 * px.count() // 16
+    assert f", {n}\n" in written["edges"]._jdf.queryExecution().optimizedPlan().toString() and "RepartitionByExpression" in written["large"]._jdf.queryExecution().optimizedPlan().toString()
