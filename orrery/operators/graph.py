@@ -78,9 +78,20 @@ def indexed(rows: DataFrame) -> DataFrame:
     return materialize(global_rank(rows, "id").select("id", F.col("place").cast("long").alias("i")))
 
 
+#: Complete pairs come in strips of so many j; so many places for pairs, half of them empty, are dealt to a task.
+STRIP, TASK_PLACES = 256, 1 << 25
+
+
 def complete_pairs(rows: DataFrame) -> DataFrame:
+    """(i, j) of all j below i. There are half as many as the square of the rows, so they come in an order that takes little room where
+    they are written: j stays within a strip of few values while i runs through it, so i comes in runs and j repeats one short list.
+    Row by row of i, j hardly repeats within a page. Tasks are dealt by the number of pairs, not by that of i."""
     n = rows.count()
-    return rows.sparkSession.range(n).select(F.col("id").alias("i")).filter("i > 0").select("i", F.explode(F.expr("sequence(0L, i - 1)")).alias("j"))
+    spark = rows.sparkSession
+    places = -(-n // STRIP) * n * STRIP
+    at = spark.range(0, places, 1, max(places // TASK_PLACES + 1, spark.sparkContext.defaultParallelism))
+    i, j = f"id div {STRIP}L % {max(n, 1)}L", f"id div {max(n, 1) * STRIP}L * {STRIP}L + id % {STRIP}L"
+    return at.select(F.expr(i).alias("i"), F.expr(j).alias("j")).filter("i > j")
 
 
 def _indices(rows: DataFrame) -> tuple[DataFrame, int]:

@@ -127,6 +127,15 @@ def test_window_pairs(spark):
     assert graph.window_pairs(ids(3), 3, True).count() == 6  # with pairs of itself
 
 
+def test_complete_pairs_repeat_few_values_within_a_page(spark):
+    assert {n: sorted(map(tuple, graph.complete_pairs(spark.range(n)).collect())) for n in (0, 1, 2, 257)} == {n: [(i, j) for i in range(n) for j in range(i)] for n in (0, 1, 2, 257)}
+    n, page = 3000, 20_000
+    pairs = graph.complete_pairs(spark.range(n)).withColumn("task", F.spark_partition_id()).withColumn("page", F.floor((F.monotonically_increasing_id() % (1 << 33)) / page))
+    pages = pairs.groupBy("task", "page").agg(F.count_distinct("i").alias("i"), F.count_distinct("j").alias("j"), F.count("*").alias("n"))
+    most = pages.agg(F.max(F.col("i") + F.col("j")), F.sum("n")).first()
+    assert most[0] <= 2 * graph.STRIP + 2 * page // graph.STRIP and most[1] == n * (n - 1) // 2
+
+
 def test_ssim_of_equal_images_is_one():
     img = np.random.default_rng(0).random((16, 16))
     assert abs(images.structural_similarity(img, img) - 1) < 1e-12
