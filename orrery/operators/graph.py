@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import columns as c
-from orrery.operators.state import discard, materialize
+from orrery.operators.state import discard, fresh_path, materialize
 
 
 #: So many pairs are made in one task.
@@ -212,21 +212,23 @@ def maximum_spanning_tree(edges: DataFrame) -> DataFrame:
 
 
 def breadth_first(edges: DataFrame, root: int, banned: DataFrame | None = None) -> DataFrame:
-    """(node, parent, level) from the root, level by level; the least parent of the level before is taken."""
+    """(node, parent, level) from the root, level by level; the least parent of the level before is taken. Neighbours of a level are in it
+    or in one next to it, so a step looks at two levels, however many there are; levels are parts of one folder."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if banned is not None:
         no = banned.unionByName(banned.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both = both.join(no, ["a", "b"], "left_anti")
     both = materialize(both)
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(root, None, 0)], "node long, parent long, level int")
-    front, level = seen, 0
+    path, level = fresh_path(spark, "levels"), 0
+    front = materialize(spark.createDataFrame([(root, None)], "node long, parent long"), path=f"{path}/level=0")
+    near = front.select("node")
     while not front.isEmpty():
         level += 1
-        front = front.select(F.col("node").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
-        front = materialize(front)
-        seen = seen.unionByName(front.select("node", "parent", "level"))
-    return seen
+        reached = front.select(F.col("node").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).join(near, "node", "left_anti")
+        before, front = front, materialize(reached.select("node", "parent"), path=f"{path}/level={level}")
+        near = before.select("node").unionByName(front.select("node"))
+    return spark.read.schema("node long, parent long, level int").parquet(path)
 
 
 def chained_poses(tree: DataFrame) -> DataFrame:
@@ -320,19 +322,68 @@ def ward_tree(similarities: DataFrame) -> DataFrame:
         size = materialize(grown.join(two.select(F.col("a").alias("c"), "best"), "c", "left").join(size.select("c", "rep"), "c").select("c", "n", F.coalesce("best", "rep").alias("rep")), "clusters")
 
 
+def tour(tree: DataFrame, start: int) -> tuple[DataFrame, int]:
+    """(a, b, pos, back) of both arcs of each edge of start's tree, and their number: the places of an arc and of its way back on a
+    walk around the tree, which comes back to start. After an arc to b follows the arc out of b that is next after the way back, in a
+    circle. Places are found by doubling: each round an arc learns what follows twice as far, so rounds grow with the logarithm
+    of the arcs, not with the depth. Arcs of other trees never meet the end and go."""
+    from orrery.operators.sets import global_rank
+
+    arcs = tree.select("a", "b").unionByName(tree.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    out = materialize(global_rank(arcs, "a", "b").select("a", "b", F.col("place").cast("long").alias("arc")), "arcs")
+    bounds = out.groupBy("a").agg(F.min("arc").alias("low"), F.max("arc").alias("high"))
+    back = out.join(bounds, "a").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("arc").alias("back"), F.when(F.col("arc") < F.col("high"), F.col("arc") + 1).otherwise(F.col("low")).alias("next"))
+    held = materialize(out.join(back, ["a", "b"]), "arcs")
+    n, first = held.agg(F.count("*"), F.min(F.when(F.col("a") == start, F.col("arc")))).first()
+    end = F.coalesce(F.col("next") == first, F.lit(False))
+    now = materialize(held.select("arc", F.when(~end, F.col("next")).alias("next"), F.when(end, 0).otherwise(1).cast("long").alias("left")), "places")
+    for _ in range((n - 1).bit_length() if n else 0):
+        # arcs at the end wait, so that no key is null and each is one arc's
+        step = now.filter("next IS NOT NULL").toDF("arc", "at", "so_far").join(now.withColumnRenamed("arc", "at"), "at")
+        spent, now = now, materialize(now.filter("next IS NULL").unionByName(step.select("arc", "next", (F.col("so_far") + F.col("left")).alias("left"))), "places")
+        discard(spent)
+    done = now.filter("next IS NULL").select("arc", "left")
+    met = materialize(held.join(done, "arc").join(done.toDF("back", "back_left"), "back").select("a", "b", "left", "back_left"), "tour")
+    n = met.count()
+    return met.select("a", "b", (n - 1 - F.col("left")).alias("pos"), (n - 1 - F.col("back_left")).alias("back")), n
+
+
+#: So many arcs of a tour are summed in one task.
+TASK_ARCS = 1 << 16
+
+
+def tree_from(arcs: DataFrame, n: int, root: int) -> DataFrame:
+    """(node, parent, level, enter, leave) of all nodes but the root, from the n arcs of a tour. Started at the root, the tour goes down an
+    edge before it comes back; levels are its running sums, within pieces of the tour and over the pieces' sums."""
+    first = arcs.filter(F.col("a") == root).agg(F.min("pos")).first()[0]
+    turned = arcs.select("a", "b", *[F.pmod(F.col(k) - first, F.lit(n)).alias(k) for k in ("pos", "back")])
+    steps = turned.withColumn("step", F.when(F.col("pos") < F.col("back"), 1).otherwise(-1)).withColumn("piece", F.floor(F.col("pos") / TASK_ARCS))
+    within = steps.withColumn("own", F.sum("step").over(Window.partitionBy("piece").orderBy("pos")))
+    # one row for each piece
+    sums = steps.groupBy("piece").agg(F.sum("step").alias("sum"))
+    before = sums.select("piece", F.coalesce(F.sum("sum").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    levels = within.filter("step = 1").join(before, "piece").withColumn("level", (F.col("before") + F.col("own")).cast("int"))
+    return levels.select(F.col("b").alias("node"), F.col("a").alias("parent"), "level", F.col("pos").alias("enter"), F.col("back").alias("leave"))
+
+
 def centred_tree(tree: DataFrame) -> DataFrame:
-    """The tree as (node, parent, level) from its centre: the middle of its longest path, found by two walks."""
-    held = materialize(tree.select("a", "b"))
+    """The tree as (node, parent, level) from its centre: the middle of its longest path, which leads from the node that is farthest
+    from any start to the farthest one from there. Of a forest, it is the tree of the least a."""
+    held = materialize(tree.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
     start = held.agg(F.min("a")).first()[0]
+    spark, columns = tree.sparkSession, "node long, parent long, level int"
     if start is None:
-        return tree.sparkSession.createDataFrame([], "node long, parent long, level int")
-    far = breadth_first(held, start).orderBy(F.desc("level"), "node").first()["node"]
-    walk = breadth_first(held, far)
-    last = walk.orderBy(F.desc("level"), "node").first()
-    node = last["node"]
-    for _ in range(last["level"] // 2):
-        node = walk.filter(F.col("node") == node).first()["parent"]
-    return breadth_first(held, node)
+        return spark.createDataFrame([], columns)
+    arcs, n = tour(held, start)
+    if not n:
+        return spark.createDataFrame([(start, None, 0)], columns)
+    farthest = lambda walk: walk.agg(F.max_by(F.struct("node", "level", "enter"), F.struct("level", -F.col("node"))).alias("x")).select("x.*").first()
+    walk = materialize(tree_from(arcs, n, farthest(tree_from(arcs, n, start))["node"]))
+    last = farthest(walk)
+    # its ancestors are entered before it and left after it
+    middle = walk.filter((F.col("level") == last["level"] - last["level"] // 2) & (F.col("enter") <= last["enter"]) & (F.col("leave") > last["enter"])).first()["node"]
+    root = spark.createDataFrame([(middle, None, 0)], columns)
+    return root.unionByName(tree_from(arcs, n, middle).select("node", "parent", "level"))
 
 
 def sparsify(edges: DataFrame, expected: int, strength: float) -> DataFrame:

@@ -23,9 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str = "state") -> DataFrame:
+def fresh_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/orrery-{what}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, what: str = "state", path: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: a cut in the lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/orrery-{what}-{uuid.uuid4().hex}"
+    path = path or fresh_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.orrery_path = path

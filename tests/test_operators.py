@@ -112,6 +112,58 @@ def test_components_and_tree(spark):
     assert graph.maximum_spanning_tree(df).agg(F.sum("w")).first()[0] == sum(best.values())
 
 
+def walked(edges, root):
+    """{node: (parent, level)}, each with the least parent of the level before."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen, front = {root: (None, 0)}, [root]
+    while front:
+        level, found = seen[front[0]][1] + 1, {}
+        for a in sorted(front):
+            for b in near.get(a, ()):
+                if b not in seen:
+                    found.setdefault(b, (a, level))
+        seen, front = {**seen, **found}, list(found)
+    return seen
+
+
+def centred(edges):
+    """The same from the middle of the longest path, by three walks."""
+    farthest = lambda seen: min(seen, key=lambda v: (-seen[v][1], v))
+    seen = walked(edges, farthest(walked(edges, min(a for a, _ in edges))))
+    node = farthest(seen)
+    for _ in range(seen[node][1] // 2):
+        node = seen[node][0]
+    return walked(edges, node)
+
+
+def test_centred_tree_against_three_walks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ARCS", 16)
+    r = random.Random(5)
+    grown = [(r.randrange(max(0, k - 3), k), k) for k in range(1, 30)]
+    trees = {"one": [(3, 9)], "star": [(7, k) for k in range(20) if k != 7], "forest": grown + [(50 + a, 50 + b) for a, b in grown], "path": [(k, k + 1) for k in range(64)]}
+    for name, edges in trees.items():
+        spark.sparkContext.setJobGroup(f"centred {name}", name)
+        got = {x.node: (x.parent, x.level) for x in graph.centred_tree(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == centred(edges), name
+    # a path of 64 edges takes as many jobs as any tree of its size, not one or more for each level
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("centred path")) < 100
+    spark.sparkContext.setJobGroup("", "")
+    for edges, want in (([], {}), ([(4, 4)], {4: (None, 0)})):
+        assert {x.node: (x.parent, x.level) for x in graph.centred_tree(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_breadth_first_reads_its_levels_at_once(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(75)] + [(0, 0), (0, 1), (1, 2)]
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = graph.breadth_first(df(edges), 0, df([(1, 0)]))
+    assert {x.node: (x.parent, x.level) for x in got.collect()} == walked([e for e in edges if set(e) != {0, 1}], 0)
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tracks_with_far_features_go(spark):
     matches = spark.createDataFrame([(1, 0, 2, 0), (1, 1, 2, 0), (3, 0, 4, 0)], "i1 long, f1 long, i2 long, f2 long")
     pixels = spark.createDataFrame([(i, f, 20.0 * f, 0.0) for i in range(5) for f in range(2)], "image long, feature long, x double, y double")
