@@ -4,14 +4,16 @@ import hashlib
 import random
 import re
 import struct
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm import decontaminate, language, lines, near, packing, quality, repeats, sharding, substrings, urls
+from orrery.llm import common, decontaminate, language, lines, near, packing, quality, repeats, sharding, substrings, urls
 from orrery.operators import graph
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -113,6 +115,25 @@ def test_repeats(docs, corpus, length, gram):
     assert got == removed_bytes(corpus, length)
 
 
+def test_settled_phases_leave_no_shuffle_files(spark, tmp_path):
+    """Those of the last job too, which otherwise lie beside the files of the phase that follows."""
+    dirs = [Path(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f.name.split("_")[1] for x in dirs for f in x.rglob("shuffle_*")}
+
+    before = shuffles()
+    pairs = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.collect_list("id").alias("ids"))
+    pairs.join(spark.range(100).withColumnRenamed("id", "k").hint("shuffle_merge"), "k").write.parquet(str(tmp_path / "pairs"))
+    made = shuffles() - before
+    assert made
+    common.settle(spark)
+    end = time.time() + 10
+    while time.time() < end and made & shuffles():
+        time.sleep(0.2)
+    assert not made & shuffles()
+
+
 def test_suffix_order_and_matching_statistics():
     r = random.Random(2)
     for _ in range(100):
