@@ -70,6 +70,21 @@ def test_relative_poses_are_exact_without_noise(spark):
     assert np.abs(np.array(x.t) - t).max() < 1e-9
 
 
+def test_relative_poses_of_repeated_matches(spark):
+    """Right matches that are few but repeated, among wrong ones that are not."""
+    r = np.random.default_rng(11)
+    rot, t = turn([0.1, -0.2, 0.05]), np.array([0.6, 0.0, 0.8])
+    x = r.normal(size=(30, 3)) * 2 + [0, 0, 8]
+    y = x @ rot.T + t
+    right = np.column_stack([p[:, :2] / p[:, 2:] for p in (x, y)])
+    wrong = np.column_stack([r.normal(size=(8000, 2)) * 0.25, r.uniform(-0.6, 0.6, (8000, 2))])
+    rows = spark.createDataFrame([(0, *m) for m in np.concatenate([right.repeat(400, 0), wrong]).tolist()], "pair long, x1 double, y1 double, x2 double, y2 double")
+    (x,) = two_view.relative_poses(rows, 1e-3).collect()
+    assert x.n == 20_000 and x.n_inliers >= 12_000
+    assert np.abs(np.array(x.rot).reshape(3, 3) - rot).max() < 1e-9
+    assert np.abs(np.array(x.t) - t).max() < 1e-9
+
+
 def test_candidates_of_a_pool(planted):
     rows, _ = planted
     x = np.array([r[1:] for r in rows if r[0] == 0])
