@@ -15,6 +15,11 @@ Candidates. Two fingerprints within RADIUS bits are within RADIUS // BLOCKS bits
 the items' index holds each block with all its variants within that distance, by item size, and a window looks up its
 blocks as they are. That finds every item of the window's size within RADIUS. These are compared exactly.
 
+The rest. Fingerprints of alike windows lie further apart than RADIUS now and then, about three times in a hundred where a
+passage breaks off just above SIMILARITY. An alike window has so much of an item's weight that it has one of the item's
+heaviest shingles that weigh more than 1 - SIMILARITY of it; documents and items that share one of these, and that share
+as much weight as an alike window has, are compared exactly too, at all their windows, unless they are already found.
+
 The items are broadcast while they have at most BROADCAST_SHINGLES shingles and joined by a shuffle beyond that. Hits
 are aggregated per document and place before texts move, and texts move once, by doc_id.
 
@@ -28,10 +33,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize
+from orrery.llm.common import discard, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -105,14 +110,22 @@ def prepared(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return materialize(known, "known"), own, math.log1p(total)
 
 
-def begins_of(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, begins): places and sizes of the windows to look at in each document; rows: doc_id, words."""
+def hits_of(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, n_doc, size, at, h): the places of documents whose shingle an item has; rows: doc_id, words."""
+    known = items.select("size", F.explode("places").alias("h")).distinct()
+    if known.count() <= BROADCAST_SHINGLES:
+        known = F.broadcast(known)
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [SHINGLE]
+    each = F.flatten(F.array(*[placed(F.col("words"), k) for k in sizes]))
+    return rows.select("doc_id", F.size("words").alias("n_doc"), F.explode(each).alias("x")).select("doc_id", "n_doc", "x.*").join(known, ["h", "size"])
+
+
+def begins_of(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, begins): places and sizes of the windows to look at in each document."""
     marks = items.select(F.size("item_words").alias("n"), "size", F.posexplode("places").alias("item_at", "h")).distinct()
     if marks.count() <= BROADCAST_SHINGLES:
         marks = F.broadcast(marks)
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [SHINGLE]
-    each = F.flatten(F.array(*[placed(F.col("words"), k) for k in sizes]))
-    hits = rows.select("doc_id", F.size("words").alias("n_doc"), F.explode(each).alias("x")).select("doc_id", "n_doc", "x.*").join(marks, ["h", "size"])
+    hits = hits.join(marks, ["h", "size"])
     begins = hits.select("doc_id", "n", F.greatest(F.least(F.col("at") - F.col("item_at"), F.col("n_doc") - F.col("n")), F.lit(0)).alias("begin"))
     begins = begins.groupBy("doc_id", "n").agg(F.array_sort(F.collect_set("begin")).alias("b"))
     after = lambda i: F.coalesce(F.get("b", i + 1), F.lit(-1))
@@ -120,29 +133,52 @@ def begins_of(rows: DataFrame, items: DataFrame) -> DataFrame:
     return begins.select(F.col("doc_id").alias("id"), F.transform(filled, lambda x: F.struct(x.alias("begin"), F.col("n").alias("n"))).alias("x")).groupBy("id").agg(F.flatten(F.collect_list("x")).alias("begins"))
 
 
+def likely(hits: DataFrame, items: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, item): documents with at least as much of an item's weight as an alike window has."""
+    known = own.join(items.select("item", "item_weight"), "item")
+    before = F.sum("w").over(Window.partitionBy("item").orderBy(F.col("w").desc(), "h")) - F.col("w")
+    heavy = known.withColumn("before", before).filter(F.col("before") <= (1 - similarity + ROUNDING) * F.col("item_weight")).select("item", "h")
+    here = hits.select("doc_id", "h").distinct()
+    pairs = here.join(heavy, "h").select("doc_id", "item").distinct()
+    shared = pairs.join(known, "item").join(here, ["doc_id", "h"]).groupBy("doc_id", "item").agg(F.sum("w").alias("both"), F.first("item_weight").alias("item_weight"))
+    return shared.filter(F.col("both") >= (similarity - ROUNDING) * F.col("item_weight")).select("doc_id", "item")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (doc_id, item_id) with the best window's place, its distance in bits and its similarity."""
     items, item_shingles, unseen = prepared(benchmark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = begins_of(rows.select("doc_id", words(F.col("text")).alias("words")), items)
+    hits = materialize(hits_of(rows.select("doc_id", words(F.col("text")).alias("words")), items), "hits")
+    found = begins_of(hits, items)
     windows = rows.join(found, F.col("doc_id") == F.col("id")).select("doc_id", words(F.col("text")).alias("words"), "begins")
     windows = windows.select("doc_id", F.explode(F.transform("begins", lambda x: F.struct(x["begin"].alias("begin"), x["n"].alias("n"), F.slice("words", x["begin"] + 1, x["n"]).alias("window")))).alias("x"))
-    windows = windows.select("doc_id", "x.*").filter(F.size("window") == F.col("n")).withColumn("seen", fingerprint("window"))
+    windows = materialize(windows.select("doc_id", "x.*").filter(F.size("window") == F.col("n")).withColumn("seen", fingerprint("window")), "windows")
     index = items.select("item", F.size("item_words").alias("n"), "fp", F.explode(around("fp")).alias("block"))
     bits = F.bit_count(F.col("seen").bitwiseXOR(F.col("fp")))
     close = windows.withColumn("block", F.explode(blocks("seen"))).join(index, ["n", "block"]).withColumn("distance", bits).filter(F.col("distance") <= RADIUS)
-    close = close.select("doc_id", "begin", "n", "window", "distance", "item").distinct().join(items.select("item", "item_id", "size", "item_weight"), "item")
-    # of each window's shingles the weight among all items, and whether the item has it
-    pair = ["doc_id", "item_id", "item", "begin", "n", "distance", "seen", "item_weight"]
-    each = close.withColumn("seen", F.xxhash64("window")).select(*pair, F.explode(F.array_distinct(shingles(F.col("window"), F.col("size")))).alias("h"))
+    close = close.select("doc_id", "begin", "n", "window", "distance", "item").distinct()
     few = item_shingles.count() <= BROADCAST_SHINGLES
     weights, mine = item_shingles.select("h", "w").distinct(), item_shingles.select("item", "h", F.col("w").alias("mine"))
-    each = each.join(F.broadcast(weights) if few else weights, "h", "left").join(F.broadcast(mine) if few else mine, ["item", "h"], "left")
-    sums = each.groupBy(*pair).agg(F.sum(F.coalesce("w", F.lit(unseen))).alias("window_weight"), F.coalesce(F.sum("mine"), F.lit(0.0)).alias("both"))
-    alike = F.col("both") / (F.col("item_weight") + F.col("window_weight") - F.col("both"))
-    judged = sums.select("doc_id", "item_id", F.col("begin").alias("word_at"), F.col("n").alias("n_words"), "distance", alike.alias("similarity")).filter(F.col("similarity") >= similarity - ROUNDING)
-    best = judged.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("word_at", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("word_at"))).alias("x"))
-    return best.select("doc_id", "item_id", "x.*")
+
+    def alike(close: DataFrame) -> DataFrame:
+        """The windows of close whose similarity with their item is large enough."""
+        # of each window's shingles the weight among all items, and whether the item has it
+        pair = ["doc_id", "item_id", "item", "begin", "n", "distance", "seen", "item_weight"]
+        close = close.join(items.select("item", "item_id", "size", "item_weight"), "item")
+        each = close.withColumn("seen", F.xxhash64("window")).select(*pair, F.explode(F.array_distinct(shingles(F.col("window"), F.col("size")))).alias("h"))
+        each = each.join(F.broadcast(weights) if few else weights, "h", "left").join(F.broadcast(mine) if few else mine, ["item", "h"], "left")
+        sums = each.groupBy(*pair).agg(F.sum(F.coalesce("w", F.lit(unseen))).alias("window_weight"), F.coalesce(F.sum("mine"), F.lit(0.0)).alias("both"))
+        value = F.col("both") / (F.col("item_weight") + F.col("window_weight") - F.col("both"))
+        return sums.select("doc_id", "item_id", "item", F.col("begin").alias("word_at"), F.col("n").alias("n_words"), "distance", value.alias("similarity")).filter(F.col("similarity") >= similarity - ROUNDING)
+
+    judged = materialize(alike(close), "judged")
+    rest = likely(hits, items, item_shingles, similarity).join(judged.select("doc_id", "item"), ["doc_id", "item"], "left_anti")
+    far = rest.join(items.select("item", F.size("item_words").alias("n"), "fp"), "item").join(windows, ["doc_id", "n"]).withColumn("distance", bits)
+    far = alike(far.select("doc_id", "begin", "n", "window", "distance", "item").distinct())
+    best = judged.unionByName(far).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("word_at", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("word_at"))).alias("x"))
+    out = materialize(best.select("doc_id", "item_id", "x.*"), "leaks")
+    discard(items, item_shingles, hits, windows, judged)
+    return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -116,13 +116,13 @@ def spherical(x: np.ndarray, k: int) -> np.ndarray:
     return centres[held >= min(MEMBERS * len(x), held.max())]
 
 
-def fit(docs: DataFrame) -> Model:
-    """Learns from text and lang of labelled rows that are not held out, about SAMPLE of each language.
+def fit(docs: DataFrame, every: bool = False) -> Model:
+    """Learns from text and lang of labelled rows, about SAMPLE of each language; unless every, of those that are not held out.
 
     The sample stays on the executors: document frequencies are summed there, a group makes the centroids of one
     language, and the usual cosine and the margin are aggregates. The driver gets DIMS counts and the centroids.
     """
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("doc_id").isNotNull() if every else ~held_out(F.col("doc_id"))))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02).alias("n")).collect()}
     none = Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.ones(DIMS), np.zeros(1))
     if not counts:
@@ -209,6 +209,6 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is identified, with their own columns."""
-    found = identify(docs, fit(docs), docs.columns, ("orrery_lang", "orrery_score", "orrery_rejected"))
+    """The documents whose language is identified, with their own columns. Nothing is measured here, so no labelled rows are held out."""
+    found = identify(docs, fit(docs, every=True), docs.columns, ("orrery_lang", "orrery_score", "orrery_rejected"))
     return found.filter(~F.col("orrery_rejected")).select(*docs.columns)

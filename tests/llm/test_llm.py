@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import time
+import zlib
 from collections import defaultdict
 from pathlib import Path
 
@@ -435,6 +436,20 @@ def test_line_dedup_stage_keeps_a_text_with_many_copies(spark):
 # --- 3 ---
 
 
+def test_language_stage_learns_from_all_labelled_rows(spark):
+    """All labelled rows of one language are of the quarter that the operator holds out."""
+    import corpus_pipeline
+
+    r = random.Random(17)
+    words = {"en": "the and of thing with that there".split(), "de": "und der die straße über nicht".split()}
+    out, learned = ([k for k in range(4000) if (zlib.crc32(str(k).encode()) % 4 == 2) == x] for x in (True, False))
+    rows = [(k, " ".join(r.choice(words[lang]) for _ in range(40)), lang) for lang, ids in (("en", learned[:200]), ("de", out[:200])) for k in ids]
+    rows += [(5000 + k, " ".join(r.choice(words["de"]) for _ in range(40)), None) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in corpus_pipeline.language_id(spark, df, "").collect()} == {x[0] for x in rows}
+    assert "de" not in {x.lang_pred for x in language.predict(df).collect()}
+
+
 def test_language(spark):
     r = random.Random(7)
     words = {"en": "the and of thing with that there".split(), "fr": "le la être où une elle déjà".split(), "de": "und der die straße über nicht".split()}
@@ -654,6 +669,19 @@ def test_decontamination(spark):
     assert kept.columns == df.columns and kept.count() == 40 + 3
 
 
+def test_decontamination_finds_passages_with_far_fingerprints(spark):
+    """Passages of 53 of 59 words: 49 of 61 shingles are shared, but some fingerprints differ in more than RADIUS bits."""
+    r = random.Random(51)
+    items = [sentence(r, 59, 100_000) for _ in range(400)]
+    rows = [(k, sentence(r, 9, 100_000) + " " + " ".join(x.split()[:53]) + " " + sentence(r, 20, 100_000)) for k, x in enumerate(items)]
+    rows += [(1000 + k, sentence(r, 9, 100_000) + " " + " ".join(x.split()[:52]) + " " + sentence(r, 20, 100_000)) for k, x in enumerate(items[:50])]  # under 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.leaks(df, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(k, k) for k in range(400)]
+    assert 0 < sum(x.distance > decontaminate.RADIUS for x in got) < 40
+    assert all(x.word_at <= 9 and abs(x.similarity - 49 / 61) < 1e-9 for x in got)
+
+
 def test_decontamination_of_items_cut_off_by_the_text(spark):
     r = random.Random(12)
     items = [sentence(r, 50, 5000) for _ in range(2)]
